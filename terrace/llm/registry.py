@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from terrace.llm.decontaminate import OP2_SQL, op2_decontaminate
 from terrace.llm.media import op10_media_columns
+from terrace.llm.mixing import OP4_SQL, op4_mix
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
+    "op4_mix": op4_mix,
     "op10_media_columns": op10_media_columns,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_decontaminate": OP2_SQL, "op4_mix": OP4_SQL}
