@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from terrace.llm.decontaminate import OP2_SQL, op2_decontaminate
+from terrace.llm.jaccard import OP3_SQL, op3_jaccard_join
 from terrace.llm.media import op10_media_columns
 from terrace.llm.mixing import OP4_SQL, op4_mix
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_mix": op4_mix,
     "op10_media_columns": op10_media_columns,
 }
-ORACLES = {"op2_decontaminate": OP2_SQL, "op4_mix": OP4_SQL}
+ORACLES = {"op2_decontaminate": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_mix": OP4_SQL}
