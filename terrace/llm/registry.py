@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from terrace.llm.decontaminate import OP2_SQL, op2_decontaminate
 from terrace.llm.jaccard import OP3_SQL, op3_jaccard_join
+from terrace.llm.langid import op1_language_id
 from terrace.llm.media import op10_media_columns
 from terrace.llm.mixing import OP4_SQL, op4_mix
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_mix": op4_mix,
