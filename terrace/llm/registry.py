@@ -5,6 +5,7 @@ from __future__ import annotations
 from terrace.llm.decontaminate import OP2_SQL, op2_decontaminate
 from terrace.llm.jaccard import OP3_SQL, op3_jaccard_join
 from terrace.llm.langid import op1_language_id
+from terrace.llm.lm import op8_language_model
 from terrace.llm.media import op10_media_columns
 from terrace.llm.mixing import OP4_SQL, op4_mix
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_mix": op4_mix,
+    "op8_language_model": op8_language_model,
     "op10_media_columns": op10_media_columns,
 }
 ORACLES = {"op2_decontaminate": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_mix": OP4_SQL}
