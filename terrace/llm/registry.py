@@ -8,12 +8,14 @@ from terrace.llm.langid import op1_language_id
 from terrace.llm.lm import op8_language_model
 from terrace.llm.media import op10_media_columns
 from terrace.llm.mixing import OP4_SQL, op4_mix
+from terrace.llm.pii import op7_pii
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_mix": op4_mix,
+    "op7_pii": op7_pii,
     "op8_language_model": op8_language_model,
     "op10_media_columns": op10_media_columns,
 }
