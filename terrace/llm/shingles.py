@@ -23,16 +23,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lower = np.arange(256, dtype=np.uint8)
     lower[65:91] += 32
     values = mix64(lower.astype(U64) + U64(1))
     blank = np.zeros(256, bool)
     blank[[0x20, *range(0x09, 0x0E)]] = True
-    return values, blank
+    apart = np.ones(256, bool)
+    apart[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+    return values, blank, apart
 
 
-_VALUES, _BLANK = _tables()
+#: Hash values of bytes, the bytes between words, and those between words without punctuation.
+_VALUES, BLANK, APART = _tables()
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -57,13 +60,13 @@ class Powers:
 _POWERS = Powers()
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of several texts in order, A-Z lower-cased, and for each text the end of its words."""
     n = len(data)
     if n == 0:
         return np.empty(0, U64), np.zeros(len(offsets) - 1, np.int64)
     up, down = _POWERS.upto(n)
-    word = ~_BLANK[data]
+    word = ~between[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     before = np.empty(n, bool)
