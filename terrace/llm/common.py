@@ -59,7 +59,7 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
 
-def text_chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a batch into runs of rows of about `limit` bytes: (first row, end row, bytes, offsets of rows in them).
 
     Rows stay whole, so a longer text is a chunk of its own; null texts are empty.

@@ -14,8 +14,10 @@ The jobs:
 1. One pass over the texts gives sizes, set hashes, 512-bit parity sketches and feature counts. Equal sets become a class.
 2. A second pass emits signatures, packed into binary blocks by bucket; a bucket keeps those that two classes share.
    Signatures that the counts show to be very frequent skip the buckets, so no bucket holds one hot group.
+   Of signatures that the very same classes share, one stays.
 3. Candidates of a signature are compared with a pivot of it, not with each other. Size and sketch bounds go first (the
-   sketches' differing bits never exceed the features'), then whole sets are compared. Links give components.
+   sketches' differing bits never exceed the features'; longer sketches follow the short ones), then whole sets are
+   compared. Links give components.
 4. Only signatures whose classes still lie in several components go on: again with pivots, drawn anew for each signature,
    and at last with all pairs across components, which passes the bounds inside the join. So no link between components
    is lost, while a group of copies is never expanded into its pairs.
@@ -46,7 +48,7 @@ FIRST_BAND, BAND_GROWTH, FEATURES_PER_BLOCK = 32, 4, 1.5
 COUNT_BITS, SKETCH_BITS = 20, 512
 #: Signatures counted more often than this are joined by Spark alone; a bucket has about BUCKET_ROWS signatures.
 HOT_COUNT, BUCKET_ROWS, LEAST_BUCKETS = 1_000_000, 500_000, 64
-EMIT_ROWS = 2_000_000
+EMIT_ROWS = 1_000_000
 #: Largest number of class ids broadcast (16 MB); beyond it the same join shuffles.
 BROADCAST_CLASSES = 2_000_000
 _COUNT_BLOCK = 1 << 16
@@ -61,10 +63,21 @@ def _classes(sets: Sets) -> np.ndarray:
     return mix64(per_set(mix64(sets.hashes ^ U64(0x2545F4914F6CDD1D)), sets, np.add, 0) + sets.sizes.astype(U64)) * (sets.sizes > 0)
 
 
+def _sketch_places(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (mix64(hashes ^ U64(0x14057B7EF767814F)) & U64(bits - 1)).astype(np.int64)
+
+
+def _long_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities as 64-bit words; sets of one band have sketches of one length, at least twice the band's sizes."""
+    bits = max(SKETCH_BITS, 2 * FIRST_BAND * BAND_GROWTH ** band_of(len(hashes)))
+    odd = np.bincount(_sketch_places(hashes, bits), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").astype(np.int64)
+
+
 def _sketches(sets: Sets) -> np.ndarray:
     """Parities of the numbers of features that fall on each of the bits, as eight 64-bit words a set."""
     n = len(sets.bounds) - 1
-    bits = (mix64(sets.hashes ^ U64(0x14057B7EF767814F)) & U64(SKETCH_BITS - 1)).astype(np.int64)
+    bits = _sketch_places(sets.hashes, SKETCH_BITS)
     odd = np.bincount(sets.owner() * SKETCH_BITS + bits, minlength=n * SKETCH_BITS).reshape(n, SKETCH_BITS) & 1
     return np.packbits(odd.astype(np.uint8), axis=1).view(">i8").astype(np.int64)
 
@@ -87,7 +100,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(sets.first_row, n), pa.array(_classes(sets).view(np.int64)), pa.array(sets.sizes.astype(np.int32)), *(pa.array(sketch[:, i].copy()) for i in range(_WORDS)), none(n, pa.int32()), none(n, pa.binary())], names)
             waiting.append(_counted(sets.hashes))
             held += len(waiting[-1])
-            if held > 4 << COUNT_BITS:
+            if held > 1 << COUNT_BITS:
                 counts += np.bincount(np.concatenate(waiting), minlength=len(counts))
                 waiting, held = [], 0
     if waiting:
@@ -226,11 +239,18 @@ def _shared(buckets: int):
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, features) of each text, as sorted 64-bit hashes."""
+    """(cls, sketch, features): of each new set its long sketch and its sorted 64-bit hashes."""
+    seen: set[int] = set()
     for batch in batches:
         for sets in shingle_sets(batch, "text", SHINGLE):
-            values = [sets.hashes[a:b].tobytes() for a, b in zip(sets.bounds[:-1], sets.bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(_classes(sets).view(np.int64)), pa.array(values, pa.binary())], ["cls", "features"])
+            rows = []
+            for cls, a, b in zip(_classes(sets).view(np.int64).tolist(), sets.bounds[:-1], sets.bounds[1:], strict=True):
+                if a < b and cls not in seen:
+                    seen.add(cls)
+                    rows.append((cls, _long_sketch(sets.hashes[a:b]), sets.hashes[a:b].tobytes()))
+            if rows:
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["cls", "sketch", "features"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,28 +298,41 @@ class JaccardJoin:
         else:
             plain = None
         shared = packed.select("bucket", "sigs", "classes").groupBy("bucket").applyInPandas(_shared(buckets), "sig long, cls long")
-        return self.scratch.save(shared if plain is None else shared.unionByName(plain), "shared")
+        raw = self.scratch.save(shared if plain is None else shared.unionByName(plain), "shared-all")
+        members = raw.groupBy("sig").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(cls, 1))").alias("x"), F.expr("bit_xor(xxhash64(cls, 2))").alias("y"))
+        one = members.filter("n > 1").groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
+        return self.scratch.save(raw.join(one, "sig", "left_semi"), "shared")
 
     def _bounded(self, pairs: DataFrame) -> DataFrame:
         """Pairs (u, v) of classes whose sizes and sketches allow a link."""
         side = lambda x: self.classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), *[F.col(f"s{i}").alias(f"{x}{i}") for i in range(_WORDS)])
-        return pairs.join(side("u"), "u").join(side("v"), "v").filter(_bounds("u", "v")).select("u", "v")
+        return pairs.join(side("u"), "u").join(side("v"), "v").filter(_bounds("u", "v")).select("u", "v", "nu", "nv")
 
     def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Links among bounded pairs (u, v, nu, nv). A pair whose sketches differ in length keeps the short bound alone."""
         pairs = self.scratch.save(pairs, f"pairs-{name}")
-        left = self.sets.select(F.col("cls").alias("u"), F.col("features").alias("fu"))
-        right = self.sets.select(F.col("cls").alias("v"), F.col("features").alias("fv"))
+        short = lambda x: self.sets.select(F.col("cls").alias(x), F.col("sketch").alias(f"s{x}"))
+        bits = "aggregate(zip_with(su, sv, (a, b) -> cast(bit_count(a ^ b) as int)), 0, (t, x) -> t + x)"
+        near = f"size(su) <> size(sv) or {DEN + NUM} * {bits} <= {DEN - NUM} * (nu + nv)"
+        pairs = self.scratch.save(pairs.join(short("u"), "u").join(short("v"), "v").filter(near).select("u", "v"), f"near-{name}")
+        used = self.scratch.save(pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct(), f"used-{name}")
+        sets = self.sets.join(self._small(used), "cls", "left_semi")
+        left = sets.select(F.col("cls").alias("u"), F.col("features").alias("fu"))
+        right = sets.select(F.col("cls").alias("v"), F.col("features").alias("fv"))
         return pairs.join(right, "v").join(left, "u").select("u", "v", "fu", "fv").mapInArrow(_verify, "u long, v long")
 
+    def _small(self, keys: DataFrame) -> DataFrame:
+        """One column of ids, marked for broadcast only if they are few enough."""
+        return F.broadcast(keys) if keys.count() <= self.broadcast_classes else keys
+
     def _store_sets(self, shared: DataFrame) -> None:
         """Whole sets of the classes that have a candidate, from one document of each class."""
         wanted = shared.select("cls").distinct().join(self.classes, "cls").select(F.col("rep").alias("doc_id"))
         wanted = self.scratch.save(wanted, "wanted")
-        if wanted.count() <= self.broadcast_classes:
-            wanted = F.broadcast(wanted)
+        wanted = self._small(wanted)
         texts = self.documents.join(wanted, self.documents["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-        # An id may repeat with another text, so a class may come more than once or not belong to the wanted ones.
-        self.sets = self.scratch.save(texts.select("text").mapInArrow(_set_rows, "cls long, features binary").dropDuplicates(["cls"]), "sets")
+        # An id may repeat, so a class may come once per task, or not belong to the wanted ones: links are the same.
+        self.sets = self.scratch.save(texts.select("text").mapInArrow(_set_rows, "cls long, sketch array<long>, features binary"), "sets")
 
     def labels(self) -> DataFrame:
         self._profiles()
@@ -315,7 +348,7 @@ class JaccardJoin:
                 pairs = self._bounded(pairs)
             else:
                 side = lambda x: members.join(self.classes.drop("rep"), "cls").select("sig", F.col("cls").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), *[F.col(f"s{i}").alias(f"{x}{i}") for i in range(_WORDS)])
-                pairs = side("u").join(side("v"), "sig").filter(F.expr("u > v and lu <> lv") & _bounds("u", "v")).select("u", "v").distinct()
+                pairs = side("u").join(side("v"), "sig").filter(F.expr("u > v and lu <> lv") & _bounds("u", "v")).select("u", "v", "nu", "nv").distinct()
             found = self.scratch.save(self._verified(pairs, str(step)), f"links-{step}")
             links = found if links is None else links.unionByName(found)
             graph = components(links, self.scratch, f"graph-{step}")

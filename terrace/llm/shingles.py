@@ -52,7 +52,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 1 << 21)
+            size = max(n, 1 << 20)
             self.up, self.down = _powers(_BASE, size), _powers(_INVERSE, size)
         return self.up, self.down
 
