@@ -4,8 +4,8 @@ Targets: sources share the total size by weight, none above `repeat` times its o
 weight. Sorted by cap over weight, the capped sources come first, so prefix sums over the sources give the final level.
 
 Selection (Efraimidis-Spirakis): a document's key is -ln(u) / quality, u from a hash of its id and the seed, so reruns and
-recomputed tasks agree. Documents in key order fill the target: whole epochs of the source first, then those documents
-whose middle word lies inside the remaining budget, so the taken words miss a target by half a document at most.
+recomputed tasks agree. Whole epochs of a source come first, then its documents in key order up to the rest of the
+target in whole words; the document that the budget ends in is taken in part, so a source's words miss its target by less than one.
 
 A source may hold most rows, so no task sorts a source: keys are quantised into `bins` ordered bins, bin sums are
 pre-aggregated in each task and prefix-summed, and only the one bin that the budget ends in is sorted.
@@ -37,8 +37,8 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, repea
     before = Window.orderBy("level", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
     level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    # A source is at its cap as long as its own level is no higher than what the rest would get without it.
-    water = capped.withColumn("rest", level).withColumn("final", F.min(F.when(F.col("level") > F.col("rest"), F.col("rest"))).over(whole))
+    # In order of level, sources stay capped up to the first whose level is above what the rest may have; rest falls from there on.
+    water = capped.withColumn("rest", level).withColumn("final", F.max(F.when(F.col("level") > F.col("rest"), F.col("rest"))).over(whole))
     target = F.when(F.col("final").isNull() | (F.col("level") <= F.col("final")), F.col("cap")).otherwise(F.col("final") * F.col("weight"))
     return water.select("source", "source_size", target.alias("target"))
 
@@ -56,7 +56,7 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeat: int = RE
     keyed = keyed.withColumn("mix_bin", F.floor(bins * (1 - F.exp(-F.col("mix_key")))).cast("int"))
     goals = source_targets(sized, weights, repeat)
     goals = goals.select(F.col("source").alias("goal_source"), "source_size", "target", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"))
-    goals = goals.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
+    goals = goals.withColumn("budget", F.floor(F.col("target") - F.col("epochs") * F.col("source_size") + 0.5).cast("long"))
     sums = keyed.groupBy("source", "mix_bin").agg(F.sum("size").alias("bin_size"))
     upto = Window.partitionBy("source").orderBy("mix_bin").rowsBetween(Window.unboundedPreceding, -1)
     bin_starts = sums.withColumn("bin_start", F.coalesce(F.sum("bin_size").over(upto), F.lit(0)))
@@ -69,10 +69,12 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeat: int = RE
     inside = F.coalesce(F.col("mix_bin") < F.col("cut_bin"), F.lit(False))
     order = Window.partitionBy("source").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     cut = planned.filter(edge).withColumn("start", F.col("cut_start") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    cut = cut.withColumn("chosen", F.col("start") + F.col("size") / 2 <= F.col("budget")).drop("start")
-    rest = planned.filter(~edge).withColumn("chosen", inside)
+    cut = cut.withColumn("chosen", F.least("size", F.greatest(F.col("budget") - F.col("start"), F.lit(0)))).drop("start")
+    # Without a cut the budget is 0, or, by rounding, the whole source.
+    whole = inside | (F.col("cut_bin").isNull() & (F.col("budget") > 0))
+    rest = planned.filter(~edge).withColumn("chosen", F.when(whole, F.col("size")).otherwise(F.lit(0)))
     both = rest.unionByName(cut)
-    taken = F.col("size") * (F.col("epochs") + F.col("chosen").cast("long"))
+    taken = F.col("size") * F.col("epochs") + F.col("chosen")
     return both.withColumn("taken", taken.cast("long")).drop("mix_key", "mix_bin", "cut_bin", "cut_start", "epochs", "budget", "chosen")
 
 
@@ -106,14 +108,14 @@ c AS (SELECT *, (3 * source_size)::DOUBLE AS cap, (3 * source_size)::DOUBLE / we
 r AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS rest
   FROM c WINDOW b AS (ORDER BY lvl, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), f AS (SELECT *, min(CASE WHEN lvl > rest THEN rest END) OVER () AS final FROM r),
+), f AS (SELECT *, max(CASE WHEN lvl > rest THEN rest END) OVER () AS final FROM r),
 g AS (SELECT source, source_size, CASE WHEN final IS NULL OR lvl <= final THEN cap ELSE final * weight END AS target FROM f),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM g),
 o AS (
-  SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS budget,
+  SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, floor(e.target - e.epochs * e.source_size + 0.5::DOUBLE)::BIGINT AS budget,
     coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
 )
 SELECT doc_id, size, source_size, target,
-  (size * (epochs + CASE WHEN start + size / 2.0::DOUBLE <= budget THEN 1 ELSE 0 END))::BIGINT AS taken FROM o
+  (size * epochs + least(size, greatest(budget - start, 0)))::BIGINT AS taken FROM o
 """
