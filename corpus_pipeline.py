@@ -1,8 +1,101 @@
-"""The corpus pipeline: placeholder until its stages exist."""
+"""The corpus pipeline: language ID, near-duplicate removal, decontamination, redaction and mixing, one after another.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all rows of its input and returns a DataFrame that `run` writes as Parquet
+to the shared folder and reads again for the next one. All but the last return the columns of documents; the last adds
+what the mix takes. No stage joins texts to a table that grows, but for the last, which joins its decisions by id.
+
+Defined results: rows with null ids are never removed as duplicates; an empty input passes through all stages.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from terrace.llm import langid
+from terrace.llm.common import Scratch
+from terrace.llm.decontaminate import decontaminate
+from terrace.llm.jaccard import BROADCAST_CLASSES, JaccardJoin
+from terrace.llm.mixing import mix, sized_documents
+from terrace.llm.pii import Redactor, redact
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A text is rejected if no language is this likely; texts without letters are rejected too.
+LEAST_SCORE = 0.4
+
+#: Trained networks and trees are not SQL; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _few(keys: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Keys to remove, marked for broadcast only if they are few."""
+    keys = scratch.save(keys, name)
+    return F.broadcast(keys) if keys.count() <= BROADCAST_CLASSES else keys
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a likely language. All columns ride along with the scored text, so nothing is joined."""
+    carried = langid.identify(docs, langid.fit(docs), carry=COLUMNS)
+    kept = carried.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*[F.col(f"carried_{c}").alias(c) for c in COLUMNS])
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each group of linked ones; of rows that repeat its id, the first by text."""
+    scratch = Scratch(spark, "pipeline-jaccard")
+    labels = scratch.save(JaccardJoin(spark, docs).labels(), "labels").filter("doc_id is not null")
+    copies = _few(labels.filter("component_id <> doc_id").select("doc_id").distinct(), scratch, "copies")
+    kept = docs.select(*COLUMNS).join(copies, "doc_id", "left_anti")
+    repeated = labels.filter("n_shingles > 0 and component_id = doc_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    repeated = scratch.save(repeated, "repeated")
+    if not repeated.isEmpty():
+        first = Window.partitionBy("doc_id").orderBy("text", "source", "lang")
+        again = kept.join(repeated, "doc_id", "left_semi").withColumn("r", F.row_number().over(first)).filter("r = 1").drop("r")
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(again)
+    return kept.select(*COLUMNS)
+
+
+def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of any benchmark item."""
+    hits = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("n_hit > 0")
+    hits = _few(hits.select(F.col("doc_id").alias("hit_id"), "text_hash"), Scratch(spark, "pipeline-benchmark"), "hits")
+    same = docs["doc_id"].eqNullSafe(F.col("hit_id")) & (F.xxhash64(docs["text"]) == F.col("text_hash"))
+    return docs.join(hits, same, "left_anti").select(*COLUMNS)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in the texts by its kind; n_chars follows."""
+    found = Redactor.fit(docs).with_spans(docs.select(*COLUMNS))
+    text = redact(F.col("text"), F.col("spans"))
+    return found.withColumn("text", text).withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with size, source_size, target and taken (words, repeats counted)."""
+    scratch = Scratch(spark, "pipeline-mix")
+    sized = scratch.save(sized_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), "sized")
+    taken = mix(sized).filter("taken > 0").groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source")).agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")])
+    same = docs["doc_id"].eqNullSafe(F.col("mix_id")) & docs["source"].eqNullSafe(F.col("mix_source"))
+    return docs.select(*COLUMNS).join(taken, same).select(*COLUMNS, "size", "source_size", "target", "taken")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("ngram_jaccard_join", remove_near_duplicates),
+    ("decontamination", remove_benchmarks),
+    ("pii", redact_personal_data),
+    ("mix", mix_sources),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if i > 0:
+            scratch.drop(STAGES[i - 1][0])
+    return docs

@@ -25,6 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's limit of rows in an Arrow batch: whole texts may be long, and a batch is in memory twice."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 class Scratch:
     """Intermediate Parquet tables in the shared folder: they cut lineage and survive the loss of any executor."""
 

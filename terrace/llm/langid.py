@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import crc_bucket, text_chunks
+from terrace.llm.common import crc_bucket, small_batches, text_chunks
 
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 16, 8
 PER_LANGUAGE, MAX_LANGUAGES, WINDOWS_PER_DOCUMENT = 300, 256, 4
@@ -150,9 +150,13 @@ def sample_windows(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, list[st
     return data, np.array(labels), languages
 
 
-def identify(documents: DataFrame, net: ByteNet) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row."""
-    schema = "doc_id long, lang_pred string, score double"
+def identify(documents: DataFrame, net: ByteNet, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score) of every row, and the columns to carry along, so that none is joined back."""
+    small_batches(documents.sparkSession)
+    chosen = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col(c).alias(f"carried_{c}") for c in carry])
+    fields = [f"`carried_{c}` {documents.schema[c].dataType.simpleString()}" for c in carry]
+    schema = ", ".join(["doc_id long, lang_pred string, score double", *fields])
+    names_out = ["doc_id", "lang_pred", "score", *(f"carried_{c}" for c in carry)]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables()
@@ -172,9 +176,9 @@ def identify(documents: DataFrame, net: ByteNet) -> DataFrame:
                 for i in np.flatnonzero(~has & (np.diff(offsets) > 0)):
                     has[i] = any(map(str.isalpha, bytes(data[offsets[i] : offsets[i + 1]]).decode()))
                 known = has & bool(net.languages)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), pa.array(names[np.where(known, best, len(names) - 1)], pa.string()), pa.array(np.where(known, value, 0.0))], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), pa.array(names[np.where(known, best, len(names) - 1)], pa.string()), pa.array(np.where(known, value, 0.0)), *(batch.column(c).slice(first, n) for c in names_out[3:])], names_out)
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(score, schema)
+    return chosen.mapInArrow(score, schema)
 
 
 def held_out() -> Column:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrace.llm.common import small_batches
+
 #: Short notices of public licenses, and the opening of longer texts.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -117,6 +119,8 @@ class Scanner:
 def scan(documents: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, license, coverage, first_word, end_word) of every row; null where no template reaches the coverage."""
 
+    small_batches(documents.sparkSession)
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, coverage)
         for batch in batches:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrace.llm.common import small_batches
+
 WIDTH = 64
 #: Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -135,6 +137,7 @@ def _flush(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def to_media(documents: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each whole text as a PNG."""
+    small_batches(documents.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

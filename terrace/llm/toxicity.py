@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import text_chunks
+from terrace.llm.common import small_batches, text_chunks
 from terrace.llm.shingles import APART, U64, word_hashes
 
 BITS, GRADES = 18, 3
@@ -127,6 +127,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Ordinal:
 
 def severity(documents: DataFrame, model: Ordinal) -> DataFrame:
     """(doc_id, severity, p_toxic, grade) of every row: expected grade, P(grade > 0) and the likeliest grade."""
+    small_batches(documents.sparkSession)
     used = np.flatnonzero(model.weights)
     values, thresholds = model.weights[used], model.thresholds
 
