@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.common import Scratch
+from terrace.llm.common import Scratch, small_batches
 from terrace.llm.components import components
 from terrace.llm.shingles import U64, Sets, mix64, per_set, shingle_sets
 
@@ -274,6 +274,7 @@ class JaccardJoin:
 
     def __init__(self, spark: SparkSession, documents: DataFrame, hot_count: int = HOT_COUNT, broadcast_classes: int = BROADCAST_CLASSES, pivot_rounds: int = 2):
         self.spark, self.hot, self.broadcast_classes, self.pivot_rounds = spark, hot_count, broadcast_classes, pivot_rounds
+        small_batches(spark)
         self.documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.scratch = Scratch(spark, "jaccard")
 
@@ -357,6 +358,10 @@ class JaccardJoin:
             labelled = shared.join(graph.select(F.col("u").alias("cls"), F.col("v").alias("label")), "cls", "left").select("sig", "cls", F.coalesce("label", "cls").alias("label"))
             mixed = labelled.groupBy("sig").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("sig")
             members = self.scratch.save(labelled.join(mixed, "sig", "left_semi"), f"members-{step}")
+        for table in self.scratch.saved - {"profile", "classes"}:
+            # The last pass of the graph is what the result reads.
+            if not table.startswith(f"graph-{step}"):
+                self.scratch.drop(table)
         roots = self.classes.select("cls", "rep").join(graph.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         least = roots.groupBy("root").agg(F.min("rep").alias("component"))
         of_class = roots.join(least, "root").select("cls", "component")
