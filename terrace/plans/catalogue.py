@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrace.plans import league
+from terrace.plans import league, tables
 
-QUERIES = {**league.QUERIES}
-ORACLES = {**league.ORACLES}
+QUERIES = {**league.QUERIES, **tables.QUERIES}
+ORACLES = {**league.ORACLES, **tables.ORACLES}
