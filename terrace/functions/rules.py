@@ -32,7 +32,7 @@ def distance_to(text: Column, at: Column, word: str) -> Column:
     after = F.locate(word, F.substring(text, at, F.char_length(text)))
     before = F.locate(word[::-1], F.reverse(F.substring(text, F.lit(1), at + len(word) - 2)))
     ahead = F.when(after > 0, after - 1)
-    behind = F.when(before > 0, before - 1 + F.lit(1))
+    behind = F.when(before > 0, before)
     return F.least(ahead, behind)
 
 

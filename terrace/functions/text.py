@@ -54,7 +54,7 @@ def calendar_escape(text: Column) -> Column:
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     for char in (";", ","):
         out = F.replace(out, F.lit(char), F.lit("\\" + char))
-    return F.regexp_replace(out, "\r?\n", r"\\\\n")
+    return F.regexp_replace(out, "\r?\n", r"\\n")
 
 
 def calendar_fold(line: Column, octets: int = 73) -> Column:

@@ -72,9 +72,11 @@ def fixtures(pages: DataFrame, team: str = "team", column: str = "html") -> Data
     sides = F.get(F.filter("texts", lambda t: t.rlike(r"\S\s+[-–]\s+\S")), F.lit(0))
     pair = F.transform(F.split(sides, r"\s+[-–]\s+", 2), F.trim)
     code = F.regexp_extract("row_html", r'(?i)href="[^"]*#([^"]+)"', 1)
-    score_cell = F.get(F.filter("cell_tags", lambda c: F.trim(strip_tags(c)).rlike(r"^\d+\s*:\s*\d+$")), F.lit(0))
+    # The first cell of this form is the time, the last one after it the score.
+    timed = F.filter("cell_tags", lambda c: F.trim(strip_tags(c)).rlike(r"^\d+\s*:\s*\d+$"))
+    score_cell = F.when(F.size(timed) > 1, F.element_at(timed, -1))
     base = [c for c in pages.columns if c != column]
-    out = found.select(*base, "row", F.regexp_extract(first(r"^\d+\.?$"), r"(\d+)", 1).try_cast("int").alias("round"), first(r"\d{1,2}\.\s*\d{1,2}\.").alias("date_raw"), F.get(F.filter("texts", lambda t: t.rlike(r"^\d{1,2}:\d{2}$") & ~t.rlike(r"^\d:\d{1}$")), F.lit(0)).alias("time"), code.alias("code"), F.get(pair, F.lit(0)).alias("home_name"), F.get(pair, F.lit(1)).alias("away_name"), score_cell.alias("score_cell"))
+    out = found.select(*base, "row", F.regexp_extract(first(r"^\d+\.?$"), r"(\d+)", 1).try_cast("int").alias("round"), first(r"\d{1,2}\.\s*\d{1,2}\.").alias("date_raw"), first(r"^\d{1,2}:\d{2}$").alias("time"), code.alias("code"), F.get(pair, F.lit(0)).alias("home_name"), F.get(pair, F.lit(1)).alias("away_name"), score_cell.alias("score_cell"))
     own = key(F.col(team))
     at_home = key(F.col("home_name")) == own
     out = out.filter(F.col("date_raw").isNotNull() & F.col("time").isNotNull() & (at_home | (key(F.col("away_name")) == own)))
@@ -91,7 +93,7 @@ def match_details(pages: DataFrame, column: str = "html") -> DataFrame:
     blocks = F.regexp_extract_all(column, F.lit(r'(?is)(id="game-\d+".*?)(?=id="game-\d+"|\z)'), F.lit(1))
     base = [c for c in pages.columns if c != column]
     each = pages.select(*base, F.explode(blocks).alias("block"))
-    text = strip_tags(F.col("block"))
+    text = strip_tags(F.regexp_replace("block", r"<[^>]*\z", ""))
     grab = lambda p: F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit(""))
     return each.select(*base, F.regexp_extract("block", r'id="game-(\d+)"', 1).cast("long").alias("gameid"), grab(r"\((\d+:\d+)\)").alias("half"), grab(r"(?im)^\s*(?:rozhod\S*|referee):\s*([^\n]*)").alias("referee"), grab(r"(?ims)^\s*(?:zpr\S*|report):\s*(.*)\z").alias("report"))
 
