@@ -51,8 +51,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """(page_id, url, fetched, host, pattern, action, since, blocked) for captures (page_id, url, fetched: date)."""
     keyed = captures.select("page_id", "url", "fetched", host_of(F.col("url")).alias("host")).distinct()
     looked = keyed.select("*", F.explode_outer(suffixes(F.col("host"))).alias("suffix"), _slot(F.col("fetched")).alias("slot"))
-    ends = captures.agg(F.max("fetched").alias("last"))
-    spans = intervals(entries).crossJoin(F.broadcast(ends)).filter("since <= last")
+    last = captures.agg(F.max("fetched")).scalar()
+    spans = intervals(entries).withColumn("last", last).filter("since <= last")
     spans = spans.select("pattern", "action", "since", "until", F.explode(F.sequence(_slot(F.col("since")), _slot(F.least(F.coalesce("until", "last"), "last")))).alias("of_slot"))
     active = (F.col("suffix") == F.col("pattern")) & (F.col("slot") == F.col("of_slot")) & (F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))
     found = looked.join(spans, active, "left")
