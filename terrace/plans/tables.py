@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrace.functions import rules
+from terrace.functions import geometry, rules
 from terrace.functions.text import code_number, code_prefix, digest, fold, strip_tags
 from terrace.operators import merge, profiles
 from terrace.operators.dedupe import first_by, unique_only
@@ -182,6 +182,23 @@ def q35_stream_refresh(spark, sf_dir):
     return refresh_once(spark, f"{sf_dir}/events.parquet")
 
 
+def q38_sections(spark, sf_dir):
+    """Parts as fields: their equal sections from the west, and a filter's width for their size."""
+    num = lambda x: F.expr(x).cast("double")
+    field = _read(spark, sf_dir, "part").select("p_partkey", num("p_partkey % 4000 + 5000").alias("fx"), num("p_partkey % 3000 + 5000").alias("fy"), num("p_size + 20").alias("fw"), num("p_partkey % 90 + 15").alias("fh"), num("p_partkey % 180").alias("angle"), F.expr("cast(p_partkey % 3 + 1 as int)").alias("n"), geometry.kernel_pixels(F.col("p_size") / 10, F.lit(0.25)).alias("kernel"))
+    parts = field.select("p_partkey", "kernel", F.posexplode(geometry.sections(*map(F.col, ("fx", "fy", "fw", "fh", "angle", "n")))).alias("section", "s"))
+    return parts.select("p_partkey", "kernel", "section", *[F.round(f"s.{c}", 3).alias(c) for c in ("cx", "cy", "w", "h")])
+
+
+def q39_chart(spark, sf_dir):
+    """Orders of a customer as a career chart: places of points, and which of them have labels."""
+    own = Window.partitionBy("o_custkey")
+    points = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 5 + 1).alias("level"))
+    points = points.select("*", (F.row_number().over(own.orderBy("o_orderkey")) - 1).alias("i"), F.count("*").over(own).alias("n"), F.min("level").over(own).alias("low"), F.max("level").over(own).alias("high"))
+    c = F.col
+    return points.select("o_orderkey", F.round(geometry.chart_x(c("i"), c("n")), 3).alias("x"), F.round(geometry.chart_y(c("level"), c("low"), c("high")), 3).alias("y"), geometry.has_label(c("i"), c("n")).alias("labelled"))
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if n[:1] == "q" and n[1:3].isdigit()}
 
 _F = """f AS (SELECT user_id AS ground, ts::DATE AS day, (hour(ts) * 60 + minute(ts))::INT AS minute, event_type || (event_id % 13)::VARCHAR AS code,
@@ -247,6 +264,14 @@ ORACLES = {
       concat_ws('-', event_type, user_id, strftime(ts, '%Y%m%d')) AS uid FROM events""",
     "q34_code_order": """SELECT code, row_number() OVER (PARTITION BY regexp_extract(code, '^(.*?)(\\d*)$', 1) ORDER BY regexp_extract(code, '(\\d+)$', 1)::INT)::INT AS ord FROM (SELECT DISTINCT p_brand || '/P' || p_size::VARCHAR AS code FROM part)""",
     "q36_ground_fixtures_text": f"WITH {_F} SELECT ground, string_agg(day::VARCHAR || ' ' || code, ', ' ORDER BY ord) AS fixtures, count(*) AS n FROM f WHERE minute < 60 GROUP BY ground",
+    "q38_sections": """WITH r AS (SELECT p_partkey, (p_partkey % 4000 + 5000)::DOUBLE AS fx, (p_partkey % 3000 + 5000)::DOUBLE AS fy, (p_size + 20)::DOUBLE AS fw, (p_partkey % 90 + 15)::DOUBLE AS fh,
+      (p_partkey % 180)::DOUBLE AS angle, (p_partkey % 3 + 1)::INT AS n, greatest(round_even(p_size / 10 / 0.25::DOUBLE, 0)::INT, 3) | 1 AS kernel FROM part),
+    t AS (SELECT *, radians(CASE WHEN fw >= fh THEN angle ELSE angle + 90 END) AS turn, unnest(generate_series(0, n - 1))::INT AS section FROM r),
+    o AS (SELECT *, CASE WHEN cos(turn) < 0 THEN -1 ELSE 1 END * greatest(fw, fh) / n * (section - (n - 1) / 2) AS off FROM t)
+    SELECT p_partkey, kernel, section, round(fx + cos(turn) * off, 3) AS cx, round(fy + sin(turn) * off, 3) AS cy, round(CASE WHEN fw >= fh THEN fw / n ELSE fw END, 3) AS w, round(CASE WHEN fw >= fh THEN fh ELSE fh / n END, 3) AS h FROM o""",
+    "q39_chart": """WITH p AS (SELECT o_orderkey, o_orderkey % 5 + 1 AS level, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER c AS n, min(o_orderkey % 5 + 1) OVER c AS low, max(o_orderkey % 5 + 1) OVER c AS high
+      FROM orders WINDOW c AS (PARTITION BY o_custkey))
+    SELECT o_orderkey, round(62 + i * 590::DOUBLE / greatest(n - 1, 1), 3) AS x, round(CASE WHEN high > low THEN 18 + (level - low) * 142::DOUBLE / (high - low) ELSE 89 END, 3) AS y, i % greatest(ceil(n / 7)::BIGINT, 1) = 0 AS labelled FROM p""",
     "q35_stream_refresh": """WITH r AS (SELECT user_id AS team, event_type AS code, value AS score, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY (event_type <> 'error' AND event_id % 7 <> 0) DESC, event_id DESC) AS r FROM events)
     SELECT team, code, CASE WHEN code <> 'error' AND event_id % 7 <> 0 THEN score END AS score FROM r WHERE r = 1""",
 }

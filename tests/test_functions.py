@@ -1,9 +1,10 @@
+import math
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from terrace.functions import calendar, rules, text
+from terrace.functions import calendar, geometry, rules, text
 
 
 def one(spark, column, **values):
@@ -112,3 +113,49 @@ def test_clash(spark):
 def test_badges(spark):
     assert one(spark, rules.keeper_badge(F.lit(5), F.lit(10))) and not one(spark, rules.keeper_badge(F.lit(4), F.lit(4)))
     assert one(spark, rules.captain_badge(F.lit(5), F.lit(25))) and not one(spark, rules.captain_badge(F.lit(5), F.lit(26)))
+
+
+def lits(*values):
+    return [F.lit(v) for v in values]
+
+
+def test_kernel_and_roi(spark):
+    assert [one(spark, geometry.kernel_pixels(*lits(m, 0.1))) for m in (0.05, 0.5, 0.65, 0.8)] == [3, 5, 7, 9]
+    assert tuple(one(spark, geometry.roi_box(*lits(400, 0.5, -20.0, 10.0, -300.0, 40.0)))) == (160, 0, 220, 280)
+    assert tuple(one(spark, geometry.to_plane(*lits(10, 20, 1000.0, 2000.0, 0.5)))) == (1005.0, 1990.0)
+
+
+@pytest.mark.parametrize(("angle", "w", "h"), [(0.0, 60.0, 30.0), (30.0, 60.0, 30.0), (120.0, 30.0, 60.0)])
+@pytest.mark.parametrize("end", ["W", "E", "N", "S"])
+def test_sections_tile_the_field_from_the_named_end(spark, angle, w, h, end):
+    parts = one(spark, geometry.sections(*lits(100.0, 50.0, w, h, angle, 3), first_end=end))
+    assert sum(p["w"] * p["h"] for p in parts) == pytest.approx(w * h)
+    assert (sum(p["cx"] for p in parts) / 3, sum(p["cy"] for p in parts) / 3) == pytest.approx((100, 50))
+    key = {"W": "cx", "E": "cx", "N": "cy", "S": "cy"}[end]
+    order = [p[key] * (1 if end in "WN" else -1) for p in parts]
+    assert all(b > a - 1e-9 for a, b in zip(order, order[1:], strict=False))
+    assert math.dist((parts[0]["cx"], parts[0]["cy"]), (parts[1]["cx"], parts[1]["cy"])) == pytest.approx(20)
+
+
+def test_corners_centroid_and_nudges(spark):
+    points = one(spark, geometry.corners(*lits(10.0, 20.0, 6.0, 4.0, 90.0)))
+    assert [(round(p["x"]), round(p["y"])) for p in points] == [(12, 17), (12, 23), (8, 23), (8, 17)]
+    middle = one(spark, geometry.centroid(geometry.corners(*lits(10.0, 20.0, 6.0, 4.0, 33.0))))
+    assert tuple(middle) == pytest.approx((10, 20))
+    moved = one(spark, geometry.nudged(*lits(10.0, 20.0, 6.0, 4.0, 0.0), {"E": F.lit(2.0), "N": F.lit(-1.0)}))
+    assert tuple(moved) == pytest.approx((9.0, 19.5, 4.0, 5.0))
+    assert tuple(one(spark, geometry.nudged(*lits(1.0, 2.0, 3.0, 4.0, 5.0), {}))) == pytest.approx((1, 2, 3, 4))
+
+
+def test_focal_point(spark):
+    box = lambda x, y, w, h: geometry.corners(*lits(float(x), float(y), float(w), float(h), 0.0))
+    at = lambda field, play: one(spark, geometry.focal(field, play, F.lit(1.0), F.lit(400)))
+    assert tuple(at(box(200, 100, 100, 40), box(200, 100, 20, 20))) == (50, 50)
+    assert at(box(200, 100, 100, 40), box(200, 100, 90, 20)) is None
+    assert tuple(at(box(200, 100, 100, 40), box(175, 100, 20, 20))) == (8, 50)
+
+
+def test_chart(spark):
+    assert [one(spark, geometry.chart_x(*lits(i, n))) for i, n in ((0, 1), (0, 3), (2, 3))] == [62, 62, 652]
+    assert [one(spark, geometry.chart_y(*lits(*v))) for v in ((2, 2, 2), (1, 1, 3), (3, 1, 3))] == [89, 18, 160]
+    assert [one(spark, geometry.has_label(*lits(i, 15))) for i in range(4)] == [True, False, False, True]
