@@ -29,6 +29,7 @@ give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,10 +131,17 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def feature_counts(profile: DataFrame) -> np.ndarray:
-    """The summed table, of fixed size whatever the input: each count as its base-2 logarithm in quarter steps, one byte."""
-    rows = profile.filter("block is not null").select("block", "counts").repartition(32, F.rand(7)).mapInArrow(_add_counts, "block int, counts binary")
+    """The summed table, of fixed size whatever the input: each count as its base-2 logarithm in quarter steps, one byte.
+
+    Tables are summed in two levels, so that no task reads more than about the square root of their number: first tables
+    dealt at random, then what is left of each block.
+    """
+    rows = profile.filter("block is not null").select("block", "counts")
+    blocks = (1 << COUNT_BITS) // _COUNT_BLOCK
+    groups = max(blocks, math.isqrt(rows.count() // blocks))
+    summed = rows.repartition(groups, F.rand(7)).mapInArrow(_add_counts, "block int, counts binary")
     counts = np.zeros(1 << COUNT_BITS, np.int64)
-    for row in rows.coalesce(1).mapInArrow(_add_counts, "block int, counts binary").collect():
+    for row in summed.repartition(blocks, "block").mapInArrow(_add_counts, "block int, counts binary").collect():
         counts[row["block"] * _COUNT_BLOCK : (row["block"] + 1) * _COUNT_BLOCK] = np.frombuffer(row["counts"], np.int64)
     return np.minimum(np.log2(np.maximum(counts, 1)) * 4, 255).astype(np.uint8)
 
