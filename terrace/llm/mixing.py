@@ -8,7 +8,9 @@ recomputed tasks agree. Whole epochs of a source come first, then its documents
 target in whole words; the document that the budget ends in is taken in part, so a source's words miss its target by less than one.
 
 A source may hold most rows, so no task sorts a source: keys are quantised into `bins` ordered bins, bin sums are
-pre-aggregated in each task and prefix-summed, and only the one bin that the budget ends in is sorted.
+pre-aggregated in each task and prefix-summed, and only the one bin that the budget ends in is sorted. What is decided for
+each source is written and counted; up to BROADCAST_SOURCES rows it is broadcast, beyond that it is joined by source and
+one of SALTS salts, so a source with most rows spreads over that many tasks.
 
 Defined results: null and blank texts have size 0 and take 0; null is a source of its own, last in order; a null id has a
 fixed key; rows that repeat are documents of their own and, where id and size are equal, interchangeable; null, negative
@@ -22,15 +24,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import word_count
+from terrace.llm.common import Scratch, word_count
 
 WEIGHTS, REPEAT, BINS, SEED = (5, 2, 1), 3, 4096, "mix-1"
 LEAST_QUALITY = 0.01
+#: Largest number of sources broadcast (about 10 MB); parts of a source where there are more.
+BROADCAST_SOURCES, SALTS = 100_000, 64
 
 
-def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeat: int = REPEAT) -> DataFrame:
-    """(source, source_size, target) from rows with source and size. Windows here run over one row per source."""
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+def source_targets(sums: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeat: int = REPEAT) -> DataFrame:
+    """(source, source_size, target) from rows (source, source_size). Windows here run over one row per source."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = sums.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
     capped = ranked.withColumn("cap", (repeat * F.col("source_size")).cast("double")).withColumn("level", F.col("cap") / F.col("weight"))
@@ -49,22 +52,39 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeat: int = REPEAT, bins: int = BINS, seed: str = SEED) -> DataFrame:
-    """Adds source_size, target and taken to rows with doc_id, source, size (long) and quality (0 to 1)."""
-    quality = F.greatest(F.coalesce("quality", F.lit(0.0)), F.lit(LEAST_QUALITY))
-    keyed = sized.withColumn("mix_key", -F.log(uniform(F.col("doc_id"), seed)) / quality)
-    keyed = keyed.withColumn("mix_bin", F.floor(bins * (1 - F.exp(-F.col("mix_key")))).cast("int"))
-    goals = source_targets(sized, weights, repeat)
+def _plan(bin_sums: DataFrame, weights: tuple[float, ...], repeat: int) -> DataFrame:
+    """A row for each source from its sums by bin: source_size, target, epochs, budget, and the bin that the budget ends in."""
+    sums = bin_sums.groupBy("source").agg(F.sum("bin_size").alias("source_size"))
+    goals = source_targets(sums, weights, repeat)
     goals = goals.select(F.col("source").alias("goal_source"), "source_size", "target", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"))
     goals = goals.withColumn("budget", F.floor(F.col("target") - F.col("epochs") * F.col("source_size") + 0.5).cast("long"))
-    sums = keyed.groupBy("source", "mix_bin").agg(F.sum("size").alias("bin_size"))
     upto = Window.partitionBy("source").orderBy("mix_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bin_starts = sums.withColumn("bin_start", F.coalesce(F.sum("bin_size").over(upto), F.lit(0)))
-    # The bin that holds the budget's end; each source has at most one, or none where the budget takes no part of it.
+    bin_starts = bin_sums.withColumn("bin_start", F.coalesce(F.sum("bin_size").over(upto), F.lit(0)))
+    # Each source has at most one such bin, or none where the budget takes no part of it.
     cuts = bin_starts.join(goals, F.col("source").eqNullSafe(F.col("goal_source"))).filter("bin_start <= budget and bin_start + bin_size > budget")
     cuts = cuts.select(F.col("source").alias("cut_source"), F.col("mix_bin").alias("cut_bin"), F.col("bin_start").alias("cut_start"))
-    plan = goals.join(cuts, F.col("goal_source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
-    planned = keyed.join(plan, F.col("source").eqNullSafe(F.col("goal_source")), "left").drop("goal_source")
+    return goals.join(cuts, F.col("goal_source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
+
+
+def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeat: int = REPEAT, bins: int = BINS, seed: str = SEED, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
+    """Adds source_size, target and taken to rows with doc_id, source, size (long) and quality (0 to 1).
+
+    `sized` is read several times, so it should be a table, not a plan over texts.
+    """
+    quality = F.greatest(F.coalesce("quality", F.lit(0.0)), F.lit(LEAST_QUALITY))
+    keyed = sized.withColumn("mix_key", -F.log(uniform(F.col("doc_id"), seed)) / quality)
+    keyed = keyed.withColumn("mix_bin", F.floor(bins * (1 - F.exp(-F.col("mix_key")))).cast("int"))
+    scratch = Scratch(sized.sparkSession, "mix")
+    bin_sums = scratch.save(keyed.groupBy("source", "mix_bin").agg(F.sum("size").alias("bin_size")), "bins")
+    plan = scratch.save(_plan(bin_sums, weights, repeat), "plan")
+    same = F.col("source").eqNullSafe(F.col("goal_source"))
+    if plan.count() <= broadcast_sources:
+        planned = keyed.join(F.broadcast(plan), same, "left")
+    else:
+        salted = keyed.withColumn("mix_salt", F.pmod(F.xxhash64("doc_id", "mix_key"), F.lit(SALTS)))
+        spread = plan.withColumn("goal_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        planned = salted.join(spread, same & (F.col("mix_salt") == F.col("goal_salt")), "left").drop("mix_salt", "goal_salt")
+    planned = planned.drop("goal_source")
     edge = F.coalesce(F.col("mix_bin") == F.col("cut_bin"), F.lit(False))
     inside = F.coalesce(F.col("mix_bin") < F.col("cut_bin"), F.lit(False))
     order = Window.partitionBy("source").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -92,7 +112,7 @@ def sized_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def op4_mix(spark, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     sized = sized_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(Scratch(spark, "op4").save(sized, "sized")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP4_SQL = r"""

@@ -100,6 +100,14 @@ def test_mix_takes_whole_epochs_first_and_better_documents_more_often(spark, fol
     assert share[1] > 1.2 * share[0]
 
 
+def test_mix_of_many_sources_is_joined_alike(spark, folder):
+    documents, labels = mixing_case()
+    sf = folder(documents, labels=labels)
+    sized = mixing.sized_documents(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    columns = ("doc_id", "source", "size", "source_size", "target", "taken")
+    assert rows(mixing.mix(sized, broadcast_sources=0), *columns) == rows(mixing.mix(sized), *columns)
+
+
 def test_mix_single_source_and_no_words(spark, folder):
     assert rows(mixing.op4_mix(spark, folder([(1, "a b"), (2, "c")])), "doc_id", "taken") == [(1, 2), (2, 1)]
     assert rows(mixing.op4_mix(spark, folder([(1, None, None, "a"), (2, "", None, "b")])), "doc_id", "taken", "target") == [(1, 0, 0.0), (2, 0, 0.0)]
