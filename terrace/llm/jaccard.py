@@ -2,13 +2,15 @@
 
 Sets are the distinct 5-word shingles of whole texts. Sizes fall into bands that grow fourfold; a set takes part in its
 own band and, where a partner may lie there, in the next. For a band the feature domain is partitioned into blocks by
-hash. Two sets of Jaccard similarity 0.75 and sizes a, b differ in at most (a + b) / 7 features, so all but k of the
-blocks that a set fills agree: with group size g and `spoiled` s, blocks form groups of g, and the subsets of g - s
-blocks of a group are enumerated; by pigeonhole some subset is free of differences. The production setting is g = 1,
-s = 0 (each block is a signature): at this similarity k is a third of a set's size, and larger subsets cost more
-signatures than they save candidates. A signature is the hash of its features. Of its signatures a set needs only the
-first k + 1 in an order all sets share; that order is by rarity, from a fixed-size table of hashed feature counts over the
-whole corpus, so common lines and passages seldom make candidates. Any order is exact.
+hash, and the blocks are dealt into groups of g. In each group all subsets of g - s blocks are enumerated; a signature is
+the hash of a set's features in one of them, none if there are none, and each content of a group counts once. Two sets of
+Jaccard similarity 0.75 and sizes a, b differ in at most k = (a + b) / 7 features, so in at most k blocks, and of the
+signatures of a group with q such blocks at most C(g, s) - C(g - q, s - q) are lost, all if q > s. The most that k blocks can
+spoil, m, follows for each set from what its groups hold. Of its signatures a set needs only the first m + 1 in an order
+all sets share; that order is by rarity, from a fixed-size table of hashed feature counts over the whole corpus, so common
+lines and passages seldom make candidates. Any order is exact. Sets with no more than m signatures in all, such as few
+features in one block, add their first k + 1 single features: two similar sets without a common signature are both such.
+Production has g = 3 and s = 1 (pairs out of three blocks).
 
 The jobs:
 1. One pass over the texts gives sizes, set hashes, 512-bit parity sketches and feature counts. Equal sets become a class.
@@ -31,6 +33,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -46,6 +50,8 @@ SHINGLE = 5
 #: Similarity as a fraction: links hold if DEN * intersection >= NUM * union.
 NUM, DEN = 3, 4
 FIRST_BAND, BAND_GROWTH, FEATURES_PER_BLOCK = 32, 4, 1.5
+#: Blocks of a group, and how many of them a signature leaves out.
+GROUP, SPOILED = 3, 1
 COUNT_BITS, SKETCH_BITS = 20, 512
 #: Signatures counted more often than this are joined by Spark alone; a bucket has about BUCKET_ROWS signatures.
 HOT_COUNT, BUCKET_ROWS, LEAST_BUCKETS = 1_000_000, 500_000, 64
@@ -53,6 +59,7 @@ EMIT_ROWS = 1_000_000
 #: Largest number of class ids broadcast (16 MB); beyond it the same join shuffles.
 BROADCAST_CLASSES = 2_000_000
 _COUNT_BLOCK = 1 << 16
+_BY_FEATURE = 0xA0761D6478BD642F
 
 
 def _counted(hashes: np.ndarray) -> np.ndarray:
@@ -153,28 +160,46 @@ def band_of(size: int) -> int:
     return band
 
 
-def _signatures(hashes: np.ndarray, rarity: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+@cache
+def _enumerated(group: int, spoiled: int) -> tuple[np.ndarray, np.ndarray]:
+    """The subsets of a group's blocks, and how many of them 0, 1, .. spoiled + 1 differing blocks can take."""
+    subsets = np.array(list(combinations(range(group), group - spoiled)))
+    return subsets, np.array([len(subsets) - (math.comb(group - q, spoiled - q) if q <= spoiled else 0) for q in range(spoiled + 2)])
+
+
+def _signatures(hashes: np.ndarray, rarity: np.ndarray, band: int, group: int = GROUP, spoiled: int = SPOILED) -> tuple[np.ndarray, np.ndarray]:
     """The needed signatures of one set in a band, and the rarity of each (the least of its features)."""
     size = len(hashes)
-    need = (size + size * DEN // NUM) * (DEN - NUM) // (DEN + NUM) + 1
-    top = FIRST_BAND * BAND_GROWTH**band
-    if band == 0:
-        content, rank = hashes, rarity
-    else:
-        # Blocks by multiplication: features in order of their hash are then in order of their block.
-        blocks = U64(round(top / FEATURES_PER_BLOCK))
-        block = (hashes >> U64(32)) * blocks >> U64(32)
-        first = np.flatnonzero(np.diff(block, prepend=block[:1] + U64(1)))
-        content = np.add.reduceat(mix64(hashes), first)
-        rank = np.minimum.reduceat(rarity, first)
-    signatures = mix64(content + U64((band + 1) * 0xD6E8FEB86659FD93 % (1 << 64)))
-    if len(signatures) > need:
-        chosen = np.lexsort((signatures, rank))[:need]
-        signatures, rank = signatures[chosen], rank[chosen]
-    return signatures, rank
-
-
-def _emit(rarity_table, buckets: int, hot: int):
+    differ = (size + size * DEN // NUM) * (DEN - NUM) // (DEN + NUM)
+    subsets, taken = _enumerated(group, spoiled)
+    groups = max(1, round(FIRST_BAND * BAND_GROWTH**band / FEATURES_PER_BLOCK / group))
+    # Blocks by multiplication: features in order of their hash are then in order of their block.
+    block = (hashes >> U64(32)) * U64(groups * group) >> U64(32)
+    first = np.flatnonzero(np.diff(block, prepend=block[:1] + U64(1)))
+    place = block[first].astype(np.int64)
+    row = np.cumsum(np.diff(place // group, prepend=place[0] // group) != 0)
+    # Groups that hold features, by block; the content of an empty block is 0.
+    held = np.zeros((row[-1] + 1, group), U64)
+    held[row, place % group] = np.add.reduceat(mix64(hashes), first)
+    least = np.full(held.shape, 255, rarity.dtype)
+    least[row, place % group] = np.minimum.reduceat(rarity, first)
+    content, rank = held[:, subsets].sum(axis=2), least[:, subsets].min(axis=2)
+    order = np.argsort(content, axis=1)
+    content, rank = np.take_along_axis(content, order, axis=1), np.take_along_axis(rank, order, axis=1)
+    kept = content != 0
+    kept[:, 1:] &= content[:, 1:] != content[:, :-1]
+    lost = np.diff(np.minimum(kept.sum(axis=1)[:, None], taken), axis=1)
+    most = int(np.sort(lost, axis=None)[::-1][:differ].sum())
+    tag = (band + 1) * 0xD6E8FEB86659FD93
+    signatures, rank = mix64(content[kept] + U64(tag % (1 << 64))), rank[kept]
+    if len(signatures) > most:
+        chosen = np.lexsort((signatures, rank))[: most + 1]
+        return signatures[chosen], rank[chosen]
+    single = np.lexsort((hashes, rarity))[: differ + 1]
+    return np.concatenate([signatures, mix64(hashes[single] + U64((tag + _BY_FEATURE) % (1 << 64)))]), np.concatenate([rank, rarity[single]])
+
+
+def _emit(rarity_table, buckets: int, hot: int, group: int, spoiled: int):
     """Signatures of all classes of a task: packed by bucket, or as plain rows where they may be very frequent."""
     names = ["bucket", "sigs", "classes", "sig", "cls"]
     hot_rank = min(4 * np.log2(hot), 254)
@@ -207,7 +232,7 @@ def _emit(rarity_table, buckets: int, hot: int):
                     band = band_of(size)
                     bands = [band, band + 1] if DEN * size >= NUM * (FIRST_BAND * BAND_GROWTH**band + 1) else [band]
                     for at in bands:
-                        s, rank = _signatures(sets.hashes[a:b], rarity[a:b], at)
+                        s, rank = _signatures(sets.hashes[a:b], rarity[a:b], at, group, spoiled)
                         if (often := rank >= hot_rank).any():
                             yield pa.RecordBatch.from_arrays([pa.nulls(int(often.sum()), pa.int32()), *[pa.nulls(int(often.sum()), pa.binary())] * 2, pa.array(s[often].view(np.int64)), pa.array(np.full(int(often.sum()), ids[i]).view(np.int64))], names)
                             s = s[~often]
@@ -280,8 +305,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class JaccardJoin:
     """The join over one table. `labels` gives (doc_id, n_shingles, component_id)."""
 
-    def __init__(self, spark: SparkSession, documents: DataFrame, hot_count: int = HOT_COUNT, broadcast_classes: int = BROADCAST_CLASSES, pivot_rounds: int = 2):
-        self.spark, self.hot, self.broadcast_classes, self.pivot_rounds = spark, hot_count, broadcast_classes, pivot_rounds
+    def __init__(self, spark: SparkSession, documents: DataFrame, hot_count: int = HOT_COUNT, broadcast_classes: int = BROADCAST_CLASSES, pivot_rounds: int = 2, group: int = GROUP, spoiled: int = SPOILED):
+        self.spark, self.hot, self.broadcast_classes, self.pivot_rounds, self.group, self.spoiled = spark, hot_count, broadcast_classes, pivot_rounds, group, spoiled
         small_batches(spark)
         self.documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.scratch = Scratch(spark, "jaccard")
@@ -297,9 +322,9 @@ class JaccardJoin:
     def _shared_signatures(self) -> DataFrame:
         """(sig, cls): signatures that several classes have."""
         total = self.classes.agg(F.sum("n")).first()[0] or 0
-        buckets = max(LEAST_BUCKETS, int(total * 0.4 / BUCKET_ROWS))
+        buckets = max(LEAST_BUCKETS, int(total * 0.7 / BUCKET_ROWS))
         table = self.spark.sparkContext.broadcast(self.rarity)
-        packed = self.documents.mapInArrow(_emit(table, buckets, self.hot), "bucket int, sigs binary, classes binary, sig long, cls long")
+        packed = self.documents.mapInArrow(_emit(table, buckets, self.hot, self.group, self.spoiled), "bucket int, sigs binary, classes binary, sig long, cls long")
         if (self.rarity >= min(4 * np.log2(self.hot), 254)).any():
             packed = self.scratch.save(packed, "packed")
             plain = packed.filter("bucket is null").select("sig", "cls").distinct()

@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,59 @@ def test_similar_sets_share_a_needed_signature():
             assert found[0] & found[1]
 
 
+def enumerated(x: np.ndarray, groups: int, group: int, spoiled: int) -> set[int]:
+    """All signatures of a set in band 0, by plain enumeration."""
+    blocks = {}
+    for h in x.tolist():
+        at = (h >> 32) * groups * group >> 32
+        blocks.setdefault(at // group, {}).setdefault(at % group, []).append(h)
+    mixed = lambda h: int(jaccard.mix64(np.array([h % (1 << 64)], np.uint64))[0])
+    contents = {sum(mixed(h) for b in chosen for h in held.get(b, ())) for held in blocks.values() for chosen in combinations(range(group), group - spoiled) if any(b in held for b in chosen)}
+    return {mixed(c + 0xD6E8FEB86659FD93) for c in contents}
+
+
+def test_production_enumerates_subsets_of_blocks():
+    assert jaccard.GROUP > jaccard.SPOILED > 0
+    rng = np.random.default_rng(8)
+    for group, spoiled in ((1, 0), (3, 1), (4, 2), (5, 2)):
+        groups = max(1, round(jaccard.FIRST_BAND / jaccard.FEATURES_PER_BLOCK / group))
+        for size in (1, 2, 5, 12, 30):
+            x = np.sort(rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2))
+            rarity = rng.integers(0, 9, size).astype(np.uint8)
+            got, want = set(jaccard._signatures(x, rarity, 0, group, spoiled)[0].tolist()), enumerated(x, groups, group, spoiled)
+            assert got <= want or got > want  # the first of them, or all and single features
+
+
+@pytest.mark.parametrize(("group", "spoiled"), [(1, 0), (2, 1), (3, 1), (4, 1), (4, 2), (5, 3)])
+def test_similar_sets_share_a_signature_in_every_setting(group, spoiled):
+    """Few features that fall on one block or on few groups too."""
+    rng = np.random.default_rng(9)
+    shared = 0
+    for size in (1, 3, 4, 5, 7, 9, 20, 32, 33, 60, 128, 400):
+        for spread in (0, 2, 8, 40):
+            for _ in range(8):
+                x = (rng.integers(0, 1 << 63, 2 * size).astype(np.uint64) * np.uint64(2)) >> np.uint64(spread)
+                gone = int(rng.integers(0, size // 4 + 1))
+                a = np.unique(x[:size])
+                b = np.unique(np.concatenate([x[gone:size], x[size : size + int(rng.integers(0, size // 4 + 1))]]))
+                common = len(np.intersect1d(a, b))
+                if not common or 4 * common < 3 * (len(a) + len(b) - common):
+                    continue
+                table = rng.integers(0, 5, 1 << 12).astype(np.uint8)
+                for band in {jaccard.band_of(len(a)), jaccard.band_of(len(b))}:
+                    found = [set(jaccard._signatures(y, table[(y & np.uint64(4095)).astype(int)], band, group, spoiled)[0].tolist()) for y in (a, b)]
+                    assert found[0] & found[1]
+                    shared += 1
+    assert shared > 150
+
+
+def test_join_equals_brute_force_with_larger_groups(spark, folder):
+    texts = case(5)
+    sf = folder([(100 + i, t) for i, t in enumerate(texts)])
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.JaccardJoin(spark, spark.read.parquet(f"{sf}/documents.parquet"), group=4, spoiled=2).labels().collect()}
+    assert got == {100 + i: 100 + c for i, c in enumerate(jaccard_components(texts))}
+
+
 def test_word_hashes_and_sets_follow_the_words():
     texts = ["A b\tc d e f", "", None, "a B c d e\x0bf ", "é é é é é é é", "x", "x y"]
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
