@@ -1,9 +1,12 @@
 """License scans by patience alignment of whole texts with templates.
 
-A text's words are cut into overlapping blocks of about twice a template's length, so that any occurrence lies inside a
-block and repeats elsewhere in the document do not spoil uniqueness. A block that shares enough of the template's words is
-aligned: equal ends are matched, words unique to both sides become anchors, the longest increasing run of anchors is kept,
-and the gaps between them are aligned the same way. Coverage is the matched share of the template's words.
+At least a share `coverage` of a template's words must match, so of any words of it that are more than the rest, one must.
+The places in the text of its words that are rarest there, as many as that, are pinned one after another, over the whole
+text: the words before and after a pin, as far as the widest allowed span reaches, are aligned with the template's words
+before and after it, from the pin outwards. So a copy is aligned with its own words first, whatever repeats near it. Equal
+ends are matched, words unique to both sides become anchors, the longest increasing run of anchors is kept, and the gaps
+between them are aligned the same way; a gap whose words all repeat gives its longest common subsequence. Of the matches
+the longest run is kept that fills half of its span. Coverage is the matched share of the template's words.
 
 Defined results: null and wordless texts match nothing and keep their row; a document gives its best template by coverage, then
 length, then name, at its first place; repeated rows give a row each; equal texts give equal results; an empty list of
@@ -12,6 +15,7 @@ templates matches nothing; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -61,6 +65,33 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _common(text: list[str], template: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence, at the earliest places."""
+    longest = [[0] * (len(template) + 1) for _ in range(len(text) + 1)]
+    for i in range(len(text) - 1, -1, -1):
+        for j in range(len(template) - 1, -1, -1):
+            longest[i][j] = longest[i + 1][j + 1] + 1 if text[i] == template[j] else max(longest[i + 1][j], longest[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(text) and j < len(template) and longest[i][j]:
+        if text[i] == template[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif longest[i][j + 1] == longest[i][j]:
+            j += 1
+        else:
+            i += 1
+    return out
+
+
+def _dense(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of matches that are at least half of the words from its first to its last; the first of such."""
+    for n in range(len(found), 0, -1):
+        for i in range(len(found) - n + 1):
+            if 2 * n >= found[i + n - 1][0] - found[i][0] + 1:
+                return found[i : i + n]
+    return []
+
+
 def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     """Matched places (text, template), rising in both."""
     out: list[tuple[int, int]] = []
@@ -82,6 +113,8 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
             out += anchors
             ends = [(a - 1, b - 1), *anchors, (a_end, b_end)]
             gaps += [(x + 1, x2, y + 1, y2) for (x, y), (x2, y2) in zip(ends[:-1], ends[1:], strict=True)]
+        else:
+            out += [(a + x, b + y) for x, y in _common(text[a:a_end], template[b:b_end])]
     return sorted(out)
 
 
@@ -89,30 +122,49 @@ class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float):
         self.coverage = coverage
         self.templates = [(name, words) for name, text in sorted(templates.items()) if (words := words_of(text))]
+        self.known = {w for _, words in self.templates for w in words}
+
+    def _matches(self, words: list[str], places: dict[str, list[int]], template: list[str]) -> list[tuple[float, int, int]]:
+        """(coverage, first word, end word) of a template's matches, apart from each other, by place."""
+        least = math.ceil(self.coverage * len(template) - 1e-9)
+        wanted, reach = Counter(template), 2 * len(template)
+        # Each matched word is a word of both, so fewer shared words cannot reach the coverage.
+        if sum(min(n, len(places.get(w, ()))) for w, n in wanted.items()) < least:
+            return []
+        found = []
+        rarest = sorted(range(len(template)), key=lambda j: (len(places.get(template[j], ())), j))[: len(template) - least + 1]
+        for j in rarest:
+            for i in places.get(template[j], ()):
+                before, after = words[max(0, i - reach) : i], words[i + 1 : i + reach]
+                near = Counter(before) + Counter(after)
+                near[template[j]] += 1
+                if sum(min(n, near[w]) for w, n in wanted.items()) < least:
+                    continue
+                left = [(i - 1 - x, j - 1 - y) for x, y in align(before[::-1], template[:j][::-1])]
+                right = [(i + 1 + x, j + 1 + y) for x, y in align(after, template[j + 1 :])]
+                run = _dense([*left[::-1], (i, j), *right])
+                if len(run) >= least:
+                    found.append((len(run) / len(template), run[0][0], run[-1][0] + 1))
+        taken: list[tuple[float, int, int]] = []
+        for share, first, end in sorted(set(found), key=lambda f: (-f[0], f[2] - f[1], f[1])):
+            at = bisect_left(taken, first, key=lambda t: t[1])
+            if (at == 0 or taken[at - 1][2] <= first) and (at == len(taken) or end <= taken[at][1]):
+                taken.insert(at, (share, first, end))
+        return taken
 
     def best(self, text: str) -> tuple[str | None, float, int | None, int | None]:
         """(license, coverage, first word, end word) of the best match."""
         words = words_of(text)
-        known = set(words)
+        places: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            if w in self.known:
+                places.setdefault(w, []).append(i)
         best: tuple = (None, 0.0, None, None)
         rank = (0.0, 0)
         for name, template in self.templates:
-            distinct = set(template)
-            # Each matched word is a word of both, so fewer shared words cannot reach the coverage.
-            if sum(w in known for w in template) < self.coverage * len(template):
-                continue
-            step = max(len(template), 8)
-            inside = [w in distinct for w in words]
-            for at in range(0, max(len(words) - step, 0) + 1, step):
-                block = slice(at, at + 2 * step)
-                if sum(inside[block]) < self.coverage * len(template):
-                    continue
-                found = align(words[block], template)
-                # Scattered words are no license: at least half of the words from the first match to the last must match.
-                if found and 2 * len(found) >= found[-1][0] - found[0][0] + 1:
-                    share = len(found) / len(template)
-                    if share >= self.coverage and (share, len(template)) > rank:
-                        rank, best = (share, len(template)), (name, share, at + found[0][0], at + found[-1][0] + 1)
+            for share, first, end in self._matches(words, places, template):
+                if (share, len(template)) > rank:
+                    rank, best = (share, len(template)), (name, share, first, end)
         return best
 
 

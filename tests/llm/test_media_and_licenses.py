@@ -114,3 +114,17 @@ def test_scan_finds_edited_licenses_anywhere(spark, folder):
     assert got[2]["coverage"] == pytest.approx(same / len(words)) and got[1]["coverage"] == 1 and got[None]["license"] == "MIT"
     assert got[1]["first_word"] == 30_000 and got[1]["end_word"] == 30_000 + len(licenses.words_of(mit))
     assert licenses.op9_license_scan(spark, folder([])).count() == 0
+
+
+def test_doubled_and_stretched_notices_are_found_at_every_place():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+    mit = licenses.TEMPLATES["MIT"]
+    apache = licenses.words_of(licenses.TEMPLATES["Apache-2.0-header"])
+    stretched = " ".join(w if i % 3 else f"{w} extra{i} more{i}" for i, w in enumerate(apache))
+    for offset in range(0, 70):
+        before, after = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", offset), ("z", 45)))
+        for copies in (2, 3):
+            assert scanner.best(f"{before} {mit * copies} {after}") == ("MIT", 1.0, offset, offset + 5)
+        assert scanner.best(f"{before} Released under the MIT Licence. {mit} {after}") == ("MIT", 1.0, offset + 5, offset + 10)
+        name, share, first, _ = scanner.best(f"{before} {stretched} {after}")
+        assert (name, share, first) == ("Apache-2.0-header", 1.0, offset)
