@@ -128,3 +128,20 @@ def test_doubled_and_stretched_notices_are_found_at_every_place():
         assert scanner.best(f"{before} Released under the MIT Licence. {mit} {after}") == ("MIT", 1.0, offset + 5, offset + 10)
         name, share, first, _ = scanner.best(f"{before} {stretched} {after}")
         assert (name, share, first) == ("Apache-2.0-header", 1.0, offset)
+
+
+def test_scan_gives_every_license_of_a_document(spark, folder):
+    mit, gpl = licenses.TEMPLATES["MIT-text"], licenses.TEMPLATES["GPL-3.0-header"]
+    n, m = len(licenses.words_of(mit)), len(licenses.words_of(gpl))
+    got = {r["doc_id"]: [tuple(x) for x in r["matches"]] for r in licenses.op9_license_scan(spark, folder([(1, f"{mit} {gpl} x y {mit}"), (2, None)])).collect()}
+    assert got == {1: [("MIT-text", 1.0, 0, n), ("GPL-3.0-header", 1.0, n, n + m), ("MIT-text", 1.0, n + m + 2, 2 * n + m + 2)], 2: []}
+
+
+def test_words_that_tell_licenses_apart_must_match():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+    texts = licenses.TEMPLATES
+    cases = {"Released under the BSD License.": None, "Licensed under CC BY 4.0.": "CC-BY-4.0-short", "Licensed under CC BY-NC 3.0.": None,
+             texts["GPL-3.0"].replace("version 3", "version 2"): None, texts["GPL-3.0"].replace("GNU", "GNU Lesser"): None,
+             **{texts[name]: name for name in texts}}
+    assert {t: scanner.best(t)[0] for t in cases} == cases
+    assert {m[0] for m in scanner.matches(texts["BSD-3-Clause"])} == {"BSD-3-Clause", "BSD-opening"}
