@@ -114,6 +114,33 @@ def test_mix_single_source_and_no_words(spark, folder):
     assert mixing.op4_mix(spark, folder([])).count() == 0
 
 
+def test_mix_bins_are_small_whatever_the_quality(spark):
+    """No bin that is sorted holds more than a small share of a source, at the least quality too."""
+    for quality in (1.0, 0.25, mixing.LEAST_QUALITY):
+        key = -F.log(mixing.uniform(F.col("id"), "s")) / quality
+        fine = spark.range(60_000).select(F.floor(F.log2(key) * mixing.FINE).alias("fine"))
+        coarse = fine.groupBy(F.floor(F.col("fine") / (mixing.FINE // mixing.COARSE))).count().agg(F.max("count")).first()[0]
+        assert coarse < 0.004 * 60_000 and fine.groupBy("fine").count().agg(F.max("count")).first()[0] <= 3
+
+
+def test_mix_keeps_columns_whose_names_clash(spark):
+    names = ["budget", "epochs", "chosen", "start", "key", "fine", "goal_source", "cut_bin", "salt", "row", "target"]
+    data = [(i, "ab"[i % 3 == 0], 5 + i % 7, 0.01, *["mine"] * len(names)) for i in range(50)]
+    sized = spark.createDataFrame(data, "doc_id long, source string, size long, quality double, " + ", ".join(f"{n} string" for n in names))
+    for few in (0, 100):
+        got = mixing.mix(sized, broadcast_sources=few)
+        assert got.columns == ["doc_id", "source", "size", "quality", *names[:-1], "source_size", "target", "taken"]
+        assert all(r["budget"] == r["row"] == "mine" and r["target"] > 1 for r in got.collect())
+
+
+def test_targets_of_many_sources_equal_brute_force(spark):
+    rng = random.Random(6)
+    sizes = {f"s{i:03}": rng.choice([0, 1, 10, 1000, 50_000]) for i in range(300)} | {None: 77, "\U0001F600": 5, "\uffee": 9}
+    got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)).collect()}
+    want = targets(sizes)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+
+
 # URL filters
 
 

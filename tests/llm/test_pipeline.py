@@ -58,3 +58,15 @@ def test_stages_and_run(spark, folder):
 
 def test_run_on_empty_tables(spark, folder):
     assert cp.run(spark, folder([])).count() == 0
+
+
+def test_mix_takes_by_row_where_ids_repeat(spark, folder):
+    """Several null ids and repeated ids and texts: words taken meet the target, none counted twice."""
+    rows = [(None, "a b", "aa", "x"), (None, "a b c d e f", "aa", "x"), (7, "one two three", "aa", "x"), (7, "one", "aa", "x"), (7, "one", "aa", "x"), *[(i, "w " * (i % 5 + 1), "aa", "y") for i in range(20)]]
+    sf = folder(rows, labels=[(7, 1, 0), (3, 0, 0)])
+    got = cp.mix_sources(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).collect()
+    sizes = {"x": 13, "y": sum(i % 5 + 1 for i in range(20))}
+    want = targets(sizes)
+    assert all(r["size"] == len(words(r["text"])) and r["taken"] <= 3 * r["size"] for r in got)
+    for s in sizes:
+        assert abs(sum(r["taken"] for r in got if r["source"] == s) - want[s]) < 1
