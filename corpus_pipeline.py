@@ -73,12 +73,12 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with size, source_size, target and taken (words, repeats counted)."""
-    scratch = Scratch(spark, "pipeline-mix")
-    sized = scratch.save(sized_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), "sized")
-    taken = mix(sized).filter("taken > 0").groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source")).agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")])
-    same = docs["doc_id"].eqNullSafe(F.col("mix_id")) & docs["source"].eqNullSafe(F.col("mix_source"))
-    return docs.select(*COLUMNS).join(taken, same).select(*COLUMNS, "size", "source_size", "target", "taken")
+    """Documents that the mix takes, with size, source_size, target and taken (words, repeats counted).
+
+    The texts ride along with the sizes, so each row keeps what the mix takes of it, whatever ids repeat.
+    """
+    sized = Scratch(spark, "pipeline-mix").save(sized_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), COLUMNS), "sized")
+    return mix(sized).filter("taken > 0").select(*COLUMNS, "size", "source_size", "target", "taken")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
