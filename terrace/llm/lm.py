@@ -2,22 +2,30 @@
 
 Tokens are words between blanks, A-Z lower-cased, and one end per document. Counts come from all training documents.
 The network's vocabulary is the most frequent tokens, dealt by rank into classes; a token's probability is that of its
-class times that within the class. Class 0's first word stands for all other words, and its probability is shared out by
-their smoothed unigram probabilities, so every text has a proper probability. Training is truncated backpropagation over
-streams of sampled documents, states carried from window to window. Scoring runs whole documents side by side, longest
-first, and carries each document's state across its windows to its end.
+class times that within the class. A class of its own stands for all other words, and its probability is shared out by
+their smoothed unigram probabilities, so every text has a proper probability.
+
+Every training document is learned from. Their tokens are numbered once and dealt by a hash into ROUNDS parts. In a round
+each task starts from the network of the round before and goes through the part's whole documents that it holds, by
+truncated backpropagation: documents follow each other in streams, states are carried from window to window and end with a document.
+The mean of the tasks' networks, weighted by tokens, is the round's. Means are summed in two levels of tasks, so the driver
+gets one network. The first round starts from a network trained alike on the driver on START_DOCUMENTS documents, a window of
+at most START_TOKENS tokens of each, at a place drawn by hash: that sample only saves the first steps of every task.
+Scoring runs whole documents side by side, longest first, and carries each document's state across its windows to its end.
 
 The counts of the most frequent words, at most BROADCAST_WORDS, go to every task; those of rarer words are joined by hash, after the
 pass, for the rare words of each document alone. The most frequent of those has a small share of all tokens, so no key is
-hot. Words are known by 64-bit hashes. The bounded sample is TRAIN_DOCUMENTS documents, a window of at most TRAIN_TOKENS
-tokens of each, at a place drawn by hash.
+hot. Words are known by 64-bit hashes. The network's size is fixed: CLASSES, PER_CLASS and HIDDEN.
 
 Defined results: a null text is empty and has its end alone; without training documents N = V = 0 and both scores are
-unigram scores; repeated rows give a row each; a null id is not held out and not learned from; other columns are ignored.
+unigram scores; an empty table gives no rows; very long texts are learned from and scored whole, one state from start to end;
+words of equal counts rank by hash; repeated rows give a row each, and equal texts equal scores up to the rounding of sums;
+a null id is not held out and not learned from; other columns are ignored. The fit depends on how rows are dealt into tasks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,9 +39,13 @@ from terrace.llm.common import Scratch, crc_bucket, small_batches, text_chunks
 from terrace.llm.shingles import word_hashes
 
 CLASSES, PER_CLASS, HIDDEN = 40, 40, 24
+#: The number that stands for all words outside the network's vocabulary: alone in the last class.
+OTHER = CLASSES * PER_CLASS
 BROADCAST_WORDS = 65_536
-TRAIN_DOCUMENTS, TRAIN_TOKENS = 1500, 400
-STREAMS, STEPS, EPOCHS, RATE, SEED = 48, 20, 3, 0.01, 5
+START_DOCUMENTS, START_TOKENS, START_EPOCHS, START_STREAMS = 1000, 300, 2, 48
+ROUNDS, STREAMS, STEPS, RATE, SEED = 4, 384, 16, 0.01, 5
+#: Tokens that a task learns from at once.
+LEARN_TOKENS = 600_000
 #: Tokens that a task scores at once, and steps between output layers.
 BATCH_TOKENS, WINDOW = 2_000_000, 32
 #: The end token's hash; a word's hash equals it with the chance of any other collision.
@@ -41,17 +53,33 @@ END = np.int64(0x454E44)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _chosen_logs(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log-softmax of each row at one place. `x` then holds exponentials whose rows are not yet divided by their sums."""
+    x -= x.max(axis=1, keepdims=True)
+    out = x[np.arange(len(x)), chosen]
+    np.exp(x, out=x)
+    return out - np.log(x.sum(axis=1))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+def _slope(x: np.ndarray, chosen: np.ndarray, scale: float) -> tuple[float, np.ndarray]:
+    """Sum of losses and the slope of `scale` times it, in the place of x."""
+    loss = -float(_chosen_logs(x, chosen).sum())
+    x /= x.sum(axis=1, keepdims=True)
+    x[np.arange(len(x)), chosen] -= 1
+    x *= scale
+    return loss, x
 
 
 @dataclass
 class Gru:
-    """Input rows by word (three gates), recurrent weights, class layer, and for each class a word layer."""
+    """Input rows by word (three gates), recurrent weights, class layer, and for each class but the last a word layer."""
 
     inputs: np.ndarray
     recurrent: np.ndarray
@@ -64,30 +92,41 @@ class Gru:
     def start(cls, counts: np.ndarray) -> Gru:
         """Small random weights; biases so that the untrained network has the corpus frequencies."""
         rng = np.random.default_rng(SEED)
-        p = ((counts + 1.0) / (counts + 1.0).sum()).reshape(CLASSES, PER_CLASS)
+        p = (counts + 1.0) / (counts + 1.0).sum()
+        own = p[:OTHER].reshape(CLASSES, PER_CLASS)
         draw = lambda *shape: rng.normal(0, 0.15, shape).astype(np.float32)
-        return cls(draw(CLASSES * PER_CLASS, 3 * HIDDEN), draw(HIDDEN, 3 * HIDDEN), draw(HIDDEN, CLASSES), np.log(p.sum(axis=1)).astype(np.float32), draw(CLASSES, HIDDEN, PER_CLASS), np.log(p / p.sum(axis=1, keepdims=True)).astype(np.float32))
+        return cls(draw(OTHER + 1, 3 * HIDDEN), draw(HIDDEN, 3 * HIDDEN), draw(HIDDEN, CLASSES + 1), np.log(np.append(own.sum(axis=1), p[OTHER])).astype(np.float32), draw(CLASSES, HIDDEN, PER_CLASS), np.log(own / own.sum(axis=1, keepdims=True)).astype(np.float32))
 
     def parameters(self) -> list[np.ndarray]:
         return [self.inputs, self.recurrent, self.class_weights, self.class_bias, self.word_weights, self.word_bias]
 
+    def packed(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in self.parameters()])
+
+    @classmethod
+    def unpacked(cls, values: np.ndarray) -> Gru:
+        shapes = [p.shape for p in cls.start(np.zeros(OTHER + 1)).parameters()]
+        edges = np.cumsum([0, *(int(np.prod(s)) for s in shapes)])
+        return cls(*[values[a:b].reshape(s).astype(np.float32) for a, b, s in zip(edges[:-1], edges[1:], shapes, strict=True)])
+
     def step(self, h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, tuple]:
         x, u = self.inputs[words], h @ self.recurrent
         gates = _sigmoid(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
-        return (1 - z) * n + z * h, (h, z, r, n, u[:, 2 * HIDDEN :])
+        z, r, u = gates[:, :HIDDEN], gates[:, HIDDEN:], u[:, 2 * HIDDEN :]
+        n = r * u
+        n += x[:, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        after = h - n
+        after *= z
+        after += n
+        return after, (h, z, r, n, u)
 
     def log_probabilities(self, h: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural logarithms of the probabilities of words after states."""
         kind = words // PER_CLASS
-        out = _log_softmax(h @ self.class_weights + self.class_bias)[np.arange(len(words)), kind].astype(np.float64)
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            at = order[edges[c] : edges[c + 1]]
-            if len(at):
-                out[at] += _log_softmax(h[at] @ self.word_weights[c] + self.word_bias[c])[np.arange(len(at)), words[at] % PER_CLASS]
+        out = _chosen_logs(h @ self.class_weights + self.class_bias, kind).astype(np.float64)
+        for c, at in _by_class(kind):
+            out[at] += _chosen_logs(h[at] @ self.word_weights[c] + self.word_bias[c], words[at] % PER_CLASS)
         return out
 
     def gradients(self, h: np.ndarray, words: np.ndarray, fresh: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray]:
@@ -96,79 +135,108 @@ class Gru:
         grads = [np.zeros_like(p) for p in self.parameters()]
         states, kept = [], []
         for t in range(steps):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
+            h = h * ~fresh[t][:, None]
             states.append(h)
             h, k = self.step(h, words[t])
             kept.append(k)
         flat, target = np.concatenate(states), words.ravel()
         kind, scale = target // PER_CLASS, 1.0 / target.size
-        log_class = _log_softmax(flat @ self.class_weights + self.class_bias)
-        loss = -log_class[np.arange(target.size), kind].sum()
-        delta = np.exp(log_class)
-        delta[np.arange(target.size), kind] -= 1
-        delta *= scale
+        loss, delta = _slope(flat @ self.class_weights + self.class_bias, kind, scale)
         grads[2] += flat.T @ delta
         grads[3] += delta.sum(axis=0)
         back = delta @ self.class_weights.T
-        for c in np.unique(kind):
-            at = np.flatnonzero(kind == c)
-            log_word = _log_softmax(flat[at] @ self.word_weights[c] + self.word_bias[c])
-            loss -= log_word[np.arange(len(at)), target[at] % PER_CLASS].sum()
-            delta = np.exp(log_word)
-            delta[np.arange(len(at)), target[at] % PER_CLASS] -= 1
-            delta *= scale
-            grads[4][c] += flat[at].T @ delta
+        for c, at in _by_class(kind):
+            own = flat[at]
+            more, delta = _slope(own @ self.word_weights[c] + self.word_bias[c], target[at] % PER_CLASS, scale)
+            loss += more
+            grads[4][c] += own.T @ delta
             grads[5][c] += delta.sum(axis=0)
             back[at] += delta @ self.word_weights[c].T
         back = back.reshape(steps, streams, HIDDEN)
         carry = np.zeros_like(back[0])
+        into = np.empty((steps, streams, 3 * HIDDEN), back.dtype)
+        turned = np.ascontiguousarray(self.recurrent.T)
         for t in range(steps - 1, -1, -1):
             before, z, r, n, u = kept[t]
-            dn = carry * (1 - z) * (1 - n * n)
-            dz = carry * (before - n) * z * (1 - z)
-            dr = dn * u * r * (1 - r)
-            inputs = np.concatenate([dz, dr, dn], axis=1)
-            np.add.at(grads[0], words[t], inputs)
-            hidden = np.concatenate([dz, dr, dn * r], axis=1)
+            d = into[t]
+            dn = carry * (1 - z)
+            dn *= 1 - n * n
+            d[:, 2 * HIDDEN :] = dn
+            d[:, :HIDDEN] = carry * (before - n) * z * (1 - z)
+            d[:, HIDDEN : 2 * HIDDEN] = dn * u * r * (1 - r)
+            hidden = d.copy()
+            hidden[:, 2 * HIDDEN :] *= r
             grads[1] += before.T @ hidden
-            carry = carry * z + hidden @ self.recurrent.T + back[t]
-            carry = np.where(fresh[t][:, None], np.float32(0), carry)
+            carry = carry * z + hidden @ turned + back[t]
+            carry *= ~fresh[t][:, None]
+        order = np.argsort(target, kind="stable")
+        first = np.flatnonzero(np.diff(target[order], prepend=-1))
+        grads[0][target[order[first]]] = np.add.reduceat(into.reshape(-1, 3 * HIDDEN)[order], first)
         return loss * scale, grads, h
 
 
-def train(documents: list[np.ndarray], counts: np.ndarray) -> Gru:
-    """Adam over windows of streams. Documents are arrays of word numbers, ends included."""
-    net = Gru.start(counts)
-    if not documents:
-        return net
-    parameters = net.parameters()
-    first, second, step = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters], 0
-    rng = np.random.default_rng(SEED)
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(documents))
-        words = np.concatenate([documents[i] for i in order])
+def _by_class(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The classes that occur, but for the last, with their places."""
+    order = np.argsort(kind.astype(np.uint8), kind="stable")
+    edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+    for c in range(CLASSES):
+        if edges[c] < edges[c + 1]:
+            yield c, order[edges[c] : edges[c + 1]]
+
+
+class Learner:
+    """Adam over windows of streams of documents."""
+
+    def __init__(self, network: Gru, rate: float, streams: int):
+        self.network, self.rate, self.streams, self.steps = network, rate, streams, 0
+        self.first, self.second = ([np.zeros_like(p) for p in network.parameters()] for _ in range(2))
+
+    def learn(self, documents: list[np.ndarray]) -> None:
+        """Goes once through whole documents (arrays of word numbers, ends included), dealt evenly into streams."""
+        words = np.concatenate(documents).astype(np.int64)
         fresh = np.zeros(len(words), bool)
-        fresh[np.cumsum([0, *(len(documents[i]) for i in order[:-1])])] = True
-        streams = min(STREAMS, len(words))
-        length = len(words) // streams
-        words, fresh = words[: streams * length].reshape(streams, length).T, fresh[: streams * length].reshape(streams, length).T.copy()
+        fresh[np.cumsum([0, *map(len, documents[:-1])])] = True
+        streams = max(1, min(self.streams, len(words) // STEPS))
+        length = -(-len(words) // streams)
+        # A few tokens from the start fill the last stream.
+        words, fresh = (np.resize(x, streams * length).reshape(streams, length).T.copy() for x in (words, fresh))
         fresh[0] = True
         h = np.zeros((streams, HIDDEN), np.float32)
         for at in range(0, length, STEPS):
-            _, grads, h = net.gradients(h, words[at : at + STEPS], fresh[at : at + STEPS])
-            step += 1
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
-            for p, g, m, s in zip(parameters, grads, first, second, strict=True):
-                g *= min(1.0, 1.0 / max(norm, 1e-9))
-                m += 0.1 * (g - m)
-                s += 0.001 * (g * g - s)
-                p -= RATE / (1 + epoch) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    return net
+            _, grads, h = self.network.gradients(h, words[at : at + STEPS], fresh[at : at + STEPS])
+            self._move(grads)
+
+    def _move(self, grads: list[np.ndarray]) -> None:
+        self.steps += 1
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads))
+        clip = min(1.0, 1.0 / max(norm, 1e-9))
+        size = self.rate * np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
+        for p, g, m, s in zip(self.network.parameters(), grads, self.first, self.second, strict=True):
+            g *= clip
+            m *= 0.9
+            m += 0.1 * g
+            s *= 0.999
+            np.multiply(g, g, out=g)
+            s += 0.001 * g
+            np.sqrt(s, out=g)
+            g += 1e-8
+            np.divide(m, g, out=g)
+            g *= size
+            p -= g
+
+
+def start(documents: list[np.ndarray], counts: np.ndarray) -> Gru:
+    """The network that the first round starts from."""
+    network = Gru.start(counts)
+    rng = np.random.default_rng(SEED)
+    for epoch in range(START_EPOCHS if documents else 0):
+        Learner(network, RATE / (1 + epoch), START_STREAMS).learn([documents[i] for i in rng.permutation(len(documents))])
+    return network
 
 
 @dataclass
 class Vocabulary:
-    """Sorted hashes of the broadcast words, their counts, and their numbers in the network (0: not in it)."""
+    """Sorted hashes of the broadcast words, their counts, and their numbers in the network (OTHER: not in it)."""
 
     hashes: np.ndarray
     counts: np.ndarray
@@ -181,6 +249,10 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return at, self.hashes[at] == hashes
 
+    def number(self, hashes: np.ndarray) -> np.ndarray:
+        at, there = self.look_up(hashes)
+        return np.where(there, self.numbers[at], OTHER) if len(self.numbers) else np.full(len(hashes), OTHER)
+
 
 def _tokens(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Of runs of rows: first row, token hashes with ends, bounds of the rows in them."""
@@ -228,55 +300,75 @@ class LanguageModel:
         self.tokens, self.distinct = totals["n"] or 0, totals["v"]
         top = sorted(self._frequent().collect(), key=lambda r: (-r["n"], r["hash"]))
         hashes, n = np.array([r["hash"] for r in top], np.int64), np.array([r["n"] for r in top], np.int64)
-        numbers = np.zeros(len(top), np.int64)
-        numbers[: CLASSES * PER_CLASS - 1] = np.arange(1, min(len(top), CLASSES * PER_CLASS - 1) + 1)
+        numbers = np.minimum(np.arange(len(top)), OTHER)
         order = np.argsort(hashes)
         self.vocabulary = Vocabulary(hashes[order], n[order], numbers[order])
-        inside = np.zeros(CLASSES * PER_CLASS)
-        inside[self.vocabulary.numbers] = self.vocabulary.counts
-        inside[0] = self.tokens - inside[1:].sum()
+        inside = np.zeros(OTHER + 1)
+        inside[: min(OTHER, len(n))] = n[:OTHER]
+        inside[OTHER] = self.tokens - inside.sum()
         #: Unigram probability of all that is not in the network's vocabulary, unseen words included.
-        known = self.vocabulary.numbers > 0
-        self.other = 1 - float((self.vocabulary.counts[known] + 1).sum()) / (self.tokens + self.distinct + 1)
-        self.network = train(self._sample(training), inside)
+        self.other = 1 - float((n[:OTHER] + 1).sum()) / (self.tokens + self.distinct + 1)
+        self.network = self._train(training, inside)
 
     def _frequent(self) -> DataFrame:
-        """The most frequent words, at most BROADCAST_WORDS: whole classes of frequency, from the highest down.
+        """The most frequent words, BROADCAST_WORDS of them or nearly: whole classes of frequency, from the highest down, and
+        of the class that crosses the number those with the least hashes.
 
-        The classes are sixteenths of powers of two, so the driver gets a few hundred sums, whatever the vocabulary.
+        The classes are sixteenths of powers of two, and hashes fall into 4,096 ranges, so the driver gets a few thousand
+        sums, whatever the vocabulary.
         """
         step = F.floor(F.log2("n") * 16).cast("int")
+        part = F.shiftrightunsigned("hash", 52).cast("int")
         sizes = {r["s"]: r["w"] for r in self.counts.groupBy(step.alias("s")).agg(F.count("*").alias("w")).collect()}
         least, words = 1 << 30, 0
         for s in sorted(sizes, reverse=True):
-            words += sizes[s]
-            if words > BROADCAST_WORDS:
-                break
-            least = s
-        return self.counts.filter(step >= least)
-
-    def _sample(self, training: DataFrame) -> list[np.ndarray]:
-        vocabulary = self.vocabulary
-        n = training.count()
-        if not n:
-            return []
-        draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 40))
+            if words + sizes[s] > BROADCAST_WORDS:
+                parts = {r["p"]: r["w"] for r in self.counts.filter(step == s).groupBy(part.alias("p")).agg(F.count("*").alias("w")).collect()}
+                upto = 0
+                while upto < 4096 and words + parts.get(upto, 0) <= BROADCAST_WORDS:
+                    words += parts.get(upto, 0)
+                    upto += 1
+                return self.counts.filter((step >= least) | (step == s) & (part < upto))
+            words, least = words + sizes[s], s
+        return self.counts
+
+    def _numbered(self, training: DataFrame) -> DataFrame:
+        """(draw, words): the word numbers of each whole document as 16-bit integers, and a number drawn for it."""
+        model = self.spark.sparkContext.broadcast(self.vocabulary)
 
         def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vocabulary = model.value
             for batch in batches:
                 for first, tokens, bounds in _tokens(batch, "text"):
-                    at, there = vocabulary.look_up(tokens)
-                    words = np.where(there, vocabulary.numbers[at] if len(vocabulary.numbers) else 0, 0).astype(np.int32)
-                    drawn = batch.column("h").slice(first, len(bounds) - 1)
-                    data = []
-                    for h, a, b in zip(drawn.to_pylist(), bounds[:-1], bounds[1:], strict=True):
-                        start = a + h % max(1, b - a - TRAIN_TOKENS + 1)
-                        data.append(words[start : min(b, start + TRAIN_TOKENS)].tobytes())
-                    yield pa.RecordBatch.from_arrays([drawn, batch.column("doc_id").slice(first, len(data)), pa.array(data, pa.binary())], ["h", "doc_id", "words"])
-
-        drawn = training.withColumn("h", draw).filter(F.col("h") < min(1.0, 2 * TRAIN_DOCUMENTS / n) * float(1 << 40))
-        rows = drawn.mapInArrow(number, "h long, doc_id long, words binary").orderBy("h", "doc_id", "words").limit(TRAIN_DOCUMENTS).collect()
-        return [np.frombuffer(r["words"], np.int32) for r in rows]
+                    words = vocabulary.number(tokens).astype(np.uint16)
+                    data = [words[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column("draw").slice(first, len(data)), pa.array(data, pa.binary())], ["draw", "words"])
+
+        drawn = training.select(F.xxhash64("doc_id", F.lit(SEED)).alias("draw"), "text")
+        return drawn.mapInArrow(number, "draw long, words binary")
+
+    def _train(self, training: DataFrame, inside: np.ndarray) -> Gru:
+        """Rounds over all numbered documents, from a start on a sample of them."""
+        if not self.tokens:
+            return Gru.start(inside)
+        numbered = self._numbered(training).withColumn("round", F.pmod(F.shiftright("draw", 8), F.lit(ROUNDS)).cast("int"))
+        numbered.write.partitionBy("round").parquet(f"{self.scratch.root}/numbered")
+        numbered = self.spark.read.schema("draw long, words binary, round int").parquet(f"{self.scratch.root}/numbered")
+        n = numbered.count()
+        place = F.pmod(F.shiftright("draw", 20), F.greatest(F.octet_length("words") / 2 - START_TOKENS + 1, F.lit(1)).cast("long"))
+        sample = numbered.filter(F.pmod("draw", F.lit(1 << 40)) < min(1.0, 2 * START_DOCUMENTS / n) * float(1 << 40))
+        sample = sample.select("draw", F.substring("words", (2 * place + 1).cast("int"), F.lit(2 * START_TOKENS)).alias("words"))
+        rows = sample.orderBy("draw", "words").limit(START_DOCUMENTS).collect()
+        network = start([np.frombuffer(r["words"], np.uint16) for r in rows], inside)
+        for r in range(ROUNDS):
+            held = self.spark.sparkContext.broadcast(network.packed())
+            learned = numbered.filter(F.col("round") == r).select("words").mapInArrow(_learned(held, RATE / (2 + r)), "tokens long, network binary")
+            learned = self.scratch.save(learned, f"round-{r}")
+            groups = max(1, math.isqrt(learned.count()))
+            mean = learned.repartition(groups, F.rand(SEED)).mapInArrow(_mean, "tokens long, network binary").coalesce(1).mapInArrow(_mean, "tokens long, network binary").collect()
+            network = Gru.unpacked(np.frombuffer(mean[0]["network"], np.float32)) if mean else network
+        self.scratch.drop("numbered")
+        return network
 
     def score(self, documents: DataFrame) -> DataFrame:
         """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row."""
@@ -293,6 +385,40 @@ class LanguageModel:
         return joined.select("doc_id", "n_tokens", (F.col("known") + F.col("rare_known")).alias("n_known"), F.lit(self.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
 
 
+def _learned(held, rate: float):
+    """Of a task that holds documents: the tokens it went through, and the network it came to."""
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner, total, waiting, size = None, 0, [], 0
+        for batch in batches:
+            for data in batch.column("words"):
+                waiting.append(np.frombuffer(data.as_buffer(), np.uint16))
+                size += len(waiting[-1])
+                if size >= LEARN_TOKENS:
+                    learner = learner or Learner(Gru.unpacked(held.value), rate, STREAMS)
+                    learner.learn(waiting)
+                    total, waiting, size = total + size, [], 0
+        if waiting:
+            learner = learner or Learner(Gru.unpacked(held.value), rate, STREAMS)
+            learner.learn(waiting)
+            total += size
+        if learner:
+            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([learner.network.packed().tobytes()], pa.binary())], ["tokens", "network"])
+
+    return learned
+
+
+def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean of networks, weighted by tokens; holds one sum, however many come."""
+    total, tokens = None, 0
+    for batch in batches:
+        for n, data in zip(batch.column("tokens").to_pylist(), batch.column("network"), strict=True):
+            values = np.frombuffer(data.as_buffer(), np.float32) * float(n)
+            total, tokens = values if total is None else total + values, tokens + n
+    if tokens:
+        yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([(total / tokens).astype(np.float32).tobytes()], pa.binary())], ["tokens", "network"])
+
+
 def _scored(model):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, network = model.value
@@ -319,10 +445,10 @@ def _score_rows(parts: list, vocabulary: Vocabulary, network: Gru, first_row: in
     at, there = vocabulary.look_up(tokens)
     empty = not len(vocabulary.hashes)
     logs = np.where(there, 0.0 if empty else np.log10(vocabulary.counts + 1.0)[at], 0.0)
-    words = np.where(there, 0 if empty else vocabulary.numbers[at], 0)
+    words = np.where(there, OTHER if empty else vocabulary.numbers[at], OTHER)
     summed = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  every row has its end token, so none is empty
     rare = np.concatenate([[0], np.cumsum(summed((~there).astype(np.int64)))])
-    values = [np.arange(len(sizes)) + first_row, None, sizes, summed(there.astype(np.int64)), summed((words == 0).astype(np.int64)), summed(logs), summed(np.where(words == 0, logs, 0.0)), _run(network, words, bounds) / np.log(10)]
+    values = [np.arange(len(sizes)) + first_row, None, sizes, summed(there.astype(np.int64)), summed((words == OTHER).astype(np.int64)), summed(logs), summed(np.where(words == OTHER, logs, 0.0)), _run(network, words, bounds) / np.log(10)]
     arrays = [pa.array(v) if v is not None else pa.concat_arrays([i.cast(pa.int64()) for i, _, _ in parts]) for v in values]
     lists = pa.ListArray.from_arrays(pa.array(rare.astype(np.int32)), pa.array(tokens[~there]))
     return pa.RecordBatch.from_arrays([*arrays, lists], ["row", "doc_id", "n_tokens", "known", "others", "log_counts", "log_others", "network", "rare"])

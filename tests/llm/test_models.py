@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import held_out, unigrams
 
@@ -105,10 +106,11 @@ def test_thresholds_rise():
 
 def test_gradients_are_slopes():
     rng = np.random.default_rng(3)
-    net = lm.Gru.start(rng.integers(1, 50, lm.CLASSES * lm.PER_CLASS).astype(float))
+    net = lm.Gru.start(rng.integers(1, 50, lm.OTHER + 1).astype(float))
     for name in ("inputs", "recurrent", "class_weights", "class_bias", "word_weights", "word_bias"):
         setattr(net, name, getattr(net, name).astype(np.float64))
-    words = rng.integers(0, lm.CLASSES * lm.PER_CLASS, (6, 3))
+    words = rng.integers(0, lm.OTHER + 1, (6, 3))
+    words[1] = lm.OTHER
     fresh = np.zeros((6, 3), bool)
     fresh[0], fresh[3, 1] = True, True
     h = np.zeros((3, lm.HIDDEN))
@@ -126,7 +128,7 @@ def test_gradients_are_slopes():
 
 def test_probabilities_sum_to_one_and_windows_carry_state():
     rng = np.random.default_rng(3)
-    n = lm.CLASSES * lm.PER_CLASS
+    n = lm.OTHER + 1
     net = lm.Gru.start(np.ones(n))
     h = rng.normal(0, 1, (1, lm.HIDDEN)).astype(np.float32)
     assert np.exp(net.log_probabilities(np.repeat(h, n, axis=0), np.arange(n))).sum() == pytest.approx(1, abs=1e-4)
@@ -164,6 +166,49 @@ def test_scores_equal_brute_force_and_learn_order(spark, folder):
     assert len(own) > 20 and sum(r["score"] for r in own) > 0.9 * sum(r["base_score"] for r in own)
 
 
+def slow_score(model: lm.LanguageModel, tokens: list[int]) -> float:
+    """The network and the share-out of other words, token by token in plain loops."""
+    net, known = model.network, {int(h): (int(n), int(c)) for h, n, c in zip(model.vocabulary.hashes, model.vocabulary.numbers, model.vocabulary.counts)}
+    counts = {r["hash"]: r["n"] for r in model.counts.collect()}
+    h, total, width = np.zeros(lm.HIDDEN), 0.0, lm.HIDDEN
+    for token in tokens:
+        number = known.get(token, (lm.OTHER, 0))[0]
+        logits = net.class_weights.T.astype(float) @ h + net.class_bias
+        total += logits[number // lm.PER_CLASS] - math.log(sum(math.exp(x) for x in logits))
+        if number < lm.OTHER:
+            own = net.word_weights[number // lm.PER_CLASS].T.astype(float) @ h + net.word_bias[number // lm.PER_CLASS]
+            total += own[number % lm.PER_CLASS] - math.log(sum(math.exp(x) for x in own))
+        else:
+            total += math.log((counts.get(token, 0) + 1) / (model.tokens + model.distinct + 1) / model.other)
+        x, u = net.inputs[number].astype(float), h @ net.recurrent.astype(float)
+        z, r = (1 / (1 + np.exp(-(x[i * width : (i + 1) * width] + u[i * width : (i + 1) * width]))) for i in range(2))
+        h = z * h + (1 - z) * np.tanh(x[2 * width :] + r * u[2 * width :])
+    return total / math.log(10)
+
+
+def test_scores_equal_a_network_of_plain_loops(spark, folder, monkeypatch):
+    """Over words in the network, words outside it and unseen ones, with a part of the counts joined by hash."""
+    monkeypatch.setattr(lm, "BROADCAST_WORDS", 1900)
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"w{int(2600 * rng.random() ** 2)}" for _ in range(rng.randint(1, 220)))) for i in range(160)] + [(900, "w1 unseen w1"), (901, None)]
+    documents = spark.read.parquet(folder(rows) + "/documents.parquet")
+    model = lm.LanguageModel(spark, documents.filter("doc_id % 7 <> 2"))
+    assert 1700 < len(model.vocabulary.hashes) <= 1900 < model.distinct and (model.vocabulary.numbers == lm.OTHER).sum() > 100
+    got = {r["doc_id"]: r["score"] for r in model.score(documents).collect()}
+    for i, text in random.Random(1).sample(rows, 12) + rows[-2:]:
+        (_, tokens, _), = lm._tokens(pa.RecordBatch.from_arrays([pa.array([text], pa.string())], ["text"]), "text")
+        assert got[i] == pytest.approx(slow_score(model, tokens.tolist()), rel=1e-4)
+
+
+def test_every_training_document_moves_the_network(spark, folder):
+    """No part of the rows is left out: words seen in one document alone change the weights of their input rows."""
+    rows = [(i, f"only{i} " * 3 + "a b") for i in range(40)]
+    model = lm.LanguageModel(spark, spark.read.parquet(folder(rows) + "/documents.parquet"))
+    first = lm.Gru.start(np.zeros(lm.OTHER + 1)).inputs
+    moved = np.abs(model.network.inputs - first).max(axis=1) > 0
+    assert moved[model.vocabulary.numbers].all() and len(model.vocabulary.numbers) == 43
+
+
 def test_rare_words_are_joined_alike(spark, folder, monkeypatch):
     monkeypatch.setattr(lm, "BROADCAST_WORDS", 4)
     rows = [(i, " ".join(f"w{(i * j) % 23}" for j in range(40))) for i in range(60)]
