@@ -1,6 +1,7 @@
 """Decontamination, mixing, URL filter and PII against plain Python."""
 
 import random
+import time
 from datetime import date, timedelta
 
 import pytest
@@ -211,16 +212,106 @@ def test_pii_base_spans_equal_plain_regular_expressions(spark, folder):
         assert spans == sorted(spans, key=lambda s: (pii.KINDS.index(s[0]), s[1]))
 
 
-def test_pii_learns_formats_that_the_base_misses(spark):
-    rng = random.Random(2)
-    number = lambda: f"+49 30 {rng.randrange(10**6, 10**7)}"
-    texts = [f"please call {number()} today, order {rng.randrange(1000)} of {rng.randrange(1900, 2100)}" for _ in range(400)]
-    documents = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+def pii_corpus(n: int, seed: int):
+    """Prose with personal data in base forms, and with numbers and marks that are none."""
+    rng = random.Random(seed)
+    digits = lambda k: "".join(rng.choices("0123456789", k=k))
+
+    def card() -> str:
+        while True:
+            d = "4" + digits(15)
+            if personal(d):
+                return d
+
+    def other() -> str:
+        return rng.choice([f"in {rng.randrange(1900, 2100)}", f"order {digits(7)}", f'token = "{"".join(rng.choices("0123456789abcdef", k=40))}"', f"version {rng.randrange(9)}.{rng.randrange(99)}", f"{digits(3)} of {digits(4)}", "look at example.com", "at the dot", f"{rng.randrange(24)}:30", "5" + digits(15)])
+
+    make = {
+        "email": lambda: f"{rng.choice(['ann', 'bob.k', 'c_d'])}.{digits(2)}@mail{digits(1)}.example.org",
+        "ip": lambda: ".".join(str(rng.randrange(10, 256)) for _ in range(4)),
+        "card": card,
+        "phone": lambda: f"+{rng.randrange(1, 90)} ({digits(3)}) 555-{digits(4)}",
+    }
+    words = lambda: " ".join(rng.choices(["mira", "tolo", "senda", "kru", "palo,", "vex."], k=rng.randint(3, 20)))
+    return rng, make, other, words, digits
+
+
+@pytest.fixture(scope="module")
+def redactor(spark):
+    rng, make, other, words, _ = pii_corpus(3000, 4)
+    texts = [" ".join([words(), make[rng.choice(pii.KINDS)](), words(), other(), words()]) for _ in range(3000)]
+    return pii.Redactor.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
+def test_pii_finds_planted_forms_that_the_base_misses(spark, redactor):
+    """Recall on forms in texts of other draws, and texts without personal data left alone."""
+    rng, make, other, words, digits = pii_corpus(0, 77)
+    forms = {
+        "email": [lambda v: v.replace("@", " @ "), lambda v: v.replace("@", "[at]"), lambda v: v.split("@")[0] + " at " + v.split("@")[1].replace(".", " dot ")],
+        "ip": [lambda v: v.replace(".", "[.]"), lambda v: v.replace(".", " . ")],
+        "card": [lambda v: ".".join(v[i : i + 4] for i in range(0, 16, 4)), lambda v: "7536784127813051 " + v],
+        "phone": [lambda v: v[1:], lambda v: v[v.index("(") :], lambda v: v + " 7536784127813051"],
+    }
+    rows, want = [], {}
+    for i in range(600):
+        kind = pii.KINDS[i % 4]
+        value = make[kind]()
+        form = rng.choice(forms[kind])(value)
+        at = {"7": 17}.get(form[0], 0) if kind == "card" else 0
+        end = len(form) - (17 if kind == "phone" and form.endswith("051") and "7536784127813051" in form else 0)
+        before = words() + " "
+        rows.append((i, before + form + " " + words()))
+        want[i] = (i % 4, len(before) + at, len(before) + end)
+    clean = [(1000 + i, " ".join([words(), other(), words(), other(), words()])) for i in range(300)]
+    clean = [(i, t) for i, t in clean if not personal(t)]
+    got = {r["doc_id"]: {(s["kind"], s["start"], s["end"]) for s in r["spans"]} for r in redactor.with_spans(spark.createDataFrame(rows + clean, "doc_id long, text string")).collect()}
+    for k in range(4):
+        own = [i for i in want if want[i][0] == k]
+        assert sum(want[i] in got[i] for i in own) >= 0.9 * len(own), pii.KINDS[k]
+    assert sum(bool(got[i]) for i, _ in clean) <= 0.01 * len(clean)
+
+
+def test_pii_without_base_spans_adds_nothing(spark):
+    documents = spark.createDataFrame([(1, "card 4111.1111.1111.1111 or a @ b.cd"), (2, None)], "doc_id long, text string")
     fitted = pii.Redactor.fit(documents)
-    assert fitted.thresholds[3] is not None
-    clean = spark.createDataFrame([(1, "in 1999 and 2004 there were 12 of 300"), (2, texts[0])], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in fitted.with_spans(clean).collect()}
-    assert got[1]["spans"] == [] and len(got[2]["spans"]) == 1
+    assert fitted.thresholds == [None] * 4
+    assert [r["spans"] for r in fitted.with_spans(documents).collect()] == [[], []]
+
+
+def test_pii_sweeps_equal_plain_comparison(spark, redactor):
+    """Spans added meet no base span nor each other, and all that meets no other is kept; over more spans than a chunk."""
+    rng, make, other, words, _ = pii_corpus(0, 5)
+    texts = [" ".join(rng.choice([make[rng.choice(pii.KINDS)](), other(), make["phone"]()[1:], make["phone"]() + " " + make["card"]()]) for _ in range(n)) for n in (0, 1, 5, 40, 400)]
+    documents = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    met = lambda a, b: a["start"] < b["end"] and b["start"] < a["end"]
+    found = redactor.with_spans(documents).withColumn("p", pii.proposals(F.col("text"))).withColumn("free", pii.free_of(F.col("p"), F.col("base"))).withColumn("cut", pii.redact(F.col("text"), F.col("spans")))
+    for r in found.collect():
+        base = [s.asDict() for s in r["base"]]
+        free = [(p["start"], p["end"]) for p in r["p"] if not any(met(p, b) for b in base)]
+        assert sorted((p["start"], p["end"]) for p in r["free"]) == sorted(free)
+        added = [s.asDict() for s in r["spans"] if s.asDict() not in base]
+        assert not any(met(a, b) for a in added for b in base) and not any(met(a, b) for i, a in enumerate(added) for b in added[:i])
+        data = r["text"].encode()
+        assert all(data[s["from"] : s["to"]].decode() == r["text"][s["start"] : s["end"]] for s in r["spans"])
+        out, at = "", 0
+        for s in sorted(r["spans"], key=lambda s: (s["from"], s["to"], s["kind"])):
+            if s["start"] >= at:
+                out += r["text"][at : s["start"]] + f"<{pii.KINDS[s['kind']].upper()}>"
+            at = max(at, s["end"])
+        assert r["cut"] == out + r["text"][at:]
+
+
+def test_pii_time_follows_the_length(spark, redactor):
+    """Eight times the numbers take about eight times as long, not sixty-four."""
+    took = []
+    for n in (4_000, 32_000):
+        text = " ".join(f"10.0.{i % 256}.7 x {i % 7}" for i in range(n))
+        documents = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        found = redactor.with_spans(documents).select(F.size("spans").alias("n"), F.char_length(pii.redact(F.col("text"), F.col("spans"))).alias("m"))
+        begun = time.perf_counter()
+        assert found.first()["n"] == n
+        took.append(time.perf_counter() - begun)
+    assert took[1] < 24 * took[0]
 
 
 def test_pii_redaction(spark):
