@@ -60,26 +60,36 @@ class Powers:
 _POWERS = Powers()
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of several texts in order, A-Z lower-cased, and for each text the end of its words."""
+def _word_places(data: np.ndarray, offsets: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of several texts in order."""
     n = len(data)
-    if n == 0:
-        return np.empty(0, U64), np.zeros(len(offsets) - 1, np.int64)
-    up, down = _POWERS.upto(n)
     word = ~between[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     before = np.empty(n, bool)
     before[0], before[1:] = False, word[:-1]
-    starts = np.flatnonzero(word & (~before | cut[:n]))
     after = np.empty(n, bool)
     after[-1], after[:-1] = False, word[1:]
-    ends = np.flatnonzero(word & (~after | cut[1:])) + 1
+    return np.flatnonzero(word & (~before | cut[:n])), np.flatnonzero(word & (~after | cut[1:])) + 1
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = BLANK, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Hashes of the words of several texts in order, A-Z lower-cased, and for each text the end of its words.
+
+    For each length in `prefixes` follow the hashes of the words' first so many bytes, and which words are that long.
+    """
+    n = len(data)
+    if n == 0:
+        none = np.empty(0, U64)
+        return none, np.zeros(len(offsets) - 1, np.int64), *[(none, np.empty(0, bool)) for _ in prefixes]
+    up, down = _POWERS.upto(n)
+    starts, ends = _word_places(data, offsets, between)
     sums = np.empty(n + 1, U64)
     sums[0] = 0
     np.cumsum(_VALUES[data] * up[:n], out=sums[1:])
-    hashes = mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
-    return hashes, np.searchsorted(starts, offsets[1:], side="left")
+    hashed = lambda to: mix64((sums[to] - sums[starts]) * down[starts] + (to - starts).astype(U64))
+    first = [(hashed(np.minimum(starts + k, ends)), ends - starts >= k) for k in prefixes]
+    return hashed(ends), np.searchsorted(starts, offsets[1:], side="left"), *first
 
 
 @dataclass

@@ -1,14 +1,17 @@
 """Toxicity as ordinal regression: cumulative links over sparse word features, one weight vector for all thresholds.
 
-Severity grades come from labels: 0 not toxic, 1 toxic in a good document, 2 toxic in a bad one. Features are the
-distinct words of a text (A-Z lower-cased, punctuation apart), hashed to BITS bits. P(grade > k) = sigmoid(w.x - t_k) with
-rising t_k; the output is the expected grade, the sum of those probabilities. The fit takes up to PER_GRADE documents of
-each grade, drawn by a hash of the id and weighted to the grades' counts among all labels, and shrinks weights to 0 by an L1 penalty, so most words
+Severity grades are whole numbers from 0, one for each labelled document; the query takes them from the labels' two columns:
+0 not toxic, 1 toxic in a good document, 2 toxic in a bad one. Features are the distinct words of a text (A-Z lower-cased,
+punctuation apart) and their beginnings of PREFIXES bytes, for inflected and joined words; each counts again as a feature of its own
+where it occurs MANY times or more. They are hashed to BITS bits. P(grade > k) = sigmoid(w.x - t_k) with rising t_k; the
+output is the expected grade, the sum of those probabilities. The fit takes up to PER_GRADE documents of each grade, drawn by a
+hash of the id and weighted to the grades' counts among all labels, and shrinks weights to 0 by an L1 penalty, so most words
 of a long text weigh nothing.
 
-Defined results: null and wordless texts have no features; a document labelled more than once counts with its highest
-grade; null labels are none; without two grades the severity is that of the only grade, or 0; repeated rows give a row
-each; equal texts give equal results; other columns are ignored.
+Defined results: null and wordless texts have no features; very long texts count whole, one feature for each word at most
+twice; a document labelled more than once counts with its highest grade; null labels are none; without two grades the severity
+is that of the only grade, or 0; repeated rows give a row each; equal texts give
+equal results; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm.common import small_batches, text_chunks
-from terrace.llm.shingles import APART, U64, word_hashes
+from terrace.llm.shingles import APART, U64, mix64, word_hashes
 
-BITS, GRADES = 18, 3
+BITS, GRADES = 20, 3
+#: Lengths of beginnings in bytes, and from how many occurrences on a feature counts again.
+PREFIXES, MANY = (4, 5, 6, 8), 3
 PER_GRADE, LEAST_DOCUMENTS = 2500, 4
-ROUNDS, RATE, PENALTY, SEED = 250, 0.08, 2e-4, 17
+ROUNDS, RATE, PENALTY, SEED = 250, 0.08, 3e-4, 17
+#: A document is above a grade if that is this likely.
+CUT = 0.3
 
 
 @dataclass
@@ -44,12 +51,12 @@ class Ordinal:
 def fit(features: list[np.ndarray], grades: np.ndarray, weight: np.ndarray) -> Ordinal:
     """Proximal Adam on the weighted likelihood of the grades. Thresholds are a first one and positive steps."""
     flat = np.concatenate(features) if features else np.zeros(0, np.int64)
-    model = Ordinal(np.zeros(1 << BITS), np.full(GRADES - 1, 30.0))
+    model = Ordinal(np.zeros(2 << BITS), np.full(GRADES - 1, 30.0))
     present = np.unique(grades)
     if len(present) < 2:
         model.thresholds[: int(present[0]) if len(present) else 0] = -30.0
         return model
-    often = np.bincount(flat, minlength=1 << BITS) >= LEAST_DOCUMENTS
+    often = np.bincount(flat, minlength=2 << BITS) >= LEAST_DOCUMENTS
     names = np.flatnonzero(often)
     number = np.cumsum(often) - 1
     owner = np.repeat(np.arange(len(features)), [len(f) for f in features])
@@ -88,17 +95,32 @@ def fit(features: list[np.ndarray], grades: np.ndarray, weight: np.ndarray) -> O
     return model
 
 
-def _words(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _features(batch: pa.RecordBatch, used: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Of runs of rows: first row, number of rows, and (owner, feature) of each distinct feature of each row.
+
+    With `used`, a mark for each feature, only used ones are looked for.
+    """
     for first, _, data, offsets in text_chunks(batch, "text"):
-        hashes, ends = word_hashes(data, offsets, APART)
-        yield first, (hashes >> U64(64 - BITS)).astype(np.int64), np.concatenate([[0], ends])
+        hashes, ends, *begun = word_hashes(data, offsets, APART, PREFIXES)
+        n = len(ends)
+        owner = np.repeat(np.arange(n), np.diff(ends, prepend=0))
+        keys = []
+        for i, (values, there) in enumerate([(hashes, slice(None)), *begun]):
+            feature = (mix64(values[there] + U64(i)) >> U64(64 - BITS)).astype(np.int64)
+            keys.append(owner[there] << BITS | feature)
+            if used is not None:
+                keys[-1] = keys[-1][used[feature]]
+        pairs, counts = np.unique(np.concatenate(keys), return_counts=True)
+        pairs = np.concatenate([pairs, pairs[counts >= MANY] | np.int64(1) << 62])
+        yield first, n, (pairs & ~(np.int64(1) << 62)) >> BITS, (pairs & ((1 << BITS) - 1)) | (pairs >> 62) << BITS
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, words, bounds in _words(batch):
-            data = [np.unique(words[a:b]).astype(np.int32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            n = len(data)
+        for first, n, owner, feature in _features(batch):
+            order = np.lexsort((feature, owner))
+            edges = np.searchsorted(owner[order], np.arange(n + 1))
+            data = [feature[order][a:b].astype(np.int32).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), batch.column("grade").slice(first, n), pa.array(data, pa.binary())], ["doc_id", "grade", "features"])
 
 
@@ -108,8 +130,9 @@ def grades_of(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").alias("label_id"), grade.alias("grade")).filter("label_id is not null and grade is not null").groupBy("label_id").agg(F.max("grade").alias("grade"))
 
 
-def train(documents: DataFrame, labels: DataFrame) -> Ordinal:
-    graded = grades_of(labels)
+def train(documents: DataFrame, graded: DataFrame) -> Ordinal:
+    """Fits on the documents of `graded` (label_id, grade)."""
+    small_batches(documents.sparkSession)
     counts = {r["grade"]: r["n"] for r in graded.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return fit([], np.zeros(0, int), np.zeros(0))
@@ -126,24 +149,20 @@ def train(documents: DataFrame, labels: DataFrame) -> Ordinal:
 
 
 def severity(documents: DataFrame, model: Ordinal) -> DataFrame:
-    """(doc_id, severity, p_toxic, grade) of every row: expected grade, P(grade > 0) and the likeliest grade."""
+    """(doc_id, severity, p_toxic, grade) of every row: expected grade, P(grade > 0) and the number of grades that it is above."""
     small_batches(documents.sparkSession)
     used = np.flatnonzero(model.weights)
     values, thresholds = model.weights[used], model.thresholds
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.zeros(1 << BITS)
+        weights = np.zeros(2 << BITS)
         weights[used] = values
+        heavy = (weights[: 1 << BITS] != 0) | (weights[1 << BITS :] != 0)
         for batch in batches:
-            for first, words, bounds in _words(batch):
-                n = len(bounds) - 1
-                heavy = np.flatnonzero(weights[words])
-                owner = np.searchsorted(bounds, heavy, side="right") - 1
-                pairs = np.unique(owner << BITS | words[heavy])
-                total = np.bincount(pairs >> BITS, weights[pairs & ((1 << BITS) - 1)], minlength=n)
+            for first, n, owner, feature in _features(batch, heavy):
+                total = np.bincount(owner, weights[feature], minlength=n)
                 above = Ordinal(weights, thresholds).above(total)
-                each = np.concatenate([np.ones((n, 1)), above], axis=1) - np.concatenate([above, np.zeros((n, 1))], axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), pa.array(above.sum(axis=1)), pa.array(above[:, 0].copy()), pa.array(each.argmax(axis=1).astype(np.int32))], ["doc_id", "severity", "p_toxic", "grade"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), pa.array(above.sum(axis=1)), pa.array(above[:, 0].copy()), pa.array((above >= CUT).sum(axis=1).astype(np.int32))], ["doc_id", "severity", "p_toxic", "grade"])
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(score, "doc_id long, severity double, p_toxic double, grade int")
 
@@ -151,5 +170,5 @@ def severity(documents: DataFrame, model: Ordinal) -> DataFrame:
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     """Expected severity of every document."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = train(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return severity(documents, model).select("doc_id", "severity", "p_toxic", "grade", (F.col("p_toxic") >= 0.5).alias("toxic"))
+    model = train(documents, grades_of(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return severity(documents, model).select("doc_id", "severity", "p_toxic", "grade", (F.col("p_toxic") >= CUT).alias("toxic"))

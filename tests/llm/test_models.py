@@ -2,11 +2,13 @@
 
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import held_out, unigrams
+from brute import UPPER, held_out, unigrams
 
 from terrace.llm import langid, lm, toxicity
 
@@ -57,6 +59,24 @@ def test_tables_of_byte_pairs_equal_the_convolution():
     assert np.allclose(langid.pooled(windows, net.tables()), np.concatenate(want, axis=1), atol=1e-4)
 
 
+def test_predictions_equal_a_network_of_plain_loops(spark, folder, language_case):
+    """Windows of whole texts, filters, maxima and softmax one by one, averaged by length."""
+    documents = language_case[0][:150] + [(9004, "karoti zho " * 150, None, None), (9006, "Ü1", None, None)]
+    table = spark.read.parquet(folder(documents) + "/documents.parquet")
+    net = langid.fit(table)
+    p, got = net.parameters, {r["doc_id"]: r for r in langid.identify(table, net).collect()}
+    for i, text, *_ in documents[:12] + documents[-2:]:
+        data = bytes(b + 32 if 65 <= b < 91 else b for b in text.encode())
+        total = np.zeros(len(net.languages))
+        for at in range(0, len(data), langid.WINDOW):
+            piece = data[at : at + langid.WINDOW]
+            x = p[0][list(piece.ljust(langid.WINDOW, b"\0"))]
+            pooled = [max(float((x[j : j + w] * p[1 + 2 * k][:, :, f]).sum() + p[2 + 2 * k][f]) for j in range(langid.WINDOW - w + 1)) for k, w in enumerate(langid.WIDTHS) for f in range(langid.FILTERS)]
+            logits = np.maximum(pooled, 0) @ p[-2] + p[-1]
+            total += np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum() * len(piece)
+        assert got[i]["lang_pred"] == net.languages[int(total.argmax())] and got[i]["score"] == pytest.approx(total.max() / total.sum(), abs=1e-3)
+
+
 # Toxicity
 
 
@@ -96,6 +116,31 @@ def test_severity_without_labels_or_with_one_grade(spark, folder):
     assert toxicity.op6_toxicity(spark, folder([])).count() == 0
 
 
+def plain_features(text: str | None) -> set[tuple]:
+    """Words and beginnings by bytes, and again those that occur often."""
+    words = [w.encode() for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", (text or "").translate(UPPER))]
+    found = Counter(f for w in words for f in [(None, w), *((k, w[:k]) for k in toxicity.PREFIXES if len(w) >= k)])
+    return set(found) | {(*f, "many") for f, n in found.items() if n >= toxicity.MANY}
+
+
+def hashed_features(text: str | None) -> list[int]:
+    batch = pa.RecordBatch.from_arrays([pa.array([text], pa.string())], ["text"])
+    return [int(f) for _, _, _, features in toxicity._features(batch) for f in features]
+
+
+def test_severity_equals_plain_sums_of_weights(spark, folder):
+    documents, labels, _ = toxic_case(300)
+    sf = folder(documents + [(9001, "Été été ÉTÉ vile vilest, wretchedness"), (9002, None)], labels=labels)
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.train(table, toxicity.grades_of(spark.read.parquet(f"{sf}/labels.parquet")))
+    got = {r["doc_id"]: r for r in toxicity.severity(table, model).collect()}
+    for r in table.collect():
+        features = hashed_features(r["text"])
+        assert len(features) == len(plain_features(r["text"]))
+        above = [1 / (1 + math.exp(t - sum(model.weights[f] for f in features))) for t in model.thresholds]
+        assert got[r["doc_id"]]["severity"] == pytest.approx(sum(above)) and got[r["doc_id"]]["grade"] == sum(a >= toxicity.CUT for a in above)
+
+
 def test_thresholds_rise():
     model = toxicity.fit([np.array([1, 2]), np.array([2, 3]), np.array([3])] * 20, np.array([0, 1, 2] * 20), np.ones(60))
     assert model.thresholds[0] < model.thresholds[1]
