@@ -10,9 +10,10 @@ Both joins probe a broadcast table of benchmark tokens. Its rows are counted fir
 are dealt into blocks of at most that many, and each block is joined to all rows in a pass of its own. Nothing that
 grows with the documents is broadcast, and the corpus is never shuffled: only hits are.
 
-Defined results: a null or wordless text has no words and no hits; equal ids with equal texts are one document, equal
-ids with different texts give a row each; a null id is a group of its own; items that are null, wordless or repeated
-(same id and words) add nothing; an empty table on either side gives no hits or no rows; other columns are ignored.
+Defined results: a null or wordless text has no words and no hits; repeated rows (same id and text) give a row each, all
+alike, and so do rows with null ids; equal ids with different texts have results of their own; very long texts are searched
+whole; of tied shingles the one with the least hash is the prefix; items that are null, wordless or repeated (same id and
+words) add nothing; an empty table on either side gives no hits or no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,9 +46,10 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _positions(documents: DataFrame, width: int) -> DataFrame:
-    """A row for each word: key of the document, its words, place and the token that starts there."""
+    """A row for each word: key of the document, its words, place and the token that starts there; and one of place -1 without."""
     words = documents.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
-    return words.select("*", F.posexplode_outer("words").alias("at", "word")).withColumn("token", _token(F.col("words"), F.col("at"), width))
+    placed = words.select("*", F.explode(F.sequence(F.lit(-1), F.size("words") - 1)).alias("at"))
+    return placed.withColumn("token", F.when(F.col("at") >= 0, _token(F.col("words"), F.col("at"), width)))
 
 
 def _token_counts(documents: DataFrame, tokens: DataFrame, width: int) -> DataFrame:
@@ -67,11 +69,11 @@ def _prefixes(documents: DataFrame, windows: DataFrame, width: int) -> DataFrame
 def find_occurrences(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """(doc_id, text_hash, n_words, start, length, items): every occurrence of a window, start from 0.
 
-    Each document also has one row with null start, so that documents without hits stay.
+    Each row of documents also has one row with null start, so that documents without hits stay, and repeated ones count.
     """
     windows = item_windows(benchmark, window)
-    # Lengths and the number of windows come from the benchmark alone; at most `window` rows reach the driver.
-    sizes = {r["length"]: r["n"] for r in windows.groupBy(F.size("window_words").alias("length")).agg(F.count("*").alias("n")).collect()}
+    # Lengths and the number of windows, each as often as items hold it, come from the benchmark alone; at most `window` rows reach the driver.
+    sizes = {r["length"]: r["n"] for r in windows.groupBy(F.size("window_words").alias("length")).agg(F.sum(F.size("items")).alias("n")).collect()}
     wide = sum(n for length, n in sizes.items() if length >= shingle)
     groups = [(length, F.size("window_words") == length, n) for length, n in sorted(sizes.items()) if length < shingle]
     groups += [(shingle, F.size("window_words") >= shingle, wide)] if wide or not groups else []
@@ -85,7 +87,7 @@ def find_occurrences(documents: DataFrame, benchmark: DataFrame, window: int = W
             start = F.col("at") - F.col("offset")
             length = F.size("window_words")
             verified = F.col("offset").isNotNull() & (start >= 0) & (start + length <= F.size("words")) & (F.slice("words", F.greatest(start, F.lit(0)) + 1, length) == F.col("window_words"))
-            rows = joined.withColumn("hit", F.coalesce(verified, F.lit(False))).filter("hit or coalesce(at, 0) = 0")
+            rows = joined.withColumn("hit", F.coalesce(verified, F.lit(False))).filter(F.col("hit") | ((F.col("at") < 0) & F.lit(not found)))
             found.append(rows.select("doc_id", "text_hash", F.size("words").alias("n_words"), F.when(F.col("hit"), start).alias("start"), F.when(F.col("hit"), length).alias("length"), F.when(F.col("hit"), F.col("items")).alias("items")))
     out = found[0]
     for other in found[1:]:
@@ -94,14 +96,15 @@ def find_occurrences(documents: DataFrame, benchmark: DataFrame, window: int = W
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """A row for each document: doc_id, text_hash, n_words, n_hit (words inside any occurrence), items (sorted ids)."""
+    """For each row doc_id, text_hash, n_words, n_hit (words inside any occurrence), items (sorted ids)."""
     hits = find_occurrences(documents, benchmark, **options)
     covered = F.expr("flatten(transform(filter(spans, x -> x.start is not null), x -> sequence(x.start, x.start + x.length - 1)))")
-    return (
-        hits.groupBy("doc_id", "text_hash")
-        .agg(F.max("n_words").cast("long").alias("n_words"), F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set("items").alias("items"))
-        .select("doc_id", "text_hash", "n_words", F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
-    )
+    found = hits.groupBy("doc_id", "text_hash").agg(F.max("n_words").cast("long").alias("n_words"), F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set("items").alias("items"), F.count_if(F.col("start").isNull()).alias("copies"))
+    found = found.select("doc_id", "text_hash", "n_words", F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"), "copies")
+    # Copies in two steps, so that no array of them is long.
+    parts = found.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / 4096))))
+    rows = parts.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("copies") - F.col("part") * 4096, F.lit(4096).cast("long")))))
+    return rows.drop("copies", "part", "copy")
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

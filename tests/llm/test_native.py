@@ -36,10 +36,16 @@ def test_decontaminate_equals_brute_force(spark, folder, block):
     documents, items = decontamination_case()
     sf = folder(documents, items)
     found = dc.decontaminate(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"), block_windows=block)
-    want = sorted({(i, t): (i, *contamination(t, items)) for i, t in documents}.values(), key=repr)
+    want = sorted(((i, *contamination(t, items)) for i, t in documents), key=repr)
     assert rows(found, "doc_id", "n_words", "n_hit", "items") == want
 
 
+def test_decontaminate_keeps_many_copies(spark, folder):
+    sf = folder([(1, "a b c")] * 9000 + [(2, "b")], [(1, "a b c")])
+    got = dc.op2_decontaminate(spark, sf).groupBy("doc_id", "n_hit", "contaminated").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 3, True, 9000), (2, 0, False, 1)]
+
+
 def test_decontaminate_query(spark, folder):
     documents, items = decontamination_case()
     got = dc.op2_decontaminate(spark, folder(documents[:10], items)).collect()
@@ -184,6 +190,12 @@ def test_url_filter_empty_tables(spark):
     assert rows(urls.filter_urls(one, spark.createDataFrame([], entries)), "page_id", "pattern", "blocked") == [(1, None, False)]
 
 
+def test_addresses_as_hosts(spark):
+    cases = {"http://[2001:db8::1]:80/x": ["[2001:db8::1]"], "https://u@10.1.2.3/": ["10.1.2.3"], "http://a.b.c.d": ["a.b.c.d", "b.c.d", "c.d"], "http://1.2.3.4.5/": ["1.2.3.4.5", "2.3.4.5", "3.4.5", "4.5"]}
+    got = spark.createDataFrame([(u,) for u in cases], "url string").select("url", urls.suffixes(urls.host_of(F.col("url"))).alias("s")).collect()
+    assert {r["url"]: r["s"] for r in got} == cases
+
+
 # Personal data
 
 TEXTS = [
