@@ -10,7 +10,7 @@ alone. Intervals are repeated once per slot up to the last fetch.
 
 Defined results: a null url, or one without a host, keeps its row and is not blocked; so does a null fetch time; of
 entries of one pattern and date the one that sorts last by action holds ("block" over "allow"); entries with nulls are
-ignored; repeated captures (same id, url and time) are one row; hosts compare lower-cased, without port, user and final
+ignored; an address as host has no parent domains; repeated captures (same id, url and time) are one row; hosts compare lower-cased, without port, user and final
 dot; empty tables give no rows or no matches; other columns are ignored.
 """
 
@@ -20,19 +20,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLOT_DAYS = 32
+#: Hosts that are addresses, of either version.
+ADDRESS = r"\A(?:\[.*\]|[0-9]+(?:\.[0-9]+){3})\z"
 
 
 def host_of(url: Column) -> Column:
     """The lower-cased host, null where there is none."""
-    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"\A[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)), r"\.+\z", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"\A[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)", 1)), r"\.+\z", "")
     return F.when(host != "", host)
 
 
 def suffixes(host: Column) -> Column:
-    """The host and its parent domains, single labels left out unless the host is one."""
+    """The host and its parent domains, single labels left out unless the host is one. An address has none but itself."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    return F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
+    return F.when(host.rlike(ADDRESS), F.array(host)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), ".")))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -89,10 +91,10 @@ def op5_url_filter(spark, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH p AS (
   SELECT DISTINCT page_id, url, DATE '2023-01-01' + (page_id % 730)::INT AS fetched,
-    nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.'), '') AS host FROM pages
+    nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)', 1)), '.'), '') AS host FROM pages
 ), s AS (
   SELECT page_id, url, fetched, host, i, array_to_string(string_split(host, '.')[i:], '.') AS suffix
-  FROM (SELECT *, unnest(generate_series(1, greatest(len(string_split(host, '.')) - 1, 1))) AS i FROM p WHERE host IS NOT NULL)
+  FROM (SELECT *, unnest(generate_series(1, CASE WHEN regexp_matches(host, '^(\[.*\]|[0-9]+(\.[0-9]+){3})$') THEN 1 ELSE greatest(len(string_split(host, '.')) - 1, 1) END)) AS i FROM p WHERE host IS NOT NULL)
 ), n AS (SELECT DISTINCT suffix AS pattern FROM s WHERE i <= 2 AND ('0x' || substr(md5(suffix), 1, 6))::INT % 3 = 0),
 e AS (
   SELECT pattern, CASE WHEN i = 1 THEN 'allow' ELSE 'block' END AS action,
