@@ -1,14 +1,15 @@
 """Language identification by a byte convolutional network, trained in numpy on labelled text.
 
 Bytes are embedded; filters of widths 2, 3 and 4 slide over windows of fixed length; each filter's maximum over the window
-goes through a softmax. Training takes a bounded sample: windows of up to PER_LANGUAGE documents of each of the most
-frequent MAX_LANGUAGES labels, drawn by a hash of the id, so reruns and recomputed tasks agree. Scoring cuts every whole
+goes through a softmax. Training takes a bounded sample: windows of up to PER_LANGUAGE documents of each label,
+drawn by a hash of the id, so reruns and recomputed tasks agree. Scoring cuts every whole
 text into windows and averages their probabilities by length. There a filter is a sum of table rows: one row for each
 pair of bytes, so the tables' size is fixed.
 
 Defined results: null texts and texts without a letter are `und` with score 0; without labelled rows every text is `und`;
-A-Z are lower-cased; repeated rows give a row each; equal texts give equal results; a null id is not held out and not
-learned from; other columns are never inputs.
+A-Z are lower-cased; very long texts are scored whole, window by window; of equally likely languages the first by name is
+given; repeated rows give a row each; equal texts give equal results; a null id is not held out and not learned from; an
+empty table gives no rows; other columns are never inputs.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from terrace.llm.common import crc_bucket, small_batches, text_chunks
 
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 16, 8
-PER_LANGUAGE, MAX_LANGUAGES, WINDOWS_PER_DOCUMENT = 300, 256, 4
+PER_LANGUAGE, WINDOWS_PER_DOCUMENT = 300, 4
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.005, 11
 UNDETERMINED = "und"
 
@@ -130,7 +131,7 @@ def _window_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def sample_windows(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """The bounded sample: (windows, label of each, languages) from rows with doc_id, text and lang."""
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, int), []
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * PER_LANGUAGE / r["n"])))])
