@@ -26,7 +26,7 @@ The jobs:
 
 Defined results: null and wordless texts have empty sets and are linked with nothing; repeated rows give a row each;
 a null id keeps its row, with its own null component unless linked; equal sets link even at one shingle; empty tables
-give no rows; other columns are ignored.
+give no rows; very long texts have their whole sets; ties in rarity are broken by hash; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def _sketches(sets: Sets) -> np.ndarray:
 
 
 _WORDS = SKETCH_BITS // 64
-_PROFILE = "doc_id long, cls long, n int, " + ", ".join(f"s{i} long" for i in range(_WORDS)) + ", block int, counts binary"
+_PROFILE = "doc_id long, text_hash long, cls long, n int, " + ", ".join(f"s{i} long" for i in range(_WORDS)) + ", block int, counts binary"
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,13 +99,13 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << COUNT_BITS, np.int64)
     waiting: list[np.ndarray] = []
     held = 0
-    names = ["doc_id", "cls", "n", *(f"s{i}" for i in range(_WORDS)), "block", "counts"]
+    names = ["doc_id", "text_hash", "cls", "n", *(f"s{i}" for i in range(_WORDS)), "block", "counts"]
     none = lambda n, kind: pa.nulls(n, kind)
     for batch in batches:
         for sets in shingle_sets(batch, "text", SHINGLE):
             n = len(sets.bounds) - 1
             sketch = _sketches(sets)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(sets.first_row, n), pa.array(_classes(sets).view(np.int64)), pa.array(sets.sizes.astype(np.int32)), *(pa.array(sketch[:, i].copy()) for i in range(_WORDS)), none(n, pa.int32()), none(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(sets.first_row, n), batch.column("text_hash").slice(sets.first_row, n), pa.array(_classes(sets).view(np.int64)), pa.array(sets.sizes.astype(np.int32)), *(pa.array(sketch[:, i].copy()) for i in range(_WORDS)), none(n, pa.int32()), none(n, pa.binary())], names)
             waiting.append(_counted(sets.hashes))
             held += len(waiting[-1])
             if held > 1 << COUNT_BITS:
@@ -120,7 +120,7 @@ def _count_rows(counts: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch
     blocks = counts.reshape(-1, _COUNT_BLOCK)
     full = np.flatnonzero(blocks.any(axis=1))
     if len(full):
-        sizes = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * _WORDS]
+        sizes = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * _WORDS]
         values = [blocks[i].tobytes() for i in full] if blocks.max() > 0xFFFFFFFF else [blocks[i].astype(np.uint32).tobytes() for i in full]
         yield pa.RecordBatch.from_arrays([*(pa.nulls(len(full), t) for t in sizes), pa.array(full.astype(np.int32)), pa.array(values, pa.binary())], names)
 
@@ -303,7 +303,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class JaccardJoin:
-    """The join over one table. `labels` gives (doc_id, n_shingles, component_id)."""
+    """The join over one table."""
 
     def __init__(self, spark: SparkSession, documents: DataFrame, hot_count: int = HOT_COUNT, broadcast_classes: int = BROADCAST_CLASSES, pivot_rounds: int = 2, group: int = GROUP, spoiled: int = SPOILED):
         self.spark, self.hot, self.broadcast_classes, self.pivot_rounds, self.group, self.spoiled = spark, hot_count, broadcast_classes, pivot_rounds, group, spoiled
@@ -312,7 +312,7 @@ class JaccardJoin:
         self.scratch = Scratch(spark, "jaccard")
 
     def _profiles(self) -> None:
-        profile = self.scratch.save(self.documents.mapInArrow(_profile, _PROFILE), "profile")
+        profile = self.scratch.save(self.documents.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_profile, _PROFILE), "profile")
         self.rows = profile.filter("block is null").drop("block", "counts")
         self.rarity = feature_counts(profile)
         sketch = [F.first(f"s{i}").alias(f"s{i}") for i in range(_WORDS)]
@@ -369,6 +369,11 @@ class JaccardJoin:
         self.sets = self.scratch.save(texts.select("text").mapInArrow(_set_rows, "cls long, sketch array<long>, features binary"), "sets")
 
     def labels(self) -> DataFrame:
+        """(doc_id, n_shingles, component_id) of every row."""
+        return self.labelled().select("doc_id", "n_shingles", "component_id")
+
+    def labelled(self) -> DataFrame:
+        """The labels with text_hash (xxhash64) and root, which names the component where ids repeat; null for empty sets."""
         self._profiles()
         shared = self._shared_signatures()
         self._store_sets(shared)
@@ -397,8 +402,8 @@ class JaccardJoin:
                 self.scratch.drop(table)
         roots = self.classes.select("cls", "rep").join(graph.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         least = roots.groupBy("root").agg(F.min("rep").alias("component"))
-        of_class = roots.join(least, "root").select("cls", "component")
-        return self.rows.select("doc_id", "n", "cls").join(of_class, "cls", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+        of_class = roots.join(least, "root").select("cls", "component", "root")
+        return self.rows.select("doc_id", "text_hash", "n", "cls").join(of_class, "cls", "left").select("doc_id", "text_hash", "root", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _bounds(u: str, v: str):
