@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir), works on all rows of its input and retur
 to the shared folder and reads again for the next one. All but the last return the columns of documents; the last adds
 what the mix takes. No stage joins texts to a table that grows, but for the last, which joins its decisions by id.
 
-Defined results: rows with null ids are never removed as duplicates; an empty input passes through all stages.
+Defined results: of linked rows one stays, a null id after all others; an empty input passes through all stages.
 """
 
 from __future__ import annotations
@@ -43,18 +43,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of linked ones; of rows that repeat its id, the first by text."""
+    """Keeps one document of each group of linked ones: the least by id (null last), then by hash of the text; of equal rows one.
+
+    Rows are told apart by id and text, so an id that repeats with other texts loses none of them.
+    """
     scratch = Scratch(spark, "pipeline-jaccard")
-    labels = scratch.save(JaccardJoin(spark, docs).labels(), "labels").filter("doc_id is not null")
-    copies = _few(labels.filter("component_id <> doc_id").select("doc_id").distinct(), scratch, "copies")
-    kept = docs.select(*COLUMNS).join(copies, "doc_id", "left_anti")
-    repeated = labels.filter("n_shingles > 0 and component_id = doc_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    repeated = scratch.save(repeated, "repeated")
-    if not repeated.isEmpty():
-        first = Window.partitionBy("doc_id").orderBy("text", "source", "lang")
-        again = kept.join(repeated, "doc_id", "left_semi").withColumn("r", F.row_number().over(first)).filter("r = 1").drop("r")
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(again)
-    return kept.select(*COLUMNS)
+    labels = scratch.save(JaccardJoin(spark, docs).labelled(), "labels").filter("root is not null")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")
+    groups = labels.groupBy("root").agg(least, F.count("*").alias("n")).filter("n > 1")
+    groups = groups.select("root", F.col("least.doc_id").alias("least_id"), F.col("least.text_hash").alias("least_hash"))
+    first = F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("text_hash") == F.col("least_hash"))
+    members = scratch.save(labels.join(_few(groups, scratch, "groups"), "root").select("doc_id", "text_hash", first.alias("first")), "members")
+    same = lambda keys: docs["doc_id"].eqNullSafe(keys["copy_id"]) & (F.xxhash64(docs["text"]) == keys["copy_hash"])
+    named = [F.col("doc_id").alias("copy_id"), F.col("text_hash").alias("copy_hash")]
+    copies = _few(members.filter("not first").select(*named).distinct(), scratch, "copies")
+    repeated = _few(members.filter("first").groupBy(*named).count().filter("count > 1").drop("count"), scratch, "repeated")
+    once = docs.select(*COLUMNS).join(copies, same(copies), "left_anti").join(repeated, same(repeated), "left_anti")
+    place = Window.partitionBy("doc_id", "text").orderBy("source", "lang", "n_chars")
+    again = docs.select(*COLUMNS).join(repeated, same(repeated), "left_semi").withColumn("place", F.row_number().over(place))
+    return once.unionByName(again.filter("place = 1").drop("place"))
 
 
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
