@@ -20,7 +20,9 @@ def ordered_case(text: Column, rules: list[tuple[tuple[str, ...], str]], otherwi
 
 
 #: Surface words in the order in which they are tried.
-SURFACES = [(("umel", "artificial"), "artificial"), (("skvar", "antuk"), "gravel"), (("prirodni", "trav"), "grass")]
+SURFACES = [(("umela", "umt"), "artificial"), (("skvara", "antuka"), "gravel/clay"), (("prirodni", "trava"), "grass")]
+#: Words that allow and forbid, and the terms that they are near to.
+ALLOW, DENY, STUDS, ARTIFICIAL = "povolen", "zakazan", "lisov", r"\bag\b"
 
 
 def surface(notes: Column) -> Column:
@@ -37,21 +39,30 @@ def distance_to(text: Column, at: Column, word: str) -> Column:
 
 
 def nearest_verdict(text: Column, term: str, allow: tuple[str, ...], deny: tuple[str, ...]) -> Column:
-    """Whether a text allows a term: the nearest word to its first occurrence decides, a tie forbids."""
-    at = F.locate(term, text)
+    """Whether a text allows a term (a regular expression): the word nearest to its first occurrence decides, a tie forbids."""
+    at = F.regexp_instr(text, F.lit(term))
     nearest = lambda words: F.least(*[distance_to(text, at, w) for w in words], F.lit(None).cast("int"))
     yes, no = nearest(allow), nearest(deny)
     return F.when(at == 0, "unknown").when(no.isNull(), F.when(yes.isNotNull(), "allowed").otherwise("unknown")).when(yes.isNull(), "forbidden").when(no <= yes, "forbidden").otherwise("allowed")
 
 
 def footwear_line(notes: Column, start: str = "obuv") -> Column:
-    """The folded first line that starts with the keyword; null without one."""
-    return F.get(F.filter(F.transform(F.split(notes, "\n"), lambda x: F.trim(fold(x))), lambda x: x.startswith(start)), F.lit(0))
+    """The first line that starts with the keyword, trimmed; null without one."""
+    return F.get(F.filter(F.transform(F.split(notes, "\n"), lambda x: F.trim(x)), lambda x: fold(x).startswith(start)), F.lit(0))
 
 
-def footwear_summary(studs: Column, turf_soles: Column) -> Column:
-    """Four-way summary of two verdicts; studs that are not allowed leave the soles to decide."""
-    return F.when(studs == "allowed", "studs").when(turf_soles == "forbidden", "no turf soles").when(turf_soles == "allowed", "turf soles").otherwise("no studs")
+def footwear_summary(studs: Column, artificial: Column) -> Column:
+    """Four-way summary of two verdicts; studs that are not allowed leave the other soles to decide."""
+    return F.when(studs == "allowed", "lisovky OK").when(artificial == "forbidden", "turf / indoor only").when(artificial == "allowed", "AG or turf, no lisovky").otherwise("no lisovky")
+
+
+def footwear(notes: Column) -> Column:
+    """(text, studs, artificial, summary) of a ground's notes: verdicts are unknown and the rest empty without a line on footwear."""
+    line = footwear_line(notes)
+    verdict = lambda term: F.when(line.isNull(), "unknown").otherwise(nearest_verdict(fold(line), term, (ALLOW,), (DENY,)))
+    studs, artificial = verdict(STUDS), verdict(ARTIFICIAL)
+    summary = F.when(line.isNull(), "").otherwise(footwear_summary(studs, artificial))
+    return F.struct(F.coalesce(line, F.lit("")).alias("text"), studs.alias("studs"), artificial.alias("artificial"), summary.alias("summary"))
 
 
 def boots_label(studs: Column) -> Column:

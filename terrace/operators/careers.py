@@ -72,12 +72,14 @@ def biography(line: DataFrame, positions: DataFrame) -> DataFrame:
     return joined.select("family", "slug", "n", "oldest", "previous_level", F.col("hi.level").alias("high_level"), (-F.col("hi.s")).alias("high_season"), F.when(F.col("lo.level") != F.col("hi.level"), F.col("lo.level")).alias("low_level"), (F.col("last_pos") == F.col("first_pos")).alias("from_start"), "has_gap")
 
 
-def shared_seasons(archive: DataFrame, fixtures: DataFrame) -> DataFrame:
+def shared_seasons(archive: DataFrame, fixtures: DataFrame, kept: DataFrame | None = None, current: DataFrame | None = None) -> DataFrame:
     """(slug, season): seasons in which a team shared its division with one of its current opponents.
 
-    Two equi-joins and a semi join; a division is as large as a league table, so the join by division stays linear in
-    the fixtures.
+    Only `kept` seasons (slug, season) count, and none that is `current` (season). Equi-joins and semi joins; a division is
+    as large as a league table, so the join by division stays linear in the fixtures.
     """
-    own = fixtures.join(archive, "slug").select("slug", "opponent", "season", "division")
+    mine = archive if kept is None else archive.join(kept.select("slug", "season").distinct(), ["slug", "season"], "left_semi")
+    mine = mine if current is None else mine.join(current.select("season").distinct(), "season", "left_anti")
+    own = fixtures.join(mine, "slug").select("slug", "opponent", "season", "division")
     theirs = archive.select(F.col("slug").alias("opponent"), "season", "division")
     return own.join(theirs, ["opponent", "season", "division"], "left_semi").select("slug", "season").distinct()

@@ -37,6 +37,17 @@ def is_complete(read: Column, played: Column) -> Column:
     return F.size(F.array_except(played, read)) == 0
 
 
+def compare_sets(items: DataFrame, keys: list[str], item: str, first: Column, second: Column) -> DataFrame:
+    """Per key the sizes of union, intersection and difference of two sets of items, and whether the second covers the first.
+
+    Each distinct item is a row with two marks, so no group is gathered. Keys without an item on either side are left out.
+    """
+    marked = items.filter(first | second).groupBy(*keys, item).agg(F.bool_or(first).alias("a"), F.bool_or(second).alias("b"))
+    counts = marked.groupBy(*keys).agg(F.count("*").alias("either"), F.count_if(F.col("a") & F.col("b")).alias("both"), F.count_if(~F.col("b")).alias("only_first"), F.count_if("b").alias("n_second"))
+    kept = counts.filter((F.col("both") + F.col("only_first") > 0) & (F.col("n_second") > 0))
+    return kept.select(*keys, "either", "both", "only_first", (F.col("only_first") == 0).alias("complete"))
+
+
 def top_up(held: DataFrame, fresh: DataFrame, season: str, day: str) -> DataFrame:
     """Freshly read seasons replace the held rows of those seasons, newest first, missing dates last."""
     kept = held.join(fresh.select(season).distinct(), season, "left_anti")

@@ -31,3 +31,15 @@ def extremes(matches: DataFrame) -> DataFrame:
     best, worst = F.struct(-margin, "day", "match_id", "line"), F.struct(margin, "day", "match_id", "line")
     out = matches.groupBy("family", "slug", "season").agg(F.min_by(match, best).alias("b"), F.min_by(match, worst).alias("w"))
     return out.select("family", "slug", "season", F.col("b.match_id").alias("best_match"), F.col("b.margin").alias("best_margin"), F.col("w.match_id").alias("worst_match"), F.col("w.margin").alias("worst_margin"))
+
+
+def meeting_lists(fixtures: DataFrame, meetings: DataFrame) -> DataFrame:
+    """Fixtures (family, slug, opponent, ..) that have past meetings, with their list by day, and wins, draws and the rest.
+
+    A pair of teams meets a few times a season, so a list stays short. Fixtures are few beside matches.
+    """
+    row = F.struct("day", "match_id", "line", "gf", "ga", "res")
+    lists = meetings.groupBy("family", "slug", "opponent").agg(F.array_sort(F.collect_list(row)).alias("meetings"))
+    count = lambda r: F.size(F.filter("meetings", lambda m: m["res"] == r))
+    out = fixtures.join(lists, ["family", "slug", "opponent"]).withColumn("w", count("W")).withColumn("d", count("D"))
+    return out.withColumn("l", F.size("meetings") - F.col("w") - F.col("d"))

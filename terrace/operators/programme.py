@@ -29,3 +29,38 @@ def oriented(fixtures: DataFrame) -> DataFrame:
     """Fixtures seen from one team (team, opponent, at_home) as home and away."""
     home = F.col("at_home")
     return fixtures.withColumn("home", F.when(home, F.col("team")).otherwise(F.col("opponent"))).withColumn("away", F.when(home, F.col("opponent")).otherwise(F.col("team")))
+
+
+def chosen(rows: DataFrame, codes: list[str] | None = None, slug: object = None, family: str | None = None, season: int | None = None, limit: int | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+    """Rows by code, team, family and season, each where given; then the first `limit` in order."""
+    if codes is not None:
+        rows = rows.filter(F.col("code").isin(codes))
+    for name, value in (("slug", slug), ("family", family), ("season", season)):
+        rows = rows if value is None else rows.filter(F.col(name) == value)
+    return rows if limit is None else rows.orderBy(*order).limit(limit)
+
+
+def with_fixtures(teams: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """Teams (team, ..) that have a fixture."""
+    return teams.join(fixtures.select("team").distinct(), "team", "left_semi")
+
+
+def placed(fixtures: DataFrame, venues: DataFrame) -> DataFrame:
+    """Fixtures (code, ..) with the name of their ground, or its code where none is known, and its area."""
+    known = venues.select("code", F.col("name").alias("ground"), "area")
+    return fixtures.join(known, "code", "left").withColumn("ground", F.coalesce("ground", F.col("code").cast("string")))
+
+
+def team_summaries(fixtures: DataFrame) -> DataFrame:
+    """Per team of placed fixtures (team, opponent, score, official, res, met, area): played matches by result, provisional
+    results, opponents met before, fixtures on grounds without a measure, and the largest ground by the smallest."""
+    count = lambda r: F.count_if(F.col("res") == r)
+    provisional = F.count_if(F.col("score").isNotNull() & ~F.col("official"))
+    out = fixtures.groupBy("team").agg(F.count("res").alias("played"), count("W").alias("w"), count("D").alias("d"), count("L").alias("l"), provisional.alias("provisional"), F.count_distinct(F.when(F.col("met"), F.col("opponent"))).alias("met"), F.count_if(F.col("area").isNull()).alias("unmeasured"), F.max("area").alias("most"), F.min("area").alias("least"))
+    return out.withColumn("ratio", F.round(F.col("most") / F.col("least"), 1)).drop("most", "least")
+
+
+def grounds_by_area(fixtures: DataFrame, pos: str) -> DataFrame:
+    """(team, code, area, place): a team's measured grounds, the largest first, of equal ones the first in its fixtures."""
+    own = fixtures.filter("area is not null").groupBy("team", "code").agg(F.first("area").alias("area"), F.min(pos).alias("pos"))
+    return own.withColumn("place", F.row_number().over(Window.partitionBy("team").orderBy(F.desc("area"), "pos", "code"))).drop("pos")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrace.plans import league, tables
+from terrace.plans import league, pages, seasons, tables
 
-QUERIES = {**league.QUERIES, **tables.QUERIES}
-ORACLES = {**league.ORACLES, **tables.ORACLES}
+QUERIES = {**league.QUERIES, **tables.QUERIES, **seasons.QUERIES, **pages.QUERIES}
+ORACLES = {**league.ORACLES, **tables.ORACLES, **seasons.ORACLES, **pages.ORACLES}

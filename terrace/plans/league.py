@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from terrace.functions.calendar import half_year
 from terrace.functions.rules import career_dot, share_of
 from terrace.operators import careers, meetings, squads
+from terrace.operators.dedupe import compare_sets
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -169,19 +170,20 @@ def q25_opt_out(spark, sf_dir):
 def q26_season_pruning(spark, sf_dir):
     archive = presence(spark, sf_dir).select("slug", "season", ((F.col("slug") + F.col("season")) % 3).alias("division"))
     fixtures = archive.select("slug").distinct().withColumn("opponent", F.col("slug") + 3)
-    return careers.shared_seasons(archive, fixtures)
+    kept, _ = _career(spark, sf_dir)
+    return careers.shared_seasons(archive, fixtures, kept, archive.agg(F.max("season").alias("season")))
 
 
 def q27_set_ops(spark, sf_dir):
     """Suppliers per segment: in either of two years, in both, and only in the first; and whether the second covers the first."""
     m = matches(spark, sf_dir)
-    year = lambda y: m.filter(F.year("day") == y).groupBy("family").agg(F.collect_set("opponent").alias(f"s{y}"))
-    both = year(1996).join(year(1997), "family")
-    return both.select("family", F.size(F.array_union("s1996", "s1997")).cast("long").alias("either"), F.size(F.array_intersect("s1996", "s1997")).cast("long").alias("both"), F.size(F.array_except("s1996", "s1997")).cast("long").alias("only_first"), (F.size(F.array_except("s1996", "s1997")) == 0).alias("complete"))
+    return compare_sets(m, ["family"], "opponent", F.year("day") == 1996, F.year("day") == 1997)
 
 
 def q37_share_and_dots(spark, sf_dir):
-    line = _line(spark, sf_dir)[0].filter(squads.in_range(F.col("season"), *RANGE))
+    career, _ = _career(spark, sf_dir)
+    within = squads.in_range(F.col("season"), *RANGE)
+    line = careers.career_line(career.filter(within), careers.standings(matches(spark, sf_dir).filter(within & F.col("official"))))
     most = line.groupBy("family").agg(F.max("points").alias("most"))
     return line.join(most, "family").select("family", "slug", "season", career_dot(F.col("place"), F.col("out_of")).alias("dot"), share_of(F.col("points"), F.col("most")).alias("share"))
 
@@ -218,8 +220,9 @@ ORACLES = {
     g AS (SELECT *, row_number() OVER (PARTITION BY team, player ORDER BY day, kind, match_id, line) AS r FROM f WHERE team IN (SELECT team FROM el))
     SELECT team, player, dense_rank() OVER (PARTITION BY team ORDER BY day, kind, match_id, line)::INT AS ordinal FROM g WHERE r = 1""",
     "q25_opt_out": f"WITH {M}, {SQ} SELECT * FROM parts WHERE player % 7 <> 0",
-    "q26_season_pruning": f"""WITH {P}, a AS (SELECT DISTINCT slug, season, (slug + season) % 3 AS division FROM p)
-    SELECT DISTINCT x.slug, x.season FROM a x WHERE EXISTS (SELECT 1 FROM a y WHERE y.slug = x.slug + 3 AND y.season = x.season AND y.division = x.division)""",
+    "q26_season_pruning": f"""WITH {P}, {POS}, {CAREER}, a AS (SELECT DISTINCT slug, season, (slug + season) % 3 AS division FROM p)
+    SELECT DISTINCT x.slug, x.season FROM a x WHERE EXISTS (SELECT 1 FROM a y WHERE y.slug = x.slug + 3 AND y.season = x.season AND y.division = x.division)
+      AND season < (SELECT max(season) FROM a) AND EXISTS (SELECT 1 FROM career c WHERE c.slug = x.slug AND c.season = x.season)""",
     "q27_set_ops": f"""WITH {M}, a AS (SELECT DISTINCT family, opponent FROM m WHERE year(day) = 1996), b AS (SELECT DISTINCT family, opponent FROM m WHERE year(day) = 1997),
     j AS (SELECT coalesce(a.family, b.family) AS family, a.opponent AS x, b.opponent AS y FROM a FULL JOIN b ON a.family = b.family AND a.opponent = b.opponent)
     SELECT family, count(*) AS either, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS "both", count(*) FILTER (y IS NULL) AS only_first, count(*) FILTER (y IS NULL) = 0 AS complete

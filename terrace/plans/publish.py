@@ -19,9 +19,20 @@ def content_name(stem: Column, payload: Column) -> Column:
     return F.concat_ws(".", stem, digest(payload), F.lit("json"))
 
 
+def digest_tree(rows: DataFrame, by: list[str], bucket: Column, order: str, payload: str) -> DataFrame:
+    """(.., digest, n): per group the digest of its buckets' digests, and those of their payloads' digests in order.
+
+    A bucket holds a bounded part of a group, so no row holds many digests and no task a whole group's payloads.
+    """
+    joined = lambda column, at: F.expr(f"sha1(listagg({column}, '') within group (order by {at}))")
+    each = rows.select(*by, bucket.alias("_bucket"), F.col(order).alias("_order"), F.sha1(F.col(payload)).alias("_digest"))
+    parts = each.groupBy(*by, "_bucket").agg(joined("_digest", "_order").alias("_digest"), F.count("*").alias("_n"))
+    return parts.groupBy(*by).agg(F.substring(joined("_digest", "_bucket"), 1, 8).alias("digest"), F.sum("_n").alias("n"))
+
+
 def release_digest(published: DataFrame, key: str) -> DataFrame:
-    """(digest): of all payloads in key order. The digests of payloads are joined, so one row holds no payload."""
-    return published.agg(digest(F.expr(f"listagg(sha1(payload), '') within group (order by {key})")).alias("digest"))
+    """(digest): of all payloads, in 4,096 buckets of keys."""
+    return digest_tree(published, [], F.crc32(F.col(key).cast("string").cast("binary")) % 4096, key, "payload").select("digest")
 
 
 def write_release(published: DataFrame, key: str, root: str) -> str:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrace.functions import geometry, rules
-from terrace.functions.text import code_number, code_prefix, digest, fold, strip_tags
+from terrace.functions.text import code_number, code_prefix, fold, strip_tags
 from terrace.operators import merge, profiles
 from terrace.operators.dedupe import first_by, unique_only
 from terrace.operators.programme import fixture_texts, programme
+from terrace.plans.publish import digest_tree
 from terrace.sources.html import links
 from terrace.streaming.refresh import refresh_once
 
@@ -42,14 +43,16 @@ def q13_dedupe_first(spark, sf_dir):
 
 
 def _results(spark, sf_dir, part: str) -> DataFrame:
-    """Snapshots of results: a row for each team, day, code and opponent, from other events in either snapshot."""
+    """Snapshots of all results, a row for each team, day, code and opponent: the first event of a key, then the last one, each with other scores known."""
     e = _read(spark, sf_dir, "events")
     keys = [F.col("user_id").alias("team"), F.col("ts").cast("date").alias("day"), F.col("event_type").alias("code"), (F.col("event_id") % 3).alias("opponent")]
     if part == "held":
-        chosen = e.filter("event_id % 3 <> 0 or event_id % 5 = 0").select(*keys, F.col("value").alias("score"), (F.col("event_id") % 2 == 0).alias("official"), "event_id")
+        chosen = e.select(*keys, F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("score"), (F.col("event_id") % 2 == 0).alias("official"), "event_id")
     else:
-        chosen = e.filter("event_id % 2 = 0 and user_id % 4 <> 0").select(*keys, F.when(F.col("event_type") != "error", F.col("value")).alias("score"), (F.col("event_id") % 4 == 0).alias("official"), "event_id")
-    return first_by(chosen, ["team", "day", "code", "opponent"], "event_id").drop("event_id")
+        known = (F.col("event_type") != "error") & (F.col("event_id") % 2 == 0)
+        chosen = e.select(*keys, F.when(known, F.col("value")).alias("score"), (F.col("event_id") % 4 == 0).alias("official"), "event_id")
+    order = F.col("event_id") if part == "held" else -F.col("event_id")
+    return first_by(chosen, ["team", "day", "code", "opponent"], order).drop("event_id")
 
 
 def q14_result_merge(spark, sf_dir):
@@ -146,7 +149,7 @@ def q29_band_pairs(spark, sf_dir):
 
 def q30_nearest_peak(spark, sf_dir):
     profile = _profile(spark, sf_dir)
-    edges = profile.filter("idx % 7 = 0").select("profile_id", F.col("idx").alias("edge"))
+    edges = profile.select("profile_id", F.col("idx").alias("edge"))
     return profiles.nearest_peak(edges, _peaks(spark, sf_dir), 12)
 
 
@@ -156,8 +159,9 @@ def q31_robust_stats(spark, sf_dir):
 
 
 def q32_digest(spark, sf_dir):
+    """Digest of a nation's customers in two levels, by thousands of keys."""
     c = _read(spark, sf_dir, "customer").withColumn("payload", F.concat_ws("|", "c_custkey", "c_name", "c_mktsegment"))
-    return c.groupBy("c_nationkey").agg(digest(F.expr("listagg(payload, ';') within group (order by c_custkey)")).alias("digest"), F.count("*").alias("n"))
+    return digest_tree(c, ["c_nationkey"], F.floor(F.col("c_custkey") / 1000), "c_custkey", "payload")
 
 
 def q33_calendar_rows(spark, sf_dir):
@@ -174,7 +178,7 @@ def q34_code_order(spark, sf_dir):
 
 
 def q36_ground_fixtures_text(spark, sf_dir):
-    f = _fixtures(spark, sf_dir).filter("minute < 60").withColumn("label", F.concat_ws(" ", F.col("day").cast("string"), "code"))
+    f = _fixtures(spark, sf_dir).withColumn("label", F.concat_ws(" ", F.col("day").cast("string"), "code"))
     return fixture_texts(f)
 
 
@@ -203,10 +207,10 @@ QUERIES = {n: f for n, f in list(globals().items()) if n[:1] == "q" and n[1:3].i
 
 _F = """f AS (SELECT user_id AS ground, ts::DATE AS day, (hour(ts) * 60 + minute(ts))::INT AS minute, event_type || (event_id % 13)::VARCHAR AS code,
   event_id % 50 AS home, event_id % 49 AS away, event_id AS ord FROM events)"""
-_HELD = """h0 AS (SELECT user_id AS team, ts::DATE AS day, event_type AS code, event_id % 3 AS opponent, value AS score, event_id % 2 = 0 AS official,
-  row_number() OVER (PARTITION BY user_id, ts::DATE, event_type, event_id % 3 ORDER BY event_id) AS r FROM events WHERE event_id % 3 <> 0 OR event_id % 5 = 0), h AS (SELECT * FROM h0 WHERE r = 1)"""
-_FRESH = """n0 AS (SELECT user_id AS team, ts::DATE AS day, event_type AS code, event_id % 3 AS opponent, CASE WHEN event_type <> 'error' THEN value END AS score, event_id % 4 = 0 AS official,
-  row_number() OVER (PARTITION BY user_id, ts::DATE, event_type, event_id % 3 ORDER BY event_id) AS r FROM events WHERE event_id % 2 = 0 AND user_id % 4 <> 0), n AS (SELECT * FROM n0 WHERE r = 1)"""
+_HELD = """h0 AS (SELECT user_id AS team, ts::DATE AS day, event_type AS code, event_id % 3 AS opponent, CASE WHEN event_id % 3 <> 0 THEN value END AS score, event_id % 2 = 0 AS official,
+  row_number() OVER (PARTITION BY user_id, ts::DATE, event_type, event_id % 3 ORDER BY event_id) AS r FROM events), h AS (SELECT * FROM h0 WHERE r = 1)"""
+_FRESH = """n0 AS (SELECT user_id AS team, ts::DATE AS day, event_type AS code, event_id % 3 AS opponent, CASE WHEN event_type <> 'error' AND event_id % 2 = 0 THEN value END AS score, event_id % 4 = 0 AS official,
+  row_number() OVER (PARTITION BY user_id, ts::DATE, event_type, event_id % 3 ORDER BY event_id DESC) AS r FROM events), n AS (SELECT * FROM n0 WHERE r = 1)"""
 _DIST = """(CASE WHEN strpos(substr(text, pos), '{w}') > 0 THEN strpos(substr(text, pos), '{w}') - 1 END), (CASE WHEN strpos(reverse(substr(text, 1, pos + {k} - 2)), '{r}') > 0 THEN strpos(reverse(substr(text, 1, pos + {k} - 2)), '{r}') END)"""
 _PROFILE = """pr AS (SELECT event_type AS profile_id, (date_diff('day', DATE '1970-01-01', ts::DATE) * 24 + hour(ts))::INT AS idx, count(*)::DOUBLE AS value FROM events GROUP BY 1, 2),
 base AS (SELECT profile_id, median(value) AS base FROM pr WHERE value > 0 GROUP BY 1),
@@ -253,17 +257,18 @@ ORACLES = {
     SELECT profile_id, idx, value, round(ratio, 4) AS ratio, CASE WHEN round(shift, 4) = 0 THEN 0 ELSE round(shift, 4) END AS shift FROM r WHERE r <= 3""",
     "q29_band_pairs": f"""WITH {_PROFILE}, b AS (SELECT x.profile_id, x.idx AS i, y.idx AS j, least(x.value, y.value) AS strength FROM pk x JOIN pk y ON x.profile_id = y.profile_id AND y.idx - x.idx BETWEEN 5 AND 40),
     r AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY strength DESC, i, j) AS r FROM b) SELECT profile_id, i, j, strength FROM r WHERE r = 1""",
-    "q30_nearest_peak": f"""WITH {_PROFILE}, e AS (SELECT profile_id, idx AS edge FROM pr WHERE idx % 7 = 0),
+    "q30_nearest_peak": f"""WITH {_PROFILE}, e AS (SELECT profile_id, idx AS edge FROM pr),
     r AS (SELECT e.profile_id, edge, pk.idx, row_number() OVER (PARTITION BY e.profile_id, edge ORDER BY abs(pk.idx - edge), ratio DESC, pk.idx) AS r FROM e LEFT JOIN pk ON e.profile_id = pk.profile_id AND abs(pk.idx - edge) <= 12)
     SELECT profile_id, edge, idx, idx - edge AS offset FROM r WHERE r = 1""",
     "q31_robust_stats": """WITH c AS (SELECT l_returnflag, l_linestatus, median(l_extendedprice) AS median, quantile_cont(l_extendedprice, 0.995) AS p995, avg(l_extendedprice) AS mean FROM lineitem GROUP BY 1, 2),
     s AS (SELECT l.l_returnflag, l.l_linestatus, median(abs(l_extendedprice - c.median)) AS mad FROM lineitem l JOIN c ON l.l_returnflag = c.l_returnflag AND l.l_linestatus = c.l_linestatus GROUP BY 1, 2)
     SELECT c.l_returnflag, c.l_linestatus, round(median, 3) AS median, round(p995, 3) AS p995, round(mean, 3) AS mean, round(mad * 1.4826::DOUBLE, 3) AS sigma FROM c JOIN s ON c.l_returnflag = s.l_returnflag AND c.l_linestatus = s.l_linestatus""",
-    "q32_digest": "SELECT c_nationkey, substr(sha1(string_agg(concat_ws('|', c_custkey, c_name, c_mktsegment), ';' ORDER BY c_custkey)), 1, 8) AS digest, count(*) AS n FROM customer GROUP BY 1",
+    "q32_digest": """WITH b AS (SELECT c_nationkey, c_custkey // 1000 AS b, sha1(string_agg(sha1(concat_ws('|', c_custkey, c_name, c_mktsegment)), '' ORDER BY c_custkey)) AS g, count(*) AS n FROM customer GROUP BY 1, 2)
+    SELECT c_nationkey, substr(sha1(string_agg(g, '' ORDER BY b)), 1, 8) AS digest, sum(n)::BIGINT AS n FROM b GROUP BY 1""",
     "q33_calendar_rows": """SELECT event_id, strftime(date_trunc('minute', ts), '%Y%m%dT%H%M%S') AS dtstart, strftime(date_trunc('minute', ts) + INTERVAL 75 MINUTE, '%Y%m%dT%H%M%S') AS dtend,
       concat_ws('-', event_type, user_id, strftime(ts, '%Y%m%d')) AS uid FROM events""",
     "q34_code_order": """SELECT code, row_number() OVER (PARTITION BY regexp_extract(code, '^(.*?)(\\d*)$', 1) ORDER BY regexp_extract(code, '(\\d+)$', 1)::INT)::INT AS ord FROM (SELECT DISTINCT p_brand || '/P' || p_size::VARCHAR AS code FROM part)""",
-    "q36_ground_fixtures_text": f"WITH {_F} SELECT ground, string_agg(day::VARCHAR || ' ' || code, ', ' ORDER BY ord) AS fixtures, count(*) AS n FROM f WHERE minute < 60 GROUP BY ground",
+    "q36_ground_fixtures_text": f"WITH {_F} SELECT ground, string_agg(day::VARCHAR || ' ' || code, ', ' ORDER BY ord) AS fixtures, count(*) AS n FROM f GROUP BY ground",
     "q38_sections": """WITH r AS (SELECT p_partkey, (p_partkey % 4000 + 5000)::DOUBLE AS fx, (p_partkey % 3000 + 5000)::DOUBLE AS fy, (p_size + 20)::DOUBLE AS fw, (p_partkey % 90 + 15)::DOUBLE AS fh,
       (p_partkey % 180)::DOUBLE AS angle, (p_partkey % 3 + 1)::INT AS n, greatest(round_even(p_size / 10 / 0.25::DOUBLE, 0)::INT, 3) | 1 AS kernel FROM part),
     t AS (SELECT *, radians(CASE WHEN fw >= fh THEN angle ELSE angle + 90 END) AS turn, unnest(generate_series(0, n - 1))::INT AS section FROM r),

@@ -70,7 +70,7 @@ def fixtures(pages: DataFrame, team: str = "team", column: str = "html") -> Data
     found = rows(pages, column)
     first = lambda p: F.get(F.filter("texts", lambda t: t.rlike(p)), F.lit(0))
     sides = F.get(F.filter("texts", lambda t: t.rlike(r"\S\s+[-–]\s+\S")), F.lit(0))
-    pair = F.transform(F.split(sides, r"\s+[-–]\s+", 2), F.trim)
+    pair = F.transform(F.split(sides, r"\s+[-–]\s+", 2), lambda x: F.trim(x))
     code = F.regexp_extract("row_html", r'(?i)href="[^"]*#([^"]+)"', 1)
     # The first cell of this form is the time, the last one after it the score.
     timed = F.filter("cell_tags", lambda c: F.trim(strip_tags(c)).rlike(r"^\d+\s*:\s*\d+$"))
@@ -95,7 +95,7 @@ def match_details(pages: DataFrame, column: str = "html") -> DataFrame:
     each = pages.select(*base, F.explode(blocks).alias("block"))
     text = strip_tags(F.regexp_replace("block", r"<[^>]*\z", ""))
     grab = lambda p: F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit(""))
-    return each.select(*base, F.regexp_extract("block", r'id="game-(\d+)"', 1).cast("long").alias("gameid"), grab(r"\((\d+:\d+)\)").alias("half"), grab(r"(?im)^\s*(?:rozhod\S*|referee):\s*([^\n]*)").alias("referee"), grab(r"(?ims)^\s*(?:zpr\S*|report):\s*(.*)\z").alias("report"))
+    return each.select(*base, F.regexp_extract("block", r'id="game-(\d+)"', 1).cast("long").alias("gameid"), grab(r"\((\d+:\d+)\)").alias("half"), grab(r"(?im)^\s*(?:rozhod\S*|referee):[ \t]*([^\n]*)").alias("referee"), grab(r"(?ims)^\s*(?:zpr\S*|report):\s*(.*)\z").alias("report"))
 
 
 def people(cell: Column) -> Column:

@@ -17,19 +17,42 @@ def latest_known(results: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 class ResultTable:
-    """A table of results in versions under a shared folder; merging a batch again changes nothing."""
-
-    def __init__(self, spark: SparkSession, folder: str, keys: list[str], order: str):
-        self.spark, self.folder, self.keys, self.order, self.version = spark, folder, keys, order, -1
+    """A table of results under a shared folder, in buckets of keys; each batch writes a version of the buckets it touches.
+
+    The newest committed version of each bucket holds, whoever wrote it, so the table survives a restart. A batch that comes
+    again replaces its own version, merged with older ones alone, and so changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, keys: list[str], order: str, buckets: int = 16):
+        self.spark, self.folder, self.keys, self.order, self.buckets = spark, folder, keys, order, buckets
+
+    def _versions(self, before: int | None = None) -> dict[int, str]:
+        """The folder of each bucket's newest version, of those before a batch."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found: dict[int, str] = {}
+        if not files.exists(path):
+            return found
+        names = [status.getPath().getName() for status in files.listStatus(path)]
+        for version in sorted(int(n) for n in names if n.isdigit() and (before is None or int(n) < before)):
+            own = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{version}")
+            parts = [status.getPath().getName() for status in files.listStatus(own)]
+            if "_SUCCESS" in parts:
+                found.update({int(p.removeprefix("bucket=")): f"{self.folder}/{version}/{p}" for p in parts if p.startswith("bucket=")})
+        return found
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
-        held = self.read()
-        both = batch if held is None else held.unionByName(batch)
-        latest_known(both, self.keys, self.order).write.mode("overwrite").parquet(f"{self.folder}/{batch_id}")
-        self.version = batch_id
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        batch = batch.withColumn("bucket", bucket)
+        touched = {r["bucket"] for r in batch.select("bucket").distinct().collect()}
+        held = [path for b, path in self._versions(batch_id).items() if b in touched]
+        both = batch.unionByName(self.spark.read.parquet(*held).withColumn("bucket", bucket)) if held else batch
+        latest = latest_known(both.drop("bucket"), self.keys, self.order).withColumn("bucket", bucket)
+        latest.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{batch_id}")
 
     def read(self) -> DataFrame | None:
-        return None if self.version < 0 else self.spark.read.parquet(f"{self.folder}/{self.version}")
+        paths = sorted(self._versions().values())
+        return self.spark.read.parquet(*paths) if paths else None
 
 
 def results_stream(spark: SparkSession, source: str) -> DataFrame:
@@ -41,7 +64,10 @@ def results_stream(spark: SparkSession, source: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
+    """A new folder in the session's shared one; a temporary one only in a local session that names none (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{folder or 'file://' + tempfile.mkdtemp(prefix='terrace-')}/stream-{uuid.uuid4().hex}"
 
 
