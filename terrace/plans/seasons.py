@@ -224,7 +224,7 @@ ORACLES = {
     "q50_parsed_days": """WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS d, ((o_custkey % 24) * 60 + o_custkey % 60)::INT AS minutes FROM orders)
     SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN d::VARCHAR END AS day, minutes, strftime(d + to_minutes(minutes), '%Y-%m-%d %H:%M') AS dtstart, strftime(d + to_minutes(minutes + 75), '%Y-%m-%d %H:%M') AS dtend FROM o""",
     "q51_text_keys": f"""SELECT c_custkey, regexp_replace({_FOLDED}, '[^a-z0-9]+', '', 'g') AS key, regexp_replace(regexp_replace({_FOLDED}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS ascii_id,
-      replace(replace(replace(replace({_NAME}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped, '(Brno) ' || {_NAME} AS surname, replace(replace({_NAME}, ';', '\;'), ',', '\\,') AS calendar,
+      replace(replace(replace(replace({_NAME}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped, '(Brno) ' || {_NAME} AS surname, replace(replace({_NAME}, ';', '\\;'), ',', '\\,') AS calendar,
       trim(strip_accents(lower(replace({_NAME}, ' (Brno)', '')))) AS lookup FROM customer""",
     "q52_scores": """WITH r AS (SELECT *, l_returnflag <> 'N' AS known, l_suppkey % 2 = 0 AS home, l_quantity::INT AS q, l_linenumber::INT AS n, l_partkey % 12 AS k, l_suppkey % 20 AS m FROM lineitem),
     s AS (SELECT *, CASE WHEN known THEN CASE WHEN home THEN q ELSE n END END AS gf, CASE WHEN known THEN CASE WHEN home THEN n ELSE q END END AS ga FROM r)
