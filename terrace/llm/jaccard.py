@@ -20,9 +20,14 @@ The jobs:
 3. Candidates of a signature are compared with a pivot of it, not with each other. Size and sketch bounds go first (the
    sketches' differing bits never exceed the features'; longer sketches follow the short ones), then whole sets are
    compared. Links give components.
-4. Only signatures whose classes still lie in several components go on: again with pivots, drawn anew for each signature,
-   and at last with all pairs across components, which passes the bounds inside the join. So no link between components
-   is lost, while a group of copies is never expanded into its pairs.
+4. Only signatures whose classes still lie in several components go on, again with pivots, drawn anew for each signature.
+5. What is then left in groups of at most SMALL_GROUP classes is paired, so pairs grow with the rows. Larger groups are
+   split: their classes meet by single features instead, each under the first n / 4 + 1 of its n in the shared order, as
+   two similar sets always have one of them in common (prefix filter). Common features come last, so classes that only
+   share a passage part here unless it is about three quarters of each. Pivots follow in the split groups, and then pairs
+   across components, with groups of any size dealt by pairs of their blocks over many tasks. The size, sketch and
+   position bounds are inside that join. So no link between components is lost, and a group of copies is never expanded
+   into its pairs; only unlinked sets that are close to being links by the hundred are still compared with each other.
 
 Defined results: null and wordless texts have empty sets and are linked with nothing; repeated rows give a row each;
 a null id keeps its row, with its own null component unless linked; equal sets link even at one shingle; empty tables
@@ -39,7 +44,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.llm.common import Scratch, small_batches
@@ -56,6 +61,8 @@ COUNT_BITS, SKETCH_BITS = 20, 512
 #: Signatures counted more often than this are joined by Spark alone; a bucket has about BUCKET_ROWS signatures.
 HOT_COUNT, BUCKET_ROWS, LEAST_BUCKETS = 1_000_000, 500_000, 64
 EMIT_ROWS = 1_000_000
+#: Groups of at most this many classes are paired without being split; a key of the pairing join has at most about two blocks.
+SMALL_GROUP, BLOCK = 16, 256
 #: Largest number of class ids broadcast (16 MB); beyond it the same join shuffles.
 BROADCAST_CLASSES = 2_000_000
 _COUNT_BLOCK = 1 << 16
@@ -286,6 +293,27 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["cls", "sketch", "features"])
 
 
+def _prefix(hashes: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """The features of which any similar set has one, in the shared order, rare ones first."""
+    # A similar set is no smaller than NUM / DEN of this one, and has all but so many of its features.
+    differ = len(hashes) * (DEN - NUM) // DEN
+    return hashes[np.lexsort((hashes, rarity))[: differ + 1]]
+
+
+def _prefixes(rarity_table):
+    """(cls, place, sig): each set's prefix."""
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = rarity_table.value
+        for batch in batches:
+            for cls, data in zip(batch.column("cls").to_pylist(), batch.column("features"), strict=True):
+                hashes = np.frombuffer(data.as_py(), U64)
+                first = _prefix(hashes, table[_counted(hashes)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), cls)), pa.array(np.arange(len(first), dtype=np.int32)), pa.array(first.view(np.int64))], ["cls", "place", "sig"])
+
+    return prefixes
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs whose whole sets link."""
     for batch in batches:
@@ -305,8 +333,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class JaccardJoin:
     """The join over one table."""
 
-    def __init__(self, spark: SparkSession, documents: DataFrame, hot_count: int = HOT_COUNT, broadcast_classes: int = BROADCAST_CLASSES, pivot_rounds: int = 2, group: int = GROUP, spoiled: int = SPOILED):
-        self.spark, self.hot, self.broadcast_classes, self.pivot_rounds, self.group, self.spoiled = spark, hot_count, broadcast_classes, pivot_rounds, group, spoiled
+    def __init__(self, spark: SparkSession, documents: DataFrame, hot_count: int = HOT_COUNT, broadcast_classes: int = BROADCAST_CLASSES, pivot_rounds: int = 2, small_group: int = SMALL_GROUP, block: int = BLOCK, group: int = GROUP, spoiled: int = SPOILED):
+        self.spark, self.hot, self.broadcast_classes, self.pivot_rounds, self.small_group, self.block, self.group, self.spoiled = spark, hot_count, broadcast_classes, pivot_rounds, small_group, block, group, spoiled
         small_batches(spark)
         self.documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.scratch = Scratch(spark, "jaccard")
@@ -368,6 +396,52 @@ class JaccardJoin:
         # An id may repeat, so a class may come once per task, or not belong to the wanted ones: links are the same.
         self.sets = self.scratch.save(texts.select("text").mapInArrow(_set_rows, "cls long, sketch array<long>, features binary"), "sets")
 
+    def _joined(self, links: DataFrame | None, pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """All links so far, with those among bounded pairs, and the components they give."""
+        found = self.scratch.save(self._verified(pairs, name), f"links-{name}")
+        links = found if links is None else links.unionByName(found)
+        return links, components(links, self.scratch, f"graph-{name}")
+
+    def _with_pivots(self, members: DataFrame, order: Column) -> DataFrame:
+        """Bounded pairs of each class with the pivot of its group, the least in the given order."""
+        pivots = members.groupBy("sig").agg(F.min(F.struct(order.alias("o"), F.col("cls").alias("pivot"), F.col("label").alias("pivot_label"))).alias("p")).select("sig", "p.pivot", "p.pivot_label")
+        pairs = members.join(pivots, "sig").filter("label <> pivot_label").select(F.greatest("cls", "pivot").alias("u"), F.least("cls", "pivot").alias("v"))
+        return self._bounded(pairs.distinct())
+
+    def _mixed(self, members: DataFrame, graph: DataFrame, name: str) -> DataFrame:
+        """Members, with their component as label, of the groups that lie in several components."""
+        labelled = members.join(graph.select(F.col("u").alias("cls"), F.col("v").alias("label")), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        mixed = labelled.groupBy("sig").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("sig")
+        return self.scratch.save(labelled.join(mixed, "sig", "left_semi"), name)
+
+    def _split(self, members: DataFrame) -> DataFrame:
+        """The members' classes in groups of a first feature each, with the feature's place; groups of one component go."""
+        labels = self.scratch.save(members.select("cls", "label").distinct(), "used-split")
+        table = self.spark.sparkContext.broadcast(self.rarity)
+        features = self.sets.join(self._small(labels.select("cls")), "cls", "left_semi").select("cls", "features").mapInArrow(_prefixes(table), "cls long, place int, sig long")
+        # Sets may be stored more than once.
+        split = self.scratch.save(features.distinct().join(labels, "cls"), "split")
+        mixed = split.groupBy("sig").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("sig")
+        return split.join(mixed, "sig", "left_semi").select("sig", "cls", "label", "place")
+
+    def _blocks(self, members: DataFrame) -> DataFrame:
+        """Members with part, and i <= j: a group of n parts meets by pairs of parts, so that no task takes a large group whole."""
+        large = members.groupBy("sig").agg(F.ceil(F.count("*") / self.block).cast("int").alias("parts")).filter("parts > 1")
+        large = self._small(self.scratch.save(large, "parts"))
+        parted = members.join(large, "sig", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        parted = parted.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+        return parted.select("sig", "cls", "label", "place", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+
+    def _all_pairs(self, members: DataFrame) -> DataFrame:
+        """Bounded pairs across components of each group. From the place of the first shared feature on, enough must be left to share."""
+        # A stated number of partitions: pairs are far more than rows, so rows must not be gathered in few tasks.
+        known = self._blocks(members).join(self.classes.drop("rep"), "cls")
+        known = self.scratch.save(known, "blocks").repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "sig", "i", "j")
+        side = lambda x: known.select("sig", "i", "j", F.col("part").alias(f"p{x}"), F.col("cls").alias(x), F.col("label").alias(f"l{x}"), (F.col("n") - F.col("place")).alias(f"r{x}"), F.col("n").alias(f"n{x}"), *[F.col(f"s{i}").alias(f"{x}{i}") for i in range(_WORDS)])
+        met = f"lu <> lv and (i < j or u > v) and {DEN + NUM} * least(ru, rv) >= {NUM} * (nu + nv)"
+        pairs = side("u").filter("pu = i").join(side("v").filter("pv = j").hint("merge"), ["sig", "i", "j"]).filter(F.expr(met) & _bounds("u", "v"))
+        return self._bounded(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+
     def labels(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""
         return self.labelled().select("doc_id", "n_shingles", "component_id")
@@ -377,28 +451,22 @@ class JaccardJoin:
         self._profiles()
         shared = self._shared_signatures()
         self._store_sets(shared)
-        links = None
+        links = graph = None
         members = shared.withColumn("label", F.col("cls"))
-        for step in range(self.pivot_rounds + 1):
-            if step < self.pivot_rounds:
-                order = F.xxhash64("cls", F.lit(step)) if step == 0 else F.xxhash64("cls", "sig", F.lit(step))
-                pivots = members.groupBy("sig").agg(F.min(F.struct(order.alias("o"), F.col("cls").alias("pivot"), F.col("label").alias("pivot_label"))).alias("p")).select("sig", "p.pivot", "p.pivot_label")
-                pairs = members.join(pivots, "sig").filter("label <> pivot_label").select(F.greatest("cls", "pivot").alias("u"), F.least("cls", "pivot").alias("v")).distinct()
-                pairs = self._bounded(pairs)
-            else:
-                side = lambda x: members.join(self.classes.drop("rep"), "cls").select("sig", F.col("cls").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), *[F.col(f"s{i}").alias(f"{x}{i}") for i in range(_WORDS)])
-                pairs = side("u").join(side("v"), "sig").filter(F.expr("u > v and lu <> lv") & _bounds("u", "v")).select("u", "v", "nu", "nv").distinct()
-            found = self.scratch.save(self._verified(pairs, str(step)), f"links-{step}")
-            links = found if links is None else links.unionByName(found)
-            graph = components(links, self.scratch, f"graph-{step}")
-            if step == self.pivot_rounds:
-                break
-            labelled = shared.join(graph.select(F.col("u").alias("cls"), F.col("v").alias("label")), "cls", "left").select("sig", "cls", F.coalesce("label", "cls").alias("label"))
-            mixed = labelled.groupBy("sig").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("sig")
-            members = self.scratch.save(labelled.join(mixed, "sig", "left_semi"), f"members-{step}")
+        for step in range(self.pivot_rounds):
+            order = F.xxhash64("cls", F.lit(step)) if step == 0 else F.xxhash64("cls", "sig", F.lit(step))
+            links, graph = self._joined(links, self._with_pivots(members, order), f"pivot-{step}")
+            members = self._mixed(shared, graph, f"members-{step}")
+        sizes = members.groupBy("sig").agg(F.count("*").alias("n"))
+        large = self.scratch.save(sizes.filter(F.col("n") > self.small_group).select("sig"), "large")
+        small = members.join(self._small(large), "sig", "left_anti").withColumn("place", F.lit(0))
+        split = self.scratch.save(self._split(members.join(self._small(large), "sig", "left_semi")), "split-mixed")
+        links, graph = self._joined(links, self._with_pivots(split, F.xxhash64("cls", "sig")), "pivot-split")
+        split = self._mixed(split.drop("label"), graph, "members-split")
+        links, graph = self._joined(links, self._all_pairs(small.unionByName(split)), "rest")
         for table in self.scratch.saved - {"profile", "classes"}:
             # The last pass of the graph is what the result reads.
-            if not table.startswith(f"graph-{step}"):
+            if not table.startswith("graph-rest"):
                 self.scratch.drop(table)
         roots = self.classes.select("cls", "rep").join(graph.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         least = roots.groupBy("root").agg(F.min("rep").alias("component"))

@@ -29,7 +29,7 @@ def case(seed: int, groups: int = 8):
     return texts + [texts[0], "a b", "A  b", "b a", "", None, " \t", "one"]
 
 
-@pytest.mark.parametrize(("seed", "options"), [(1, {}), (2, {"hot_count": 2, "pivot_rounds": 0}), (3, {"broadcast_classes": 0, "pivot_rounds": 1})])
+@pytest.mark.parametrize(("seed", "options"), [(1, {}), (2, {"hot_count": 2, "pivot_rounds": 0}), (3, {"broadcast_classes": 0, "pivot_rounds": 1}), (6, {"pivot_rounds": 0, "small_group": 0, "block": 2})])
 def test_join_equals_brute_force(spark, folder, seed, options):
     texts = case(seed)
     sf = folder([(100 + i, t) for i, t in enumerate(texts)])
@@ -71,6 +71,24 @@ def test_similar_sets_share_a_needed_signature():
             assert found[0] & found[1]
 
 
+def test_similar_sets_share_a_prefix_feature_with_enough_behind_it():
+    rng = np.random.default_rng(12)
+    for size in (1, 2, 3, 4, 5, 8, 31, 60, 200):
+        for _ in range(60):
+            x = rng.integers(0, 1 << 63, 2 * size).astype(np.uint64)
+            gone = int(rng.integers(0, size // 4 + 1))
+            a, b = np.sort(x[:size]), np.sort(np.concatenate([x[gone:size], x[size : size + int(rng.integers(0, size // 3 + 1))]]))
+            common = size - gone
+            if 4 * common < 3 * (len(a) + len(b) - common):
+                continue
+            rank = lambda y: (y % np.uint64(5)).astype(np.uint8)
+            first, second = jaccard._prefix(a, rank(a)).tolist(), jaccard._prefix(b, rank(b)).tolist()
+            shared = [f for f in first if f in second]
+            assert shared
+            left = min(len(a) - first.index(shared[0]), len(b) - second.index(shared[0]))
+            assert 7 * left >= 3 * (len(a) + len(b))
+
+
 def enumerated(x: np.ndarray, groups: int, group: int, spoiled: int) -> set[int]:
     """All signatures of a set in band 0, by plain enumeration."""
     blocks = {}
