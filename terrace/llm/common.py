@@ -56,6 +56,11 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def few(rows: DataFrame, limit: int) -> DataFrame:
+    """The rows, marked for broadcast only if there are at most `limit`."""
+    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z alone. Pure ASCII text takes the fast built-in, which then does the same."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -8,6 +8,7 @@ from terrace.llm.langid import op1_language_id
 from terrace.llm.licenses import op9_license_scan
 from terrace.llm.lm import op8_language_model
 from terrace.llm.media import op10_media_columns
+from terrace.llm.merkle import OP13_SQL, op13_merkle_manifest
 from terrace.llm.mixing import OP4_SQL, op4_mix
 from terrace.llm.pii import op7_pii
 from terrace.llm.toxicity import op6_toxicity
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_language_model": op8_language_model,
     "op9_license_scan": op9_license_scan,
     "op10_media_columns": op10_media_columns,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
-ORACLES = {"op2_decontaminate": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_mix": OP4_SQL, "op5_url_filter": OP5_SQL}
+ORACLES = {"op2_decontaminate": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_mix": OP4_SQL, "op5_url_filter": OP5_SQL, "op13_merkle_manifest": OP13_SQL}
