@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from terrace.llm.decontaminate import OP2_SQL, op2_decontaminate
+from terrace.llm.divergence import OP11_SQL, op11_divergence_audit
 from terrace.llm.jaccard import OP3_SQL, op3_jaccard_join
 from terrace.llm.langid import op1_language_id
 from terrace.llm.licenses import op9_license_scan
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_language_model": op8_language_model,
     "op9_license_scan": op9_license_scan,
     "op10_media_columns": op10_media_columns,
+    "op11_divergence_audit": op11_divergence_audit,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
-ORACLES = {"op2_decontaminate": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_mix": OP4_SQL, "op5_url_filter": OP5_SQL, "op13_merkle_manifest": OP13_SQL}
+ORACLES = {"op2_decontaminate": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_mix": OP4_SQL, "op5_url_filter": OP5_SQL, "op11_divergence_audit": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
