@@ -10,6 +10,7 @@ from terrace.llm.licenses import op9_license_scan
 from terrace.llm.lm import op8_language_model
 from terrace.llm.media import op10_media_columns
 from terrace.llm.merkle import OP13_SQL, op13_merkle_manifest
+from terrace.llm.minhash import OP12_SQL, op12_minhash_dedup
 from terrace.llm.mixing import OP4_SQL, op4_mix
 from terrace.llm.pii import op7_pii
 from terrace.llm.toxicity import op6_toxicity
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_media_columns": op10_media_columns,
     "op11_divergence_audit": op11_divergence_audit,
+    "op12_minhash_dedup": op12_minhash_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
-ORACLES = {"op2_decontaminate": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_mix": OP4_SQL, "op5_url_filter": OP5_SQL, "op11_divergence_audit": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
+ORACLES = {"op2_decontaminate": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_mix": OP4_SQL, "op5_url_filter": OP5_SQL, "op11_divergence_audit": OP11_SQL, "op12_minhash_dedup": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
