@@ -12,22 +12,11 @@ lines and passages seldom make candidates. Any order is exact. Sets with no more
 features in one block, add their first k + 1 single features: two similar sets without a common signature are both such.
 Production has g = 3 and s = 1 (pairs out of three blocks).
 
-The jobs:
-1. One pass over the texts gives sizes, set hashes, 512-bit parity sketches and feature counts. Equal sets become a class.
-2. A second pass emits signatures, packed into binary blocks by bucket; a bucket keeps those that two classes share.
-   Signatures that the counts show to be very frequent skip the buckets, so no bucket holds one hot group.
-   Of signatures that the very same classes share, one stays.
-3. Candidates of a signature are compared with a pivot of it, not with each other. Size and sketch bounds go first (the
-   sketches' differing bits never exceed the features'; longer sketches follow the short ones), then whole sets are
-   compared. Links give components.
-4. Only signatures whose classes still lie in several components go on, again with pivots, drawn anew for each signature.
-5. What is then left in groups of at most SMALL_GROUP classes is paired, so pairs grow with the rows. Larger groups are
-   split: their classes meet by single features instead, each under the first n / 4 + 1 of its n in the shared order, as
-   two similar sets always have one of them in common (prefix filter). Common features come last, so classes that only
-   share a passage part here unless it is about three quarters of each. Pivots follow in the split groups, and then pairs
-   across components, with groups of any size dealt by pairs of their blocks over many tasks. The size, sketch and
-   position bounds are inside that join. So no link between components is lost, and a group of copies is never expanded
-   into its pairs; only unlinked sets that are close to being links by the hundred are still compared with each other.
+The jobs: one pass over the texts gives sizes, set hashes, sketches and feature counts (see links.py). A second emits
+signatures, packed into binary blocks by bucket; a bucket keeps those that two classes share. Signatures that the counts
+show to be very frequent skip the buckets, so no bucket holds one hot group. Of signatures that the very same classes share,
+one stays. The groups of classes that share a signature are then joined into components as links.py says: by pivots, and
+what those leave in large groups by single features, each for partners of the sizes it can serve.
 
 Defined results: null and wordless texts have empty sets and are linked with nothing; repeated rows give a row each;
 a null id keeps its row, with its own null component unless linked; equal sets link even at one shingle; empty tables
@@ -44,12 +33,11 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.common import Scratch, small_batches
-from terrace.llm.components import components
-from terrace.llm.shingles import U64, Sets, mix64, per_set, shingle_sets
+from terrace.llm.links import BLOCK, BROADCAST_CLASSES, SMALL_GROUP, LinkedSets, class_ids, counted
+from terrace.llm.shingles import U64, mix64, shingle_sets
 
 SHINGLE = 5
 #: Similarity as a fraction: links hold if DEN * intersection >= NUM * union.
@@ -57,109 +45,12 @@ NUM, DEN = 3, 4
 FIRST_BAND, BAND_GROWTH, FEATURES_PER_BLOCK = 32, 4, 1.5
 #: Blocks of a group, and how many of them a signature leaves out.
 GROUP, SPOILED = 3, 1
-COUNT_BITS, SKETCH_BITS = 20, 512
 #: Signatures counted more often than this are joined by Spark alone; a bucket has about BUCKET_ROWS signatures.
 HOT_COUNT, BUCKET_ROWS, LEAST_BUCKETS = 1_000_000, 500_000, 64
 EMIT_ROWS = 1_000_000
-#: Groups of at most this many classes are paired without being split; a key of the pairing join has at most about two blocks.
-SMALL_GROUP, BLOCK = 16, 256
-#: Largest number of class ids broadcast (16 MB); beyond it the same join shuffles.
-BROADCAST_CLASSES = 2_000_000
-_COUNT_BLOCK = 1 << 16
 _BY_FEATURE = 0xA0761D6478BD642F
 
 
-def _counted(hashes: np.ndarray) -> np.ndarray:
-    return (mix64(hashes ^ U64(0x5851F42D4C957F2D)) >> U64(64 - COUNT_BITS)).astype(np.int64)
-
-
-def _classes(sets: Sets) -> np.ndarray:
-    """A hash of each set, the same for equal sets; 0 for the empty one."""
-    return mix64(per_set(mix64(sets.hashes ^ U64(0x2545F4914F6CDD1D)), sets, np.add, 0) + sets.sizes.astype(U64)) * (sets.sizes > 0)
-
-
-def _sketch_places(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (mix64(hashes ^ U64(0x14057B7EF767814F)) & U64(bits - 1)).astype(np.int64)
-
-
-def _long_sketch(hashes: np.ndarray) -> np.ndarray:
-    """Parities as 64-bit words; sets of one band have sketches of one length, at least twice the band's sizes."""
-    bits = max(SKETCH_BITS, 2 * FIRST_BAND * BAND_GROWTH ** band_of(len(hashes)))
-    odd = np.bincount(_sketch_places(hashes, bits), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).view(">i8").astype(np.int64)
-
-
-def _sketches(sets: Sets) -> np.ndarray:
-    """Parities of the numbers of features that fall on each of the bits, as eight 64-bit words a set."""
-    n = len(sets.bounds) - 1
-    bits = _sketch_places(sets.hashes, SKETCH_BITS)
-    odd = np.bincount(sets.owner() * SKETCH_BITS + bits, minlength=n * SKETCH_BITS).reshape(n, SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8), axis=1).view(">i8").astype(np.int64)
-
-
-_WORDS = SKETCH_BITS // 64
-_PROFILE = "doc_id long, text_hash long, cls long, n int, " + ", ".join(f"s{i} long" for i in range(_WORDS)) + ", block int, counts binary"
-
-
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents, and at the end of a task its feature counts by block of the table."""
-    counts = np.zeros(1 << COUNT_BITS, np.int64)
-    waiting: list[np.ndarray] = []
-    held = 0
-    names = ["doc_id", "text_hash", "cls", "n", *(f"s{i}" for i in range(_WORDS)), "block", "counts"]
-    none = lambda n, kind: pa.nulls(n, kind)
-    for batch in batches:
-        for sets in shingle_sets(batch, "text", SHINGLE):
-            n = len(sets.bounds) - 1
-            sketch = _sketches(sets)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(sets.first_row, n), batch.column("text_hash").slice(sets.first_row, n), pa.array(_classes(sets).view(np.int64)), pa.array(sets.sizes.astype(np.int32)), *(pa.array(sketch[:, i].copy()) for i in range(_WORDS)), none(n, pa.int32()), none(n, pa.binary())], names)
-            waiting.append(_counted(sets.hashes))
-            held += len(waiting[-1])
-            if held > 1 << COUNT_BITS:
-                counts += np.bincount(np.concatenate(waiting), minlength=len(counts))
-                waiting, held = [], 0
-    if waiting:
-        counts += np.bincount(np.concatenate(waiting), minlength=len(counts))
-    yield from _count_rows(counts, names)
-
-
-def _count_rows(counts: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
-    blocks = counts.reshape(-1, _COUNT_BLOCK)
-    full = np.flatnonzero(blocks.any(axis=1))
-    if len(full):
-        sizes = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * _WORDS]
-        values = [blocks[i].tobytes() for i in full] if blocks.max() > 0xFFFFFFFF else [blocks[i].astype(np.uint32).tobytes() for i in full]
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(full), t) for t in sizes), pa.array(full.astype(np.int32)), pa.array(values, pa.binary())], names)
-
-
-def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums rows of counts; holds one table, however many rows come."""
-    counts = np.zeros(1 << COUNT_BITS, np.int64)
-    for batch in batches:
-        for block, data in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            wide = len(data) == 8 * _COUNT_BLOCK
-            counts[block * _COUNT_BLOCK : (block + 1) * _COUNT_BLOCK] += np.frombuffer(data, np.int64 if wide else np.uint32)
-    blocks = counts.reshape(-1, _COUNT_BLOCK)
-    for i in np.flatnonzero(blocks.any(axis=1)):
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([blocks[i].tobytes()], pa.binary())], ["block", "counts"])
-
-
-def feature_counts(profile: DataFrame) -> np.ndarray:
-    """The summed table, of fixed size whatever the input: each count as its base-2 logarithm in quarter steps, one byte.
-
-    Tables are summed in two levels, so that no task reads more than about the square root of their number: first tables
-    dealt at random, then what is left of each block.
-    """
-    rows = profile.filter("block is not null").select("block", "counts")
-    blocks = (1 << COUNT_BITS) // _COUNT_BLOCK
-    groups = max(blocks, math.isqrt(rows.count() // blocks))
-    summed = rows.repartition(groups, F.rand(7)).mapInArrow(_add_counts, "block int, counts binary")
-    counts = np.zeros(1 << COUNT_BITS, np.int64)
-    for row in summed.repartition(blocks, "block").mapInArrow(_add_counts, "block int, counts binary").collect():
-        counts[row["block"] * _COUNT_BLOCK : (row["block"] + 1) * _COUNT_BLOCK] = np.frombuffer(row["counts"], np.int64)
-    return np.minimum(np.log2(np.maximum(counts, 1)) * 4, 255).astype(np.uint8)
-
-
 def band_of(size: int) -> int:
     band, top = 0, FIRST_BAND
     while size > top:
@@ -229,8 +120,8 @@ def _emit(rarity_table, buckets: int, hot: int, group: int, spoiled: int):
         held = 0
         for batch in batches:
             for sets in shingle_sets(batch, "text", SHINGLE):
-                ids = _classes(sets)
-                rarity = table[_counted(sets.hashes)]
+                ids = class_ids(sets)
+                rarity = table[counted(sets.hashes)]
                 for i, (a, b) in enumerate(zip(sets.bounds[:-1], sets.bounds[1:], strict=True)):
                     size, cls = int(b - a), int(ids[i])
                     if not size or cls in seen:
@@ -278,76 +169,16 @@ def _shared(buckets: int):
     return shared
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, sketch, features): of each new set its long sketch and its sorted 64-bit hashes."""
-    seen: set[int] = set()
-    for batch in batches:
-        for sets in shingle_sets(batch, "text", SHINGLE):
-            rows = []
-            for cls, a, b in zip(_classes(sets).view(np.int64).tolist(), sets.bounds[:-1], sets.bounds[1:], strict=True):
-                if a < b and cls not in seen:
-                    seen.add(cls)
-                    rows.append((cls, _long_sketch(sets.hashes[a:b]), sets.hashes[a:b].tobytes()))
-            if rows:
-                columns = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["cls", "sketch", "features"])
-
-
-def _prefix(hashes: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    """The features of which any similar set has one, in the shared order, rare ones first."""
-    # A similar set is no smaller than NUM / DEN of this one, and has all but so many of its features.
-    differ = len(hashes) * (DEN - NUM) // DEN
-    return hashes[np.lexsort((hashes, rarity))[: differ + 1]]
-
-
-def _prefixes(rarity_table):
-    """(cls, place, sig): each set's prefix."""
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = rarity_table.value
-        for batch in batches:
-            for cls, data in zip(batch.column("cls").to_pylist(), batch.column("features"), strict=True):
-                hashes = np.frombuffer(data.as_py(), U64)
-                first = _prefix(hashes, table[_counted(hashes)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), cls)), pa.array(np.arange(len(first), dtype=np.int32)), pa.array(first.view(np.int64))], ["cls", "place", "sig"])
-
-    return prefixes
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs whose whole sets link."""
-    for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
-        last, left = None, np.empty(0, U64)
-        for i, (u, x, y) in enumerate(zip(batch.column("u"), batch.column("fu"), batch.column("fv"), strict=True)):
-            if u != last:
-                last, left = u, np.frombuffer(x.as_py(), U64)
-            right = np.frombuffer(y.as_py(), U64)
-            small, large = (left, right) if len(left) < len(right) else (right, left)
-            at = np.searchsorted(large, small)
-            common = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
-            keep[i] = common > 0 and DEN * common >= NUM * (len(left) + len(right) - common)
-        yield batch.select(["u", "v"]).filter(pa.array(keep))
-
-
-class JaccardJoin:
+class JaccardJoin(LinkedSets):
     """The join over one table."""
 
+    width, num, den = SHINGLE, NUM, DEN
+
     def __init__(self, spark: SparkSession, documents: DataFrame, hot_count: int = HOT_COUNT, broadcast_classes: int = BROADCAST_CLASSES, pivot_rounds: int = 2, small_group: int = SMALL_GROUP, block: int = BLOCK, group: int = GROUP, spoiled: int = SPOILED):
-        self.spark, self.hot, self.broadcast_classes, self.pivot_rounds, self.small_group, self.block, self.group, self.spoiled = spark, hot_count, broadcast_classes, pivot_rounds, small_group, block, group, spoiled
-        small_batches(spark)
-        self.documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.scratch = Scratch(spark, "jaccard")
-
-    def _profiles(self) -> None:
-        profile = self.scratch.save(self.documents.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_profile, _PROFILE), "profile")
-        self.rows = profile.filter("block is null").drop("block", "counts")
-        self.rarity = feature_counts(profile)
-        sketch = [F.first(f"s{i}").alias(f"s{i}") for i in range(_WORDS)]
-        grouped = self.rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *sketch)
-        self.classes = self.scratch.save(grouped, "classes")
-
-    def _shared_signatures(self) -> DataFrame:
+        super().__init__(spark, documents, "jaccard", broadcast_classes, pivot_rounds, small_group, block)
+        self.hot, self.group, self.spoiled = hot_count, group, spoiled
+
+    def _candidates(self) -> DataFrame:
         """(sig, cls): signatures that several classes have."""
         total = self.classes.agg(F.sum("n")).first()[0] or 0
         buckets = max(LEAST_BUCKETS, int(total * 0.7 / BUCKET_ROWS))
@@ -361,124 +192,7 @@ class JaccardJoin:
             plain = None
         shared = packed.select("bucket", "sigs", "classes").groupBy("bucket").applyInPandas(_shared(buckets), "sig long, cls long")
         raw = self.scratch.save(shared if plain is None else shared.unionByName(plain), "shared-all")
-        members = raw.groupBy("sig").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(cls, 1))").alias("x"), F.expr("bit_xor(xxhash64(cls, 2))").alias("y"))
-        one = members.filter("n > 1").groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
-        return self.scratch.save(raw.join(one, "sig", "left_semi"), "shared")
-
-    def _bounded(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (u, v) of classes whose sizes and sketches allow a link."""
-        side = lambda x: self.classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), *[F.col(f"s{i}").alias(f"{x}{i}") for i in range(_WORDS)])
-        return pairs.join(side("u"), "u").join(side("v"), "v").filter(_bounds("u", "v")).select("u", "v", "nu", "nv")
-
-    def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Links among bounded pairs (u, v, nu, nv). A pair whose sketches differ in length keeps the short bound alone."""
-        pairs = self.scratch.save(pairs, f"pairs-{name}")
-        short = lambda x: self.sets.select(F.col("cls").alias(x), F.col("sketch").alias(f"s{x}"))
-        bits = "aggregate(zip_with(su, sv, (a, b) -> cast(bit_count(a ^ b) as int)), 0, (t, x) -> t + x)"
-        near = f"size(su) <> size(sv) or {DEN + NUM} * {bits} <= {DEN - NUM} * (nu + nv)"
-        pairs = self.scratch.save(pairs.join(short("u"), "u").join(short("v"), "v").filter(near).select("u", "v"), f"near-{name}")
-        used = self.scratch.save(pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct(), f"used-{name}")
-        sets = self.sets.join(self._small(used), "cls", "left_semi")
-        left = sets.select(F.col("cls").alias("u"), F.col("features").alias("fu"))
-        right = sets.select(F.col("cls").alias("v"), F.col("features").alias("fv"))
-        return pairs.join(right, "v").join(left, "u").select("u", "v", "fu", "fv").mapInArrow(_verify, "u long, v long")
-
-    def _small(self, keys: DataFrame) -> DataFrame:
-        """One column of ids, marked for broadcast only if they are few enough."""
-        return F.broadcast(keys) if keys.count() <= self.broadcast_classes else keys
-
-    def _store_sets(self, shared: DataFrame) -> None:
-        """Whole sets of the classes that have a candidate, from one document of each class."""
-        wanted = shared.select("cls").distinct().join(self.classes, "cls").select(F.col("rep").alias("doc_id"))
-        wanted = self.scratch.save(wanted, "wanted")
-        wanted = self._small(wanted)
-        texts = self.documents.join(wanted, self.documents["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-        # An id may repeat, so a class may come once per task, or not belong to the wanted ones: links are the same.
-        self.sets = self.scratch.save(texts.select("text").mapInArrow(_set_rows, "cls long, sketch array<long>, features binary"), "sets")
-
-    def _joined(self, links: DataFrame | None, pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """All links so far, with those among bounded pairs, and the components they give."""
-        found = self.scratch.save(self._verified(pairs, name), f"links-{name}")
-        links = found if links is None else links.unionByName(found)
-        return links, components(links, self.scratch, f"graph-{name}")
-
-    def _with_pivots(self, members: DataFrame, order: Column) -> DataFrame:
-        """Bounded pairs of each class with the pivot of its group, the least in the given order."""
-        pivots = members.groupBy("sig").agg(F.min(F.struct(order.alias("o"), F.col("cls").alias("pivot"), F.col("label").alias("pivot_label"))).alias("p")).select("sig", "p.pivot", "p.pivot_label")
-        pairs = members.join(pivots, "sig").filter("label <> pivot_label").select(F.greatest("cls", "pivot").alias("u"), F.least("cls", "pivot").alias("v"))
-        return self._bounded(pairs.distinct())
-
-    def _mixed(self, members: DataFrame, graph: DataFrame, name: str) -> DataFrame:
-        """Members, with their component as label, of the groups that lie in several components."""
-        labelled = members.join(graph.select(F.col("u").alias("cls"), F.col("v").alias("label")), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        mixed = labelled.groupBy("sig").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("sig")
-        return self.scratch.save(labelled.join(mixed, "sig", "left_semi"), name)
-
-    def _split(self, members: DataFrame) -> DataFrame:
-        """The members' classes in groups of a first feature each, with the feature's place; groups of one component go."""
-        labels = self.scratch.save(members.select("cls", "label").distinct(), "used-split")
-        table = self.spark.sparkContext.broadcast(self.rarity)
-        features = self.sets.join(self._small(labels.select("cls")), "cls", "left_semi").select("cls", "features").mapInArrow(_prefixes(table), "cls long, place int, sig long")
-        # Sets may be stored more than once.
-        split = self.scratch.save(features.distinct().join(labels, "cls"), "split")
-        mixed = split.groupBy("sig").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("sig")
-        return split.join(mixed, "sig", "left_semi").select("sig", "cls", "label", "place")
-
-    def _blocks(self, members: DataFrame) -> DataFrame:
-        """Members with part, and i <= j: a group of n parts meets by pairs of parts, so that no task takes a large group whole."""
-        large = members.groupBy("sig").agg(F.ceil(F.count("*") / self.block).cast("int").alias("parts")).filter("parts > 1")
-        large = self._small(self.scratch.save(large, "parts"))
-        parted = members.join(large, "sig", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        parted = parted.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-        return parted.select("sig", "cls", "label", "place", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-
-    def _all_pairs(self, members: DataFrame) -> DataFrame:
-        """Bounded pairs across components of each group. From the place of the first shared feature on, enough must be left to share."""
-        # A stated number of partitions: pairs are far more than rows, so rows must not be gathered in few tasks.
-        known = self._blocks(members).join(self.classes.drop("rep"), "cls")
-        known = self.scratch.save(known, "blocks").repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "sig", "i", "j")
-        side = lambda x: known.select("sig", "i", "j", F.col("part").alias(f"p{x}"), F.col("cls").alias(x), F.col("label").alias(f"l{x}"), (F.col("n") - F.col("place")).alias(f"r{x}"), F.col("n").alias(f"n{x}"), *[F.col(f"s{i}").alias(f"{x}{i}") for i in range(_WORDS)])
-        met = f"lu <> lv and (i < j or u > v) and {DEN + NUM} * least(ru, rv) >= {NUM} * (nu + nv)"
-        pairs = side("u").filter("pu = i").join(side("v").filter("pv = j").hint("merge"), ["sig", "i", "j"]).filter(F.expr(met) & _bounds("u", "v"))
-        return self._bounded(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-
-    def labels(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id) of every row."""
-        return self.labelled().select("doc_id", "n_shingles", "component_id")
-
-    def labelled(self) -> DataFrame:
-        """The labels with text_hash (xxhash64) and root, which names the component where ids repeat; null for empty sets."""
-        self._profiles()
-        shared = self._shared_signatures()
-        self._store_sets(shared)
-        links = graph = None
-        members = shared.withColumn("label", F.col("cls"))
-        for step in range(self.pivot_rounds):
-            order = F.xxhash64("cls", F.lit(step)) if step == 0 else F.xxhash64("cls", "sig", F.lit(step))
-            links, graph = self._joined(links, self._with_pivots(members, order), f"pivot-{step}")
-            members = self._mixed(shared, graph, f"members-{step}")
-        sizes = members.groupBy("sig").agg(F.count("*").alias("n"))
-        large = self.scratch.save(sizes.filter(F.col("n") > self.small_group).select("sig"), "large")
-        small = members.join(self._small(large), "sig", "left_anti").withColumn("place", F.lit(0))
-        split = self.scratch.save(self._split(members.join(self._small(large), "sig", "left_semi")), "split-mixed")
-        links, graph = self._joined(links, self._with_pivots(split, F.xxhash64("cls", "sig")), "pivot-split")
-        split = self._mixed(split.drop("label"), graph, "members-split")
-        links, graph = self._joined(links, self._all_pairs(small.unionByName(split)), "rest")
-        for table in self.scratch.saved - {"profile", "classes"}:
-            # The last pass of the graph is what the result reads.
-            if not table.startswith("graph-rest"):
-                self.scratch.drop(table)
-        roots = self.classes.select("cls", "rep").join(graph.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        least = roots.groupBy("root").agg(F.min("rep").alias("component"))
-        of_class = roots.join(least, "root").select("cls", "component", "root")
-        return self.rows.select("doc_id", "text_hash", "n", "cls").join(of_class, "cls", "left").select("doc_id", "text_hash", "root", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def _bounds(u: str, v: str):
-    """Sizes within the similarity of each other, and no more differing sketch bits than features may differ."""
-    sizes = F.expr(f"{DEN} * least(n{u}, n{v}) >= {NUM} * greatest(n{u}, n{v})")
-    bits = " + ".join(f"bit_count({u}{i} ^ {v}{i})" for i in range(_WORDS))
-    return sizes & F.expr(f"{DEN + NUM} * ({bits}) <= {DEN - NUM} * (n{u} + n{v})")
+        return self.scratch.save(self._one_of_equal(raw), "shared")
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

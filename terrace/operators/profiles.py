@@ -68,13 +68,6 @@ def snap(edges: DataFrame, profile: DataFrame, reach: int, ratio: float) -> Data
     return based.select("profile_id", "edge", F.when(F.col("b.value") > ratio * F.col("base"), -F.col("b.i")).otherwise(F.col("edge")).alias("snapped"))
 
 
-def robust_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Median, scaled median absolute deviation, 99.5th percentile and mean per group."""
-    centre = df.groupBy(*keys).agg(F.median(value).alias("median"), F.percentile(value, F.lit(0.995)).alias("p995"), F.avg(value).alias("mean"))
-    spread = df.join(centre, keys).groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
-    return centre.join(spread, keys).withColumn("sigma", F.col("mad") * 1.4826)
-
-
 def division_grid(profile: DataFrame, parts: int, gaps: list[int], lengths: list[int], starts: list[int]) -> DataFrame:
     """Per profile the (gap, start, length) whose shared edges have the largest mean value; the first of equal ones.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions import geometry, rules
 from terrace.functions.text import code_number, code_prefix, fold, strip_tags
-from terrace.operators import merge, profiles
+from terrace.operators import merge, order_stats, profiles
 from terrace.operators.dedupe import first_by, unique_only
 from terrace.operators.programme import fixture_texts, programme
 from terrace.plans.publish import digest_tree
@@ -154,7 +154,7 @@ def q30_nearest_peak(spark, sf_dir):
 
 
 def q31_robust_stats(spark, sf_dir):
-    out = profiles.robust_stats(_read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice")
+    out = order_stats.robust_stats(_read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice")
     return out.select("l_returnflag", "l_linestatus", *[F.round(c, 3).alias(c) for c in ("median", "p995", "mean", "sigma")])
 
 

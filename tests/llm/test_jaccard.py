@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from brute import jaccard_components, shingles, words
 
-from terrace.llm import jaccard
+from terrace.llm import jaccard, links
 from terrace.llm.components import components
 from terrace.llm.common import Scratch
 from terrace.llm.shingles import shingle_sets, word_hashes
@@ -61,32 +61,46 @@ def test_similar_sets_share_a_needed_signature():
             b = np.concatenate([a[gone:], new])
             if not len(b) or 4 * (size - gone) < 3 * (size + len(new)):
                 continue
-            table = rng.integers(0, 255, 1 << jaccard.COUNT_BITS).astype(np.uint8)
+            table = rng.integers(0, 255, 1 << links.COUNT_BITS).astype(np.uint8)
             a, b = np.sort(a), np.sort(b)
             found = []
             for x in (a, b):
                 own = jaccard.band_of(len(x))
                 bands = [own, own + 1] if 4 * len(x) >= 3 * (jaccard.FIRST_BAND * jaccard.BAND_GROWTH**own + 1) else [own]
-                found.append({int(s) for at in bands for s in jaccard._signatures(x, table[jaccard._counted(x)], at)[0]})
+                found.append({int(s) for at in bands for s in jaccard._signatures(x, table[links.counted(x)], at)[0]})
             assert found[0] & found[1]
 
 
-def test_similar_sets_share_a_prefix_feature_with_enough_behind_it():
+@pytest.mark.parametrize(("num", "den"), [(3, 4), (4, 5)])
+def test_similar_sets_meet_as_smaller_and_larger(num, den):
+    """At the first shared feature, each within the other's bound, over sizes around the similarity itself."""
     rng = np.random.default_rng(12)
-    for size in (1, 2, 3, 4, 5, 8, 31, 60, 200):
+    met = 0
+    for size in (1, 2, 3, 4, 5, 8, 31, 60, 200, 900):
         for _ in range(60):
             x = rng.integers(0, 1 << 63, 2 * size).astype(np.uint64)
             gone = int(rng.integers(0, size // 4 + 1))
             a, b = np.sort(x[:size]), np.sort(np.concatenate([x[gone:size], x[size : size + int(rng.integers(0, size // 3 + 1))]]))
             common = size - gone
-            if 4 * common < 3 * (len(a) + len(b) - common):
+            if den * common < num * (len(a) + len(b) - common):
                 continue
+            a, b = sorted((a, b), key=len)
             rank = lambda y: (y % np.uint64(5)).astype(np.uint8)
-            first, second = jaccard._prefix(a, rank(a)).tolist(), jaccard._prefix(b, rank(b)).tolist()
-            shared = [f for f in first if f in second]
-            assert shared
-            left = min(len(a) - first.index(shared[0]), len(b) - second.index(shared[0]))
-            assert 7 * left >= 3 * (len(a) + len(b))
+            side = lambda y, other, smaller: {(f, i, j) for f, i, j, s, m in zip(*(v.tolist() for v in links.entries(y, rank(y), num, den)), strict=True) if s == smaller and m >= len(other)}
+            assert side(a, b, True) & side(b, a, False)
+            met += 1
+    assert met > 150
+
+
+def test_a_shared_passage_too_short_for_a_link_makes_no_entry():
+    """86 of 100 features shared, and as many more as miss the threshold by one."""
+    for size, shared in ((96, 82), (100, 85), (300, 257)):
+        assert 4 * shared < 3 * (2 * size - shared)
+        x = np.arange(1, size + 1).astype(np.uint64)
+        rarity = np.where(x <= size - shared, 0, 200).astype(np.uint8)
+        feature, i, j, smaller, most = links.entries(x, rarity, 3, 4)
+        assert not (smaller & (feature > size - shared)).any()
+        assert (most[feature > size - shared] < size).all()
 
 
 def enumerated(x: np.ndarray, groups: int, group: int, spoiled: int) -> set[int]:
