@@ -9,10 +9,12 @@ from terrace.functions import geometry, rules
 from terrace.functions.text import code_number, code_prefix, fold, strip_tags
 from terrace.operators import merge, order_stats, profiles
 from terrace.operators.dedupe import first_by, unique_only
+from terrace.operators.grams import GramIndex, first_hits
 from terrace.operators.programme import fixture_texts, programme
 from terrace.plans.publish import digest_tree
+from terrace.plans.release import KeyedRelease
 from terrace.sources.html import links
-from terrace.streaming.refresh import refresh_once
+from terrace.streaming.refresh import refresh_once, shared_root
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -74,8 +76,25 @@ SEARCH = "être"
 def q16_search_fold(spark, sf_dir):
     """Folded substring search: the first 40 by id, with the number that the list leaves out."""
     hits = _read(spark, sf_dir, "documents").filter(F.contains(fold(F.col("text")), fold(F.lit(SEARCH)))).select("doc_id", "source")
-    total = hits.agg(F.count("*").alias("n"))
-    return hits.orderBy("doc_id").limit(40).crossJoin(total).select("doc_id", "source", F.greatest(F.col("n") - 40, F.lit(0)).alias("more"))
+    return first_hits(hits, "doc_id")
+
+
+def q68_gram_search(spark, sf_dir):
+    """The same search by an index of grams: postings of the needle's grams, then the texts of their common documents."""
+    index = GramIndex(spark, _read(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id", "text")
+    hits = first_hits(index.search(SEARCH).select("doc_id", "source"), "doc_id")
+    index.drop()
+    return hits
+
+
+def q69_keyed_read(spark, sf_dir):
+    """Orders published by customer; those of customers in debt are read from the parts that hold them."""
+    customers = _read(spark, sf_dir, "customer")
+    orders = _read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.max("o_orderdate").cast("date").alias("last"))
+    payload = F.concat_ws("|", "c_name", F.coalesce("n", F.lit(0)).cast("string"), F.col("last").cast("string"))
+    release = KeyedRelease(spark, f"{shared_root(spark)}/orders", "c_custkey")
+    release.publish(customers.join(orders, "c_custkey", "left").select("c_custkey", payload.alias("payload")))
+    return release.get_all(customers.filter("c_acctbal < 0"))
 
 
 def q17_unique_lookup(spark, sf_dir):
@@ -235,6 +254,8 @@ ORACLES = {
     WHERE day BETWEEN DATE '{TODAY}' - 10 AND DATE '{TODAY}' AND NOT official GROUP BY team""",
     "q16_search_fold": f"""WITH h AS (SELECT doc_id, source FROM documents WHERE contains(strip_accents(lower(text)), strip_accents('{SEARCH}')))
     SELECT doc_id, source, greatest((SELECT count(*) FROM h) - 40, 0) AS more FROM h ORDER BY doc_id LIMIT 40""",
+    "q69_keyed_read": """WITH o AS (SELECT o_custkey, count(*) AS n, max(o_orderdate)::DATE AS last FROM orders GROUP BY 1)
+    SELECT c_custkey, concat_ws('|', c_name, coalesce(n, 0)::VARCHAR, last::VARCHAR) AS payload FROM customer LEFT JOIN o ON o_custkey = c_custkey WHERE c_acctbal < 0""",
     "q17_unique_lookup": "WITH u AS (SELECT lower(p_name) AS name, min(p_partkey) AS only_key FROM part GROUP BY 1 HAVING count(*) = 1) SELECT p_partkey, lower(p_name) AS name, only_key FROM part LEFT JOIN u ON lower(p_name) = u.name",
     "q18_colour_clash": """WITH k AS (SELECT vec_id, list_transform(embedding[1:6], lambda x: floor((x::DOUBLE + 1) * 127.5::DOUBLE)::INT::DOUBLE) AS c FROM embeddings),
     j AS (SELECT a.vec_id, b.vec_id AS opponent, list_distance(a.c[1:3], b.c[1:3]) AS d1, list_distance(a.c[4:6], b.c[4:6]) AS d2 FROM k a JOIN k b ON b.vec_id = a.vec_id + 1)
@@ -280,3 +301,4 @@ ORACLES = {
     "q35_stream_refresh": """WITH r AS (SELECT user_id AS team, event_type AS code, value AS score, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY (event_type <> 'error' AND event_id % 7 <> 0) DESC, event_id DESC) AS r FROM events)
     SELECT team, code, CASE WHEN code <> 'error' AND event_id % 7 <> 0 THEN score END AS score FROM r WHERE r = 1""",
 }
+ORACLES["q68_gram_search"] = ORACLES["q16_search_fold"]

@@ -73,6 +73,18 @@ class Files:
             self.remove(held.toString())
             return False
 
+    def put(self, name: str, text: str) -> None:
+        """Writes a file, in the place of one of that name, which is whole until then."""
+        held = self.path(f"{name}.{uuid.uuid4().hex}.tmp")
+        stream = self.system.create(held, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(held.toUri(), self.conf)
+        kinds = self.jvm.org.apache.hadoop.fs.Options.Rename
+        over = self.gateway.new_array(kinds, 1)
+        over[0] = kinds.OVERWRITE
+        context.rename(held, self.path(name), over)
+
     def remove(self, name: str) -> None:
         self.system.delete(self.path(name), True)
 
