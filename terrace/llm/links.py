@@ -5,14 +5,14 @@ the texts gives sizes, hashes of sets, 512-bit parity sketches and a fixed-size
 class. An operator adds groups of classes (sig, cls) such that linked classes meet in some group. Then:
 
 1. Each class is compared with a pivot of its group: pairs pass the size and sketch bounds, longer sketches, and then their
-   whole sets are compared. Links give components; groups that still lie in several go on, with other pivots.
-2. Groups of at most SMALL_GROUP classes are then paired. Larger ones are split: their classes meet by single features.
+   whole sets are compared. Links give components; groups that still lie in several go on.
+2. Groups of at most SMALL_GROUP classes are paired. Larger ones are split: their classes meet by single features.
    In the order that all sets share, rare features first, the first feature that two linked sets have in common has at
    least the needed overlap behind it in both. So a feature with r features from it on serves only partners of size at
    most r (num + den) / num - n, and a set enters it once for each range of sizes that it can serve: as the smaller set of
    a pair, and as the larger. A passage that sets share, but that is too short for a link, comes last in the order, is
    too short for any partner and makes no entry; where it is long enough, the sets link by it and pivots join them.
-3. Split groups are compared with pivots of either side, and what still lies in several components meets by smaller and
+3. Split groups are compared with a pivot of either side, and what still lies in several components meets by smaller and
    larger side, with the size, sketch and position bounds inside the join and large sides dealt by blocks over many tasks.
 
 So no link between components is lost, and no group is expanded into its pairs. Pairs whose sizes, positions and sketches allow a
@@ -202,7 +202,7 @@ class LinkedSets:
     #: Further columns of a class, by name and type, that `_own` computes and `_near` may use.
     own_columns: dict[str, str] = {}
 
-    def __init__(self, spark: SparkSession, documents: DataFrame, name: str, broadcast_classes: int = BROADCAST_CLASSES, pivot_rounds: int = 2, small_group: int = SMALL_GROUP, block: int = BLOCK):
+    def __init__(self, spark: SparkSession, documents: DataFrame, name: str, broadcast_classes: int = BROADCAST_CLASSES, pivot_rounds: int = 1, small_group: int = SMALL_GROUP, block: int = BLOCK):
         self.spark, self.broadcast_classes, self.pivot_rounds, self.small_group, self.block = spark, broadcast_classes, pivot_rounds, small_group, block
         small_batches(spark)
         self.documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -312,11 +312,10 @@ class LinkedSets:
         # An id may repeat, so a class may come once per task, or not belong to the wanted ones: links are the same.
         self.sets = self.scratch.save(texts.select("text").mapInArrow(_set_rows(self.width), "cls long, sketch array<long>, features binary"), "sets")
 
-    def _joined(self, links: DataFrame | None, pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """All links so far, with those among bounded pairs, and the components they give."""
+    def _joined(self, graph: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+        """The components of a graph (u, v) and of the links among bounded pairs."""
         found = self.scratch.save(self._verified(pairs, name), f"links-{name}")
-        links = found if links is None else links.unionByName(found)
-        return links, components(links, self.scratch, f"graph-{name}")
+        return graph if found.isEmpty() else components(graph.unionByName(found), self.scratch, f"graph-{name}")
 
     def _with_pivots(self, members: DataFrame, order: Column) -> DataFrame:
         """Bounded pairs of each class with the pivot of its group, the least in the given order."""
@@ -356,7 +355,7 @@ class LinkedSets:
         pivot = lambda smaller, order: met.filter(F.col("smaller") == smaller).groupBy(*key).agg(F.min(F.struct(order.alias("o"), F.col("cls").alias("pivot"), F.col("label").alias("pivot_label"))).alias("p")).select(*key, F.lit(not smaller).alias("smaller"), "p.pivot", "p.pivot_label")
         pivots = pivot(True, -F.col("most")).unionByName(pivot(False, F.xxhash64("cls", "sig")))
         pairs = met.join(pivots, [*key, "smaller"]).filter("label <> pivot_label").select(F.greatest("cls", "pivot").alias("u"), F.least("cls", "pivot").alias("v"))
-        return self._bounded(pairs.distinct())
+        return pairs.select("u", "v")
 
     def _sides(self, met: DataFrame) -> DataFrame:
         """Bounded pairs across components of smaller and larger sets under each entry. Larger ones are dealt by blocks."""
@@ -389,25 +388,23 @@ class LinkedSets:
         self._profiles()
         groups = self._candidates()
         self._store_sets(groups)
-        links = graph = None
+        graph = self.spark.createDataFrame([], "u long, v long")
         members = groups.withColumn("label", F.col("cls"))
         for step in range(self.pivot_rounds):
             order = F.xxhash64("cls", F.lit(step)) if step == 0 else F.xxhash64("cls", "sig", F.lit(step))
-            links, graph = self._joined(links, self._with_pivots(members, order), f"pivot-{step}")
+            graph = self._joined(graph, self._with_pivots(members, order), f"pivot-{step}")
             members = self._mixed(groups, graph, f"members-{step}")
         sizes = members.groupBy("sig").agg(F.count("*").alias("n"))
         large = self._small(self.scratch.save(sizes.filter(F.col("n") > self.small_group).select("sig"), "large"))
         small, split = members.join(large, "sig", "left_anti"), members.join(large, "sig", "left_semi")
-        none = self.spark.createDataFrame([], "u long, v long")
-        graph = none if graph is None else graph
         met = self._met(self.scratch.save(self._entered(split), "entered"), graph, "met")
-        links, graph = self._joined(links, self._at_pivots(met), "pivot-split")
+        graph = self._joined(graph, self._bounded(self._within(small).unionByName(self._at_pivots(met)).distinct()), "small")
         met = self._met(met.drop("label"), graph, "met-again")
-        links, graph = self._joined(links, self._bounded(self._within(small).unionByName(self._sides(met)).distinct()), "rest")
-        for table in self.scratch.saved - {"profile", "classes"}:
-            # The last pass of the graph is what the result reads.
-            if not table.startswith("graph-rest"):
-                self.scratch.drop(table)
+        if not met.isEmpty():
+            graph = self._joined(graph, self._bounded(self._sides(met).distinct()), "rest")
+        graph = self.scratch.save(graph, "components")
+        for table in self.scratch.saved - {"profile", "classes", "components"}:
+            self.scratch.drop(table)
         roots = self.classes.select("cls", "rep").join(graph.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         least = roots.groupBy("root").agg(F.min("rep").alias("component"))
         of_class = roots.join(least, "root").select("cls", "component", "root")

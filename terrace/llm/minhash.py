@@ -1,17 +1,17 @@
 """Near-duplicate removal by a signature-coordinate inverted join.
 
-A document's set is its distinct 2-word shingles. Its signature has 64 coordinates: the least value of the set under 64 hash
-orders. Documents are posted under each (coordinate, value); two sets of similarity s collide in a coordinate with
-probability s, so 64 coordinates have about 64 s collisions. Pairs of at least 30 collisions are candidates, and their whole
-sets are compared. A pair at the similarity of 0.8 itself has fewer than 30 with probability 5e-9, nearer pairs
-hardly ever.
-
-Counting is by prefix and skip merging. Posting lists are ordered by length; of a class's 64 postings only the
-64 - 30 + 1 in the shortest lists are merged, as two signatures with 30 collisions have one of those in common. Lists of a
-single class lead the order, so a set that collides with others in fewer than 30 coordinates has none left and drops out. The long
-lists, common word pairs and the bulk of large groups, are skipped: for pairs met in a short list, collisions over all
-coordinates are counted from the signatures, a byte a coordinate in eight 64-bit words, inside the join. A byte may agree where
-values differ, which only lets a pair through to the comparison of whole sets.
+A document's set is its distinct 2-word shingles. Its signature has 40 coordinates, each the pair of the set's least values
+under two hash orders. Documents are posted under each (coordinate, value); two sets of similarity s collide in a
+coordinate with probability s * s. Two minima to a coordinate keep sets apart that share a common word pair or two. Pairs
+of at least 8 collisions are candidates, and their whole sets are compared. A pair at the similarity of 0.8 itself, of 25.6
+expected collisions, has fewer than 8 with probability 3e-9, nearer pairs hardly ever.
+
+Counting is by prefix and skip merging. Posting lists are ordered by length; of a class's 40 postings only the
+40 - 8 + 1 in the shortest lists are merged, as two signatures with 8 collisions have one of those in common. Lists of a
+single class lead the order, so a set that collides with others in fewer than 8 coordinates has none left and drops out.
+The long lists, common word pairs and the bulk of large groups, are skipped: for pairs met in a short list, collisions over
+all coordinates are counted from the signatures, a byte a coordinate in five 64-bit words, inside the join. A byte may agree
+where values differ, which only lets a pair through to the comparison of whole sets.
 
 Groups of classes that share a short list go through links.py: pivots, components, and for what they leave in large groups an
 exact join by single features. So a group of copies is never expanded into pairs, and no list is gathered in a task.
@@ -34,16 +34,19 @@ from terrace.llm.shingles import U64, Sets, mix64, per_set
 
 SHINGLE = 2
 NUM, DEN = 4, 5
-COORDINATES, MATCHES = 64, 30
-_SEED = mix64(np.arange(2 * COORDINATES, dtype=U64) + U64(0x5DEECE66D))
-_FACTORS, _SHIFTS = _SEED[:COORDINATES] | U64(1), _SEED[COORDINATES:]
+COORDINATES, MINIMA, MATCHES = 40, 2, 8
+_SEED = mix64(np.arange(2 * MINIMA * COORDINATES, dtype=U64) + U64(0x5DEECE66D)).reshape(2, COORDINATES, MINIMA)
+_FACTORS, _SHIFTS = _SEED[0] | U64(1), _SEED[1]
 
 
 def signatures(sets: Sets) -> np.ndarray:
-    """32-bit coordinates, a row a set."""
+    """32-bit coordinates, a row a set: each from the least values under two orders."""
     out = np.zeros((len(sets.bounds) - 1, COORDINATES), np.uint32)
     for i in range(COORDINATES):
-        out[:, i] = per_set(sets.hashes * _FACTORS[i] + _SHIFTS[i], sets, np.minimum, 0) >> U64(32)
+        value = np.zeros(len(out), U64)
+        for j in range(MINIMA):
+            value = mix64(value + per_set(sets.hashes * _FACTORS[i, j] + _SHIFTS[i, j], sets, np.minimum, 0))
+        out[:, i] = value >> U64(32)
     return out
 
 
@@ -61,7 +64,7 @@ class MinHashJoin(LinkedSets):
     width, num, den = SHINGLE, NUM, DEN
     own_columns = {"signature": "array<int>", **{f"m{i}": "long" for i in range(COORDINATES // 8)}}
 
-    def __init__(self, spark: SparkSession, documents: DataFrame, broadcast_classes: int = BROADCAST_CLASSES, pivot_rounds: int = 2, small_group: int = SMALL_GROUP, block: int = BLOCK, matches: int = MATCHES):
+    def __init__(self, spark: SparkSession, documents: DataFrame, broadcast_classes: int = BROADCAST_CLASSES, pivot_rounds: int = 1, small_group: int = SMALL_GROUP, block: int = BLOCK, matches: int = MATCHES):
         super().__init__(spark, documents, "minhash", broadcast_classes, pivot_rounds, small_group, block)
         self.matches = matches
 
