@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from terrace.functions.text import fold
+from terrace.functions.text import bound, fold
 
 
 def ordered_case(text: Column, rules: list[tuple[tuple[str, ...], str]], otherwise: str | None) -> Column:
     """The label of the first rule of which a word occurs in the folded text."""
-    folded, out = fold(text), None
-    for words, label in rules:
-        hit = F.lit(False)
-        for word in words:
-            hit = hit | folded.contains(word)
-        out = F.when(hit, label) if out is None else out.when(hit, label)
-    return out.otherwise(otherwise)
+
+    def chosen(folded: Column) -> Column:
+        out = None
+        for words, label in rules:
+            hit = F.lit(False)
+            for word in words:
+                hit = hit | folded.contains(word)
+            out = F.when(hit, label) if out is None else out.when(hit, label)
+        return out.otherwise(otherwise)
+
+    return bound(fold(text), chosen)
 
 
 #: Surface words in the order in which they are tried.
@@ -40,15 +44,20 @@ def distance_to(text: Column, at: Column, word: str) -> Column:
 
 def nearest_verdict(text: Column, term: str, allow: tuple[str, ...], deny: tuple[str, ...]) -> Column:
     """Whether a text allows a term (a regular expression): the word nearest to its first occurrence decides, a tie forbids."""
-    at = F.regexp_instr(text, F.lit(term))
-    nearest = lambda words: F.least(*[distance_to(text, at, w) for w in words], F.lit(None).cast("int"))
-    yes, no = nearest(allow), nearest(deny)
-    return F.when(at == 0, "unknown").when(no.isNull(), F.when(yes.isNotNull(), "allowed").otherwise("unknown")).when(yes.isNull(), "forbidden").when(no <= yes, "forbidden").otherwise("allowed")
+    nearest = lambda t, words: F.least(*[distance_to(t["text"], t["at"], w) for w in words], F.lit(None).cast("int"))
+
+    def verdict(d: Column) -> Column:
+        return F.when(d["at"] == 0, "unknown").when(d["no"].isNull(), F.when(d["yes"].isNotNull(), "allowed").otherwise("unknown")).when(d["yes"].isNull(), "forbidden").when(d["no"] <= d["yes"], "forbidden").otherwise("allowed")
+
+    apart = lambda t: F.struct(t["at"].alias("at"), nearest(t, allow).alias("yes"), nearest(t, deny).alias("no"))
+    placed = lambda t: F.struct(t.alias("text"), F.regexp_instr(t, F.lit(term)).alias("at"))
+    return bound(text, lambda t: bound(placed(t), lambda at: bound(apart(at), verdict)))
 
 
 def footwear_line(notes: Column, start: str = "obuv") -> Column:
-    """The first line that starts with the keyword, trimmed; null without one."""
-    return F.get(F.filter(F.transform(F.split(notes, "\n"), lambda x: F.trim(x)), lambda x: fold(x).startswith(start)), F.lit(0))
+    """The first line that starts with the keyword itself, trimmed; null without one."""
+    line = F.get(F.filter(F.split(notes, "\n"), lambda x: fold(x).startswith(start)), F.lit(0))
+    return F.regexp_replace(line, r"^\s+|\s+$", "")
 
 
 def footwear_summary(studs: Column, artificial: Column) -> Column:
@@ -58,11 +67,14 @@ def footwear_summary(studs: Column, artificial: Column) -> Column:
 
 def footwear(notes: Column) -> Column:
     """(text, studs, artificial, summary) of a ground's notes: verdicts are unknown and the rest empty without a line on footwear."""
-    line = footwear_line(notes)
-    verdict = lambda term: F.when(line.isNull(), "unknown").otherwise(nearest_verdict(fold(line), term, (ALLOW,), (DENY,)))
-    studs, artificial = verdict(STUDS), verdict(ARTIFICIAL)
-    summary = F.when(line.isNull(), "").otherwise(footwear_summary(studs, artificial))
-    return F.struct(F.coalesce(line, F.lit("")).alias("text"), studs.alias("studs"), artificial.alias("artificial"), summary.alias("summary"))
+
+    def ruled(line: Column) -> Column:
+        verdict = lambda term: nearest_verdict(line["folded"], term, (ALLOW,), (DENY,))
+        none = F.struct(F.lit("").alias("text"), F.lit("unknown").alias("studs"), F.lit("unknown").alias("artificial"), F.lit("").alias("summary"))
+        found = bound(F.struct(verdict(STUDS).alias("studs"), verdict(ARTIFICIAL).alias("artificial")), lambda v: F.struct(line["text"].alias("text"), v["studs"].alias("studs"), v["artificial"].alias("artificial"), footwear_summary(v["studs"], v["artificial"]).alias("summary")))
+        return F.when(line["text"].isNull(), none).otherwise(found)
+
+    return bound(footwear_line(notes), lambda x: bound(F.struct(x.alias("text"), fold(x).alias("folded")), ruled))
 
 
 def boots_label(studs: Column) -> Column:

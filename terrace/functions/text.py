@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters with diacritics and their bases. Letters without a decomposition (ß, đ, ł, ø) stay.
-ACCENTED = "áàâäãåąāčćçďéèêëěęēíìîïīňńñóòôöõőōřŕšśşťţúùûüůűūýÿžźż"
-PLAIN = "aaaaaaaacccdeeeeeeeiiiiinnnooooooorrsssttuuuuuuuyyzzz"
+
+def _decomposed() -> tuple[str, str]:
+    """Characters whose compatibility decomposition is one character and marks, and those characters."""
+    pairs = [(chr(c), "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) for c in range(0xA0, 0x10000) if not 0xAC00 <= c < 0xE000]
+    found = [(c, base) for c, base in pairs if len(base) == 1 and base != c]
+    return "".join(c for c, _ in found), "".join(base for _, base in found)
+
+
+ACCENTED, PLAIN = _decomposed()
 
 #: Entities in the order in which they are decoded, so that "&amp;lt;" ends as "<".
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
 
 
 def fold(text: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case without diacritics: letters by their Unicode decomposition, then marks of their own.
+
+    Letters without a decomposition (ß, đ, ł, ø) stay, and so do ligatures. Plain ASCII text is lower-cased alone.
+    """
+    lower = F.lower(text)
+    return F.when(F.octet_length(text) == F.char_length(text), lower).otherwise(F.regexp_replace(F.translate(lower, ACCENTED, PLAIN), r"\p{M}+", ""))
 
 
 def key(text: Column) -> Column:
@@ -28,14 +41,31 @@ def ascii_id(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(fold(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """What `body` makes of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_tags(html: Column) -> Column:
-    """Readable text: breaks as newlines, tags as blanks, entities decoded, blanks collapsed, ends trimmed."""
-    out = F.regexp_replace(html, r"(?i)<br\s*/?>", "\n")
-    out = F.regexp_replace(out, r"<[^>]*>", " ")
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    out = F.regexp_replace(out, r"[ \t\x{A0}]+", " ")
-    return F.regexp_replace(F.regexp_replace(out, r" *\n *", "\n"), r"^\s+|\s+$", "")
+    """Readable text: breaks as newlines, tags as blanks, entities decoded, blanks collapsed, ends trimmed.
+
+    Steps whose first character does not occur are left out.
+    """
+
+    def plain(text: Column) -> Column:
+        out = F.regexp_replace(text, r"(?i)<br\s*/?>", "\n")
+        return F.regexp_replace(out, r"<[^>]*>", " ")
+
+    def decoded(text: Column) -> Column:
+        for entity, char in ENTITIES:
+            text = F.replace(text, F.lit(entity), F.lit(char))
+        return text
+
+    lines = lambda text: F.when(text.contains("\n"), F.regexp_replace(text, r" *\n *", "\n")).otherwise(text)
+    spaced = lambda text: bound(F.regexp_replace(text, r"[ \t\x{A0}]+", " "), lines)
+    read = lambda text: bound(F.when(text.contains("&"), decoded(text)).otherwise(text), spaced)
+    out = bound(html, lambda text: bound(F.when(text.contains("<"), plain(text)).otherwise(text), read))
+    return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
 def html_escape(text: Column) -> Column:
@@ -58,16 +88,25 @@ def calendar_escape(text: Column) -> Column:
 
 
 def calendar_fold(line: Column, octets: int = 73) -> Column:
-    """Lines of at most `octets` bytes, continued after a line break and a blank. A character is never split."""
+    """Lines of at most `octets` bytes, continued after a line break and a blank. A character is never split.
+
+    Short lines stay as they are and ASCII ones are cut by place; only long lines of wider characters are walked through,
+    and their parts are joined once.
+    """
+    rest = F.substring(line, F.lit(octets + 1), F.char_length(line))
+    by_place = F.concat(F.substring(line, 1, octets), F.regexp_replace(rest, f"(?s)(.{{1,{octets - 1}}})", "\r\n $1"))
     chars = F.filter(F.split(line, ""), lambda c: c != "")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("used"))
+    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("used"))
 
     def add(acc: Column, c: Column) -> Column:
         size = F.octet_length(c)
         full = acc["used"] + size > octets
-        return F.when(full, F.struct(F.concat(acc["out"], F.lit("\r\n "), c).alias("out"), (size + 1).alias("used"))).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), (acc["used"] + size).alias("used")))
+        part = F.when(full, F.concat(F.lit("\r\n "), c)).otherwise(c)
+        return F.struct(F.array_append(acc["parts"], part).alias("parts"), F.when(full, size + 1).otherwise(acc["used"] + size).alias("used"))
 
-    return F.aggregate(chars, start, add, lambda acc: acc["out"])
+    walked = F.aggregate(chars, start, add, lambda acc: F.array_join(acc["parts"], ""))
+    ascii_only = F.octet_length(line) == F.char_length(line)
+    return F.when(F.octet_length(line) <= octets, line).when(ascii_only, by_place).otherwise(walked)
 
 
 def code_prefix(code: Column) -> Column:

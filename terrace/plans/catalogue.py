@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrace.plans import league, pages, seasons, streams, tables
+from terrace.plans import league, pages, places, rasters, seasons, streams, tables
 
-QUERIES = {**league.QUERIES, **tables.QUERIES, **seasons.QUERIES, **pages.QUERIES, **streams.QUERIES}
-ORACLES = {**league.ORACLES, **tables.ORACLES, **seasons.ORACLES, **pages.ORACLES, **streams.ORACLES}
+QUERIES = {**league.QUERIES, **tables.QUERIES, **seasons.QUERIES, **pages.QUERIES, **streams.QUERIES, **rasters.QUERIES, **places.QUERIES}
+ORACLES = {**league.ORACLES, **tables.ORACLES, **seasons.ORACLES, **pages.ORACLES, **streams.ORACLES, **rasters.ORACLES, **places.ORACLES}

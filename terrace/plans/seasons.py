@@ -198,7 +198,7 @@ _FOLDED = f"strip_accents(lower({_NAME}))"
 
 ORACLES = {
     "q40_footwear": f"""WITH a AS (SELECT p_partkey, p_name, {_LINES}[p_partkey % 8 + 1] AS line FROM part),
-    b AS (SELECT *, CASE WHEN starts_with(strip_accents(lower(trim(p_name))), 'obuv') THEN trim(p_name) WHEN starts_with(strip_accents(lower(trim(line))), 'obuv') THEN trim(line) END AS text FROM a),
+    b AS (SELECT *, CASE WHEN starts_with(strip_accents(lower(p_name)), 'obuv') THEN trim(p_name) WHEN starts_with(strip_accents(lower(line)), 'obuv') THEN trim(line) END AS text FROM a),
     c AS (SELECT *, strip_accents(lower(text)) AS t, strip_accents(lower(p_name || ' ' || line)) AS n FROM b),
     d AS (SELECT *, strpos(t, 'lisov') AS x, CASE WHEN regexp_matches(t, '\\bag\\b') THEN length(regexp_extract(t, '^(.*?)\\bag\\b', 1)) + 1 ELSE 0 END AS y FROM c),
     e AS (SELECT *, {_verdict("x")} AS studs, {_verdict("y")} AS artificial FROM d)

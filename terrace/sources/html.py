@@ -73,8 +73,8 @@ def fixtures(pages: DataFrame, team: str = "team", column: str = "html") -> Data
     pair = F.transform(F.split(sides, r"\s+[-–]\s+", 2), lambda x: F.trim(x))
     code = F.regexp_extract("row_html", r'(?i)href="[^"]*#([^"]+)"', 1)
     # The first cell of this form is the time, the last one after it the score.
-    timed = F.filter("cell_tags", lambda c: F.trim(strip_tags(c)).rlike(r"^\d+\s*:\s*\d+$"))
-    score_cell = F.when(F.size(timed) > 1, F.element_at(timed, -1))
+    timed = F.filter(F.arrays_zip("cell_tags", "texts"), lambda c: c["texts"].rlike(r"^\d+\s*:\s*\d+$"))
+    score_cell = F.when(F.size(timed) > 1, F.element_at(timed, -1)["cell_tags"])
     base = [c for c in pages.columns if c != column]
     out = found.select(*base, "row", F.regexp_extract(first(r"^\d+\.?$"), r"(\d+)", 1).try_cast("int").alias("round"), first(r"\d{1,2}\.\s*\d{1,2}\.").alias("date_raw"), first(r"^\d{1,2}:\d{2}$").alias("time"), code.alias("code"), F.get(pair, F.lit(0)).alias("home_name"), F.get(pair, F.lit(1)).alias("away_name"), score_cell.alias("score_cell"))
     own = key(F.col(team))

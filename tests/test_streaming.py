@@ -152,7 +152,8 @@ def test_windowed_counts_give_a_window_once_it_is_over(spark, tmp_path):
 
 def test_footwear_by_whole_terms(spark):
     cases = {
-        "Povrch: x\n Obuv: AG povoleny, ale zakázány lisovky": ("forbidden", "allowed", "AG or turf, no lisovky"),
+        "Povrch: x\nObuv: AG povoleny, ale zakázány lisovky ": ("forbidden", "allowed", "AG or turf, no lisovky"),
+        "Povrch: x\n Obuv: AG povoleny, ale zakázány lisovky": ("unknown", "unknown", ""),
         "Obuv: magnetické povoleny": ("unknown", "unknown", "no lisovky"),
         "Obuv: lisovky povoleny": ("allowed", "unknown", "lisovky OK"),
         "Obuv: zakázány lisovky i AG": ("forbidden", "forbidden", "turf / indoor only"),
