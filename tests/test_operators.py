@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrace.operators import careers, dedupe, meetings, merge, profiles, programme, squads
-from terrace.streaming.refresh import ResultTable, latest_known
+from terrace.streaming.log import ResultTable, latest_known
 
 
 def walk(seasons, played, gap):
