@@ -174,7 +174,7 @@ class JaccardJoin(LinkedSets):
 
     width, num, den = SHINGLE, NUM, DEN
 
-    def __init__(self, spark: SparkSession, documents: DataFrame, hot_count: int = HOT_COUNT, broadcast_classes: int = BROADCAST_CLASSES, pivot_rounds: int = 2, small_group: int = SMALL_GROUP, block: int = BLOCK, group: int = GROUP, spoiled: int = SPOILED):
+    def __init__(self, spark: SparkSession, documents: DataFrame, hot_count: int = HOT_COUNT, broadcast_classes: int = BROADCAST_CLASSES, pivot_rounds: int = 1, small_group: int = SMALL_GROUP, block: int = BLOCK, group: int = GROUP, spoiled: int = SPOILED):
         super().__init__(spark, documents, "jaccard", broadcast_classes, pivot_rounds, small_group, block)
         self.hot, self.group, self.spoiled = hot_count, group, spoiled
 
