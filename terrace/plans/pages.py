@@ -84,6 +84,38 @@ def q65_query_ids(spark, sf_dir):
     return o.select("o_orderkey", F.element_at(ids, "team").cast("long").alias("team"), F.element_at(ids, "game").cast("long").alias("game"), F.size(ids).alias("n"))
 
 
+def q78_season_with_sheets(spark, sf_dir):
+    """Orders as matches of a customer's page, with blocks of details and sheets below: one row a match, the customer's own side of each sheet."""
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("team"), F.col("o_orderdate").cast("date").alias("day"))
+    k, team, text = F.col("o_orderkey"), _text("team"), lambda c: c.cast("string")
+    home = k % 2 == 0
+    link = lambda slug, name: F.concat(F.lit('<a href="/souteze/x/1-a/tymy/'), slug, F.lit('/">'), name, F.lit("</a>"))
+    own, other = (F.concat(F.lit("t"), team), F.concat(F.lit("Tým "), team)), (F.concat(F.lit("s"), text(k % 97)), F.concat(F.lit("Soupeř "), text(k % 97)))
+    sides = F.when(home, F.concat(link(*own), F.lit(" - "), link(*other))).otherwise(F.concat(link(*other), F.lit(" - "), link(*own)))
+    score = F.when(k % 3 > 0, F.concat_ws(":", text(k % 7), text(k % 4))).otherwise("-")
+    row = F.concat(F.lit("<tr><td>Po "), F.date_format("day", "d.M.yyyy"), F.lit('</td><td><a href="/hriste/#G'), text(k), F.lit('">g</a> <i data-gameid="'), text(k), F.lit('"></i></td><td>'), sides, F.lit("</td><td>"), score, F.lit("</td></tr>"))
+    line = lambda mine: F.concat(F.lit("<td>"), F.when(mine, F.concat(F.lit("Ann Gate - <b class=\"is-captain\">P"), text(k % 40), F.lit("</b>, Cid"))).otherwise(F.lit("Other - Man")), F.lit("</td>"))
+    goal = lambda mine: F.concat(F.lit("<td>"), F.when(mine, F.concat(text(k % 59 + 1), F.lit("., 60. Ray Ox"))).otherwise(F.lit("1. Foe")), F.lit("</td><td>"), F.when(mine & (k % 4 == 1), F.lit("5. Cid<br/>9. P")).otherwise(""), F.lit("</td>"))
+    head = lambda mine: F.concat(F.lit("<th>"), F.when(mine, own[1]).otherwise(other[1]), F.lit("</th>"))
+    sheet = F.concat(F.lit('<table class="has-smaller-text"><tr>'), head(home), F.lit("<th> </th>"), head(~home), F.lit("</tr> <tr>"), line(home), F.lit("<td>-</td>"), line(~home), F.lit("</tr></table><table><tr><th>Góly</th></tr> <tr>"), goal(home), F.lit("<td>-</td>"), goal(~home), F.lit("</tr></table>"))
+    block = F.concat(F.lit('<div id="game-'), text(k), F.lit('"><p>3:1 ('), text(k % 5), F.lit(":0)</p><br>Rozhodčí: R"), text(k % 9), F.lit("<br>"), F.when(k % 5 > 0, sheet).otherwise(""), F.lit("</div>"))
+    pages = _page(o, "team", row, "o_orderkey").join(_page(o, "team", block, "o_orderkey").withColumnRenamed("html", "below"), "team")
+    pages = pages.select(F.concat(F.lit("t"), _text("team")).alias("slug"), F.concat(F.col("html"), F.lit('<a name="gameResults"></a>'), F.col("below")).alias("html"))
+    found = html.season_with_sheets(pages)
+    shown = F.array_join(F.transform("line", lambda x: F.concat(x["n"], F.when(x["gk"], "/g").otherwise(""), F.when(x["cap"], "/c").otherwise(""))), ",")
+    scored = F.array_join(F.transform("goals", lambda x: F.concat_ws(" ", F.array_join(F.transform(x["m"], lambda m: m.cast("string")), "+"), x["n"])), ",")
+    return found.select("slug", "gameid", F.col("day").cast("string").alias("day"), "code", "opponent", "opp_slug", "home", "score", "half", "referee", shown.alias("line"), scored.alias("goals"), F.array_join("cards", ",").alias("cards"), "gf", "ga", "res")
+
+
+def q79_jersey_colours(spark, sf_dir):
+    """Suppliers as teams of nations with the colours that their nation's page of jerseys gives; some teams are not on it."""
+    s = _read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("division"), F.concat(F.lit("Šípy č. "), _text("s_suppkey")).alias("name"))
+    colours = F.element_at(F.array(*map(F.lit, ("bílá, černá", "modro-žlutá", "tmavě modrá &amp; bílá"))), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    cells = _cells(F.when(F.col("s_suppkey") % 4 > 0, F.upper("name")).otherwise("Jiní"), F.when(F.col("s_suppkey") % 7 > 0, F.concat(F.lit("<b>"), colours, F.lit("</b>"))).otherwise(" "))
+    pages = _page(s, "division", cells, "s_suppkey").withColumn("html", F.concat(F.lit("<tr><th>Tým</th><th>Barva dresu</th></tr>"), "html"))
+    return html.with_colours(s, html.jersey_colours(pages), ["division"], "name").select("s_suppkey", "name", "colours")
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if n[:1] == "q" and n[1:3].isdigit()}
 
 ORACLES = {
@@ -101,4 +133,10 @@ ORACLES = {
     "q64_parsed_sheets": """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 'Ann Gate/g,' ELSE '' END || 'P' || (l_partkey % 40)::VARCHAR || '/c,Q' || (l_suppkey % 40)::VARCHAR || '/b' AS people,
       (l_quantity::INT + 1)::VARCHAR || '+' || (l_quantity::INT + 10)::VARCHAR || ' Ray Ox,88 Cid' AS goals FROM lineitem""",
     "q65_query_ids": "SELECT o_orderkey, o_custkey AS team, o_orderkey AS game, 2 AS n FROM orders",
+    "q78_season_with_sheets": """WITH o AS (SELECT *, o_orderkey AS k, o_orderdate::DATE AS d, o_orderkey % 2 = 0 AS home, o_orderkey % 3 > 0 AS played, o_orderkey % 5 > 0 AS sheet FROM orders),
+    g AS (SELECT *, CASE WHEN played THEN CASE WHEN home THEN k % 7 ELSE k % 4 END END::INT AS gf, CASE WHEN played THEN CASE WHEN home THEN k % 4 ELSE k % 7 END END::INT AS ga FROM o)
+    SELECT 't' || o_custkey AS slug, k AS gameid, d::VARCHAR AS day, 'G' || k AS code, 'Soupeř ' || (k % 97) AS opponent, 's' || (k % 97) AS opp_slug, home, CASE WHEN played THEN (k % 7) || ':' || (k % 4) END AS score,
+      (k % 5) || ':0' AS half, 'R' || (k % 9) AS referee, CASE WHEN sheet THEN 'Ann Gate/g,P' || (k % 40) || '/c,Cid' END AS line, CASE WHEN sheet THEN (k % 59 + 1) || '+60 Ray Ox' END AS goals,
+      CASE WHEN sheet THEN CASE WHEN k % 4 = 1 THEN '5. Cid,9. P' ELSE '' END END AS cards, gf, ga, CASE WHEN gf > ga THEN 'W' WHEN gf = ga THEN 'D' WHEN gf < ga THEN 'L' END AS res FROM g""",
+    "q79_jersey_colours": """SELECT s_suppkey, 'Šípy č. ' || s_suppkey AS name, CASE WHEN s_suppkey % 4 > 0 AND s_suppkey % 7 > 0 THEN ['bílá, černá', 'modro-žlutá', 'tmavě modrá & bílá'][s_suppkey % 3 + 1] END AS colours FROM supplier""",
 }

@@ -59,7 +59,8 @@ def _placed(spark, sf_dir):
     m = _read(spark, sf_dir, "lineitem").join(_read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     score = F.when(F.col("l_returnflag") != "N", F.col("l_quantity"))
     fixtures = m.select(F.col("o_custkey").alias("team"), F.col("l_suppkey").alias("opponent"), F.col("l_partkey").alias("code"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), score.alias("score"), (F.col("l_linestatus") == "F").alias("official"), F.when(F.col("l_returnflag") == "R", "W").when(F.col("l_returnflag") == "A", F.when(F.col("l_quantity") > 25, "L").otherwise("D")).alias("res"), (F.col("l_suppkey") % 2 == 0).alias("met"))
-    venues = _read(spark, sf_dir, "part").filter("p_size % 4 <> 0").select(F.col("p_partkey").alias("code"), F.col("p_name").alias("name"), F.col("p_size").alias("area"))
+    measured = lambda c: F.when(F.col("p_size") % 4 != 0, F.col(c))
+    venues = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("code"), measured("p_name").alias("name"), measured("p_size").alias("area"))
     return programme.placed(fixtures, venues)
 
 
@@ -152,19 +153,19 @@ def q55_coverage(spark, sf_dir):
 
 
 def q56_refreshed_archive(spark, sf_dir):
-    """Held orders with fresh ones over them by key, and fresh half-years in the place of held ones."""
+    """Held orders with fresh ones over them by key, and fresh half-years, a customer's first order each, in the place of held ones."""
     o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", calendar.half_year(F.col("o_orderdate")).alias("season"), F.col("o_orderdate").cast("date").alias("day"), "o_totalprice")
     fresh = o.join(F.broadcast(o.agg((F.max("season") - 1).alias("since"))), F.col("season") >= F.col("since")).drop("since")
     again = fresh.withColumn("o_totalprice", F.lit(0).cast(o.schema["o_totalprice"].dataType))
-    merged = dedupe.top_up(merge.upsert(o, again, ["o_orderkey"]), fresh.filter("o_custkey % 2 = 0"), "season", "day")
+    merged = dedupe.top_up(merge.upsert(o, again, ["o_orderkey"]), dedupe.first_by(fresh, ["season", "o_custkey"], "o_orderkey").select(*o.columns), "season", "day")
     return dedupe.assert_unique(merged, ["o_orderkey"]).groupBy("season").agg(F.count("*").alias("n"), F.count_if(F.col("o_totalprice") == 0).alias("n_zero"), F.max("day").cast("string").alias("newest"))
 
 
 def q57_overlay(spark, sf_dir):
-    """Suppliers as grounds, with customers' rows laid over those of the same number; keys of comments start with _."""
+    """Suppliers as grounds, with customers' rows laid over those of three times their number; keys of comments start with _."""
     key = lambda k: F.concat(F.when(F.col(k) % 10 == 0, "_").otherwise(""), F.lit("G"), F.col(k).cast("string"))
     base = _read(spark, sf_dir, "supplier").select(key("s_suppkey").alias("code"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("area"))
-    extra = _read(spark, sf_dir, "customer").filter("c_nationkey = 3").select(key("c_custkey").alias("code"), F.col("c_name").alias("name"))
+    extra = _read(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey") * 3).select(key("k").alias("code"), F.col("c_name").alias("name"))
     return dedupe.overlay(base, extra, "code")
 
 
@@ -177,8 +178,8 @@ QUERIES = {n: f for n, f in list(globals().items()) if n[:1] == "q" and n[1:3].i
 
 _RES = "CASE WHEN l_returnflag = 'R' THEN 'W' WHEN l_returnflag = 'A' THEN CASE WHEN l_quantity > 25 THEN 'L' ELSE 'D' END END"
 _PL = f"""fx AS (SELECT o_custkey AS team, l_suppkey AS opponent, l_partkey AS code, l_orderkey * 8 + l_linenumber AS pos, CASE WHEN l_returnflag <> 'N' THEN l_quantity END AS score,
-  l_linestatus = 'F' AS official, {_RES} AS res, l_suppkey % 2 = 0 AS met, coalesce(p_name, l_partkey::VARCHAR) AS ground, p_size AS area
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN (SELECT * FROM part WHERE p_size % 4 <> 0) ON l_partkey = p_partkey)"""
+  l_linestatus = 'F' AS official, {_RES} AS res, l_suppkey % 2 = 0 AS met, coalesce(CASE WHEN p_size % 4 <> 0 THEN p_name END, l_partkey::VARCHAR) AS ground, CASE WHEN p_size % 4 <> 0 THEN p_size END AS area
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey)"""
 _SIDE = f"""{M}, s AS (SELECT *, division AS team, gf - ga AS margin FROM m), sr AS (SELECT *, row_number() OVER (PARTITION BY team, season ORDER BY margin DESC, day, match_id, line) AS b,
   row_number() OVER (PARTITION BY team, season ORDER BY margin, day, match_id, line) AS z FROM s WHERE season BETWEEN 3994 AND 3999),
 rec AS (SELECT team, season, count(*) AS n, count(*) FILTER (res = 'W') AS w, count(*) FILTER (res = 'D') AS d, count(*) FILTER (res = 'L') AS l, sum(gf)::BIGINT AS gf, sum(ga)::BIGINT AS ga,
@@ -238,9 +239,10 @@ ORACLES = {
     c AS (SELECT team, array_to_string(['BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:-//terrace//fixtures//EN', string_agg(event, chr(13) || chr(10) ORDER BY k), 'END:VCALENDAR' || chr(13) || chr(10)], chr(13) || chr(10)) AS calendar FROM e GROUP BY team)
     SELECT team, sha1(calendar) AS digest, length(calendar)::BIGINT AS n_chars FROM c""",
     "q55_coverage": f"WITH {_PL} SELECT count(DISTINCT team) AS teams, count(*) AS fixtures, count(score) AS scores, count(*) FILTER (official AND score IS NOT NULL) AS official, count(DISTINCT code) AS codes FROM fx",
-    "q56_refreshed_archive": """WITH o AS (SELECT *, (year(o_orderdate) * 2 + CASE WHEN month(o_orderdate) > 6 THEN 1 ELSE 0 END)::INT AS season FROM orders), mx AS (SELECT max(season) - 1 AS since FROM o)
-    SELECT season, count(*) AS n, count(*) FILTER (o_totalprice = 0) AS n_zero, max(o_orderdate)::DATE::VARCHAR AS newest FROM o, mx WHERE season < since OR o_custkey % 2 = 0 GROUP BY season""",
-    "q57_overlay": """WITH b AS (SELECT 'G' || s_suppkey::VARCHAR AS code, s_name AS name, s_nationkey AS area FROM supplier WHERE s_suppkey % 10 <> 0), x AS (SELECT 'G' || c_custkey::VARCHAR AS code, c_name AS name FROM customer WHERE c_nationkey = 3 AND c_custkey % 10 <> 0)
+    "q56_refreshed_archive": """WITH o AS (SELECT *, (year(o_orderdate) * 2 + CASE WHEN month(o_orderdate) > 6 THEN 1 ELSE 0 END)::INT AS season FROM orders), mx AS (SELECT max(season) - 1 AS since FROM o),
+    r AS (SELECT *, row_number() OVER (PARTITION BY season, o_custkey ORDER BY o_orderkey) AS nth FROM o)
+    SELECT season, count(*) AS n, count(*) FILTER (o_totalprice = 0) AS n_zero, max(o_orderdate)::DATE::VARCHAR AS newest FROM r, mx WHERE season < since OR nth = 1 GROUP BY season""",
+    "q57_overlay": """WITH b AS (SELECT 'G' || s_suppkey::VARCHAR AS code, s_name AS name, s_nationkey AS area FROM supplier WHERE s_suppkey % 10 <> 0), x AS (SELECT 'G' || (c_custkey * 3)::VARCHAR AS code, c_name AS name FROM customer WHERE c_custkey * 3 % 10 <> 0)
     SELECT coalesce(x.code, b.code) AS code, coalesce(x.name, b.name) AS name, CASE WHEN x.code IS NULL THEN area END AS area FROM b FULL JOIN x ON b.code = x.code""",
     "q58_release_digest": """WITH p AS (SELECT c_custkey // 1000 AS b, sha1(string_agg(sha1(concat_ws('|', c_custkey, c_name)), '' ORDER BY c_custkey)) AS g, count(*) AS n FROM customer GROUP BY 1) SELECT substr(sha1(string_agg(g, '' ORDER BY b)), 1, 8) AS digest, sum(n)::BIGINT AS n FROM p""",
 }

@@ -134,10 +134,10 @@ def q22_strip_tags(spark, sf_dir):
 
 
 def q23_season_table(spark, sf_dir):
-    """Lines with what is known of part (pitch) and supplier (venue); small sides are broadcast by their measured size."""
+    """Lines with what is known of part (pitch) and supplier (venue); some sizes and names are not known."""
     lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax")
-    pitch = _read(spark, sf_dir, "part").filter("p_size % 4 <> 0").select(F.col("p_partkey").alias("l_partkey"), "p_size", "p_retailprice")
-    venue = _read(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("venue"))
+    pitch = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_size") % 4 != 0, F.col("p_size")).alias("p_size"), "p_retailprice")
+    venue = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.when(F.col("s_acctbal") > 0, F.col("s_name")).alias("venue"))
     joined = lines.join(pitch, "l_partkey", "left").join(venue, "l_suppkey", "left")
     edges = F.array((F.col("l_quantity") / 10), (F.col("l_tax") * 100))
     return joined.select("l_orderkey", "l_linenumber", "venue", rules.area(F.col("p_size").cast("double") + 0.5, F.col("p_retailprice") / 100).alias("area"), rules.confidence(edges).alias("confidence"))
@@ -267,9 +267,9 @@ ORACLES = {
       WHEN contains(lower(p_type), 'econ') OR contains(lower(p_type), 'stand') THEN 'plain' ELSE 'unknown' END AS kind FROM part""",
     "q21_link_extract": """SELECT link, count(DISTINCT page_id) AS pages, count(*) AS uses FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS link FROM pages) GROUP BY link""",
     "q22_strip_tags": f"SELECT page_id, sha1({_TAGS}) AS text_digest, length({_TAGS})::BIGINT AS n_chars FROM pages",
-    "q23_season_table": """SELECT l_orderkey, l_linenumber, s_name AS venue, (round_even(p_size + 0.5::DOUBLE, 0) * round_even(p_retailprice / 100, 0))::BIGINT AS area,
+    "q23_season_table": """SELECT l_orderkey, l_linenumber, CASE WHEN s_acctbal > 0 THEN s_name END AS venue, (round_even(CASE WHEN p_size % 4 <> 0 THEN p_size END + 0.5::DOUBLE, 0) * round_even(p_retailprice / 100, 0))::BIGINT AS area,
       CASE WHEN least(l_quantity / 10, l_tax * 100) >= 4 THEN 'high' WHEN least(l_quantity / 10, l_tax * 100) >= 2 THEN 'medium' ELSE 'low' END AS confidence
-    FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size % 4 <> 0) ON l_partkey = p_partkey LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON l_suppkey = s_suppkey""",
+    FROM lineitem LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey""",
     "q24_venue_extremes": """WITH p AS (SELECT *, p_size * round_even(p_retailprice, 0)::BIGINT AS area FROM part),
     r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY area, p_partkey) AS a, row_number() OVER (PARTITION BY p_brand ORDER BY area DESC, p_partkey) AS z FROM p),
     g AS (SELECT p_brand, count(DISTINCT area) AS n_areas, max(p_partkey) FILTER (a = 1) AS smallest, max(p_partkey) FILTER (z = 1) AS largest, min(area) AS least, max(area) AS most FROM r GROUP BY 1)

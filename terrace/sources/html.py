@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions.calendar import parse_day
 from terrace.functions.rules import is_official, result, score_side
-from terrace.functions.text import key, strip_tags
+from terrace.functions.text import ascii_id, key, strip_tags
 from terrace.operators.dedupe import first_by
 
 ROW = r"(?is)<tr[^>]*>(.*?)</tr>"
@@ -121,3 +121,72 @@ def results_of(matches: DataFrame) -> DataFrame:
     """Adds gf, ga and res to rows with score and home."""
     gf, ga = score_side(F.col("score"), F.col("home"))
     return matches.withColumn("gf", gf).withColumn("ga", ga).withColumn("res", result(F.col("gf"), F.col("ga")))
+
+
+def season_matches(pages: DataFrame, slug: str = "slug", column: str = "html") -> DataFrame:
+    """(.., row, gameid, day, code, opponent, opp_slug, own_name, home, score) of a team's own matches on its page.
+
+    A row counts if it names a ground and two sides by links, one of them the page's team; of rows of one day and ground the
+    first. The score is the last cell, if it is one.
+    """
+    base = [c for c in pages.columns if c != column]
+    head = pages.withColumn(column, F.split_part(F.col(column), F.lit('name="gameResults"'), F.lit(1)))
+    found = rows(head, column).withColumn("code", F.regexp_extract("row_html", r'href="/hriste/#([A-Z0-9]+)"', 1)).filter("code <> ''")
+    side = r'(?s)href="/souteze/[^"]*/tymy/([^"/]+)/"[^>]*>(.*?)</a>'
+    found = found.withColumns({"slugs": F.regexp_extract_all("row_html", F.lit(side), F.lit(1)), "names": F.transform(F.regexp_extract_all("row_html", F.lit(side), F.lit(2)), strip_tags)})
+    found = found.filter((F.size("slugs") == 2) & F.array_contains("slugs", F.col(slug)))
+    day = F.get(F.filter(F.transform("texts", parse_day), lambda d: d.isNotNull()), F.lit(0))
+    last = F.try_element_at("texts", F.lit(-1))
+    home = F.get("slugs", F.lit(0)) == F.col(slug)
+    own, other = F.when(home, 0).otherwise(1), F.when(home, 1).otherwise(0)
+    score = F.when(last.rlike(r"^\d{1,2}:\d{1,2}$"), last)
+    out = found.select(*base, "row", F.regexp_extract("row_html", r'data-gameid="(\d+)"', 1).try_cast("long").alias("gameid"), day.alias("day"), "code", F.get("names", other).alias("opponent"), F.get("slugs", other).alias("opp_slug"), F.get("names", own).alias("own_name"), home.alias("home"), score.alias("score"))
+    return first_by(out, [*base, "day", "code"], "row")
+
+
+def match_sheets(pages: DataFrame, column: str = "html") -> DataFrame:
+    """(.., gameid, sides, lines, goals, cards) from match blocks: names of the two sides and, in their order, who played, scored and was booked."""
+    blocks = F.regexp_extract_all(column, F.lit(r'(?is)(id="game-\d+".*?)(?=id="game-\d+"|\z)'), F.lit(1))
+    base = [c for c in pages.columns if c != column]
+    each = pages.select(*base, F.explode(blocks).alias("block"))
+    line = r"(?s)has-smaller-text.*?<tr>(.*?)</tr>\s*<tr>(.*?)</tr>"
+    cells = lambda row: F.regexp_extract_all(row, F.lit(r"(?s)<td[^>]*>(.*?)</td>"), F.lit(1))
+    each = each.withColumns({"heads": F.regexp_extract("block", line, 1), "line_cells": cells(F.regexp_extract("block", line, 2)), "goal_cells": cells(F.regexp_extract("block", r"(?s)Góly.*?</tr>\s*<tr>(.*?)</tr>", 1))})
+    sides = F.filter(F.transform(F.regexp_extract_all("heads", F.lit(r"(?s)<th[^>]*>(.*?)</th>"), F.lit(1)), strip_tags), lambda t: t != "")
+    cell = lambda name, i: F.get(name, F.lit(i))
+    booked = lambda c: F.filter(F.transform(F.split(c, r"<br\s*/?>"), strip_tags), lambda t: t != "")
+    whole, scored = (F.size("sides") == 2) & (F.size("line_cells") >= 3), F.size("goal_cells") >= 5
+    each = each.withColumn("sides", sides)
+    return each.select(
+        *base,
+        F.regexp_extract("block", r'id="game-(\d+)"', 1).cast("long").alias("gameid"),
+        F.when(whole, F.col("sides")).alias("sides"),
+        F.when(whole, F.array(people(cell("line_cells", 0)), people(cell("line_cells", 2)))).alias("lines"),
+        F.when(scored, F.array(scorers(cell("goal_cells", 0)), scorers(cell("goal_cells", 3)))).alias("goals"),
+        F.when(scored, F.array(booked(cell("goal_cells", 1)), booked(cell("goal_cells", 4)))).alias("cards"),
+    )
+
+
+def season_with_sheets(pages: DataFrame, slug: str = "slug", column: str = "html") -> DataFrame:
+    """A team's matches with their details, and its own side of each sheet: line by name, goals and cards by side."""
+    base = [c for c in pages.columns if c != column]
+    matches, details, sheets = season_matches(pages, slug, column), match_details(pages, column), match_sheets(pages, column)
+    joined = matches.join(first_by(details, [*base, "gameid"], "gameid"), [*base, "gameid"], "left").join(first_by(sheets, [*base, "gameid"], "gameid"), [*base, "gameid"], "left")
+    at = F.when(F.col("home"), 0).otherwise(1)
+    named = F.array_position("sides", F.col("own_name"))
+    own_line = F.when(F.col("sides").isNotNull() & (named > 0), F.get("lines", (named - 1).cast("int")))
+    return results_of(joined.select(*matches.columns, "half", "referee", "report", own_line.alias("line"), F.get("goals", at).alias("goals"), F.get("cards", at).alias("cards")))
+
+
+def jersey_colours(pages: DataFrame, column: str = "html") -> DataFrame:
+    """(.., team, colours): rows of a division's page of jerseys, by the identifier of the team's name; the last of one name."""
+    base = [c for c in pages.columns if c != column]
+    found = rows(pages, column).withColumn("filled", F.filter("texts", lambda t: t != ""))
+    kept = found.filter((F.size("filled") >= 2) & (F.lower(F.get("filled", F.lit(0))) != "tým"))
+    named = kept.select(*base, "row", ascii_id(F.get("filled", F.lit(0))).alias("team"), F.get("filled", F.lit(1)).alias("colours"))
+    return named.groupBy(*base, "team").agg(F.max_by("colours", "row").alias("colours"))
+
+
+def with_colours(teams: DataFrame, colours: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Teams with the colours of their division's page; teams that it lacks stay without."""
+    return teams.withColumn("team", ascii_id(F.col(name))).join(colours, [*by, "team"], "left").drop("team")
