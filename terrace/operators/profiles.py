@@ -43,6 +43,33 @@ def band_pairs(peaks: DataFrame, least: int, most: int) -> DataFrame:
     return pairs.groupBy("profile_id").agg(best.alias("p")).select("profile_id", "p.i", "p.j", "p.strength")
 
 
+def goal_lines(profile: DataFrame, spans: DataFrame, reach: int, margin: int, ratio: float = 2.0) -> DataFrame:
+    """(profile_id, i, j, start, end, strength): per span the pair of lines between which its length lies, the weaker one as strong as can be.
+
+    Spans are (profile_id, a, b, least, most, flush): lines lie in a <= i < b, `least` to `most` apart. With flush "start" the
+    first lies within `margin` of a, with "end" the second within `margin` of b. A line is the greatest value within `reach` and
+    above `ratio` times the median of the span, zeros included; start and end are sub-pixel places, strength is the weaker
+    line over the median of the profile's positive values. Pairs meet by buckets as wide as a span's longest pair.
+    """
+    line = Window.partitionBy("profile_id").orderBy("idx")
+    seen = profile.withColumns({"top": F.max("value").over(line.rowsBetween(-reach, reach)), "before": F.lag("value").over(line), "after": F.lead("value").over(line)})
+    inside = seen.join(spans, "profile_id").filter("idx >= a and idx < b")
+    base = inside.groupBy("profile_id").agg(F.median("value").alias("base"))
+    lines = inside.join(base, "profile_id").filter(F.expr(f"value >= top and value > {ratio} * base"))
+    bend = F.expr("before - 2 * value + after")
+    place = F.col("idx") - F.when(F.abs(bend) >= 1e-9, 0.5 * (F.col("after") - F.col("before")) / bend).otherwise(0.0)
+    lines = lines.withColumn("place", F.coalesce(place, F.col("idx").cast("double")))
+    width = F.greatest("most", F.lit(1))
+    span = ("a", "b", "least", "most", "flush")
+    one = lines.select("profile_id", *span, F.col("idx").alias("i"), F.col("value").alias("vi"), F.col("place").alias("start"), F.explode(F.sequence(F.floor(F.col("idx") / width), F.floor((F.col("idx") + F.col("most")) / width))).alias("bucket"))
+    two = lines.select("profile_id", F.col("idx").alias("j"), F.col("value").alias("vj"), F.col("place").alias("end"), F.floor(F.col("idx") / width).alias("bucket"))
+    ends = F.expr(f"case flush when 'start' then i <= a + {margin} when 'end' then j >= b - {margin} else true end")
+    pairs = one.join(two, ["profile_id", "bucket"]).filter(F.expr("j - i between least and most") & ends)
+    best = F.min_by(F.struct("i", "j", "start", "end", F.least("vi", "vj").alias("weaker")), F.struct(-F.least("vi", "vj"), "i", "j"))
+    found = pairs.groupBy("profile_id").agg(best.alias("p")).join(median_of_positive(profile).withColumnRenamed("base", "usual"), "profile_id", "left")
+    return found.select("profile_id", "p.i", "p.j", "p.start", "p.end", F.round(F.col("p.weaker") / F.greatest(F.coalesce("usual", F.lit(0.0)), F.lit(1e-6)), 1).alias("strength"))
+
+
 def nearest_peak(edges: DataFrame, peaks: DataFrame, reach: int) -> DataFrame:
     """For each edge (profile_id, edge) the nearest peak within `reach`, the stronger of equally near ones; null without.
 

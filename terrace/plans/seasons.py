@@ -9,6 +9,8 @@ from terrace.functions import calendar, rules, text
 from terrace.operators import dedupe, meetings, merge, programme, squads
 from terrace.plans import publish
 from terrace.plans.league import CUR, M, RANGE, SQ, _past, _read, _squads, matches
+from terrace.sources.documents import FilledTable, seasons_by_family
+from terrace.streaming.refresh import shared_root
 
 
 def _side(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +176,24 @@ def q58_release_digest(spark, sf_dir):
     return publish.digest_tree(c, [], F.floor(F.col("id") / 1000), "id", "payload")
 
 
+def q81_filled_archive(spark, sf_dir):
+    """Orders by customer and half-year, kept in a table that is filled on demand: first for one segment, then for who is still missing."""
+    customers = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("team"), "c_mktsegment")
+    orders = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("team"), calendar.half_year(F.col("o_orderdate")).alias("season"))
+    archive = FilledTable(spark, f"{shared_root(spark)}/archive", "team", "team long, season int, n long")
+    fill = lambda keys: orders.join(keys, "team", "left_semi").groupBy("team", "season").agg(F.count("*").alias("n"))
+    archive.get(customers.filter("c_mktsegment = 'BUILDING'"), fill)
+    return archive.get(customers, fill).select("team", "season", "n")
+
+
+def q82_seasons_by_family(spark, sf_dir):
+    """Half-years in which a segment's customers ordered, newest first."""
+    o = _read(spark, sf_dir, "orders").join(_read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    index = o.select(F.col("c_mktsegment").alias("family"), calendar.half_year(F.col("o_orderdate")).alias("ord")).distinct()
+    index = index.withColumn("season", F.concat_ws("-", "family", F.col("ord").cast("string")))
+    return seasons_by_family(index, "family", "season", "ord").select("family", F.array_join("seasons", ",").alias("seasons"))
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if n[:1] == "q" and n[1:3].isdigit()}
 
 _RES = "CASE WHEN l_returnflag = 'R' THEN 'W' WHEN l_returnflag = 'A' THEN CASE WHEN l_quantity > 25 THEN 'L' ELSE 'D' END END"
@@ -245,4 +265,8 @@ ORACLES = {
     "q57_overlay": """WITH b AS (SELECT 'G' || s_suppkey::VARCHAR AS code, s_name AS name, s_nationkey AS area FROM supplier WHERE s_suppkey % 10 <> 0), x AS (SELECT 'G' || (c_custkey * 3)::VARCHAR AS code, c_name AS name FROM customer WHERE c_custkey * 3 % 10 <> 0)
     SELECT coalesce(x.code, b.code) AS code, coalesce(x.name, b.name) AS name, CASE WHEN x.code IS NULL THEN area END AS area FROM b FULL JOIN x ON b.code = x.code""",
     "q58_release_digest": """WITH p AS (SELECT c_custkey // 1000 AS b, sha1(string_agg(sha1(concat_ws('|', c_custkey, c_name)), '' ORDER BY c_custkey)) AS g, count(*) AS n FROM customer GROUP BY 1) SELECT substr(sha1(string_agg(g, '' ORDER BY b)), 1, 8) AS digest, sum(n)::BIGINT AS n FROM p""",
+    "q81_filled_archive": """SELECT o_custkey AS team, (year(o_orderdate) * 2 + CASE WHEN month(o_orderdate) > 6 THEN 1 ELSE 0 END)::INT AS season, count(*) AS n FROM orders
+    WHERE o_custkey IN (SELECT c_custkey FROM customer) GROUP BY 1, 2""",
+    "q82_seasons_by_family": """WITH i AS (SELECT DISTINCT c_mktsegment AS family, (year(o_orderdate) * 2 + CASE WHEN month(o_orderdate) > 6 THEN 1 ELSE 0 END)::INT AS ord FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT family, string_agg(family || '-' || ord, ',' ORDER BY ord DESC) AS seasons FROM i GROUP BY family""",
 }

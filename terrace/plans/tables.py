@@ -172,6 +172,15 @@ def q30_nearest_peak(spark, sf_dir):
     return profiles.nearest_peak(edges, _peaks(spark, sf_dir), 12)
 
 
+def q80_goal_lines(spark, sf_dir):
+    """Hours of events as profiles: the two lines of a span, one of which must lie at its flush end."""
+    profile = _profile(spark, sf_dir)
+    ends = profile.groupBy("profile_id").agg(F.min("idx").alias("low"), F.max("idx").alias("high"))
+    flush = F.when(F.col("profile_id") < "d", "start").when(F.col("profile_id") < "q", "end")
+    spans = ends.select("profile_id", (F.col("low") + 24).alias("a"), (F.col("high") - 24).alias("b"), F.lit(300).alias("least"), F.lit(500).alias("most"), flush.alias("flush"))
+    return profiles.goal_lines(profile, spans, reach=2, margin=150, ratio=1.1).select("profile_id", "i", "j", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "strength")
+
+
 def q31_robust_stats(spark, sf_dir):
     out = order_stats.robust_stats(_read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice")
     return out.select("l_returnflag", "l_linestatus", *[F.round(c, 3).alias(c) for c in ("median", "p995", "mean", "sigma")])
@@ -278,6 +287,14 @@ ORACLES = {
     SELECT profile_id, idx, value, round(ratio, 4) AS ratio, CASE WHEN round(shift, 4) = 0 THEN 0 ELSE round(shift, 4) END AS shift FROM r WHERE r <= 3""",
     "q29_band_pairs": f"""WITH {_PROFILE}, b AS (SELECT x.profile_id, x.idx AS i, y.idx AS j, least(x.value, y.value) AS strength FROM pk x JOIN pk y ON x.profile_id = y.profile_id AND y.idx - x.idx BETWEEN 5 AND 40),
     r AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY strength DESC, i, j) AS r FROM b) SELECT profile_id, i, j, strength FROM r WHERE r = 1""",
+    "q80_goal_lines": f"""WITH {_PROFILE}, s AS (SELECT profile_id, min(idx) + 24 AS a, max(idx) - 24 AS b, CASE WHEN profile_id < 'd' THEN 'start' WHEN profile_id < 'q' THEN 'end' END AS flush FROM pr GROUP BY profile_id),
+    t AS (SELECT pr.*, max(value) OVER (PARTITION BY profile_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS top, lag(value) OVER v AS l, lead(value) OVER v AS r FROM pr WINDOW v AS (PARTITION BY profile_id ORDER BY idx)),
+    i AS (SELECT t.*, a, b, flush, median(value) OVER (PARTITION BY profile_id) AS mid FROM t JOIN s USING (profile_id) WHERE idx >= a AND idx < b),
+    n AS (SELECT *, idx - CASE WHEN abs(l - 2 * value + r) >= 1e-9 THEN 0.5::DOUBLE * (r - l) / (l - 2 * value + r) ELSE 0 END AS place FROM i WHERE value >= top AND value > 1.1::DOUBLE * mid)
+    SELECT x.profile_id, x.idx AS i, y.idx AS j, round(x.place, 6) AS start, round(y.place, 6) AS "end", round(least(x.value, y.value) / greatest(base, 1e-6), 1) AS strength
+    FROM n x JOIN n y ON x.profile_id = y.profile_id AND y.idx - x.idx BETWEEN 300 AND 500 JOIN base ON base.profile_id = x.profile_id
+    WHERE CASE x.flush WHEN 'start' THEN x.idx <= x.a + 150 WHEN 'end' THEN y.idx >= x.b - 150 ELSE true END
+    QUALIFY row_number() OVER (PARTITION BY x.profile_id ORDER BY least(x.value, y.value) DESC, x.idx, y.idx) = 1""",
     "q30_nearest_peak": f"""WITH {_PROFILE}, e AS (SELECT profile_id, idx AS edge FROM pr),
     r AS (SELECT e.profile_id, edge, pk.idx, row_number() OVER (PARTITION BY e.profile_id, edge ORDER BY abs(pk.idx - edge), ratio DESC, pk.idx) AS r FROM e LEFT JOIN pk ON e.profile_id = pk.profile_id AND abs(pk.idx - edge) <= 12)
     SELECT profile_id, edge, idx, idx - edge AS offset FROM r WHERE r = 1""",

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.operators.dedupe import overlay
+from terrace.streaming.log import Files
 
 
 def _stem() -> Column:
@@ -62,3 +66,43 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 def tile_is_valid(dark_share: Column) -> Column:
     """Whether no more than a hundredth of a tile is nearly black."""
     return dark_share <= 0.01
+
+
+def seasons_by_family(index: DataFrame, family: str, season: str, order: str) -> DataFrame:
+    """(family, seasons): each family's distinct seasons as a list, newest first; equal orders by name."""
+    each = index.groupBy(family, season).agg(F.max(order).alias("_order"))
+    newest = F.reverse(F.array_sort(F.collect_list(F.struct("_order", season))))
+    return each.groupBy(family).agg(F.transform(newest, lambda s: s[season]).alias("seasons"))
+
+
+class FilledTable:
+    """A table of rows by key in a shared folder that is read where it holds a key, and filled where it does not.
+
+    Each fill appends its rows and its keys: a key without rows is known to be empty and is not asked for again. Both are parts of
+    one folder that counts only once it is whole, so a fill that was cut off is done anew.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, key: str, schema: str):
+        self.spark, self.folder, self.key, self.schema = spark, folder, key, schema
+        self.files = Files(spark, folder)
+
+    def _read(self, kind: str, schema: str) -> DataFrame:
+        whole = [n for n, _ in self.files.listed(self.folder) if n.startswith("fill-") and any(x == "done" for x, _ in self.files.listed(f"{self.folder}/{n}"))]
+        paths = [f"{self.folder}/{n}/{kind}" for n in sorted(whole)]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def get(self, wanted: DataFrame, fill: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Rows of the wanted keys; `fill` makes those of the keys that are not held, from a table of these keys."""
+        kind = f"{self.key} {wanted.schema[self.key].dataType.simpleString()}, _fill string"
+        keys = wanted.select(self.key).distinct()
+        missing = keys.join(self._read("keys", kind), self.key, "left_anti")
+        if not missing.isEmpty():
+            name = uuid.uuid4().hex
+            part = f"{self.folder}/fill-{name}"
+            missing.withColumn("_fill", F.lit(name)).write.parquet(f"{part}/keys")
+            asked = self.spark.read.schema(kind).parquet(f"{part}/keys")
+            fill(asked.select(self.key)).join(asked, self.key).write.parquet(f"{part}/rows")
+            self.files.put(f"{part}/done", "")
+        # Two fills at once may both hold a key: one of them counts.
+        held = self._read("keys", kind).join(keys, self.key, "left_semi").groupBy(self.key).agg(F.min("_fill").alias("_fill"))
+        return self._read("rows", f"{self.schema}, _fill string").join(held, [self.key, "_fill"]).drop("_fill")
