@@ -24,6 +24,12 @@ def _few(rows: DataFrame, limit: int = SMALL) -> DataFrame:
     return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
 
 
+def _order(x: Column) -> Column:
+    """A number that grows with x by its exponent and fraction."""
+    exponent = F.floor(F.log2(F.abs(x)))
+    return F.when(x == 0, 0.0).otherwise(F.signum(x) * (exponent + F.abs(x) / F.pow(F.lit(2.0), exponent) + 1075))
+
+
 class RankSelection:
     """Values at ranks of each group's finite values in ascending order; null and NaN are left out."""
 
@@ -32,29 +38,37 @@ class RankSelection:
         self.spark = rows.sparkSession
         self.root, self.step = f"{shared_root(self.spark)}/ranks-{uuid.uuid4().hex}", 0
         # Null keys are groups too: joins below are on a key that is never null.
-        key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")
+        own = [F.col(k).cast("string") for k in keys]
+        key = F.concat(F.lit(""), *[F.coalesce(F.concat(F.char_length(k).cast("string"), F.lit(":"), k), F.lit("-")) for k in own])
         self.rows = rows.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, key.alias("_key"), F.col(value).cast("double").alias("_v"))
         self.groups = self._saved(self.rows.groupBy("_key", *keys).agg(F.count("*").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.avg("_v").alias("mean")))
 
+        self.few_groups = self.groups.limit(SMALL // 8 + 1).count() <= SMALL // 8
+
+    def _small(self, ranges: DataFrame) -> DataFrame:
+        """Ranges of groups, at most two a rank: broadcast without a count where the groups are few enough for it."""
+        return F.broadcast(ranges) if self.few_groups else _few(ranges)
+
     def _saved(self, rows: DataFrame) -> DataFrame:
         self.step += 1
         rows.write.parquet(f"{self.root}/{self.step}")
         return self.spark.read.schema(rows.schema).parquet(f"{self.root}/{self.step}")
 
+    def _ends(self, ranges: DataFrame) -> DataFrame:
+        """Ranges with what their bins need, computed once a range."""
+        low, high = F.col("low"), F.col("high")
+        close = (low * high > 0) & (F.greatest(F.abs(low), F.abs(high)) <= 2 * F.least(F.abs(low), F.abs(high)))
+        ranges = ranges.withColumn("close", close)
+        return ranges.withColumns({"from": F.when(close, low).otherwise(_order(low)), "to": F.when(close, high).otherwise(_order(high))})
+
     def _bin(self) -> Column:
         """The range of a value between a target's ends, the last one for the upper end itself.
 
         Ranges are equal in value where the ends are within a factor of two of each other, else in exponent and fraction,
         so that steep groups take as few passes as even ones: about 64 / log2(bins) each way at most.
         """
-        low, high, v = F.col("low"), F.col("high"), F.col("_v")
-
-        def order(x: Column) -> Column:
-            exponent = F.floor(F.log2(F.abs(x)))
-            return F.when(x == 0, 0.0).otherwise(F.signum(x) * (exponent + F.abs(x) / F.pow(F.lit(2.0), exponent) + 1075))
-
-        close = (low * high > 0) & (F.greatest(F.abs(low), F.abs(high)) <= 2 * F.least(F.abs(low), F.abs(high)))
-        share = F.when(close, (v - low) / (high - low)).otherwise((order(v) - order(low)) / (order(high) - order(low)))
+        at = F.when(F.col("close"), F.col("_v")).otherwise(_order(F.col("_v")))
+        share = (at - F.col("from")) / (F.col("to") - F.col("from"))
         return F.least(F.floor(share * self.bins), F.lit(self.bins - 1)).cast("int")
 
     def at(self, ranks: DataFrame) -> DataFrame:
@@ -63,16 +77,17 @@ class RankSelection:
         targets = self._saved(ranks.distinct().join(spread, "_key").filter("rank between 0 and n - 1").select("_key", "rank", "low", "high", "n", F.col("rank").alias("left")))
         rows, found = self.rows.select("_key", "_v"), []
         while True:
-            found.append(targets.filter("low = high").select("_key", "rank", F.col("low").alias("value")))
-            small = targets.filter(F.expr(f"low < high and n <= {self.few}"))
-            if not small.isEmpty():
-                found.append(self._numbered(rows, small))
-            targets = self._saved(targets.filter(F.expr(f"low < high and n > {self.few}")))
-            if targets.isEmpty():
+            counts = targets.agg(F.count_if(F.col("low") == F.col("high")), F.count_if(F.expr(f"low < high and n <= {self.few}")), F.count_if(F.expr(f"low < high and n > {self.few}"))).first()
+            if counts[0]:
+                found.append(targets.filter("low = high").select("_key", "rank", F.col("low").alias("value")))
+            if counts[1]:
+                found.append(self._numbered(rows, targets.filter(F.expr(f"low < high and n <= {self.few}"))))
+            if not counts[2]:
                 break
+            targets = targets.filter(F.expr(f"low < high and n > {self.few}"))
             # Targets of one range are counted once.
             ranges = targets.groupBy("_key", "low", "high").agg(F.min("rank").alias("range"))
-            inside = rows.join(_few(ranges), "_key").filter("_v between low and high").withColumn("bin", self._bin())
+            inside = rows.join(self._small(self._ends(ranges)), "_key").filter("_v between low and high").withColumn("bin", self._bin())
             counts = inside.groupBy("_key", "low", "high", "bin").agg(F.count("*").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"))
             before = Window.partitionBy("_key", "low", "high").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
             counts = self._saved(counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))))
@@ -80,8 +95,8 @@ class RankSelection:
             targets = self._saved(held.select("_key", "rank", F.col("least").alias("low"), F.col("most").alias("high"), "n", (F.col("left") - F.col("before")).alias("left")))
             kept = targets.filter("low < high").select("_key", "low", "high").distinct()
             # Ranges of a group do not overlap, so a row stays at most once.
-            rows = self._saved(rows.join(_few(kept), "_key").filter("_v between low and high").select("_key", "_v"))
-        out = found[0]
+            rows = self._saved(rows.join(self._small(kept), "_key").filter("_v between low and high").select("_key", "_v"))
+        out = found[0] if found else targets.select("_key", "rank", F.col("low").alias("value"))
         for more in found[1:]:
             out = out.unionByName(more)
         return self._saved(out)
@@ -89,7 +104,7 @@ class RankSelection:
     def _numbered(self, rows: DataFrame, targets: DataFrame) -> DataFrame:
         """Values of targets whose ranges hold few rows."""
         ranges = targets.select("_key", "low", "high").distinct()
-        inside = rows.join(_few(ranges), "_key").filter("_v between low and high")
+        inside = rows.join(self._small(ranges), "_key").filter("_v between low and high")
         place = F.row_number().over(Window.partitionBy("_key", "low", "high").orderBy("_v")) - 1
         return inside.withColumn("left", place.cast("long")).join(targets, ["_key", "low", "high", "left"]).select("_key", "rank", F.col("_v").alias("value"))
 

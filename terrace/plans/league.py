@@ -15,6 +15,12 @@ from terrace.operators import careers, meetings, squads
 from terrace.operators.dedupe import compare_sets
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where their scan has fewer splits than there are cores, as what follows parses texts row by row."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

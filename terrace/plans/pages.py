@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.plans.league import _read
+from terrace.plans.league import _read, spread
 from terrace.sources import html
 
 
@@ -68,7 +68,7 @@ def q63_parsed_details(spark, sf_dir):
 
 def q64_parsed_sheets(spark, sf_dir):
     """Lines as team sheets: who keeps goal, leads and was best, and the goals by minute."""
-    li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("P"), (F.col("l_partkey") % 40).cast("string")).alias("a"), F.concat(F.lit("Q"), (F.col("l_suppkey") % 40).cast("string")).alias("b"), (F.col("l_quantity").cast("int") + 1).alias("m"))
+    li = spread(_read(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", F.concat(F.lit("P"), (F.col("l_partkey") % 40).cast("string")).alias("a"), F.concat(F.lit("Q"), (F.col("l_suppkey") % 40).cast("string")).alias("b"), (F.col("l_quantity").cast("int") + 1).alias("m"))
     lineup = F.concat(F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("Ann Gate"), F.lit(" - "))).otherwise(""), F.lit('<b class="is-captain">'), F.col("a"), F.lit('</b>, <i class="x is-best">'), F.col("b"), F.lit("</i>"))
     goals = F.concat(_text("m"), F.lit("., "), (F.col("m") + 9).cast("string"), F.lit(". Ray Ox, 88. Cid"))
     s = li.select("l_orderkey", "l_linenumber", html.people(lineup).alias("p"), html.scorers(goals).alias("g"))

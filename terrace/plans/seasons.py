@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrace.functions import calendar, rules, text
 from terrace.operators import dedupe, meetings, merge, programme, squads
 from terrace.plans import publish
-from terrace.plans.league import CUR, M, RANGE, SQ, _past, _read, _squads, matches
+from terrace.plans.league import CUR, M, RANGE, SQ, _past, _read, _squads, matches, spread
 from terrace.sources.documents import FilledTable, seasons_by_family
 from terrace.streaming.refresh import shared_root
 
@@ -21,7 +21,7 @@ def q40_footwear(spark, sf_dir):
     """Ground notes made of a part's name and one of eight lines: their footwear rule and their surface."""
     line = F.get(F.array(*map(F.lit, LINES)), (F.col("p_partkey") % len(LINES)).cast("int"))
     notes = F.concat_ws("\n", "p_name", line, "p_type")
-    p = _read(spark, sf_dir, "part").select("p_partkey", rules.footwear(notes).alias("f"), rules.surface(F.concat_ws(" ", "p_name", line)).alias("surface"))
+    p = spread(_read(spark, sf_dir, "part")).select("p_partkey", rules.footwear(notes).alias("f"), rules.surface(F.concat_ws(" ", "p_name", line)).alias("surface"))
     return p.select("p_partkey", "f.text", "f.studs", "f.artificial", "f.summary", "surface", rules.boots_label(F.col("f.studs")).alias("label"))
 
 
@@ -145,7 +145,7 @@ def q53_published(spark, sf_dir):
 
 def q54_calendar_text(spark, sf_dir):
     """Orders as fixtures in calendars of customers, by digest of the text."""
-    o = _read(spark, sf_dir, "orders")
+    o = spread(_read(spark, sf_dir, "orders"))
     f = o.select(F.col("o_custkey").cast("string").alias("team"), F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("opponent"), F.col("o_orderdate").cast("date").alias("day"), F.concat(F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0"), F.lit(":30")).alias("time"), F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("Hall, "), F.col("o_orderpriority"))).alias("ground"), (F.col("o_orderkey") % 2 == 0).alias("home"))
     return publish.calendars(f).select("team", F.sha1("calendar").alias("digest"), F.char_length("calendar").cast("long").alias("n_chars"))
 

@@ -11,6 +11,7 @@ from terrace.operators import merge, order_stats, profiles
 from terrace.operators.dedupe import first_by, unique_only
 from terrace.operators.grams import GramIndex, first_hits
 from terrace.operators.programme import fixture_texts, programme
+from terrace.plans.league import spread
 from terrace.plans.publish import digest_tree
 from terrace.plans.release import KeyedRelease
 from terrace.sources.html import links
@@ -182,7 +183,7 @@ def q80_goal_lines(spark, sf_dir):
 
 
 def q31_robust_stats(spark, sf_dir):
-    out = order_stats.robust_stats(_read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice")
+    out = order_stats.robust_stats(spread(_read(spark, sf_dir, "lineitem")), ["l_returnflag", "l_linestatus"], "l_extendedprice")
     return out.select("l_returnflag", "l_linestatus", *[F.round(c, 3).alias(c) for c in ("median", "p995", "mean", "sigma")])
 
 
