@@ -101,7 +101,7 @@ def q49_season_texts(spark, sf_dir):
     """Season ids made of an order's half-year and priority, and what is read from them."""
     o = _read(spark, sf_dir, "orders")
     half = F.when(F.month("o_orderdate") > 6, calendar.AUTUMN).otherwise(calendar.SPRING)
-    fam = F.get(F.array(*map(F.lit, ["hanspaulska-liga", "veteranska-liga", "superveteranska-liga", "ultraveteranska-liga"])), (F.col("o_orderkey") % 4).cast("int"))
+    fam = F.get(F.array(*map(F.lit, ["mestska-liga", "veteranska-liga", "superveteranska-liga", "ultraveteranska-liga"])), (F.col("o_orderkey") % 4).cast("int"))
     o = o.select("o_orderkey", F.concat_ws("-", F.year("o_orderdate").cast("string"), fam, half).alias("s"), F.concat_ws("-", (F.col("o_custkey") % 8 + 1).cast("string"), F.when(F.col("o_custkey") % 3 == 0, "a")).alias("division"), F.col("o_orderdate").cast("date").alias("day"))
     c = F.col
     return o.select("o_orderkey", calendar.family(c("s")).alias("family"), calendar.season_order(c("s")).alias("ord"), calendar.season_code(c("s")).alias("code"), calendar.season_label(c("s")).alias("label"), calendar.level(c("division")).alias("level"), calendar.division_label(c("s"), c("division")).alias("shown"), calendar.is_lettered(c("division")).alias("lettered"), calendar.day_display(c("day")).alias("day"))
@@ -238,7 +238,7 @@ ORACLES = {
       string_agg(day::VARCHAR || ' ' || match_id::VARCHAR || ' ' || gf::VARCHAR || ':' || ga::VARCHAR || ' ' || res, '; ' ORDER BY day, match_id, line, gf, ga, res) AS meetings FROM past JOIN fx USING (family, slug, opponent) GROUP BY family, slug, opponent""",
     "q47_chosen_teams": "SELECT c_custkey AS team, c_mktsegment AS family, c_nationkey AS code FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey < 10 AND c_custkey IN (SELECT o_custkey FROM orders) ORDER BY 1 LIMIT 100",
     "q48_team_opt_out": f"WITH {M}, {SQ} SELECT * FROM parts WHERE team % 4 <> 0",
-    "q49_season_texts": """WITH s AS (SELECT o_orderkey, ['hanspaulska-liga', 'veteranska-liga', 'superveteranska-liga', 'ultraveteranska-liga'][o_orderkey % 4 + 1] AS family, year(o_orderdate) AS y, month(o_orderdate) > 6 AS autumn, o_custkey % 8 + 1 AS level, o_custkey % 3 = 0 AS lettered, o_orderdate::DATE AS d FROM orders),
+    "q49_season_texts": """WITH s AS (SELECT o_orderkey, ['mestska-liga', 'veteranska-liga', 'superveteranska-liga', 'ultraveteranska-liga'][o_orderkey % 4 + 1] AS family, year(o_orderdate) AS y, month(o_orderdate) > 6 AS autumn, o_custkey % 8 + 1 AS level, o_custkey % 3 = 0 AS lettered, o_orderdate::DATE AS d FROM orders),
     t AS (SELECT *, level::VARCHAR || CASE WHEN lettered THEN '-a' ELSE '' END AS division FROM s)
     SELECT o_orderkey, family, (y * 2 + autumn::INT)::INT AS ord, CASE WHEN autumn THEN 'p' ELSE 'j' END || y::VARCHAR AS code, CASE WHEN autumn THEN 'podzim ' ELSE 'jaro ' END || y::VARCHAR AS label, level::INT AS level,
       division || CASE o_orderkey % 4 WHEN 2 THEN ' super' WHEN 3 THEN ' ultra' WHEN 1 THEN ' vet' ELSE '' END AS shown, lettered, day(d)::VARCHAR || '. ' || month(d)::VARCHAR || '. ' || y::VARCHAR AS day FROM t""",
