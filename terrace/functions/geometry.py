@@ -63,6 +63,30 @@ def sections(cx: Column, cy: Column, w: Column, h: Column, angle: Column, n: Col
     return F.transform(F.sequence(F.lit(0), n - 1), part)
 
 
+def bounded_rectangle(cx: Column, cy: Column, w: Column, h: Column, angle: Column, bounds: Column, res: Column) -> Column:
+    """(cx, cy, w, h) of a rectangle measured by hand: `bounds` are [x low, x high, y low, y high] in metres from its field's low corner, along its axes."""
+    x0, x1, y0, y1 = (F.get(bounds, F.lit(i)) / res for i in range(4))
+    dx, dy = (x0 + x1) / 2 - w / 2, (y0 + y1) / 2 - h / 2
+    cos, sin = F.cos(F.radians(angle)), F.sin(F.radians(angle))
+    return F.struct((cx + dx * cos - dy * sin).alias("cx"), (cy + dx * sin + dy * cos).alias("cy"), (x1 - x0).alias("w"), (y1 - y0).alias("h"))
+
+
+def measured_sections(cx: Column, cy: Column, w: Column, h: Column, angle: Column, edges: Column, res: Column, first_end: str = "W") -> Column:
+    """(cx, cy, w, h) of sections whose edges were measured: [low, high] in metres along the field's longer axis, the first at the end named."""
+    along_w = w >= h
+    cos, sin = F.cos(F.radians(angle)), F.sin(F.radians(angle))
+
+    def part(edge: Column) -> Column:
+        low, high = F.get(edge, F.lit(0)) / res, F.get(edge, F.lit(1)) / res
+        off = (low + high) / 2 - F.greatest(w, h) / 2
+        east, south = F.when(along_w, cos).otherwise(-sin), F.when(along_w, sin).otherwise(cos)
+        x, y = cx + off * east, cy + off * south
+        key = {"W": x, "E": -x, "N": y, "S": -y}.get(first_end, x)
+        return F.struct(key.alias("key"), x.alias("cx"), y.alias("cy"), F.when(along_w, high - low).otherwise(w).alias("w"), F.when(along_w, h).otherwise(high - low).alias("h"))
+
+    return F.transform(F.array_sort(F.transform(edges, part)), lambda s: F.struct(s["cx"].alias("cx"), s["cy"].alias("cy"), s["w"].alias("w"), s["h"].alias("h")))
+
+
 def nudged(cx: Column, cy: Column, w: Column, h: Column, angle: Column, inward: dict[str, Column]) -> Column:
     """(cx, cy, w, h) after edges move inward by pixels, named by the side they face."""
     cos, sin = F.cos(F.radians(angle)), F.sin(F.radians(angle))

@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from terrace.functions import geometry
 from terrace.functions import projection as p
-from terrace.operators import lookup, squads
+from terrace.operators import lookup, ordering, squads
 
 
 def _read(spark, sf_dir, table):
@@ -59,6 +60,25 @@ def q77_team_lookup(spark, sf_dir):
     return lookup.lookup_cascade(asked, "label", teams, "s_suppkey", "name", "n_name").select("c_custkey", "label", "found", "by")
 
 
+def q83_measured_sections(spark, sf_dir):
+    """Parts as fields with edges measured by hand: the section of a number, from the north, and a rectangle from bounds."""
+    num = lambda x: F.expr(x).cast("double")
+    field = _read(spark, sf_dir, "part").select("p_partkey", num("p_partkey % 4000").alias("cx"), num("p_partkey % 3000").alias("cy"), num("p_size * 2 + 60").alias("w"), num("p_partkey % 90 + 50").alias("h"), num("p_partkey % 60 - 30").alias("angle"), F.expr("cast(p_partkey % 3 + 1 as int)").alias("number"))
+    edges = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in ((0.5, 4.0), (4.5, 8.0), (8.5, 12.0))])
+    bounds = F.array(F.lit(1.0), F.lit(5.0), F.lit(2.0), F.lit(4.5))
+    place = [F.col(c) for c in ("cx", "cy", "w", "h", "angle")]
+    found = field.select("p_partkey", F.element_at(geometry.measured_sections(*place, edges, F.lit(0.1), "N"), F.col("number")).alias("s"), geometry.bounded_rectangle(*place, bounds, F.lit(0.1)).alias("r"))
+    return found.select("p_partkey", *[F.round(f"{k}.{c}", 4).alias(f"{k}_{c}") for k in ("s", "r") for c in ("cx", "cy", "w", "h")])
+
+
+def q84_publication_order(spark, sf_dir):
+    """Suppliers as teams in publication order, those with fixtures alone, joined with what the season holds of their slug."""
+    teams = _read(spark, sf_dir, "supplier").select(F.concat(F.lit("t"), F.col("s_suppkey").cast("string")).alias("slug"), F.concat(F.when(F.col("s_suppkey") % 2 == 0, "tým ").otherwise("Tým "), (F.col("s_suppkey") % 30).cast("string")).alias("name"), F.concat(F.col("s_nationkey").cast("string"), F.lit("/"), F.col("s_suppkey").cast("string")).alias("division"))
+    season = _read(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("t"), F.col("l_suppkey").cast("string")).alias("slug")).agg(F.count("*").alias("fixtures"))
+    published = ordering.publication_order(teams.join(season.select("slug"), "slug", "left_semi"), "name", "division")
+    return published.join(season, "slug").select("slug", "name", "division", "place", "fixtures")
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if n[:1] == "q" and n[1:3].isdigit()}
 
 
@@ -93,6 +113,15 @@ _NAMES = "[" + ", ".join(f"'{s}'" for s in SURNAMES) + "]"
 _PROPS = """CASE WHEN event_id % 11 = 0 THEN substr(props, 1, 5) WHEN user_id % 50 = 7 THEN '{"k": "x"}' ELSE props END"""
 ORACLES = {
     "q74_map_places": _map_sql(),
+    "q83_measured_sections": """WITH f AS (SELECT p_partkey, (p_partkey % 4000)::DOUBLE AS cx, (p_partkey % 3000)::DOUBLE AS cy, (p_size * 2 + 60)::DOUBLE AS w, (p_partkey % 90 + 50)::DOUBLE AS h, radians(p_partkey % 60 - 30) AS a, p_partkey % 3 + 1 AS number FROM part),
+    e AS (SELECT f.*, t.lo / 0.1::DOUBLE AS lo, t.hi / 0.1::DOUBLE AS hi FROM f, (VALUES (0.5::DOUBLE, 4.0::DOUBLE), (4.5::DOUBLE, 8.0::DOUBLE), (8.5::DOUBLE, 12.0::DOUBLE)) t(lo, hi)),
+    s AS (SELECT *, (lo + hi) / 2 - greatest(w, h) / 2 AS off FROM e), p AS (SELECT *, cx + off * CASE WHEN w >= h THEN cos(a) ELSE -sin(a) END AS x, cy + off * CASE WHEN w >= h THEN sin(a) ELSE cos(a) END AS y FROM s),
+    q AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY y, x) AS i FROM p)
+    SELECT p_partkey, round(x, 4) AS s_cx, round(y, 4) AS s_cy, round(CASE WHEN w >= h THEN hi - lo ELSE w END, 4) AS s_w, round(CASE WHEN w >= h THEN h ELSE hi - lo END, 4) AS s_h,
+      round(cx + (30 - w / 2) * cos(a) - (32.5::DOUBLE - h / 2) * sin(a), 4) AS r_cx, round(cy + (30 - w / 2) * sin(a) + (32.5::DOUBLE - h / 2) * cos(a), 4) AS r_cy, 40.0::DOUBLE AS r_w, 25.0::DOUBLE AS r_h FROM q WHERE i = number""",
+    "q84_publication_order": """WITH t AS (SELECT 't' || s_suppkey AS slug, CASE WHEN s_suppkey % 2 = 0 THEN 'tým ' ELSE 'Tým ' END || (s_suppkey % 30) AS name, s_nationkey || '/' || s_suppkey AS division FROM supplier),
+    s AS (SELECT 't' || l_suppkey AS slug, count(*) AS fixtures FROM lineitem GROUP BY 1)
+    SELECT slug, name, division, row_number() OVER (ORDER BY lower(name), division) AS place, fixtures FROM t JOIN s USING (slug)""",
     "q75_squad_by_name": f"""WITH s AS (SELECT c_custkey, c_nationkey, ['Jan', 'Čeněk', 'Chrudoš'][c_custkey % 3 + 1] AS given, {_NAMES}[c_custkey * 7 % {len(SURNAMES)} + 1] AS surname, c_custkey % 11 AS apps FROM customer)
     SELECT c_custkey, given || ' ' || surname AS player,
       row_number() OVER (PARTITION BY c_nationkey ORDER BY surname || ' ' || given || ' ' || surname COLLATE cs, apps, c_custkey)::INT AS place,

@@ -147,7 +147,7 @@ def q23_season_table(spark, sf_dir):
 def q24_venue_extremes(spark, sf_dir):
     p = _read(spark, sf_dir, "part").withColumn("area", F.col("p_size") * F.bround("p_retailprice").cast("long"))
     out = p.groupBy("p_brand").agg(F.count_distinct("area").alias("n_areas"), F.min_by("p_partkey", F.struct("area", "p_partkey")).alias("smallest"), F.max_by("p_partkey", F.struct("area", -F.col("p_partkey"))).alias("largest"), F.min("area").alias("least"), F.max("area").alias("most"))
-    return out.withColumn("ratio", F.round(F.col("most") / F.col("least"), 1)).withColumn("share", rules.share_of(F.col("most"), F.max("most").over(Window.partitionBy())))
+    return out.withColumn("ratio", F.round(F.col("most") / F.col("least"), 1)).withColumn("share", rules.share_of(F.col("most"), out.agg(F.max("most")).scalar()))
 
 
 def _profile(spark, sf_dir):

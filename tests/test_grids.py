@@ -6,9 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from terrace.functions import projection
+from terrace.functions import geometry, projection
 from terrace.functions.text import fold, key
-from terrace.operators import grids, lookup
+from terrace.operators import grids, lookup, ordering
 
 CELL = "grid string, y int, x int, value long"
 
@@ -123,3 +123,22 @@ def test_a_failed_key_neither_stops_nor_vanishes(spark):
     got = lookup.results_by_key(rows, "k", good.groupBy("k").agg(F.sum("share").alias("share")), bad).collect()
     assert {r["k"]: (r["share"], r["failed"], r["error"]) for r in got} == {"a": (2.0, 1, "no number"), "b": (None, 1, "blank"), "c": (4.0, 1, "no share")}
     assert sorted((r["k"], r["raw"], r["error"]) for r in bad.collect() if r["raw"]) == [("a", "x", "no number"), ("c", "0", "no share")]
+
+
+def test_measured_sections_turn_with_their_field(spark):
+    """A field of 100 x 40 pixels, upright: the long axis points south, and the first section lies at the end named."""
+    edges = F.array(F.array(F.lit(1.0), F.lit(4.0)), F.array(F.lit(5.0), F.lit(9.0)))
+    at = lambda w, h, angle, end: [tuple(round(x, 6) for x in s) for s in spark.range(1).select(geometry.measured_sections(F.lit(200.0), F.lit(300.0), F.lit(w), F.lit(h), F.lit(angle), edges, F.lit(0.1), end).alias("s")).first()["s"]]
+    assert at(100.0, 40.0, 0.0, "W") == [(175.0, 300.0, 30.0, 40.0), (220.0, 300.0, 40.0, 40.0)]
+    assert at(100.0, 40.0, 0.0, "E") == [(220.0, 300.0, 40.0, 40.0), (175.0, 300.0, 30.0, 40.0)]
+    assert at(40.0, 100.0, 0.0, "S") == [(200.0, 320.0, 40.0, 40.0), (200.0, 275.0, 40.0, 30.0)]
+    assert at(100.0, 40.0, 90.0, "N") == [(200.0, 275.0, 30.0, 40.0), (200.0, 320.0, 40.0, 40.0)]
+    r = spark.range(1).select(geometry.bounded_rectangle(F.lit(200.0), F.lit(300.0), F.lit(100.0), F.lit(40.0), F.lit(90.0), F.array(F.lit(0.0), F.lit(5.0), F.lit(0.0), F.lit(4.0)), F.lit(0.1)).alias("r")).first()["r"]
+    assert tuple(round(x, 6) for x in r) == (200.0, 275.0, 50.0, 40.0)
+
+
+def test_places_over_many_ranges(spark):
+    rows = [(i * 37 % 101, "x") for i in range(101)]
+    got = ordering.numbered(spark.createDataFrame(rows, "k int, v string").repartition(5), F.col("k").desc()).collect()
+    assert sorted((r["place"], r["k"]) for r in got) == [(i + 1, 100 - i) for i in range(101)]
+    assert ordering.numbered(spark.createDataFrame([], "k int"), F.col("k")).count() == 0
