@@ -64,6 +64,12 @@ def local_background(cells: DataFrame, reach: int, tile: int = 64) -> DataFrame:
     return found.select("grid", "y", "x", "value", "n", mean.alias("mean"), F.sqrt(F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0))).alias("sd"))
 
 
+def valid_tiles(cells: DataFrame, dark: int, most: float = 0.01) -> DataFrame:
+    """(grid, dark_share) of grids of which no more than a share is nearly black, which a tile cut off on its way would be."""
+    shares = cells.groupBy("grid").agg((F.count_if(F.col("value") < dark) / F.count("*")).alias("dark_share"))
+    return shares.filter(F.col("dark_share") <= most)
+
+
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each node's component; edges (a, b) either way.
 

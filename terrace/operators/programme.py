@@ -64,3 +64,10 @@ def grounds_by_area(fixtures: DataFrame, pos: str) -> DataFrame:
     """(team, code, area, place): a team's measured grounds, the largest first, of equal ones the first in its fixtures."""
     own = fixtures.filter("area is not null").groupBy("team", "code").agg(F.first("area").alias("area"), F.min(pos).alias("pos"))
     return own.withColumn("place", F.row_number().over(Window.partitionBy("team").orderBy(F.desc("area"), "pos", "code"))).drop("pos")
+
+
+def shown_grounds(venues: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """Venues that a page shows: no training grounds, no comments (keys that start with _), and only with a measured candidate; with their number of candidates."""
+    counts = candidates.groupBy(key).agg(F.count("*").alias("candidates"))
+    kept = venues.filter(~F.coalesce("training", F.lit(False)) & ~F.col(key).startswith("_"))
+    return kept.join(counts, key)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions import geometry
 from terrace.functions import projection as p
-from terrace.operators import lookup, ordering, squads
+from terrace.operators import lookup, ordering, programme, squads
 
 
 def _read(spark, sf_dir, table):
@@ -79,6 +79,13 @@ def q84_publication_order(spark, sf_dir):
     return published.join(season, "slug").select("slug", "name", "division", "place", "fixtures")
 
 
+def q86_shown_grounds(spark, sf_dir):
+    """Suppliers as grounds: training grounds, comments and grounds without a line are not shown."""
+    code = lambda k: F.concat(F.when(F.col(k) % 10 == 0, "_").otherwise("G"), F.col(k).cast("string"))
+    venues = _read(spark, sf_dir, "supplier").select(code("s_suppkey").alias("code"), "s_name", F.when(F.col("s_acctbal") > 0, F.col("s_nationkey") % 5 == 0).alias("training"))
+    return programme.shown_grounds(venues, _read(spark, sf_dir, "lineitem").select(code("l_suppkey").alias("code")), "code").select("code", "s_name", "candidates")
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if n[:1] == "q" and n[1:3].isdigit()}
 
 
@@ -113,6 +120,8 @@ _NAMES = "[" + ", ".join(f"'{s}'" for s in SURNAMES) + "]"
 _PROPS = """CASE WHEN event_id % 11 = 0 THEN substr(props, 1, 5) WHEN user_id % 50 = 7 THEN '{"k": "x"}' ELSE props END"""
 ORACLES = {
     "q74_map_places": _map_sql(),
+    "q86_shown_grounds": """SELECT 'G' || s_suppkey AS code, s_name, count(*) AS candidates FROM supplier JOIN lineitem ON l_suppkey = s_suppkey
+    WHERE s_suppkey % 10 <> 0 AND NOT (s_acctbal > 0 AND s_nationkey % 5 = 0) GROUP BY s_suppkey, s_name""",
     "q83_measured_sections": """WITH f AS (SELECT p_partkey, (p_partkey % 4000)::DOUBLE AS cx, (p_partkey % 3000)::DOUBLE AS cy, (p_size * 2 + 60)::DOUBLE AS w, (p_partkey % 90 + 50)::DOUBLE AS h, radians(p_partkey % 60 - 30) AS a, p_partkey % 3 + 1 AS number FROM part),
     e AS (SELECT f.*, t.lo / 0.1::DOUBLE AS lo, t.hi / 0.1::DOUBLE AS hi FROM f, (VALUES (0.5::DOUBLE, 4.0::DOUBLE), (4.5::DOUBLE, 8.0::DOUBLE), (8.5::DOUBLE, 12.0::DOUBLE)) t(lo, hi)),
     s AS (SELECT *, (lo + hi) / 2 - greatest(w, h) / 2 AS off FROM e), p AS (SELECT *, cx + off * CASE WHEN w >= h THEN cos(a) ELSE -sin(a) END AS x, cy + off * CASE WHEN w >= h THEN sin(a) ELSE cos(a) END AS y FROM s),

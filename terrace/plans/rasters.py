@@ -41,6 +41,11 @@ def q73_fitted_edges(spark, sf_dir):
     return found.select("grid", *[F.round(e, 6).alias(e) for e in grids.EDGES])
 
 
+def q85_valid_tiles(spark, sf_dir):
+    """Grids of which a quarter at most is dark, with that share."""
+    return grids.valid_tiles(_cells(spark, sf_dir), dark=-100, most=0.25)
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if n[:1] == "q" and n[1:3].isdigit()}
 
 _C = "c AS (SELECT vec_id AS grid, (i // 8)::INT AS y, (i % 8)::INT AS x, round(embedding[i + 1]::DOUBLE * 1000)::BIGINT AS v FROM embeddings, range(64) t(i))"
@@ -91,4 +96,5 @@ ORACLES = {
     z AS (SELECT grid, angle, round(sum(s) + 0.0000123::DOUBLE, 3) AS sharpness FROM s GROUP BY ALL)
     SELECT grid, angle, sharpness FROM z QUALIFY row_number() OVER (PARTITION BY grid ORDER BY sharpness DESC, angle) = 1""",
     "q73_fitted_edges": _edges_sql(),
+    "q85_valid_tiles": f"WITH {_C} SELECT grid, count(*) FILTER (v < -100) / count(*) AS dark_share FROM c GROUP BY grid HAVING count(*) FILTER (v < -100) / count(*) <= 0.25",
 }
