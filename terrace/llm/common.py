@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +59,24 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(task: Callable) -> Callable:
+    """A task over batches after which the worker gives memory that it has freed back to the system.
+
+    Workers stay between stages and count against their executor; allocators else keep what a task once held.
+    """
+
+    @wraps(task)
+    def run(*args):
+        try:
+            yield from task(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def few(rows: DataFrame, limit: int) -> DataFrame:
     """The rows, marked for broadcast only if there are at most `limit`."""
     return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows

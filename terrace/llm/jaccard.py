@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrace.llm.common import tidy
 from terrace.llm.links import BLOCK, BROADCAST_CLASSES, SMALL_GROUP, LinkedSets, class_ids, counted
 from terrace.llm.shingles import U64, mix64, shingle_sets
 
@@ -47,7 +48,7 @@ FIRST_BAND, BAND_GROWTH, FEATURES_PER_BLOCK = 32, 4, 1.5
 GROUP, SPOILED = 3, 1
 #: Signatures counted more often than this are joined by Spark alone; a bucket has about BUCKET_ROWS signatures.
 HOT_COUNT, BUCKET_ROWS, LEAST_BUCKETS = 1_000_000, 500_000, 64
-EMIT_ROWS = 1_000_000
+EMIT_ROWS = 300_000
 _BY_FEATURE = 0xA0761D6478BD642F
 
 
@@ -145,7 +146,7 @@ def _emit(rarity_table, buckets: int, hot: int, group: int, spoiled: int):
         if held:
             yield from pack(np.concatenate(sigs), np.concatenate(classes))
 
-    return emit
+    return tidy(emit)
 
 
 def _shared(buckets: int):

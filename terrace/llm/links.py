@@ -26,12 +26,11 @@ from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.common import Scratch, small_batches
+from terrace.llm.common import Scratch, small_batches, tidy
 from terrace.llm.components import components
 from terrace.llm.shingles import U64, Sets, mix64, per_set, shingle_sets
 
@@ -105,9 +104,9 @@ def feature_counts(profile: DataFrame) -> np.ndarray:
     rows = profile.filter("block is not null").select("block", "counts")
     blocks = (1 << COUNT_BITS) // _COUNT_BLOCK
     groups = max(blocks, math.isqrt(rows.count() // blocks))
-    summed = rows.repartition(groups, F.rand(7)).mapInArrow(_add_counts, "block int, counts binary")
+    summed = rows.repartition(groups, F.rand(7)).mapInArrow(tidy(_add_counts), "block int, counts binary")
     counts = np.zeros(1 << COUNT_BITS, np.int64)
-    for row in summed.repartition(blocks, "block").mapInArrow(_add_counts, "block int, counts binary").collect():
+    for row in summed.repartition(blocks, "block").mapInArrow(tidy(_add_counts), "block int, counts binary").collect():
         counts[row["block"] * _COUNT_BLOCK : (row["block"] + 1) * _COUNT_BLOCK] = np.frombuffer(row["counts"], np.int64)
     return np.minimum(np.log2(np.maximum(counts, 1)) * 4, 255).astype(np.uint8)
 
@@ -128,7 +127,7 @@ def _set_rows(width: int):
                     columns = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["cls", "sketch", "features"])
 
-    return rows_of
+    return tidy(rows_of)
 
 
 def size_range(size: np.ndarray) -> np.ndarray:
@@ -172,7 +171,7 @@ def _entry_rows(rarity_table, num: int, den: int):
                     part = slice(at, at + 50_000)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig[part]), cls)), pa.array(sig[part].view(np.int64)), pa.array(i[part].astype(np.int32)), pa.array(j[part].astype(np.int32)), pa.array(smaller[part]), pa.array(most[part].astype(np.int64))], ["cls", "sig", "i", "j", "smaller", "most"])
 
-    return rows
+    return tidy(rows)
 
 
 def _verify(num: int, den: int):
@@ -192,7 +191,7 @@ def _verify(num: int, den: int):
                 keep[i] = common > 0 and den * common >= num * (len(left) + len(right) - common)
             yield batch.select(["u", "v"]).filter(pa.array(keep))
 
-    return verify
+    return tidy(verify)
 
 
 class LinkedSets:
@@ -253,7 +252,7 @@ class LinkedSets:
                 blocks, data = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), t) for t in kinds), pa.array(blocks, pa.int32()), pa.array(data, pa.binary())], names)
 
-        return profile
+        return tidy(profile)
 
     def _profiles(self) -> None:
         profile = self.scratch.save(self.documents.withColumn("text_hash", F.xxhash64("text")).mapInArrow(self._profile(), self._profile_schema), "profile")
