@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import crc_bucket, small_batches, text_chunks
+from terrace.llm.common import crc_bucket, small_batches, text_chunks, tidy
 
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 16, 8
 PER_LANGUAGE, WINDOWS_PER_DOCUMENT = 300, 4
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.005, 11
+#: Windows that a task scores at once.
+SCORED = 512
 UNDETERMINED = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -167,8 +169,8 @@ def identify(documents: DataFrame, net: ByteNet, carry: tuple[str, ...] = ()) ->
                 n = len(offsets) - 1
                 rows, owner, size = _window_rows(data, offsets)
                 sums = np.zeros((n, max(len(net.languages), 1)))
-                for a in range(0, len(rows) if net.languages else 0, 1024):
-                    b = min(a + 1024, len(rows))
+                for a in range(0, len(rows) if net.languages else 0, SCORED):
+                    b = min(a + SCORED, len(rows))
                     np.add.at(sums, owner[a:b], net.probabilities(pooled(rows[a:b], tables)) * size[a:b, None])
                 best = sums.argmax(axis=1)
                 value = sums[np.arange(n), best] / np.maximum(sums.sum(axis=1), 1e-12)
@@ -179,7 +181,7 @@ def identify(documents: DataFrame, net: ByteNet, carry: tuple[str, ...] = ()) ->
                 known = has & bool(net.languages)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), pa.array(names[np.where(known, best, len(names) - 1)], pa.string()), pa.array(np.where(known, value, 0.0)), *(batch.column(c).slice(first, n) for c in names_out[3:])], names_out)
 
-    return chosen.mapInArrow(score, schema)
+    return chosen.mapInArrow(tidy(score), schema)
 
 
 def held_out() -> Column:
