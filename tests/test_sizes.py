@@ -39,7 +39,7 @@ def test_tasks_of_pairs_follow_the_rows(spark):
     assert meetings.tasks(spark, 0) == spark.sparkContext.defaultParallelism
     assert meetings.tasks(spark, 100 * meetings.TASK_ROWS + 1) == 101
     m = played(spark)
-    for dealt, plain in ((meetings.tally(m, 7), meetings.tally(m)),):
+    for dealt, plain in ((meetings.balance(m, 7), meetings.balance(m)), (meetings.tally(m, 7), meetings.tally(m))):
         # One dealing with as many tasks as asked for, and no further one for the groups.
         assert re.findall(r"hashpartitioning\([^)]*, (\d+)\)", plan_of(dealt)) == ["7"]
         assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect()))
