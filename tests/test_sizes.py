@@ -43,3 +43,14 @@ def test_tasks_of_pairs_follow_the_rows(spark):
         # One dealing with as many tasks as asked for, and no further one for the groups.
         assert re.findall(r"hashpartitioning\([^)]*, (\d+)\)", plan_of(dealt)) == ["7"]
         assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_meetings_of_other_pairs_leave_before_lists_are_made(spark, no_small_tables):
+    m = played(spark)
+    fixtures = spark.createDataFrame([("f", 1, 1, "x"), ("f", 1, 1, "y"), ("f", 3, 9, "x")], "family string, slug long, opponent long, note string")
+    lists = meetings.meeting_lists(fixtures, m)
+    plan = plan_of(lists)
+    assert plan.index("ObjectHashAggregate") < plan.index("LeftSemi")
+    got = [(r["note"], [x["match_id"] for x in r["meetings"]], r["w"] + r["d"] + r["l"]) for r in lists.orderBy("note").collect()]
+    want = [s for s in range(40) if s % 5 == 1 and s % 3 == 1]
+    assert got == [("x", want, len(want)), ("y", want, len(want))]
