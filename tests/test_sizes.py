@@ -5,7 +5,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from terrace.operators import meetings
+from terrace.functions import text
+from terrace.operators import grids, meetings
+from terrace.operators.grams import GramIndex
+from terrace.plans import publish
+from terrace.sources import html
 
 MATCH = "family string, slug long, opponent long, season int, day date, match_id long, line int, res string, gf int, ga int"
 
@@ -54,3 +58,10 @@ def test_meetings_of_other_pairs_leave_before_lists_are_made(spark, no_small_tab
     got = [(r["note"], [x["match_id"] for x in r["meetings"]], r["w"] + r["d"] + r["l"]) for r in lists.orderBy("note").collect()]
     want = [s for s in range(40) if s % 5 == 1 and s % 3 == 1]
     assert got == [("x", want, len(want)), ("y", want, len(want))]
+
+
+def test_texts_that_nothing_would_change_are_left_alone(spark):
+    texts = ["plain name", "", " lead", "trail ", "two  blanks", "tab\there", "a\xa0b", "a<br>b", "x &amp; y", "a\n b", "a  ", "a\rb", "a\x0bb\x0b", "ěšč 1:2", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.strip_tags(F.col("t")).alias("got"), text._stripped(F.col("t")).alias("want"), F.col("t").rlike(text.TO_STRIP).alias("changes")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+    assert all(r["changes"] for r in got if r["got"] != r["t"]) and not got[0]["changes"]
