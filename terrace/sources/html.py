@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions.calendar import parse_day
 from terrace.functions.rules import is_official, result, score_side
-from terrace.functions.text import ascii_id, key, strip_tags
+from terrace.functions.text import ascii_id, bound, key, strip_tags
 from terrace.operators.dedupe import first_by
 
 ROW = r"(?is)<tr[^>]*>(.*?)</tr>"
@@ -27,6 +27,16 @@ def rows(pages: DataFrame, column: str) -> DataFrame:
     return cells.withColumn("texts", F.transform("cells", strip_tags))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row, however often filters and further columns name them.
+
+    They come out of a generator: Spark moves a filter below projections, with a copy of each expression for each mention, but
+    not below a generator.
+    """
+    made = F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("_once")
+    return df.select("*", made).select(*df.columns, *[F.col(f"_once.{name}").alias(name) for name in columns])
+
+
 def query_ids(url: Column) -> Column:
     """The parameters of a link as a map."""
     return F.str_to_map(F.regexp_extract(F.replace(url, F.lit("&amp;"), F.lit("&")), r"\?([^#]*)", 1), F.lit("&"), F.lit("="))
@@ -76,39 +86,54 @@ def fixtures(pages: DataFrame, team: str = "team", column: str = "html") -> Data
     timed = F.filter(F.arrays_zip("cell_tags", "texts"), lambda c: c["texts"].rlike(r"^\d+\s*:\s*\d+$"))
     score_cell = F.when(F.size(timed) > 1, F.element_at(timed, -1)["cell_tags"])
     base = [c for c in pages.columns if c != column]
-    out = found.select(*base, "row", F.regexp_extract(first(r"^\d+\.?$"), r"(\d+)", 1).try_cast("int").alias("round"), first(r"\d{1,2}\.\s*\d{1,2}\.").alias("date_raw"), first(r"^\d{1,2}:\d{2}$").alias("time"), code.alias("code"), F.get(pair, F.lit(0)).alias("home_name"), F.get(pair, F.lit(1)).alias("away_name"), score_cell.alias("score_cell"))
-    own = key(F.col(team))
-    at_home = key(F.col("home_name")) == own
-    out = out.filter(F.col("date_raw").isNotNull() & F.col("time").isNotNull() & (at_home | (key(F.col("away_name")) == own)))
-    out = out.withColumn("day", parse_day(F.col("date_raw"))).withColumn("home", at_home).withColumn("opponent", F.when(at_home, F.col("away_name")).otherwise(F.col("home_name")))
+    read = once(found, date_raw=first(r"\d{1,2}\.\s*\d{1,2}\."), time=first(r"^\d{1,2}:\d{2}$"), pair=pair).filter(F.col("date_raw").isNotNull() & F.col("time").isNotNull())
+    home_name, away_name = F.get("pair", F.lit(0)), F.get("pair", F.lit(1))
+    read = once(read, own=key(F.col(team)), home_key=key(home_name), away_key=key(away_name))
+    read = read.filter((F.col("home_key") == F.col("own")) | (F.col("away_key") == F.col("own"))).withColumn("home", F.col("home_key") == F.col("own"))
     text = F.regexp_replace(strip_tags(F.col("score_cell")), r"\s", "")
-    out = out.withColumn("score", F.nullif(F.coalesce(text, F.lit("")), F.lit(""))).withColumn("official", F.coalesce(is_official(F.col("score_cell"), F.col("score")), F.lit(False)))
-    kept = first_by(out.drop("score_cell", "home_name", "away_name"), [*base, "day", "time", "code"], "row")
+    out = read.select(*base, "row", F.regexp_extract(first(r"^\d+\.?$"), r"(\d+)", 1).try_cast("int").alias("round"), "date_raw", "time", code.alias("code"), "home", F.when(F.col("home"), away_name).otherwise(home_name).alias("opponent"), score_cell.alias("score_cell"))
+    out = once(out, day=parse_day(F.col("date_raw")), score=F.nullif(F.coalesce(text, F.lit("")), F.lit("")))
+    out = out.withColumn("official", F.coalesce(is_official(F.col("score_cell"), F.col("score")), F.lit(False)))
+    kept = first_by(out.drop("score_cell"), [*base, "day", "time", "code"], "row")
     place = F.row_number().over(Window.partitionBy(*base).orderBy("row"))
     return kept.withColumn("round", F.coalesce("round", place)).select(*base, "round", "date_raw", "day", "time", "code", "opponent", "home", "score", "official")
 
 
+def match_blocks(pages: DataFrame, column: str = "html") -> DataFrame:
+    """(.., block): a row for each match's anchor, with what follows up to the next one."""
+    blocks = F.filter(F.split(column, r'(?i)(?=id="game-\d+")'), lambda b: b.rlike(r'(?i)\Aid="game-\d+"'))
+    return pages.select(*[c for c in pages.columns if c != column], F.explode(blocks).alias("block"))
+
+
+def _gameid() -> Column:
+    return F.regexp_extract("block", r'id="game-(\d+)"', 1).cast("long").alias("gameid")
+
+
 def match_details(pages: DataFrame, column: str = "html") -> DataFrame:
     """(.., gameid, half, referee, report) from the blocks that follow each match's anchor."""
-    blocks = F.regexp_extract_all(column, F.lit(r'(?is)(id="game-\d+".*?)(?=id="game-\d+"|\z)'), F.lit(1))
-    base = [c for c in pages.columns if c != column]
-    each = pages.select(*base, F.explode(blocks).alias("block"))
-    text = strip_tags(F.regexp_replace("block", r"<[^>]*\z", ""))
-    grab = lambda p: F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit(""))
-    return each.select(*base, F.regexp_extract("block", r'id="game-(\d+)"', 1).cast("long").alias("gameid"), grab(r"\((\d+:\d+)\)").alias("half"), grab(r"(?im)^\s*(?:rozhod\S*|referee):[ \t]*([^\n]*)").alias("referee"), grab(r"(?ims)^\s*(?:zpr\S*|report):\s*(.*)\z").alias("report"))
+    return _with_details(match_blocks(pages, column)).select(*[c for c in pages.columns if c != column], _gameid(), "half", "referee", "report")
+
+
+def _with_details(blocks: DataFrame) -> DataFrame:
+    grab = lambda p: F.nullif(F.trim(F.regexp_extract("text", p, 1)), F.lit(""))
+    read = once(blocks, text=strip_tags(F.regexp_replace("block", r"<[^>]*\z", "")))
+    return read.select(*blocks.columns, grab(r"\((\d+:\d+)\)").alias("half"), grab(r"(?im)^\s*(?:rozhod\S*|referee):[ \t]*([^\n]*)").alias("referee"), grab(r"(?ims)^\s*(?:zpr\S*|report):\s*(.*)\z").alias("report"))
 
 
 def people(cell: Column) -> Column:
     """Line-up of a cell: names by comma; the name before the first dash keeps goal; classes mark captain and best."""
-    halves = F.split(cell, r"\s+[-–]\s+", 2)
-    keepers, rest = F.when(F.size(halves) > 1, F.get(halves, F.lit(0))).otherwise(F.lit("")), F.element_at(halves, -1)
 
     def person(raw: Column, gk: bool) -> Column:
-        return F.struct(F.trim(strip_tags(raw)).alias("n"), F.lit(gk).alias("gk"), raw.rlike(r'(?i)class="[^"]*captain').alias("cap"), raw.rlike(r'(?i)class="[^"]*best').alias("best"))
+        # Bare names have no class to look for.
+        marked = lambda word: (raw.contains('="') & raw.rlike(f'(?i)class="[^"]*{word}')).alias
+        return F.struct(F.trim(strip_tags(raw)).alias("n"), F.lit(gk).alias("gk"), marked("captain")("cap"), marked("best")("best"))
 
-    kind = "array<struct<n:string,gk:boolean,cap:boolean,best:boolean>>"
-    both = F.concat(F.transform(F.split(keepers, ","), lambda x: person(x, True)).cast(kind), F.transform(F.split(rest, ","), lambda x: person(x, False)).cast(kind))
-    return F.filter(both, lambda p: p["n"] != "")
+    def both(halves: Column) -> Column:
+        kind = "array<struct<n:string,gk:boolean,cap:boolean,best:boolean>>"
+        keepers = F.when(F.size(halves) > 1, F.split(F.get(halves, F.lit(0)), ",")).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.transform(keepers, lambda x: person(x, True)).cast(kind), F.transform(F.split(F.element_at(halves, -1), ","), lambda x: person(x, False)).cast(kind))
+
+    return F.filter(bound(F.split(cell, r"\s+[-–]\s+", 2), both), lambda p: p["n"] != "")
 
 
 def scorers(cell: Column) -> Column:
@@ -133,7 +158,7 @@ def season_matches(pages: DataFrame, slug: str = "slug", column: str = "html") -
     head = pages.withColumn(column, F.split_part(F.col(column), F.lit('name="gameResults"'), F.lit(1)))
     found = rows(head, column).withColumn("code", F.regexp_extract("row_html", r'href="/hriste/#([A-Z0-9]+)"', 1)).filter("code <> ''")
     side = r'(?s)href="/souteze/[^"]*/tymy/([^"/]+)/"[^>]*>(.*?)</a>'
-    found = found.withColumns({"slugs": F.regexp_extract_all("row_html", F.lit(side), F.lit(1)), "names": F.transform(F.regexp_extract_all("row_html", F.lit(side), F.lit(2)), strip_tags)})
+    found = once(found, slugs=F.regexp_extract_all("row_html", F.lit(side), F.lit(1)), names=F.transform(F.regexp_extract_all("row_html", F.lit(side), F.lit(2)), strip_tags))
     found = found.filter((F.size("slugs") == 2) & F.array_contains("slugs", F.col(slug)))
     day = F.get(F.filter(F.transform("texts", parse_day), lambda d: d.isNotNull()), F.lit(0))
     last = F.try_element_at("texts", F.lit(-1))
@@ -146,20 +171,21 @@ def season_matches(pages: DataFrame, slug: str = "slug", column: str = "html") -
 
 def match_sheets(pages: DataFrame, column: str = "html") -> DataFrame:
     """(.., gameid, sides, lines, goals, cards) from match blocks: names of the two sides and, in their order, who played, scored and was booked."""
-    blocks = F.regexp_extract_all(column, F.lit(r'(?is)(id="game-\d+".*?)(?=id="game-\d+"|\z)'), F.lit(1))
-    base = [c for c in pages.columns if c != column]
-    each = pages.select(*base, F.explode(blocks).alias("block"))
+    return _with_sheets(match_blocks(pages, column)).select(*[c for c in pages.columns if c != column], _gameid(), "sides", "lines", "goals", "cards")
+
+
+def _with_sheets(each: DataFrame) -> DataFrame:
+    base = each.columns
     line = r"(?s)has-smaller-text.*?<tr>(.*?)</tr>\s*<tr>(.*?)</tr>"
     cells = lambda row: F.regexp_extract_all(row, F.lit(r"(?s)<td[^>]*>(.*?)</td>"), F.lit(1))
-    each = each.withColumns({"heads": F.regexp_extract("block", line, 1), "line_cells": cells(F.regexp_extract("block", line, 2)), "goal_cells": cells(F.regexp_extract("block", r"(?s)Góly.*?</tr>\s*<tr>(.*?)</tr>", 1))})
+    each = once(each, heads=F.regexp_extract("block", line, 1), line_cells=cells(F.regexp_extract("block", line, 2)), goal_cells=cells(F.regexp_extract("block", r"(?s)Góly.*?</tr>\s*<tr>(.*?)</tr>", 1)))
     sides = F.filter(F.transform(F.regexp_extract_all("heads", F.lit(r"(?s)<th[^>]*>(.*?)</th>"), F.lit(1)), strip_tags), lambda t: t != "")
     cell = lambda name, i: F.get(name, F.lit(i))
     booked = lambda c: F.filter(F.transform(F.split(c, r"<br\s*/?>"), strip_tags), lambda t: t != "")
     whole, scored = (F.size("sides") == 2) & (F.size("line_cells") >= 3), F.size("goal_cells") >= 5
-    each = each.withColumn("sides", sides)
+    each = once(each, sides=sides)
     return each.select(
         *base,
-        F.regexp_extract("block", r'id="game-(\d+)"', 1).cast("long").alias("gameid"),
         F.when(whole, F.col("sides")).alias("sides"),
         F.when(whole, F.array(people(cell("line_cells", 0)), people(cell("line_cells", 2)))).alias("lines"),
         F.when(scored, F.array(scorers(cell("goal_cells", 0)), scorers(cell("goal_cells", 3)))).alias("goals"),
@@ -168,14 +194,18 @@ def match_sheets(pages: DataFrame, column: str = "html") -> DataFrame:
 
 
 def season_with_sheets(pages: DataFrame, slug: str = "slug", column: str = "html") -> DataFrame:
-    """A team's matches with their details, and its own side of each sheet: line by name, goals and cards by side."""
+    """A team's matches with their details, and its own side of each sheet: line by name, goals and cards by side.
+
+    Details and sheets are read from a block in one pass.
+    """
     base = [c for c in pages.columns if c != column]
-    matches, details, sheets = season_matches(pages, slug, column), match_details(pages, column), match_sheets(pages, column)
-    joined = matches.join(first_by(details, [*base, "gameid"], "gameid"), [*base, "gameid"], "left").join(first_by(sheets, [*base, "gameid"], "gameid"), [*base, "gameid"], "left")
+    below = _with_sheets(_with_details(match_blocks(pages, column))).withColumn("gameid", _gameid()).drop("block")
+    joined = season_matches(pages, slug, column).join(first_by(below, [*base, "gameid"], "gameid"), [*base, "gameid"], "left")
+    shown = [c for c in joined.columns if c not in below.columns or c in (*base, "gameid")]
     at = F.when(F.col("home"), 0).otherwise(1)
     named = F.array_position("sides", F.col("own_name"))
     own_line = F.when(F.col("sides").isNotNull() & (named > 0), F.get("lines", (named - 1).cast("int")))
-    return results_of(joined.select(*matches.columns, "half", "referee", "report", own_line.alias("line"), F.get("goals", at).alias("goals"), F.get("cards", at).alias("cards")))
+    return results_of(joined.select(*shown, "half", "referee", "report", own_line.alias("line"), F.get("goals", at).alias("goals"), F.get("cards", at).alias("cards")))
 
 
 def jersey_colours(pages: DataFrame, column: str = "html") -> DataFrame:

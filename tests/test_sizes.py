@@ -65,3 +65,24 @@ def test_texts_that_nothing_would_change_are_left_alone(spark):
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.strip_tags(F.col("t")).alias("got"), text._stripped(F.col("t")).alias("want"), F.col("t").rlike(text.TO_STRIP).alias("changes")).collect()
     assert [r["got"] for r in got] == [r["want"] for r in got]
     assert all(r["changes"] for r in got if r["got"] != r["t"]) and not got[0]["changes"]
+
+
+def test_a_filter_copies_no_parsing(spark):
+    pages = spark.createDataFrame([("A", "<table></table>")], "team string, html string")
+    plan = html.fixtures(pages)._jdf.queryExecution().optimizedPlan().toString()
+    # A plan is printed with the texts of its patterns, which hold line breaks: each node begins with its mark.
+    filters = [node for node in re.split(r"\n *\+- ", plan) if node.startswith("Filter")]
+    assert filters and not any("regexp" in node for node in filters)
+
+
+def test_details_and_sheets_are_read_in_one_pass(spark):
+    pages = spark.createDataFrame([("t1", "<table></table>")], "slug string, html string")
+    plan = html.season_with_sheets(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Generate explode\((?:filter\(split|regexp_extract_all)\(html#", plan)) == 1
+
+
+def test_blocks_begin_at_each_anchor(spark):
+    page = 'x id="game-1" a ID="game-2"\nb id="game-x" id="game-30"'
+    pages = spark.createDataFrame([("k", page), ("n", None), ("o", "none"), ("s", 'id="game-7"')], "k string, html string")
+    got = [tuple(r) for r in html.match_blocks(pages).collect()]
+    assert got == [("k", 'id="game-1" a '), ("k", 'ID="game-2"\nb id="game-x" '), ("k", 'id="game-30"'), ("s", 'id="game-7"')]
