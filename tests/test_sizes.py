@@ -86,3 +86,13 @@ def test_blocks_begin_at_each_anchor(spark):
     pages = spark.createDataFrame([("k", page), ("n", None), ("o", "none"), ("s", 'id="game-7"')], "k string, html string")
     got = [tuple(r) for r in html.match_blocks(pages).collect()]
     assert got == [("k", 'id="game-1" a '), ("k", 'ID="game-2"\nb id="game-x" '), ("k", 'id="game-30"'), ("s", 'id="game-7"')]
+
+
+def test_coverage_deals_teams_and_grounds_out(spark):
+    rows = [(i % 5 if i % 7 else None, i % 3, float(i) if i % 2 else None, i % 4 == 1) for i in range(60)]
+    fixtures = spark.createDataFrame(rows, "team long, code long, score double, official boolean")
+    got = publish.coverage(fixtures, 6)
+    assert "Expand" not in plan_of(got)
+    want = (5, 60, 30, sum(1 for _, _, s, o in rows if o and s is not None), 3)
+    assert tuple(got.first()) == want == tuple(publish.coverage(fixtures).first())
+    assert tuple(publish.coverage(fixtures.filter("false"), 6).first()) == (0, 0, 0, 0, 0)
