@@ -47,19 +47,20 @@ def summed_area(cells: DataFrame, tile: int = 64) -> DataFrame:
     return whole.select("grid", "y", "x", "value", *[(F.col(c) + F.col(f"above_{c}")).alias(c) for c in both])
 
 
-def local_background(cells: DataFrame, reach: int, tile: int = 64) -> DataFrame:
+def local_background(cells: DataFrame, reach: int, tile: int | None = None) -> DataFrame:
     """(grid, y, x, value, n, mean, sd): number, mean and deviation of the cells within `reach`, clipped at the grid's ends.
 
-    Four lookups of the summed-area table, whatever the reach.
+    Sums along lines, then of these along columns, each as the difference of two prefix sums, whatever the reach: cells are
+    shuffled twice, and a window holds one line or column. `tile`, which once cut the prefix sums, changes nothing.
     """
-    table = summed_area(cells, tile)
-    ends = table.groupBy("grid").agg(F.max("y").alias("my"), F.max("x").alias("mx"))
-    box = table.select("grid", "y", "x", "value").join(ends, "grid")
-    box = box.select("grid", "y", "x", "value", F.greatest(F.col("y") - reach, F.lit(0)).alias("y0"), F.least(F.col("y") + reach, F.col("my")).alias("y1"), F.greatest(F.col("x") - reach, F.lit(0)).alias("x0"), F.least(F.col("x") + reach, F.col("mx")).alias("x1"))
-    corner = F.explode(F.array(*[F.struct(F.col(y).alias("cy") if y == "y1" else (F.col(y) - 1).alias("cy"), F.col(x).alias("cx") if x == "x1" else (F.col(x) - 1).alias("cx"), F.lit(1 if (y == "y1") == (x == "x1") else -1).alias("sign")) for y in ("y0", "y1") for x in ("x0", "x1")]))
-    corners = box.withColumn("c", corner).select("grid", "y", "x", "value", ((F.col("y1") - F.col("y0") + 1) * (F.col("x1") - F.col("x0") + 1)).alias("n"), F.col("c.cy").alias("cy"), F.col("c.cx").alias("cx"), F.col("c.sign").alias("sign"))
-    held = table.select("grid", F.col("y").alias("cy"), F.col("x").alias("cx"), "area", "squares")
-    found = corners.join(held, ["grid", "cy", "cx"]).groupBy("grid", "y", "x", "value", "n").agg(F.sum(F.col("sign") * F.col("area")).alias("area"), F.sum(F.col("sign") * F.col("squares")).alias("squares"))
+
+    def near(rows: DataFrame, by: str, order: str) -> DataFrame:
+        line = Window.partitionBy("grid", by).orderBy(order)
+        upto, before = (line.rangeBetween(Window.unboundedPreceding, end) for end in (reach, -reach - 1))
+        return rows.withColumns({c: F.sum(c).over(upto) - F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("n", "area", "squares")})
+
+    counted = cells.select("grid", "y", "x", "value", F.lit(1).cast("long").alias("n"), F.col("value").alias("area"), (F.col("value") * F.col("value")).alias("squares"))
+    found = near(near(counted, "y", "x"), "x", "y")
     mean = F.col("area") / F.col("n")
     return found.select("grid", "y", "x", "value", "n", mean.alias("mean"), F.sqrt(F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0))).alias("sd"))
 

@@ -96,3 +96,8 @@ def test_coverage_deals_teams_and_grounds_out(spark):
     want = (5, 60, 30, sum(1 for _, _, s, o in rows if o and s is not None), 3)
     assert tuple(got.first()) == want == tuple(publish.coverage(fixtures).first())
     assert tuple(publish.coverage(fixtures.filter("false"), 6).first()) == (0, 0, 0, 0, 0)
+
+
+def test_background_shuffles_cells_twice(spark, no_small_tables):
+    cells = spark.createDataFrame([(1, y, x, y * x) for y in range(4) for x in range(5)], "grid long, y int, x int, value long")
+    assert plan_of(grids.local_background(cells, reach=1)).count("Exchange hashpartitioning") == 2
