@@ -32,9 +32,10 @@ class GramIndex:
         name = uuid.uuid4().hex
         self.table = f"grams_{name}"
         share = F.pmod(F.xxhash64(id_column), F.lit(splits)).cast("int")
-        postings = texts.filter(F.col(id_column).isNotNull()).select(F.col(id_column).alias("doc"), share.alias("share"), F.explode(grams(fold(F.col(text_column)))).alias("gram")).distinct()
+        postings = texts.filter(F.col(id_column).isNotNull()).select(F.col(id_column).alias("doc"), share.alias("share"), F.explode(grams(fold(F.col(text_column)))).alias("gram"))
         postings = postings.select(F.xxhash64("gram", "share").alias("list"), "gram", "doc")
-        # One file a bucket: the same hash deals the rows to tasks and to buckets.
+        # One file a bucket: the same hash deals the rows to tasks and to buckets. This is the only shuffle: a text's grams are
+        # distinct as they are, and what an id that repeats posts twice is told apart by the searches, which read few lists.
         postings = postings.repartition(buckets, "list")
         postings.write.bucketBy(buckets, "list").sortBy("list", "doc").option("path", f"{root or shared_root(spark)}/{self.table}").saveAsTable(self.table)
 
@@ -51,7 +52,7 @@ class GramIndex:
         if not names:
             return self.texts.select(F.col(self.id).alias("doc")).filter("doc is not null").distinct()
         read = self.spark.table(self.table).filter(F.col("list").isin([at for _, at in lists]) & F.col("gram").isin(names))
-        return read.groupBy("doc").agg(F.count("*").alias("n")).filter(F.col("n") == len(names)).select("doc")
+        return read.groupBy("doc").agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(names)).select("doc")
 
     def search(self, needle: str) -> DataFrame:
         """Rows of the texts whose folded text contains the folded needle."""

@@ -101,3 +101,12 @@ def test_coverage_deals_teams_and_grounds_out(spark):
 def test_background_shuffles_cells_twice(spark, no_small_tables):
     cells = spark.createDataFrame([(1, y, x, y * x) for y in range(4) for x in range(5)], "grid long, y int, x int, value long")
     assert plan_of(grids.local_background(cells, reach=1)).count("Exchange hashpartitioning") == 2
+
+
+def test_an_index_shuffles_postings_once_and_takes_repeated_ids(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "abcd"), (1, "xabc"), (2, "bcd"), (3, "abc")], "id long, text string")
+    index = GramIndex(spark, texts, "id", "text", buckets=4, splits=2, root=f"file://{tmp_path}")
+    assert spark.table(index.table).filter("gram = 'abc'").count() == 3
+    assert sorted(map(tuple, index.search("abc").collect())) == [(1, "abcd"), (1, "xabc"), (3, "abc")]
+    assert sorted(map(tuple, index.search("abcd").collect())) == [(1, "abcd")]
+    index.drop()
