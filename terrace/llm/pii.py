@@ -3,12 +3,13 @@
 Base spans are regular expression matches of four kinds that pass a check (address parts, Luhn digits, numbers of digits).
 Wider generators propose further, overlapping spans: anything around an @ or its spelled forms, runs of digits and separators,
 and parts of such runs (formatted phones, solid digits, groups of four, dotted numbers). Each proposal has small integer
-features of its format and its context. The labels of the fit are not the base rules': each base span of up to about
-TRAIN_DOCUMENTS documents, drawn by a hash of the text, is rewritten within its context into forms that the base misses
+features of its format and its context. The labels of the fit are not the base rules': each base span of all documents
+is rewritten within its context into forms that the base misses
 (see `_variants`: @ and dots spelled or set apart, no plus sign or country, other separators, next to foreign digits). The
 span of such a form is right; every other proposal there, and every proposal of the whole documents that meets no base span,
-is wrong. For each kind, gradient-boosted trees of depth 2 learn from counts of feature rows; on the half of the documents
-that training does not see, the threshold is set where the selected are right PRECISION of the time. The trees become Spark
+is wrong. For each kind, gradient-boosted trees of depth 2 learn from counts of feature rows of all documents. The threshold is
+set where the selected are right PRECISION of the time, over all documents: each half of them is scored by trees of the other
+half. Feature rows are small integers with a most, so their distinct ones, which the driver counts, are few. The trees become Spark
 expressions. Proposals above the threshold of their best kind are added where they meet no base span; of a chain that
 overlaps, swept from the left, the better one stays.
 
@@ -31,6 +32,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrace.llm.common import Scratch
+
 KINDS = ("email", "ip", "card", "phone")
 #: Base patterns. Possessive loops and starts bound to the start of a run (or the last match's end) match the same as
 #: plain ones: a later start in a run that failed, or that a match could have taken in, cannot be the leftmost.
@@ -58,7 +61,7 @@ GUARD = {"email": ("@",), "mail": ("@",), "phone": ("+",), "marked": ("[at]", "(
 CONTEXT, CHUNKS = 24, (1 << 16, 1 << 10, 1 << 5)
 #: Words before a span that tell of phones, cards and networks.
 HINTS = (r"(?i)\b(tel|phone|call|fax|mobile|handy|cell)\b", r"(?i)\b(card|visa|amex|mastercard|account|konto|iban)\b", r"(?i)\b(ip|host|server|address|addr|mail|email)\b", r"(?i)(token|key|secret|hash|id)\W*$")
-TRAIN_DOCUMENTS, ROUNDS, RATE, LEAST_WEIGHT, PRECISION = 20_000, 16, 0.4, 5.0, 0.98
+ROUNDS, RATE, LEAST_WEIGHT, PRECISION = 16, 0.4, 5.0, 0.98
 FEATURES = ("digits", "groups", "longest", "first", "last", "plus", "parens", "dots", "dashes", "blanks", "brackets", "ats", "luhn", "octets", "before", "after", "hint", "generator")
 
 _MATCH = "struct<start:int,end:int,from:int,to:int,value:string,before:string,after:string>"
@@ -357,13 +360,15 @@ class Redactor:
 
     @classmethod
     def fit(cls, documents: DataFrame) -> Redactor:
-        n = documents.count()
-        share = min(1.0, TRAIN_DOCUMENTS / max(n, 1))
-        drawn = documents.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 40))).filter(F.col("h") < share * float(1 << 40))
-        drawn = drawn.select("text", (F.col("h") % 2).alias("half"))
-        met = drawn.select("half", base_spans(F.col("text")).alias("base"), proposals(F.col("text")).alias("proposed")).select("half", free_of(F.col("proposed"), F.col("base")).alias("free"))
+        scratch = Scratch(documents.sparkSession, "pii")
+        texts = documents.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        halves = texts.select("text", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(2)).alias("half"))
+        met = halves.select("half", _base_matches(F.col("text")).alias("base"), proposals(F.col("text")).alias("proposed"))
+        given = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), *[x["m"][c].alias(c) for c in ("start", "end", "from", "to")])).cast(f"array<{_SPAN}>")
+        # Texts are read once: their base matches and what the generators add are few beside them.
+        met = scratch.save(met.select("half", "base", free_of(F.col("proposed"), given).alias("free")), "met")
         wrong = met.select("half", F.explode("free.f").alias("f"), F.lit(-1).alias("kind"))
-        forms = drawn.select("half", F.explode(_base_matches(F.col("text"))).alias("x")).select("half", F.col("x.kind").alias("of"), "x.m")
+        forms = met.select("half", F.explode("base").alias("x")).select("half", F.col("x.kind").alias("of"), "x.m")
         forms = forms.select("half", "of", "m", F.explode(_variants(F.col("of"), F.col("m.value"))).alias("v"))
         start = F.char_length("m.before") + F.col("v.lead")
         end = F.char_length("m.before") + F.char_length("v.text") - F.col("v.trail")
@@ -377,11 +382,15 @@ class Redactor:
         kinds, half, weight = (np.array([r[k] for r in rows], np.int64) for k in ("kind", "half", "n"))
         trees, limits = [], []
         for k in range(len(KINDS)):
-            own = boost(x[half == 0], (kinds[half == 0] == k).astype(float), weight[half == 0].astype(float))
-            rest = half == 1
-            score = sum((t.predict(x[rest]) for t in own), np.zeros(int(rest.sum())))
-            trees.append(own)
-            limits.append(threshold(score, (kinds[rest] == k).astype(float), weight[rest].astype(float)) if own else None)
+            right, counted = (kinds == k).astype(float), weight.astype(float)
+            # A half is scored by the trees of the other one, so the threshold counts all documents and none by its own trees.
+            score, scored = np.zeros(len(x)), np.zeros(len(x), bool)
+            for part in (0, 1):
+                own, rest = boost(x[half == part], right[half == part], counted[half == part]), half == 1 - part
+                score[rest] = sum((t.predict(x[rest]) for t in own), np.zeros(int(rest.sum())))
+                scored |= rest & bool(own)
+            trees.append(boost(x, right, counted))
+            limits.append(threshold(score[scored], right[scored], counted[scored]) if scored.any() else None)
         return cls(trees, limits)
 
     def kind_and_margin(self, f: Column) -> Column:
