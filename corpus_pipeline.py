@@ -15,24 +15,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrace.llm import langid
-from terrace.llm.common import Scratch
+from terrace.llm.common import Scratch, word_count
 from terrace.llm.decontaminate import decontaminate
 from terrace.llm.jaccard import BROADCAST_CLASSES, JaccardJoin
-from terrace.llm.mixing import mix, sized_documents
+from terrace.llm.mixing import label_quality, mix, with_quality
 from terrace.llm.pii import Redactor, redact
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text is rejected if no language is this likely; texts without letters are rejected too.
 LEAST_SCORE = 0.4
+#: Largest number of labelled documents whose quality is broadcast (about 30 MB); beyond it the texts are shuffled once.
+BROADCAST_LABELS = 500_000
 
 #: Trained networks and trees are not SQL; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 
-def _few(keys: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Keys to remove, marked for broadcast only if they are few."""
+def _few(keys: DataFrame, scratch: Scratch, name: str, limit: int = BROADCAST_CLASSES) -> DataFrame:
+    """Keys that texts are joined to, marked for broadcast only if they are few."""
     keys = scratch.save(keys, name)
-    return F.broadcast(keys) if keys.count() <= BROADCAST_CLASSES else keys
+    return F.broadcast(keys) if keys.count() <= limit else keys
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,9 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Rows are told apart by id and text, so an id that repeats with other texts loses none of them.
     """
     scratch = Scratch(spark, "pipeline-jaccard")
-    labels = scratch.save(JaccardJoin(spark, docs).labelled(), "labels").filter("root is not null")
+    join = JaccardJoin(spark, docs)
+    labels = scratch.save(join.labelled(), "labels").filter("root is not null")
+    join.scratch.clear()
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")
     groups = labels.groupBy("root").agg(least, F.count("*").alias("n")).filter("n > 1")
     groups = groups.select("root", F.col("least.doc_id").alias("least_id"), F.col("least.text_hash").alias("least_hash"))
@@ -58,6 +62,8 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     named = [F.col("doc_id").alias("copy_id"), F.col("text_hash").alias("copy_hash")]
     copies = _few(members.filter("not first").select(*named).distinct(), scratch, "copies")
     repeated = _few(members.filter("first").groupBy(*named).count().filter("count > 1").drop("count"), scratch, "repeated")
+    for table in ("labels", "groups", "members"):
+        scratch.drop(table)
     once = docs.select(*COLUMNS).join(copies, same(copies), "left_anti").join(repeated, same(repeated), "left_anti")
     place = Window.partitionBy("doc_id", "text").orderBy("source", "lang", "n_chars")
     again = docs.select(*COLUMNS).join(repeated, same(repeated), "left_semi").withColumn("place", F.row_number().over(place))
@@ -84,8 +90,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The texts ride along with the sizes, so each row keeps what the mix takes of it, whatever ids repeat.
     """
-    sized = Scratch(spark, "pipeline-mix").save(sized_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), COLUMNS), "sized")
-    return mix(sized).filter("taken > 0").select(*COLUMNS, "size", "source_size", "target", "taken")
+    scratch = Scratch(spark, "pipeline-mix")
+    quality = _few(label_quality(spark.read.parquet(f"{sf_dir}/labels.parquet")), scratch, "quality", BROADCAST_LABELS)
+    sized = docs.select(*COLUMNS, word_count(F.col("text")).alias("size"))
+    return mix(scratch.save(with_quality(sized, quality), "sized")).filter("taken > 0").select(*COLUMNS, "size", "source_size", "target", "taken")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

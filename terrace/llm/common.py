@@ -58,6 +58,11 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def clear(self) -> None:
+        """Drops all tables: for owners whose result no longer reads them."""
+        for name in list(self.saved):
+            self.drop(name)
+
 
 def tidy(task: Callable) -> Callable:
     """A task over batches after which the worker gives memory that it has freed back to the system.

@@ -41,7 +41,11 @@ SMALL_GROUP, BLOCK = 16, 256
 BROADCAST_CLASSES = 2_000_000
 #: Growth of the ranges of sizes by which split groups meet; sizes below 1 / (growth - 1) are ranges of their own.
 RANGE_GROWTH = 1.08
-_COUNT_BLOCK = 1 << 16
+#: Counts of a row of a table of counts, and how many of those rows go into a batch. A cell is small, since Spark limits
+#: the batches that it makes of such rows by their number alone.
+_COUNT_BLOCK, _COUNT_ROWS = 1 << 10, 128
+#: Tasks that sum the blocks at last.
+_COUNT_PARTS = 16
 _WORDS = SKETCH_BITS // 64
 
 
@@ -76,23 +80,29 @@ def _sketches(sets: Sets) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), axis=1).view(">i8").astype(np.int64)
 
 
-def _count_rows(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def _count_rows(counts: np.ndarray) -> Iterator[tuple[list[int], list[bytes]]]:
+    """The blocks that hold counts, by _COUNT_ROWS."""
     blocks = counts.reshape(-1, _COUNT_BLOCK)
     narrow = np.int64 if blocks.max(initial=0) > 0xFFFFFFFF else np.uint32
-    for i in np.flatnonzero(blocks.any(axis=1)):
-        yield int(i), blocks[i].astype(narrow).tobytes()
+    full = np.flatnonzero(blocks.any(axis=1))
+    for at in range(0, len(full), _COUNT_ROWS):
+        part = full[at : at + _COUNT_ROWS].tolist()
+        yield part, [blocks[i].astype(narrow).tobytes() for i in part]
+
+
+def _add_block(counts: np.ndarray, block: int, data: bytes) -> None:
+    wide = len(data) == 8 * _COUNT_BLOCK
+    counts[block * _COUNT_BLOCK : (block + 1) * _COUNT_BLOCK] += np.frombuffer(data, np.int64 if wide else np.uint32)
 
 
 def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums rows of counts; holds one table, however many rows come."""
     counts = np.zeros(1 << COUNT_BITS, np.int64)
     for batch in batches:
-        for block, data in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            wide = len(data) == 8 * _COUNT_BLOCK
-            counts[block * _COUNT_BLOCK : (block + 1) * _COUNT_BLOCK] += np.frombuffer(data, np.int64 if wide else np.uint32)
-    blocks = counts.reshape(-1, _COUNT_BLOCK)
-    for i in np.flatnonzero(blocks.any(axis=1)):
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([blocks[i].tobytes()], pa.binary())], ["block", "counts"])
+        for block, data in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
+            _add_block(counts, block, data.as_py())
+    for blocks, data in _count_rows(counts):
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(data, pa.binary())], ["block", "counts"])
 
 
 def feature_counts(profile: DataFrame) -> np.ndarray:
@@ -103,11 +113,11 @@ def feature_counts(profile: DataFrame) -> np.ndarray:
     """
     rows = profile.filter("block is not null").select("block", "counts")
     blocks = (1 << COUNT_BITS) // _COUNT_BLOCK
-    groups = max(blocks, math.isqrt(rows.count() // blocks))
+    groups = max(_COUNT_PARTS, math.isqrt(rows.count() // blocks))
     summed = rows.repartition(groups, F.rand(7)).mapInArrow(tidy(_add_counts), "block int, counts binary")
     counts = np.zeros(1 << COUNT_BITS, np.int64)
-    for row in summed.repartition(blocks, "block").mapInArrow(tidy(_add_counts), "block int, counts binary").collect():
-        counts[row["block"] * _COUNT_BLOCK : (row["block"] + 1) * _COUNT_BLOCK] = np.frombuffer(row["counts"], np.int64)
+    for row in summed.repartition(_COUNT_PARTS, "block").mapInArrow(tidy(_add_counts), "block int, counts binary").collect():
+        _add_block(counts, row["block"], row["counts"])
     return np.minimum(np.log2(np.maximum(counts, 1)) * 4, 255).astype(np.uint8)
 
 
@@ -248,9 +258,8 @@ class LinkedSets:
                         waiting, held = [], 0
             if waiting:
                 counts += np.bincount(np.concatenate(waiting), minlength=len(counts))
-            if kinds and (rows := list(_count_rows(counts))):
-                blocks, data = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), t) for t in kinds), pa.array(blocks, pa.int32()), pa.array(data, pa.binary())], names)
+            for blocks, data in _count_rows(counts) if kinds else ():
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(blocks), t) for t in kinds), pa.array(blocks, pa.int32()), pa.array(data, pa.binary())], names)
 
         return tidy(profile)
 
@@ -387,7 +396,8 @@ class LinkedSets:
         self._profiles()
         groups = self._candidates()
         self._store_sets(groups)
-        graph = self.spark.createDataFrame([], "u long, v long")
+        # No list of rows: that would start Python workers of another kind, which stay.
+        graph = self.spark.range(0).selectExpr("id as u", "id as v")
         members = groups.withColumn("label", F.col("cls"))
         for step in range(self.pivot_rounds):
             order = F.xxhash64("cls", F.lit(step)) if step == 0 else F.xxhash64("cls", "sig", F.lit(step))

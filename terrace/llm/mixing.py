@@ -133,10 +133,14 @@ def label_quality(labels: DataFrame) -> DataFrame:
     return labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("label_id")).agg(F.avg(F.when(F.col("quality") == 1, 1.0).otherwise(0.25)).alias("quality"))
 
 
+def with_quality(sized: DataFrame, quality: DataFrame) -> DataFrame:
+    """Adds the quality of `quality` (label_id, quality) by id; 0.5 where no label is known."""
+    return sized.join(quality, F.col("doc_id") == F.col("label_id"), "left").withColumn("quality", F.coalesce("quality", F.lit(0.5))).drop("label_id")
+
+
 def sized_documents(documents: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
-    """The carried columns, size and quality of all documents; 0.5 where no label is known."""
-    sized = documents.select(*carry, word_count(F.col("text")).alias("size"))
-    return sized.join(label_quality(labels), F.col("doc_id") == F.col("label_id"), "left").withColumn("quality", F.coalesce("quality", F.lit(0.5))).drop("label_id")
+    """The carried columns, size and quality of all documents."""
+    return with_quality(documents.select(*carry, word_count(F.col("text")).alias("size")), label_quality(labels))
 
 
 def op4_mix(spark, sf_dir: str) -> DataFrame:

@@ -171,3 +171,25 @@ def test_components_of_a_path_and_a_star(spark):
     links = [(i + 1, i) for i in range(40)] + [(i, 100) for i in range(101, 140)] + [(5, 4)]
     got = components(spark.createDataFrame(links, "u long, v long"), Scratch(spark, "test"), "graph").collect()
     assert sorted(map(tuple, got)) == [(i, 0) for i in range(1, 41)] + [(i, 100) for i in range(101, 140)]
+
+
+def test_rows_of_counts_are_small(spark):
+    """Spark limits batches of stored counts by rows alone, so 1,000 of them must stay a few MB, however many tasks wrote them."""
+    import numpy as np
+    import pyarrow as pa
+    from terrace.llm import jaccard, links
+
+    rng = np.random.default_rng(3)
+    text = [" ".join(map(str, rng.integers(0, 1 << 40, 60_000)))]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(text), pa.array([7])], ["doc_id", "text", "text_hash"])
+    out = list(jaccard.JaccardJoin(spark, spark.createDataFrame([], "doc_id long, text string"))._profile()(iter([batch])))
+    cells = [c for b in out for c in b.column("counts").to_pylist() if c is not None]
+    assert sum(np.frombuffer(c, np.uint32).sum() for c in cells) == 59_996
+    assert max(map(len, cells)) * 1000 <= 16e6 and max(b.nbytes for b in out) < 2e6
+
+    table = rng.integers(0, 1 << 34, 1 << links.COUNT_BITS)
+    rows = pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(d, pa.binary())], ["block", "counts"]) for b, d in links._count_rows(table)])
+    summed = list(links._add_counts(iter([*rows.to_batches(), *rows.to_batches()])))
+    assert max(len(c) for b in summed for c in b.column("counts").to_pylist()) * 1000 <= 16e6
+    got = np.concatenate([np.frombuffer(c, np.int64) for b in summed for c in b.column("counts").to_pylist()])
+    assert (got == 2 * table).all()

@@ -70,3 +70,30 @@ def test_mix_takes_by_row_where_ids_repeat(spark, folder):
     assert all(r["size"] == len(words(r["text"])) and r["taken"] <= 3 * r["size"] for r in got)
     for s in sizes:
         assert abs(sum(r["taken"] for r in got if r["source"] == s) - want[s]) < 1
+
+
+def test_mix_moves_no_texts_for_labels(spark, folder):
+    """Texts meet the labels without a shuffle, though the session would not broadcast any table by itself; beyond the limit rows are the same."""
+    sf = folder([(i, f"text {i} " * 400, "aa", "ab"[i % 2]) for i in range(200)], labels=[(i, i % 2, 0) for i in range(150)])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    saved = []
+    save = cp.Scratch.save
+
+    def kept(self, df, name):
+        saved.append((name, df._jdf.queryExecution().sparkPlan().toString()))
+        return save(self, df, name)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    cp.Scratch.save = kept
+    try:
+        few = sorted(map(repr, cp.mix_sources(spark, docs, sf).collect()))
+        plan = next(p for name, p in saved if name == "sized")
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        limit, cp.BROADCAST_LABELS = cp.BROADCAST_LABELS, 10
+        try:
+            assert sorted(map(repr, cp.mix_sources(spark, docs, sf).collect())) == few
+        finally:
+            cp.BROADCAST_LABELS = limit
+    finally:
+        cp.Scratch.save = save
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
