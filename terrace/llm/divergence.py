@@ -5,17 +5,19 @@ For each pair of a language's sources the distinct (count, count) combinations o
 where one or both are zero: those follow from the sources' own histograms and the number of terms, so no row is made for a
 term that a source lacks. A divergence f is then evaluated once for each combination, times its multiplicity.
 
-The jobs: one pass over the texts counts terms in numpy and Arrow and gives sums of about 300,000 rows a time, so a frequent
-term or a large source is summed in its task first. All else is sums and joins of counts. A term's sources meet by pairs
-of blocks of 64 sources, so a term of many sources is dealt over many tasks; its pairs are as many as the result asks for.
-Ranks need no more than the first 200 terms of a group: each task keeps its own first ones before they meet.
+The jobs: sources are numbered from their own two columns. One pass over the texts counts terms in numpy and Arrow: a task
+sums what it holds, by numbers of groups and terms, and gives rows only when sums no longer make them fewer. Those rows are
+shuffled once, by term, and become one row for each kept term with the counts of its sources, which all else reads.
+A term's sources meet by pairs of blocks of 64 sources, so a term of many sources is dealt over many tasks; its pairs are as
+many as the result asks for. Ranks need no more than the first 200 terms of a group: each task keeps its own first ones
+before they meet.
 
 Arithmetic is in whole numbers: counts are scaled to parts of 10^9 by decimal division, squares stay below 2^63.
 
 Defined results: null language, source and text are empty strings; texts without terms still make their group; a language
 without kept terms has zero divergence; repeated rows are documents of their own; ties rank by the item's bytes; an empty
-table gives no rows; further columns are ignored. A task holds one Arrow batch, or one text, at a time; very long texts are
-counted whole.
+table gives no rows; further columns are ignored. A task holds one Arrow batch, or one text, at a time, and counts of up to
+2,000,000 terms of documents or 64 MB of terms; very long texts are counted whole. A term's row holds all its sources.
 """
 
 from __future__ import annotations
@@ -27,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import Scratch, few, small_batches, text_chunks
+from terrace.llm.common import Scratch, few, small_batches, text_chunks, tidy
 
 SCALE = 1_000_000_000
 LEAST_DOCUMENTS, TOP = 3, 200
 BLOCK = 64
-FLUSH_ROWS = 300_000
+#: What a task holds of counts, and of the bytes of their terms.
+FLUSH_ROWS, FLUSH_BYTES = 2_000_000, 64 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -46,55 +49,74 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, n
     letter = _LETTER[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
-    before = np.concatenate([[False], letter[:-1]])
-    starts = np.flatnonzero(letter & (~before | edge[:-1]))
-    held = np.concatenate([[0], np.cumsum(letter, dtype=np.int64)])
-    bounds = np.append(held[starts], held[-1])
+    starts = np.flatnonzero(letter & (edge[:-1] | ~np.concatenate([[False], letter[:-1]])))
+    ends = np.flatnonzero(letter & (edge[1:] | ~np.concatenate([letter[1:], [False]]))) + 1
+    bounds = np.concatenate([[0], np.cumsum(ends - starts)])
     letters = _LOWER[data[letter]]
     terms = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(letters))
     return terms.dictionary_encode(), np.searchsorted(offsets, starts, side="right") - 1
 
 
+#: Terms with the number of the group, the occurrences and the documents of each.
+Sums = tuple[pa.DictionaryArray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _summed(parts: list[Sums]) -> Sums:
+    """One row for each group and term of the parts."""
+    terms = pa.chunked_array([part[0] for part in parts]).unify_dictionaries()
+    words = terms.chunk(0).dictionary
+    group, n, docs = (np.concatenate([part[i] for part in parts]) for i in (1, 2, 3))
+    key = group * len(words) + np.concatenate([chunk.indices.to_numpy() for chunk in terms.chunks])
+    order = np.argsort(key)
+    key = key[order]
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    group, code = np.divmod(key[starts], len(words))
+    return pa.DictionaryArray.from_arrays(pa.array(code, pa.int32()), words), group, np.add.reduceat(n[order], starts), np.add.reduceat(docs[order], starts)
+
+
+@tidy
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, n, docs) of a task, summed; (lang, source) alone for each group of the task."""
-    waiting: list[pa.Table] = []
-    held, groups = 0, set()
+    waiting: list[Sums] = []
+    held, taken, groups = 0, 0, {}
+    columns = ["lang", "source", "term", "n", "docs"]
+
+    def names() -> list[pa.Array]:
+        return [pa.array(x, pa.large_string()) for x in zip(*groups, strict=True)]
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        summed = pa.concat_tables(waiting).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
-        yield from summed.rename_columns(["lang", "source", "term", "n", "docs"]).to_batches(max_chunksize=20_000)
+    def rows(sums: Sums) -> Iterator[pa.RecordBatch]:
+        terms, group, n, docs = sums
+        named = names()
+        for at in range(0, len(terms), 20_000):
+            to = slice(at, at + 20_000)
+            place = pa.array(group[to])
+            yield pa.RecordBatch.from_arrays([*(x.take(place) for x in named), terms[to].dictionary_decode(), pa.array(n[to]), pa.array(docs[to])], columns)
 
     for batch in batches:
-        lang, source = (batch.column(c).cast(pa.large_string()).dictionary_encode() for c in ("lang", "source"))
-        pair = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(len(source.dictionary), 1) + source.indices.to_numpy(zero_copy_only=False)
-        for at in np.unique(pair).tolist():
-            groups.add((lang.dictionary[at // len(source.dictionary)].as_py(), source.dictionary[at % len(source.dictionary)].as_py()))
+        pairs = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)
+        group = np.array([groups.setdefault(pair, len(groups)) for pair in pairs], np.int64)
         for first, end, data, offsets in text_chunks(batch, "text"):
             terms, row = _terms(data, offsets)
             if not len(terms):
                 continue
+            # Distinct terms of each row with their counts.
             size = len(terms.dictionary)
-            code = terms.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            # Distinct terms of each row with their counts, then sums of those by group.
-            each, n = np.unique(row * size + code, return_counts=True)
-            key = pair[first:end][each // size] * size + each % size
-            order = np.argsort(key, kind="stable")
-            starts = np.flatnonzero(np.diff(key[order], prepend=-1))
-            keys, total = key[order][starts], np.add.reduceat(n[order], starts)
-            docs = np.diff(np.append(starts, len(order)))
-            group = keys // size
-            named = [values.dictionary.take(pa.array(at)) for values, at in ((lang, group // len(source.dictionary)), (source, group % len(source.dictionary)), (terms, keys % size))]
-            waiting.append(pa.table([*named, pa.array(total), pa.array(docs)], ["lang", "source", "term", "n", "docs"]))
-            held += len(keys)
-            if held > FLUSH_ROWS:
-                yield from flush()
-                waiting, held = [], 0
+            each, n = np.unique(row * size + terms.indices.to_numpy(), return_counts=True)
+            row, code = np.divmod(each, size)
+            waiting.append((pa.DictionaryArray.from_arrays(pa.array(code, pa.int32()), terms.dictionary), group[first:end][row], n, np.ones(len(n), np.int64)))
+            held += len(n)
+            taken += terms.dictionary.nbytes
+            if held > FLUSH_ROWS or taken > FLUSH_BYTES:
+                waiting = [_summed(waiting)]
+                held, taken = len(waiting[0][0]), waiting[0][0].dictionary.nbytes
+                if held > FLUSH_ROWS // 2 or taken > FLUSH_BYTES // 2:
+                    yield from rows(waiting[0])
+                    waiting, held, taken = [], 0, 0
     if waiting:
-        yield from flush()
+        yield from rows(_summed(waiting))
     if groups:
-        names = list(zip(*sorted(groups), strict=True))
-        empty = pa.nulls(len(groups), pa.int64())
-        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.large_string()) for x in names), pa.nulls(len(groups), pa.large_string()), empty, empty], ["lang", "source", "term", "n", "docs"])
+        nothing = [pa.nulls(len(groups), kind) for kind in (pa.large_string(), pa.int64(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*names(), *nothing], columns)
 
 
 def scaled(count: str, total: str, terms: str) -> Column:
@@ -108,6 +130,18 @@ def divergence(p: str, q: str) -> Column:
     return F.expr(f"(({p} - {q}) * ({p} - {q})) div {q}")
 
 
+def term_counts(rows: DataFrame, least_documents: int) -> DataFrame:
+    """(lang, term, lang_n, held array of (no, n)) of rows (lang, no, term, n, docs), of terms in enough documents.
+
+    Tasks have summed already, so rows go out as they are, and by term: sums by source need no other shuffle.
+    """
+    dealt = rows.select("lang", "term", "no", "n", "docs").repartition("lang", "term")
+    sums = dealt.groupBy("lang", "term", "no").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    held = F.sort_array(F.collect_list(F.struct("no", "n"))).alias("held")
+    terms = sums.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"), held)
+    return terms.filter(F.col("docs") >= least_documents).drop("docs")
+
+
 class DivergenceAudit:
     """Counts of one table's terms by (lang, source), and the divergences of its sources."""
 
@@ -116,33 +150,38 @@ class DivergenceAudit:
         self.scratch = Scratch(spark, "divergence")
         small_batches(spark)
         docs = documents.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-        parts = self.scratch.save(docs.mapInArrow(_counted, "lang string, source string, term string, n long, docs long"), "parts")
-        summed = parts.filter("term is not null").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-        summed = self.scratch.save(summed, "summed")
-        kept = summed.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least_documents)
-        kept = self.scratch.save(kept.drop("docs"), "kept")
-        counts = self.scratch.save(summed.drop("docs").join(kept, ["lang", "term"]), "counts")
-        langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
-        totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("held"))
-        groups = parts.filter("term is null").select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
-        numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "held", "v", "lang_total")]
         by_lang = Window.partitionBy("lang")
         place = [(F.row_number().over(by_lang.orderBy("source")) - 1).alias("no"), (F.count("*").over(by_lang) - 1).alias("last")]
+        named = self.scratch.save(docs.select("lang", "source").distinct().select("lang", "source", *place), "named")
+        rows = docs.mapInArrow(_counted, "lang string, source string, term string, n long, docs long").filter("term is not null")
+        #: (lang, term, lang_n, held): kept terms, with (no, n) of each source that has them, by number.
+        self.kept = self.scratch.save(term_counts(rows.join(few(named, broadcast_rows), ["lang", "source"]), least_documents), "kept")
+        counts = self.kept.select("lang", "term", "lang_n", F.inline("held"))
+        langs = self.kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
+        totals = counts.groupBy("lang", "no").agg(F.sum("n").alias("total"), F.count("*").alias("held"))
+        numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "held", "v", "lang_total")]
+        groups = named.join(totals, ["lang", "no"], "left").join(langs, "lang", "left")
         #: (lang, source, no, last, total, held, v, lang_total): every group, numbered from 0 to last within its language.
-        self.groups = self.scratch.save(groups.select("lang", "source", *place, *numbers), "groups")
-        #: (lang, source, term, n, lang_n) and the group's columns, of kept terms that occur in the source.
-        self.counts = counts.join(few(self.groups, broadcast_rows), ["lang", "source"])
+        self.groups = self.scratch.save(groups.select("lang", "source", "no", "last", *numbers), "groups")
+        #: (lang, no, term, lang_n, n) and the group's columns, of kept terms that occur in the source.
+        self.counts = counts.join(few(self.groups.drop("held"), broadcast_rows), ["lang", "no"])
 
     def joint_histograms(self) -> DataFrame:
         """(lang, a, b, x, y, k): of sources numbered a < b of a language, k kept terms are counted x in a and y in b.
 
         Cells where a count is zero are there too: each pair's multiplicities sum to the language's number of terms.
         """
-        block = lambda c: f"{c} div {self.block}"
-        left = self.counts.select("lang", "term", F.col("no").alias("a"), F.col("n").alias("x"), F.expr(block("no")).alias("i"), F.explode(F.expr(f"sequence({block('no')}, {block('last')})")).alias("j"))
-        right = self.counts.select("lang", "term", F.col("no").alias("b"), F.col("n").alias("y"), F.expr(block("no")).alias("j"), F.explode(F.expr(f"sequence(0, {block('no')})")).alias("i"))
-        both = left.join(right, ["lang", "term", "i", "j"]).filter("a < b").groupBy("lang", "a", "b", "x", "y").agg(F.count("*").alias("k"))
-        both = self.scratch.save(both, "both")
+        lasts = self.groups.groupBy("lang").agg(F.max("last").alias("last"))
+        blocks = F.expr(f"transform(sequence(0, last div {self.block}), i -> filter(held, h -> h.no div {self.block} = i))")
+        terms = self.kept.join(few(lasts, self.broadcast_rows), "lang").select("lang", "term", blocks.alias("blocks"))
+        left = terms.select("lang", "term", "blocks", F.posexplode("blocks").alias("i", "left"))
+        both = left.select("lang", "term", "i", "left", F.posexplode(F.expr("slice(blocks, i + 1, size(blocks))")).alias("further", "right"))
+        if lasts.filter(F.col("last") >= self.block).limit(1).count():
+            both = both.filter("size(left) > 0 and size(right) > 0").repartition("lang", "term", "i", "further")
+        both = both.select("lang", "further", "right", F.posexplode("left").alias("at", "own"))
+        # Of one block, a source meets those after it.
+        both = both.select("lang", F.col("own.no").alias("a"), F.col("own.n").alias("x"), F.inline(F.expr("if(further = 0, slice(right, at + 2, size(right)), right)")).alias("b", "y"))
+        both = self.scratch.save(both.groupBy("lang", "a", "b", "x", "y").agg(F.count("*").alias("k")), "both")
         # A source's own histogram gives each pair's cells with a zero, less what both have; the rest of the terms have neither.
         own = self.counts.groupBy("lang", "no", "n", "last").agg(F.count("*").alias("m")).withColumn("other", F.explode(F.expr("sequence(0, last)"))).filter("other <> no")
         pair = [F.least("no", "other").alias("a"), F.greatest("no", "other").alias("b")]

@@ -94,3 +94,35 @@ def test_a_task_sums_before_it_gives_rows(spark, folder, monkeypatch):
             total[r["term"]] += r["n"]
     want = Counter(t for _, text, _, _ in rows for t in TERM.findall((text or "").translate(UPPER)))
     assert total == want
+
+
+def _batches(rows: list[tuple]) -> list:
+    """One Arrow batch for each row (text, lang, source)."""
+    import pyarrow as pa
+
+    return [pa.RecordBatch.from_pylist([dict(zip(("text", "lang", "source"), row, strict=True))]) for row in rows]
+
+
+def test_a_task_gives_a_term_once_while_sums_stay_few(monkeypatch):
+    monkeypatch.setattr(divergence, "FLUSH_ROWS", 100)
+    rows = [("the quick brown fox sees the lazy dog", "en", f"s{i % 2}") for i in range(400)]
+    given = [r for b in divergence._counted(iter(_batches(rows))) for r in b.to_pylist() if r["term"] is not None]
+    assert len(given) == 14 and {(r["n"], r["docs"]) for r in given if r["term"] == "the"} == {(400, 200)}
+
+
+def test_a_task_gives_long_terms_before_they_fill_it(monkeypatch):
+    monkeypatch.setattr(divergence, "FLUSH_BYTES", 5_000, raising=False)
+    taken = []
+    source = (taken.append(1) or b for b in _batches([(chr(97 + i % 26) * (400 + i), "en", "s") for i in range(100)]))
+    given, first = [], None
+    for batch in divergence._counted(source):
+        first = first or len(taken)
+        given += [r["term"] for r in batch.to_pylist() if r["term"] is not None]
+    assert first < 20 and sorted(map(len, given)) == list(range(400, 500))
+
+
+def test_rows_of_tasks_are_shuffled_once(spark):
+    rows = spark.createDataFrame([("en", 0, "a", 3, 2), ("en", 0, "a", 4, 1), ("en", 2, "a", 1, 1), ("en", 1, "b", 9, 2)], "lang string, no int, term string, n long, docs long")
+    counted = divergence.term_counts(rows, 3)
+    assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 1
+    assert [r.asDict(recursive=True) for r in counted.collect()] == [{"lang": "en", "term": "a", "lang_n": 8, "held": [{"no": 0, "n": 7}, {"no": 2, "n": 1}]}]
