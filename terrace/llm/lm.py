@@ -11,7 +11,7 @@ truncated backpropagation: documents follow each other in streams, states are ca
 The mean of the tasks' networks, weighted by tokens, is the round's. Means are summed in two levels of tasks, so the driver
 gets one network. The first round starts from a network trained alike on the driver on START_DOCUMENTS documents, a window of
 at most START_TOKENS tokens of each, at a place drawn by hash: that sample only saves the first steps of every task.
-Scoring runs whole documents side by side, longest first, and carries each document's state across its windows to its end.
+Scoring runs SIDE whole documents side by side, longest first, and carries each document's state across its windows to its end.
 
 The counts of the most frequent words, at most BROADCAST_WORDS, go to every task; those of rarer words are joined by hash, after the
 pass, for the rare words of each document alone. The most frequent of those has a small share of all tokens, so no key is
@@ -26,8 +26,9 @@ a null id is not held out and not learned from; other columns are ignored. The f
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,10 @@ START_DOCUMENTS, START_TOKENS, START_EPOCHS, START_STREAMS = 1000, 300, 2, 48
 ROUNDS, STREAMS, STEPS, RATE, SEED = 4, 384, 16, 0.01, 5
 #: Tokens that a task learns from at once.
 LEARN_TOKENS = 600_000
-#: Tokens that a task scores at once, and steps between output layers.
-BATCH_TOKENS, WINDOW = 2_000_000, 32
+#: Tokens that a task scores at once, documents side by side, and the least steps between output layers.
+BATCH_TOKENS, SIDE, WINDOW = 2_000_000, 1024, 32
+#: Bits of a hash that lead to its place among the sorted ones.
+LEAD = 18
 #: The end token's hash; a word's hash equals it with the chance of any other collision.
 END = np.int64(0x454E44)
 
@@ -60,21 +63,48 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _chosen_logs(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Log-softmax of each row at one place. `x` then holds exponentials whose rows are not yet divided by their sums."""
-    x -= x.max(axis=1, keepdims=True)
-    out = x[np.arange(len(x)), chosen]
+def _chosen_logs(x: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-softmax of each column at one place, and the columns' sums: `x` then holds exponentials not yet divided by these.
+
+    Columns, as numpy takes maxima and sums across short rows several times slower than down columns.
+    """
+    x -= x.max(axis=0)
+    out = x[chosen, np.arange(len(chosen))]
     np.exp(x, out=x)
-    return out - np.log(x.sum(axis=1))
+    sums = x.sum(axis=0)
+    return out - np.log(sums), sums
 
 
 def _slope(x: np.ndarray, chosen: np.ndarray, scale: float) -> tuple[float, np.ndarray]:
-    """Sum of losses and the slope of `scale` times it, in the place of x."""
-    loss = -float(_chosen_logs(x, chosen).sum())
-    x /= x.sum(axis=1, keepdims=True)
-    x[np.arange(len(x)), chosen] -= 1
-    x *= scale
-    return loss, x
+    """Sum of losses of the columns and the slope of `scale` times it, in the place of x."""
+    logs, sums = _chosen_logs(x, chosen)
+    x *= scale / sums
+    x[chosen, np.arange(len(chosen))] -= scale
+    return -float(logs.sum()), x
+
+
+def _by_gate(x: np.ndarray) -> np.ndarray:
+    """(rows, three gates side by side) as (gate, rows, HIDDEN), so that what a step does to a gate runs over one piece of memory."""
+    return np.ascontiguousarray(x.reshape(len(x), 3, HIDDEN).transpose(1, 0, 2))
+
+
+def _with_bias(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Weights with the bias as a last row, for states whose last column is 1."""
+    return np.concatenate([weights, bias[..., None, :]], axis=-2)
+
+
+def _step(h: np.ndarray, x: np.ndarray, recurrent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The states after inputs x (gate, streams, HIDDEN), where the gates' values then stand, and the candidates' recurrent part."""
+    u = np.matmul(h, recurrent)
+    x[:2] += u[:2]
+    z, r = _sigmoid(x[:2])
+    n = x[2]
+    n += r * u[2]
+    np.tanh(n, out=n)
+    after = h - n
+    after *= z
+    after += n
+    return after, u[2]
 
 
 @dataclass
@@ -109,79 +139,122 @@ class Gru:
         edges = np.cumsum([0, *(int(np.prod(s)) for s in shapes)])
         return cls(*[values[a:b].reshape(s).astype(np.float32) for a, b, s in zip(edges[:-1], edges[1:], shapes, strict=True)])
 
-    def step(self, h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, tuple]:
-        x, u = self.inputs[words], h @ self.recurrent
-        gates = _sigmoid(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-        z, r, u = gates[:, :HIDDEN], gates[:, HIDDEN:], u[:, 2 * HIDDEN :]
-        n = r * u
-        n += x[:, 2 * HIDDEN :]
-        np.tanh(n, out=n)
-        after = h - n
-        after *= z
-        after += n
-        return after, (h, z, r, n, u)
+    def step(self, h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _step(h, _by_gate(self.inputs).take(words, axis=1), _by_gate(self.recurrent))
 
     def log_probabilities(self, h: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural logarithms of the probabilities of words after states."""
-        kind = words // PER_CLASS
-        out = _chosen_logs(h @ self.class_weights + self.class_bias, kind).astype(np.float64)
-        for c, at in _by_class(kind):
-            out[at] += _chosen_logs(h[at] @ self.word_weights[c] + self.word_bias[c], words[at] % PER_CLASS)
-        return out
+        return self.logs()(h, words)
+
+    def logs(self) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """`log_probabilities` with the weights as they are now, for many calls."""
+        top, own = _with_bias(self.class_weights, self.class_bias), _with_bias(self.word_weights, self.word_bias)
+
+        def logs(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+            flat = np.append(h, np.ones((len(h), 1), h.dtype), axis=1)
+            kind = words // PER_CLASS
+            out = _chosen_logs(top.T @ flat.T, kind)[0].astype(np.float64)
+            at, parts = _by_class(kind)
+            out[at] += _chosen_logs(_word_layer(flat.take(at, axis=0), own, parts), words[at] % PER_CLASS)[0]
+            return out
+
+        return logs
 
     def gradients(self, h: np.ndarray, words: np.ndarray, fresh: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray]:
         """Of the mean loss of a window (steps, streams): loss, gradients, last state. `fresh` marks first tokens."""
         steps, streams = words.shape
-        grads = [np.zeros_like(p) for p in self.parameters()]
-        states, kept = [], []
-        for t in range(steps):
-            h = h * ~fresh[t][:, None]
-            states.append(h)
-            h, k = self.step(h, words[t])
-            kept.append(k)
-        flat, target = np.concatenate(states), words.ravel()
+        target = words.ravel()
         kind, scale = target // PER_CLASS, 1.0 / target.size
-        loss, delta = _slope(flat @ self.class_weights + self.class_bias, kind, scale)
-        grads[2] += flat.T @ delta
-        grads[3] += delta.sum(axis=0)
-        back = delta @ self.class_weights.T
-        for c, at in _by_class(kind):
-            own = flat[at]
-            more, delta = _slope(own @ self.word_weights[c] + self.word_bias[c], target[at] % PER_CLASS, scale)
-            loss += more
-            grads[4][c] += own.T @ delta
-            grads[5][c] += delta.sum(axis=0)
-            back[at] += delta @ self.word_weights[c].T
+        recurrent, alive = _by_gate(self.recurrent), ~fresh[:, :, None]
+        gates = _by_gate(self.inputs).take(target, axis=1).reshape(3, steps, streams, HIDDEN)
+        states = np.empty((steps, streams, HIDDEN), h.dtype)
+        candidates = np.empty_like(states)
+        for t in range(steps):
+            np.multiply(h, alive[t], out=states[t])
+            h, candidates[t] = _step(states[t], gates[:, t], recurrent)
+        grads = [np.zeros_like(p) for p in self.parameters()]
+        # Output layers.
+        flat = np.ones((target.size, HIDDEN + 1), h.dtype)
+        flat[:, :HIDDEN] = states.reshape(-1, HIDDEN)
+        loss, delta = _slope(_with_bias(self.class_weights, self.class_bias).T @ flat.T, kind, scale)
+        slope = flat.T @ delta.T
+        grads[2][...], grads[3][...] = slope[:-1], slope[-1]
+        back = delta.T @ self.class_weights.T
+        at, parts = _by_class(kind)
+        own = flat.take(at, axis=0)
+        more, delta = _slope(_word_layer(own, _with_bias(self.word_weights, self.word_bias), parts), target[at] % PER_CLASS, scale)
+        turned = np.empty((len(at), HIDDEN), h.dtype)
+        for c, a, b in parts:
+            slope = own[a:b].T @ delta[:, a:b].T
+            grads[4][c], grads[5][c] = slope[:-1], slope[-1]
+            np.matmul(delta[:, a:b].T, self.word_weights[c].T, out=turned[a:b])
+        back[at] += turned
+        # Back through the steps. `into`: slopes of the gates' inputs; `last`: of the candidates' recurrent part.
         back = back.reshape(steps, streams, HIDDEN)
+        into = np.empty_like(gates)
+        last = np.empty_like(states)
         carry = np.zeros_like(back[0])
-        into = np.empty((steps, streams, 3 * HIDDEN), back.dtype)
-        turned = np.ascontiguousarray(self.recurrent.T)
+        across = np.ascontiguousarray(recurrent.transpose(0, 2, 1))
         for t in range(steps - 1, -1, -1):
-            before, z, r, n, u = kept[t]
-            d = into[t]
-            dn = carry * (1 - z)
-            dn *= 1 - n * n
-            d[:, 2 * HIDDEN :] = dn
-            d[:, :HIDDEN] = carry * (before - n) * z * (1 - z)
-            d[:, HIDDEN : 2 * HIDDEN] = dn * u * r * (1 - r)
-            hidden = d.copy()
-            hidden[:, 2 * HIDDEN :] *= r
-            grads[1] += before.T @ hidden
-            carry = carry * z + hidden @ turned + back[t]
-            carry *= ~fresh[t][:, None]
-        order = np.argsort(target, kind="stable")
-        first = np.flatnonzero(np.diff(target[order], prepend=-1))
-        grads[0][target[order[first]]] = np.add.reduceat(into.reshape(-1, 3 * HIDDEN)[order], first)
-        return loss * scale, grads, h
-
-
-def _by_class(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The classes that occur, but for the last, with their places."""
+            (z, r, n), (dz, dr, dn) = gates[:, t], into[:, t]
+            away = 1 - z
+            away *= carry
+            np.multiply(n, n, out=dn)
+            np.subtract(1, dn, out=dn)
+            dn *= away
+            np.subtract(states[t], n, out=dz)
+            dz *= z
+            dz *= away
+            np.multiply(dn, r, out=last[t])
+            np.subtract(1, r, out=dr)
+            dr *= last[t]
+            dr *= candidates[t]
+            carry *= z
+            carry += dz @ across[0]
+            carry += dr @ across[1]
+            carry += last[t] @ across[2]
+            carry += back[t]
+            carry *= alive[t]
+        before = states.reshape(-1, HIDDEN).T
+        for gate, slopes in enumerate((into[0], into[1], last)):
+            grads[1][:, gate * HIDDEN : (gate + 1) * HIDDEN] = before @ slopes.reshape(-1, HIDDEN)
+        grads[0] = _sum_by_word(into.reshape(3, -1, HIDDEN), target)
+        return loss * scale + more * scale, grads, h
+
+
+def _by_class(kind: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Places of all classes but the last, ordered by class, and the classes that occur with their bounds in that order."""
     order = np.argsort(kind.astype(np.uint8), kind="stable")
-    edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if edges[c] < edges[c + 1]:
-            yield c, order[edges[c] : edges[c + 1]]
+    edges = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
+    return order[: edges[CLASSES]], [(c, a, b) for c, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
+
+
+def _word_layer(states: np.ndarray, weights: np.ndarray, parts: list[tuple[int, int, int]]) -> np.ndarray:
+    """A column for each state, of the weights of its class."""
+    out = np.empty((PER_CLASS, len(states)), states.dtype)
+    for c, a, b in parts:
+        np.matmul(weights[c].T, states[a:b].T, out=out[:, a:b])
+    return out
+
+
+def _sum_by_word(x: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """(gate, rows, HIDDEN) summed over the rows of each word: rows by word, gates side by side."""
+    order = np.argsort(words.astype(np.uint16), kind="stable")
+    words, x = words[order], x.take(order, axis=1)
+    first = np.flatnonzero(np.diff(words, prepend=-1))
+    counts = np.diff(first, append=len(words))
+    out = np.zeros((3, OTHER + 1, HIDDEN), x.dtype)
+    # Most words of a window occur once and are only copied; a few occur often. `reduceat` is slow at both.
+    once, often = counts == 1, counts >= 32
+    out[:, words[first[once]]] = x[:, first[once]]
+    for a, n in zip(first[often].tolist(), counts[often].tolist(), strict=True):
+        out[:, words[a]] = np.ones(n, x.dtype) @ x[:, a : a + n]
+    rest = np.repeat(~(once | often), counts)
+    if rest.any():
+        words, x = words[rest], x[:, rest]
+        first = np.flatnonzero(np.diff(words, prepend=-1))
+        out[:, words[first]] = np.add.reduceat(x, first, axis=1)
+    return out.transpose(1, 0, 2).reshape(OTHER + 1, 3 * HIDDEN)
 
 
 class Learner:
@@ -242,11 +315,26 @@ class Vocabulary:
     counts: np.ndarray
     numbers: np.ndarray
 
+    @cached_property
+    def firsts(self) -> np.ndarray:
+        """For each value of the highest LEAD bits, the place of the first hash that is not below it; sorted as signed numbers."""
+        return np.searchsorted(self.hashes, (np.arange(1 << LEAD) - (1 << LEAD - 1)) << 64 - LEAD).astype(np.int32)
+
+    @cached_property
+    def ended(self) -> np.ndarray:
+        """The hashes with a last one that no other exceeds."""
+        return np.append(self.hashes, np.iinfo(np.int64).max)
+
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each hash, and whether it is there."""
         if not len(self.hashes):
             return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        at = self.firsts[(hashes >> 64 - LEAD) + (1 << LEAD - 1)]
+        behind = np.flatnonzero(self.ended[at] < hashes)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self.ended[at[behind]] < hashes[behind]]
+        np.minimum(at, len(self.hashes) - 1, out=at)
         return at, self.hashes[at] == hashes
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
@@ -455,25 +543,27 @@ def _score_rows(parts: list, vocabulary: Vocabulary, network: Gru, first_row: in
 
 
 def _run(network: Gru, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Log-likelihoods of whole documents: all side by side, the longest first, states carried from window to window."""
-    sizes = np.diff(bounds)
-    order = np.argsort(-sizes, kind="stable")
-    starts, lengths = bounds[:-1][order], sizes[order]
-    total = np.zeros(len(order))
-    h = np.zeros((len(order), HIDDEN), np.float32)
-    for t0 in range(0, int(lengths[0]) if len(lengths) else 0, WINDOW):
-        states, targets, owners = [], [], []
-        for t in range(t0, min(t0 + WINDOW, int(lengths[0]))):
-            active = int(np.searchsorted(-lengths, -t, side="left"))
-            w = words[starts[:active] + t]
-            states.append(h[:active].copy())
-            targets.append(w)
-            owners.append(np.arange(active))
-            h[:active], _ = network.step(h[:active], w)
-        logs = network.log_probabilities(np.concatenate(states), np.concatenate(targets))
-        total += np.bincount(np.concatenate(owners), logs, minlength=len(total))
-    out = np.empty(len(total))
-    out[order] = total
+    """Log-likelihoods of whole documents: SIDE of them side by side, the longest first, states carried from window to window."""
+    order = np.argsort(-np.diff(bounds), kind="stable")
+    inputs, recurrent, logs = _by_gate(network.inputs), _by_gate(network.recurrent), network.logs()
+    out = np.empty(len(order))
+    for at in range(0, len(order), SIDE):
+        own = order[at : at + SIDE]
+        starts, lengths = bounds[own], bounds[own + 1] - bounds[own]
+        # Documents that are not yet at their end, by step.
+        active = len(own) - np.cumsum(np.bincount(lengths, minlength=1))[:-1]
+        total, h, t = np.zeros(len(own)), np.zeros((len(own), HIDDEN), np.float32), 0
+        while t < len(active):
+            steps = active[t : t + max(WINDOW, WINDOW * SIDE // (4 * active[t]))].tolist()
+            edges = np.cumsum([0, *steps])
+            states, owners = np.empty((edges[-1], HIDDEN), np.float32), np.arange(edges[-1]) - np.repeat(edges[:-1], steps)
+            targets = words[starts[owners] + np.repeat(np.arange(t, t + len(steps)), steps)]
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                states[a:b] = h = h[: b - a]
+                h, _ = _step(h, inputs.take(targets[a:b], axis=1), recurrent)
+            total += np.bincount(owners, logs(states, targets), minlength=len(own))
+            t += len(steps)
+        out[own] = total
     return out
 
 

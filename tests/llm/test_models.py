@@ -188,6 +188,35 @@ def test_probabilities_sum_to_one_and_windows_carry_state():
         assert total == pytest.approx(want, rel=1e-4)
 
 
+def test_scoring_works_on_pieces_of_bounded_size(monkeypatch):
+    """However many documents are scored at once, an output layer gets 32 steps of 1,024 of them at most, and each score stays its own."""
+    rng = np.random.default_rng(4)
+    sizes = np.append(rng.integers(1, 60, 2500), 700)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    words = rng.integers(0, lm.OTHER + 1, bounds[-1])
+    net, seen, plain = lm.Gru.start(np.ones(lm.OTHER + 1)), [], lm._chosen_logs
+    monkeypatch.setattr(lm, "_chosen_logs", lambda x, chosen: seen.append(x.size) or plain(x, chosen))
+    got = lm._run(net, words, bounds)
+    assert max(seen) <= 32 * 1024 * (lm.CLASSES + 1) and len(seen) < 200
+    for i in (0, 1500, 2499, 2500):
+        assert got[i] == pytest.approx(lm._run(net, words[bounds[i] : bounds[i + 1]], np.array([0, sizes[i]]))[0], rel=1e-5)
+
+
+def test_words_are_found_and_summed_like_by_plain_search():
+    rng = np.random.default_rng(5)
+    ends = [np.iinfo(np.int64).min, -1, 0, 1, 2, 3, np.iinfo(np.int64).max]
+    hashes = np.unique(np.append(rng.integers(*(x for x in (ends[0], ends[-1])), 4000), ends[1:-1:2]))
+    vocabulary = lm.Vocabulary(hashes, np.ones(len(hashes)), np.arange(len(hashes)) % lm.OTHER)
+    asked = np.concatenate([hashes, hashes + 1, ends])
+    at, there = vocabulary.look_up(asked)
+    assert there.tolist() == np.isin(asked, hashes).tolist() and (hashes[at[there]] == asked[there]).all()
+    for words in (rng.integers(0, 30, 700), np.arange(700), np.full(700, lm.OTHER), rng.zipf(1.3, 700) % lm.OTHER):
+        x = rng.normal(size=(3, 700, lm.HIDDEN))
+        want = np.zeros((lm.OTHER + 1, 3 * lm.HIDDEN))
+        np.add.at(want, words, x.transpose(1, 0, 2).reshape(700, -1))
+        assert np.allclose(lm._sum_by_word(x, words), want)
+
+
 def test_scores_equal_brute_force_and_learn_order(spark, folder):
     rng = random.Random(6)
     documents = []
